@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import POOL_PATTERN, pool_key, split_pool
 from .filters import filter_default
+from .skew import join_per_key
 from .migration import detail_columns, lender_rank, order_detail, order_summary, summarise
 
 # Largest request table that is broadcast; above it the join shuffles.
@@ -137,8 +138,9 @@ def migration_batch(inv: DataFrame, requests: DataFrame, rank_by: str = "last",
         if group != "request_id" else request_pools(requests)
     j = batch_rows(inv, rp)
     services = lender_rank(j, F.col("lender_key"), F.col("receiver_key"), rank_by=rank_by,
-                           group=["request_id"])
-    joined = j.join(services, ["request_id", "psm"])
+                           group=["request_id"], with_row_count=True)
+    joined = join_per_key(j, services, ["request_id", "psm"], "_rows").drop("_rows")
+    services = services.drop("_rows")
     gate = (joined.groupBy("request_id")
             .agg(F.bool_or(F.col("package").isNotNull() & (F.col("package") != ""))
                  .alias("_pkg")))

@@ -1,14 +1,14 @@
 """Migration analysis: services deployed in both a lender and a receiver pool.
 
-Plan shape (one exchange on ``psm`` for the membership test, one for the
-join back, none for the summary):
+Plan shape (one exchange on ``psm`` for the membership test, one on
+``(psm, salt)`` for the join back, one for the summary):
 
     rows  = inventory  -> site filter -> default clusters -> the two pools
     per_service = rows.groupBy(psm): in-lender?, in-receiver?, lender count
                   (partial aggregation map-side, so a hot service is
                   pre-combined before the shuffle)
-    detail  = rows JOIN per_service (both present)   [AQE splits skewed psm]
-    summary = detail.groupBy(psm, pool, package)     [reuses psm partitioning]
+    detail  = rows JOIN per_service (both present)   [hot services salted]
+    summary = detail.groupBy(psm, pool, package)     [partial aggregation]
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import parse_pool_text, pool_key
 from .filters import filter_by_idc, filter_default, pools_predicate
+from .skew import join_per_key
 
 DETAIL_COLUMNS = ["psm", "pool_identifier", "package", "physical_cluster", "iaas_cluster",
                   "instance_num", "cpu_limit", "mem_limit", "cluster_name", "dept_level1",
@@ -53,12 +54,13 @@ def pool_rows(inv: DataFrame, keys: list[tuple[str, str]], idc=None) -> DataFram
 
 
 def lender_rank(rows: DataFrame, lender: str, receiver: str, rank_by: str = "last",
-                group: list[str] | None = None) -> DataFrame:
+                group: list[str] | None = None, with_row_count: bool = False) -> DataFrame:
     """Per service: present in both pools? and the lender's count used for ordering.
 
     ``rank_by='last'`` takes the count of the lender row latest in file order
     (a later row overwrites an earlier one), ``'sum'`` adds them and ``'max'``
-    takes the largest. Services present in both pools only are returned.
+    takes the largest. Services present in both pools only are returned;
+    ``with_row_count`` adds ``_rows``, the service's row count in ``rows``.
     """
     keys = (group or []) + ["psm"]
     is_lender = F.col("pool_identifier") == (F.lit(lender) if isinstance(lender, str) else lender)
@@ -77,9 +79,10 @@ def lender_rank(rows: DataFrame, lender: str, receiver: str, rank_by: str = "las
             .groupBy(*keys)
             .agg(F.bool_or(is_lender).alias("_in_lender"),
                  F.bool_or(is_receiver).alias("_in_receiver"),
-                 F.coalesce(rank, F.lit(0).cast("bigint")).cast("bigint").alias("sort_key"))
+                 F.coalesce(rank, F.lit(0).cast("bigint")).cast("bigint").alias("sort_key"),
+                 F.count(F.lit(1)).alias("_rows"))
             .filter(F.col("_in_lender") & F.col("_in_receiver"))
-            .select(*keys, "sort_key"))
+            .select(*keys, "sort_key", *(["_rows"] if with_row_count else [])))
 
 
 def package_present(df: DataFrame) -> bool:
@@ -146,8 +149,9 @@ def migration(inv: DataFrame, pool1: str, pool2: str, idc=None, package="auto",
     p2 = parse_pool_text(pool2, bare="error")
     k1, k2 = "/".join(p1), "/".join(p2)
     rows = pool_rows(inv, [p1, p2], idc)
-    services = lender_rank(rows, k1, k2, rank_by=rank_by)
-    joined = rows.join(services, "psm")
+    services = lender_rank(rows, k1, k2, rank_by=rank_by, with_row_count=True)
+    joined = join_per_key(rows, services, ["psm"], "_rows").drop("_rows")
+    services = services.drop("_rows")
     if package == "auto":
         package = package_present(joined)
     detail = joined.select(*detail_columns(bool(package), keep_sort_key=True), "row_ord")

@@ -43,8 +43,27 @@ def test_migratable_has_no_join_on_service(spark):
     assert p.count("hashpartitioning(psm") == 2  # two aggregation levels, no join
 
 
-def test_summary_reuses_service_partitioning(spark):
+def test_join_back_is_salted_and_summary_pre_aggregates(spark):
     p = plan(E.queries()["migration_summary"](spark, SF))
-    # one exchange for the membership aggregate, one for the join back; the
-    # summary aggregate runs on the join's partitioning without another one
-    assert p.count("hashpartitioning(psm") == 2
+    assert "_salt" in p and "xxhash64(row_ord" in p
+    # the summary aggregate is partial before its own exchange
+    assert "partial_sum" in p
+
+
+def test_per_candidate_top_rows_limited_before_shuffle(spark):
+    p = plan(E.queries()["candidate_detail_top"](spark, SF))
+    assert "WindowGroupLimit" in p
+
+
+@pytest.mark.parametrize("key", ["migration_detail", "migration_summary", "migration_batch",
+                                 "candidate_detail"])
+def test_salting_keeps_results(spark, key):
+    q = E.queries()[key]
+    srt = lambda rows: sorted((tuple(r) for r in rows), key=repr)
+    base = srt(q(spark, SF).collect())
+    spark.conf.set("poolshift.skew.rowsPerTask", "2")
+    try:
+        salted = srt(q(spark, SF).collect())
+    finally:
+        spark.conf.unset("poolshift.skew.rowsPerTask")
+    assert salted == base
