@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import POOL_PATTERN, pool_key, split_pool
+from ..session import cut_lineage
 from .filters import filter_default
 from .skew import join_per_key
 from .migration import detail_columns, lender_rank, order_detail, order_summary, summarise
@@ -128,11 +129,13 @@ def batch_rows(inv: DataFrame, req_pools: DataFrame, group: str = "request_id")
 
 def migration_batch(inv: DataFrame, requests: DataFrame, rank_by: str = "last",
                     group: str = "request_id", ordered: bool = False,
-                    keep_row_ord: bool = False) -> BatchMigration:
+                    keep_row_ord: bool = False, materialize: bool = False) -> BatchMigration:
     """Answer every valid request at once. Output keys are prefixed by ``group``.
 
     The package column is kept in both outputs; whether package is a summary
     key is decided per request by the same data rule as the single analysis.
+    ``materialize`` checkpoints the matched rows (shared by both outputs)
+    into the shared checkpoint folder.
     """
     rp = request_pools(requests.withColumnRenamed(group, "request_id")) \
         if group != "request_id" else request_pools(requests)
@@ -141,6 +144,8 @@ def migration_batch(inv: DataFrame, requests: DataFrame, rank_by: str = "last",
                            group=["request_id"], with_row_count=True)
     joined = join_per_key(j, services, ["request_id", "psm"], "_rows").drop("_rows")
     services = services.drop("_rows")
+    if materialize:
+        joined = cut_lineage(joined)
     gate = (joined.groupBy("request_id")
             .agg(F.bool_or(F.col("package").isNotNull() & (F.col("package") != ""))
                  .alias("_pkg")))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import parse_pool_text, pool_key
 from .filters import filter_by_idc, filter_default, pools_predicate
+from ..session import cut_lineage
 from .skew import join_per_key
 
 DETAIL_COLUMNS = ["psm", "pool_identifier", "package", "physical_cluster", "iaas_cluster",
@@ -139,11 +140,15 @@ def order_summary(df: DataFrame, package: bool, group: list[str] | None = None)
 
 def migration(inv: DataFrame, pool1: str, pool2: str, idc=None, package="auto",
               rank_by: str = "last", keep_sort_key: bool = True, ordered: bool = True,
-              keep_null_package: bool = False, strict: bool = False) -> Migration:
+              keep_null_package: bool = False, strict: bool = False,
+              materialize: bool = False) -> Migration:
     """Which services run in both ``pool1`` (lender) and ``pool2`` (receiver).
 
     Returns detail rows of both pools, per-service/pool sums and one row of
     statistics. ``idc`` is a site, a list of sites, or None for all.
+    ``materialize`` checkpoints the matched rows into the shared checkpoint
+    folder first, so that writing all three outputs reads the inventory once
+    and a lost executor does not replay the whole lineage.
     """
     p1 = parse_pool_text(pool1, bare="error")
     p2 = parse_pool_text(pool2, bare="error")
@@ -152,6 +157,8 @@ def migration(inv: DataFrame, pool1: str, pool2: str, idc=None, package="auto",
     services = lender_rank(rows, k1, k2, rank_by=rank_by, with_row_count=True)
     joined = join_per_key(rows, services, ["psm"], "_rows").drop("_rows")
     services = services.drop("_rows")
+    if materialize:
+        joined = cut_lineage(joined)
     if package == "auto":
         package = package_present(joined)
     detail = joined.select(*detail_columns(bool(package), keep_sort_key=True), "row_ord")

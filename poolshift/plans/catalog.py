@@ -9,6 +9,7 @@ argument-free. Where an output holds a list, the list is also given as
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from ..operators import migratable as M3
 from ..operators import migration as M1
 from ..operators import results as R
 from ..operators import scaling as M2
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sinks import report as K
 from ..sources.inventory import (inventory, inventory_from_tables, normalise_inventory,
                                  read_inventory)
@@ -275,6 +276,29 @@ def q_migration_batch_summary(spark, sf_dir):
     return _batch(spark, sf_dir).summary
 
 
+def q_migration_batch_stream(spark, sf_dir):
+    """The batch answered by the streaming job: request files arrive in two
+    parts (two micro-batches); the detail written by all batches is read back."""
+    from ..streaming.requests import answer_requests, read_answers
+    src = scratch_path(spark, "request-files")
+    bodies = request_bodies(spark, sf_dir).withColumn("part", F.col("body").contains('"r0'))
+    for i, part in enumerate([True, False]):
+        (bodies.filter(F.col("part") == part).select("body").coalesce(1)
+         .write.text(os.path.join(src, f"part{i}")))
+    files = sorted(os.path.join(src, d, f) for d in os.listdir(src)
+                   if os.path.isdir(os.path.join(src, d))
+                   for f in os.listdir(os.path.join(src, d)) if f.endswith(".txt"))
+    landing = os.path.join(src, "landing")
+    os.makedirs(landing)
+    for i, f in enumerate(files):
+        os.link(f, os.path.join(landing, f"requests-{i}.json"))
+    sink = scratch_path(spark, "request-answers")
+    inv = cut_lineage(inventory(spark, sf_dir))  # static side, read by every micro-batch
+    q = answer_requests(spark, lambda: inv, landing, sink)
+    q.awaitTermination()
+    return read_answers(spark, sink, "detail").drop("batch_id")
+
+
 def q_read_inventory(spark, sf_dir):
     path = scratch_path(spark, "inventory-csv")
     K.write_csv(inventory_from_tables(spark, sf_dir).drop("row_ord"), path)
@@ -318,7 +342,7 @@ def q_csv_export(spark, sf_dir):
 
 
 def q_report_tables(spark, sf_dir):
-    m = _migration(spark, sf_dir)
+    m = _migration(spark, sf_dir, materialize=True)
     folder = scratch_path(spark, "migration-report")
     paths = K.write_report({"summary": m.summary, "detail": m.detail, "stats": m.stats}, folder)
     parts = [K.read_back(spark, p).agg(F.count(F.lit(1)).alias("row_count"))

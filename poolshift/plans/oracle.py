@@ -337,6 +337,8 @@ ORACLE: dict[str, str] = {
          AND trim(pool1) <> trim(pool2)) AS valid
       FROM req""",
     "migration_batch": BATCH + f"SELECT request_id, {DETAIL_SELECT} FROM bmatched",
+    "migration_batch_stream": BATCH + f"""SELECT request_id, {DETAIL_SELECT} FROM bmatched
+        WHERE request_id IN (SELECT request_id FROM req WHERE trim(pool1) <> trim(pool2))""",
     "migration_batch_summary": BATCH + f"""SELECT m.request_id, psm, pool_identifier,
         CASE WHEN g.pkg THEN package END AS package, {SUMMARY_SUMS}
         FROM bmatched m JOIN bgate g ON g.request_id = m.request_id
