@@ -120,10 +120,13 @@ class BatchMigration:
     services: DataFrame
 
 
-def batch_rows(inv: DataFrame, req_pools: DataFrame, group: str = "request_id") -> DataFrame:
-    """Inventory rows attached to every request naming their pool and site."""
+def batch_rows(inv: DataFrame, req_pools: DataFrame) -> DataFrame:
+    """Inventory rows attached to every request naming their pool and site.
+
+    ``req_pools`` should already carry a broadcast hint when it is small
+    (see :func:`maybe_broadcast`)."""
     rows = filter_default(inv).withColumn("pool_identifier", pool_key())
-    j = rows.join(maybe_broadcast(req_pools), "pool_identifier")
+    j = rows.join(req_pools, "pool_identifier")
     return j.filter((F.size("idcs") == 0) | F.array_contains("idcs", F.col("idc")))
 
 
@@ -139,18 +142,23 @@ def migration_batch(inv: DataFrame, requests: DataFrame, rank_by: str = "last",
     """
     rp = request_pools(requests.withColumnRenamed(group, "request_id")) \
         if group != "request_id" else request_pools(requests)
+    rp = maybe_broadcast(rp)
     j = batch_rows(inv, rp)
+    has_package = F.bool_or(F.col("package").isNotNull() & (F.col("package") != ""))
     services = lender_rank(j, F.col("lender_key"), F.col("receiver_key"), rank_by=rank_by,
-                           group=["request_id"], with_row_count=True)
+                           group=["request_id"], with_row_count=True,
+                           extra=[has_package.alias("_pkg_any")])
+    # Package gate per request, from the per-service table (one row per
+    # request after grouping: at most the number of requests).
+    gate = services.groupBy("request_id").agg(F.bool_or("_pkg_any").alias("_pkg"),
+                                              F.count(F.lit(1)).alias("_n"))
+    services = join_per_key(services, gate, ["request_id"], "_n", salt_source="psm") \
+        .drop("_pkg_any", "_n")
     joined = join_per_key(j, services, ["request_id", "psm"], "_rows").drop("_rows")
-    services = services.drop("_rows")
+    services = services.drop("_rows", "_pkg")
     if materialize:
         joined = cut_lineage(joined)
-    gate = (joined.groupBy("request_id")
-            .agg(F.bool_or(F.col("package").isNotNull() & (F.col("package") != ""))
-                 .alias("_pkg")))
-    # one row per request: the planner broadcasts it when its measured size is small
-    joined_g = joined.join(gate, "request_id")
+    joined_g = joined
     detail = joined_g.select(*detail_columns(True, True, prefix=[F.col("request_id")]),
                              "row_ord")
     summary_rows = (joined_g.filter(~F.col("_pkg") | F.col("package").isNotNull())

@@ -55,13 +55,15 @@ def pool_rows(inv: DataFrame, keys: list[tuple[str, str]], idc=None) -> DataFram
 
 
 def lender_rank(rows: DataFrame, lender: str, receiver: str, rank_by: str = "last",
-                group: list[str] | None = None, with_row_count: bool = False) -> DataFrame:
+                group: list[str] | None = None, with_row_count: bool = False,
+                extra: list[Column] | None = None) -> DataFrame:
     """Per service: present in both pools? and the lender's count used for ordering.
 
     ``rank_by='last'`` takes the count of the lender row latest in file order
     (a later row overwrites an earlier one), ``'sum'`` adds them and ``'max'``
     takes the largest. Services present in both pools only are returned;
-    ``with_row_count`` adds ``_rows``, the service's row count in ``rows``.
+    ``with_row_count`` adds ``_rows``, the service's row count in ``rows``;
+    ``extra`` are further named aggregates computed in the same pass.
     """
     keys = (group or []) + ["psm"]
     is_lender = F.col("pool_identifier") == (F.lit(lender) if isinstance(lender, str) else lender)
@@ -81,9 +83,9 @@ def lender_rank(rows: DataFrame, lender: str, receiver: str, rank_by: str = "las
             .agg(F.bool_or(is_lender).alias("_in_lender"),
                  F.bool_or(is_receiver).alias("_in_receiver"),
                  F.coalesce(rank, F.lit(0).cast("bigint")).cast("bigint").alias("sort_key"),
-                 F.count(F.lit(1)).alias("_rows"))
+                 F.count(F.lit(1)).alias("_rows"), *(extra or []))
             .filter(F.col("_in_lender") & F.col("_in_receiver"))
-            .select(*keys, "sort_key", *(["_rows"] if with_row_count else [])))
+            .drop("_in_lender", "_in_receiver", *([] if with_row_count else ["_rows"])))
 
 
 def package_present(df: DataFrame) -> bool:

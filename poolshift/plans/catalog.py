@@ -25,8 +25,7 @@ from ..operators import results as R
 from ..operators import scaling as M2
 from ..session import cut_lineage, scratch_path
 from ..sinks import report as K
-from ..sources.inventory import (inventory, inventory_from_tables, normalise_inventory,
-                                 read_inventory)
+from ..sources.inventory import inventory, normalise_inventory, raw_inventory, read_inventory
 from ..sources.requests import request_bodies, request_table
 
 # Standard parameters of the checks.
@@ -77,7 +76,7 @@ def q_migration_detail(spark, sf_dir):
 
 
 def q_coerce_numbers(spark, sf_dir):
-    raw = inventory_from_tables(spark, sf_dir)
+    raw = raw_inventory(spark, sf_dir)
     return raw.select(
         "row_ord",
         F.col("instance_num").alias("raw_instance_num"),
@@ -141,7 +140,7 @@ def q_save_cores_clean(spark, sf_dir):
 
 
 def q_save_cores_derived(spark, sf_dir):
-    inv = normalise_inventory(inventory_from_tables(spark, sf_dir).drop("save_cores"))
+    inv = normalise_inventory(raw_inventory(spark, sf_dir).drop("save_cores"))
     return M2.recommend_scale_down(inv, SITE, POOL, 0, ordered=False)
 
 
@@ -301,7 +300,7 @@ def q_migration_batch_stream(spark, sf_dir):
 
 def q_read_inventory(spark, sf_dir):
     path = scratch_path(spark, "inventory-csv")
-    K.write_csv(inventory_from_tables(spark, sf_dir).drop("row_ord"), path)
+    K.write_csv(raw_inventory(spark, sf_dir).drop("row_ord"), path)
     inv = normalise_inventory(read_inventory(spark, path, fmt="csv"))
     return inv.drop("row_ord")
 

@@ -26,14 +26,27 @@ def test_no_python_udf_no_cartesian(spark, key):
         assert bad not in p, f"{key}: {bad}"
 
 
-def test_site_filter_reaches_scan(spark):
+def test_site_filter_prunes_partitions_and_pool_filter_reaches_scan(spark):
     p = plan(E.queries()["migration_detail"](spark, SF))
-    assert "PushedFilters: [In(c_mktsegment, [BUILDING,MACHINERY])" in p
+    assert "PartitionFilters: [idc" in p and "IN (BUILDING,MACHINERY)]" in p
+    assert "In(physical_cluster, [ASIA,EUROPE])" in p
+    assert "EqualTo(cluster_name,default)" in p and "EqualTo(iaas_cluster,default)" in p
+
+
+def test_fixture_derivation_pushes_site_filter(spark):
+    from poolshift.operators.migration import migration
+    from poolshift.sources.inventory import inventory
+    m = migration(inventory(spark, SF, materialize=False), "EUROPE/default", "ASIA/default",
+                  ["BUILDING", "MACHINERY"], package=True)
+    assert "PushedFilters: [In(c_mktsegment, [BUILDING,MACHINERY])" in plan(m.detail)
 
 
 def test_scan_reads_only_needed_columns(spark):
     p = plan(E.queries()["pool_key"](spark, SF))
-    # lineitem scan for the pool count: keys, return flag, no prices or dates
+    # the pool count reads the two pool columns only
+    assert "ReadSchema: struct<physical_cluster:string,iaas_cluster:string>" in p
+    from poolshift.sources.inventory import inventory
+    p = plan(inventory(spark, SF, materialize=False).select("physical_cluster"))
     li = [line for line in p.splitlines() if line.startswith("ReadSchema: struct<l_orderkey")]
     assert li and all("l_extendedprice" not in s and "l_shipdate" not in s for s in li)
 
