@@ -156,7 +156,9 @@ def migration(inv: DataFrame, pool1: str, pool2: str, idc=None, package="auto",
     p2 = parse_pool_text(pool2, bare="error")
     k1, k2 = "/".join(p1), "/".join(p2)
     rows = pool_rows(inv, [p1, p2], idc)
-    services = lender_rank(rows, k1, k2, rank_by=rank_by, with_row_count=True)
+    sums = [F.sum(zero_if_null(c)).alias(f"_sum_{c}") for c in SUMMARY_MEASURES]
+    per_service = lender_rank(rows, k1, k2, rank_by=rank_by, with_row_count=True, extra=sums)
+    services = per_service.select("psm", "sort_key", "_rows")
     joined = join_per_key(rows, services, ["psm"], "_rows").drop("_rows")
     services = services.drop("_rows")
     if materialize:
@@ -172,7 +174,7 @@ def migration(inv: DataFrame, pool1: str, pool2: str, idc=None, package="auto",
     if not keep_sort_key:
         detail = detail.drop("sort_key")
         summary = summary.drop("sort_key")
-    stats = migration_stats(joined, pool1, pool2)
+    stats = stats_from_services(per_service, pool1, pool2)
     if strict and detail.limit(1).count() == 0:
         raise LookupError(f"no service runs in both {k1} and {k2}")
     return Migration(detail, summary, stats, services, bool(package))
@@ -189,6 +191,16 @@ def migration_stats(joined: DataFrame, pool1: str, pool2: str, full: bool = True
     return joined.agg(*aggs)
 
 
+def stats_from_services(per_service: DataFrame, pool1: str, pool2: str) -> DataFrame:
+    """The statistics row from the per-service table (one row per matched
+    service carrying its sums): no second pass over the rows."""
+    return per_service.agg(
+        F.lit(pool1).alias("pool1"), F.lit(pool2).alias("pool2"),
+        F.count(F.lit(1)).cast("bigint").alias("psm_count"),
+        *[F.coalesce(F.sum(f"_sum_{c}"), F.lit(0.0)).alias(name)
+          for c, name in zip(SUMMARY_MEASURES, ["total_instances", "total_cpu", "total_memory"])])
+
+
 def with_role(detail: DataFrame, pool1: str, pool2: str) -> DataFrame:
     """Role of each detail row: ``lender`` (first pool) or ``receiver`` (second)."""
     k1 = "/".join(parse_pool_text(pool1))

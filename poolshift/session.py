@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Local fallback folders per application, used only when the session names none.
+_LOCAL_ROOTS: dict[str, str] = {}
 
 # Settings that matter at scale: AQE re-plans joins at run time, splits
 # skewed shuffle partitions and coalesces small ones.
@@ -48,13 +50,16 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written tables.
 
-    Read from ``spark.checkpoint.dir``; only when unset (tests, local runs)
-    a fresh temporary folder is created and recorded in the session.
+    Read from ``spark.checkpoint.dir`` (a core setting, fixed when the
+    session starts); only when unset (tests, local runs) a temporary folder
+    is created once per application.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="poolshift-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL_ROOTS.get(app)
+        if root is None:
+            root = _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="poolshift-ckpt-")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
