@@ -353,6 +353,21 @@ def q_report_tables(spark, sf_dir):
     return out
 
 
+def q_candidate_report(spark, sf_dir):
+    """Per-candidate report tables written partitioned by candidate pool,
+    row counts read back per table and candidate."""
+    cmp = _compare(spark, sf_dir)
+    folder = scratch_path(spark, "candidate-report")
+    paths = K.write_report({"summary": cmp.summary, "detail": cmp.detail.drop("row_ord")},
+                           folder, partition_by={"summary": ["candidate_pool"],
+                                                 "detail": ["candidate_pool"]})
+    parts = [K.read_back(spark, p).groupBy("candidate_pool")
+             .agg(F.count(F.lit(1)).alias("row_count"))
+             .select(F.lit(name).alias("table_name"), "candidate_pool", "row_count")
+             for name, p in paths.items()]
+    return parts[0].unionByName(parts[1])
+
+
 def q_report_notes(spark, sf_dir):
     stats = q_recommend_stats(spark, sf_dir)
     return K.report_notes(stats, {"idc": SITE, "pool": POOL}, NOTE_TIME)

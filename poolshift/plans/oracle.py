@@ -385,6 +385,11 @@ ORACLE: dict[str, str] = {
           (SELECT 1 FROM matched WHERE package IS NOT NULL GROUP BY psm, pool_identifier, package)
         UNION ALL SELECT 'detail', count(*) FROM matched
         UNION ALL SELECT 'stats', 1""",
+    "candidate_report": CAND + f"""SELECT 'summary' AS table_name, candidate_pool, count(*) AS row_count
+        FROM (SELECT m.candidate_pool, psm, pool_identifier, CASE WHEN g.pkg THEN package END AS package
+              FROM cmatched m JOIN cgate g ON g.candidate_pool = m.candidate_pool
+              WHERE NOT g.pkg OR package IS NOT NULL GROUP BY ALL) GROUP BY candidate_pool
+        UNION ALL SELECT 'detail', candidate_pool, count(*) FROM cmatched GROUP BY candidate_pool""",
     "report_notes": REC + """SELECT * FROM (VALUES ('analysis_time', '2024-01-01 00:00:00'),
           ('idc', 'BUILDING'), ('pool', 'EUROPE/default')) t(item, value)
         UNION ALL SELECT 'total_cpu', CAST(CAST(coalesce(sum(save_cores), 0) AS BIGINT) AS STRING) FROM rec

@@ -7,6 +7,7 @@ the executors (``df.write``), never gathered on the driver.
 from __future__ import annotations
 
 import os
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,11 +44,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
             raise ValueError("csv report tables are written unpartitioned")
         write_csv(df, path, mode)
         return
-    if fmt == "json":
-        # complex columns survive in JSON; nothing to convert
-        w = df.write.mode(mode)
-    else:
-        w = df.write.mode(mode)
+    w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.format(fmt).save(path)
@@ -67,15 +64,27 @@ def write_report(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet"
 
 def read_back(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     if fmt == "csv":
-        return spark.read.option("header", "true").option("escape", '"') \
-            .option("multiLine", "true").csv(path)
+        return spark.read.option("header", "true").option("escape", '"').csv(path)
     return spark.read.format(fmt).load(path)
 
 
-def report_notes(stats: DataFrame, notes: dict[str, str], at: str) -> DataFrame:
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+NAME_TIME_FORMAT = "yyyyMMdd_HHmmss"
+
+
+def report_name(kind: str, at: datetime, *parts: str) -> str:
+    """Output name such as ``migration_BUILDING_EUROPE-default_to_..._20240101_000000``:
+    the kind, the request's parts (``/`` written as ``-``) and the time."""
+    clean = [p.replace("/", "-").replace(" ", "") for p in parts if p]
+    return "_".join([kind, *clean, at.strftime("%Y%m%d_%H%M%S")])
+
+
+def report_notes(stats: DataFrame, notes: dict[str, str], at: str | datetime) -> DataFrame:
     """Notes sheet: fixed notes plus every statistic of ``stats`` as rows
-    ``(item, value)``; ``at`` is the analysis time (passed in, not 'now')."""
-    fixed = [F.struct(F.lit("analysis_time").alias("item"), F.lit(at).alias("value"))]
+    ``(item, value)``; ``at`` is the analysis time (passed in, not 'now'):
+    text as given, or a datetime written as ``yyyy-MM-dd HH:mm:ss``."""
+    when = F.lit(at) if isinstance(at, str) else F.date_format(F.lit(at), TIME_FORMAT)
+    fixed = [F.struct(F.lit("analysis_time").alias("item"), when.alias("value"))]
     fixed += [F.struct(F.lit(k).alias("item"), F.lit(v).alias("value")) for k, v in notes.items()]
     stat_rows = [F.struct(F.lit(c).alias("item"), F.col(c).cast("string").alias("value"))
                  for c in stats.columns]

@@ -226,18 +226,20 @@ def inventory(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Dat
 
 
 def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet",
-                   na_values: tuple[str, ...] = ("",), header: bool = True) -> DataFrame:
+                   na_values: tuple[str, ...] = ("",), header: bool = True,
+                   multiline: bool = False) -> DataFrame:
     """Read an inventory export with an all-text schema and attach file order.
 
     ``row_ord`` is a struct ``(file, position)``: for Parquet the position is
     the row index inside the file (``_metadata.row_index``); for text formats
     it is the scan's increasing id, which grows with the position in a file.
-    Text equal to one of ``na_values`` becomes null.
+    Text equal to one of ``na_values`` becomes null. ``multiline`` allows
+    quoted line breaks in CSV, at the price of reading each file in one task.
     """
     reader = spark.read.format(fmt)
     if fmt in ("csv",):
         reader = (reader.option("header", str(header).lower())
-                  .option("mode", "PERMISSIVE").option("multiLine", "true")
+                  .option("mode", "PERMISSIVE").option("multiLine", str(multiline).lower())
                   .option("escape", '"'))
     if fmt in ("csv", "json"):
         reader = reader.schema(RAW_SCHEMA)
@@ -248,7 +250,8 @@ def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet",
         pos = F.monotonically_increasing_id()
     df = df.withColumn("row_ord", F.struct(F.col("_metadata.file_path").alias("file"),
                                            pos.alias("pos")))
-    for c in df.columns:
-        if c != "row_ord" and isinstance(df.schema[c].dataType, T.StringType) and na_values:
-            df = df.withColumn(c, F.when(~F.col(c).isin(list(na_values)), F.col(c)))
-    return df
+    if not na_values:
+        return df
+    return df.select(*[F.when(~F.col(c).isin(list(na_values)), F.col(c)).alias(c)
+                       if isinstance(df.schema[c].dataType, T.StringType) else F.col(c)
+                       for c in df.columns])

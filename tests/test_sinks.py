@@ -66,3 +66,16 @@ def test_report_notes(spark):
     stats = spark.createDataFrame([(5, 2)], "total_cpu long, total_clusters long")
     got = [tuple(r) for r in K.report_notes(stats, {"idc": "S"}, "t0").collect()]
     assert got == [("analysis_time", "t0"), ("idc", "S"), ("total_cpu", "5"), ("total_clusters", "2")]
+
+
+def test_report_name():
+    from datetime import datetime
+    assert K.report_name("migration", datetime(2024, 1, 2, 3, 4, 5), "BUILDING", "A/x", "B/y") == \
+        "migration_BUILDING_A-x_B-y_20240102_030405"
+
+
+def test_report_notes_formats_time(spark):
+    from datetime import datetime
+    stats = spark.createDataFrame([(1,)], "n long")
+    got = dict(tuple(r) for r in K.report_notes(stats, {}, datetime(2024, 5, 6, 7, 8, 9)).collect())
+    assert got["analysis_time"] == "2024-05-06 07:08:09"
