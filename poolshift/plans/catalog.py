@@ -23,7 +23,7 @@ from ..operators import migratable as M3
 from ..operators import migration as M1
 from ..operators import results as R
 from ..operators import scaling as M2
-from ..session import cut_lineage, scratch_path
+from ..session import scratch_path
 from ..sinks import report as K
 from ..sources.inventory import inventory, normalise_inventory, raw_inventory, read_inventory
 from ..sources.requests import request_bodies, request_table
@@ -292,8 +292,8 @@ def q_migration_batch_stream(spark, sf_dir):
     for i, f in enumerate(files):
         os.link(f, os.path.join(landing, f"requests-{i}.json"))
     sink = scratch_path(spark, "request-answers")
-    inv = cut_lineage(inventory(spark, sf_dir))  # static side, read by every micro-batch
-    q = answer_requests(spark, lambda: inv, landing, sink)
+    # static side: the written inventory table, read by every micro-batch
+    q = answer_requests(spark, lambda: inventory(spark, sf_dir), landing, sink)
     q.awaitTermination()
     return read_answers(spark, sink, "detail").drop("batch_id")
 
