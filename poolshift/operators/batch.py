@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import POOL_PATTERN, pool_key, split_pool
+from ..functions.exprs import NULL_PART, POOL_PATTERN, pool_key, split_pool
 from ..session import cut_lineage
 from .filters import filter_default
 from .skew import join_per_key
@@ -37,10 +37,42 @@ REQUEST_SCHEMA = T.StructType([
 ])
 
 
+def fits(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (counts at most max_rows + 1)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint only after counting at most ``max_rows + 1`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def scan_filter(req_pools: DataFrame) -> Column:
+    """Filter on inventory columns implied by a (proven small) request table:
+    the physical and iaas clusters and the sites that any request names.
+
+    It is implied by the join on the pool key, so it changes no result; it
+    lets the scan skip partitions and row groups of pools and sites no
+    request asks about. One one-row aggregate is collected; its lists are
+    bounded by the request table's size.
+    """
+    parts = F.split("pool_identifier", "/")
+    has_sites = "idcs" in req_pools.columns
+    r = req_pools.agg(
+        F.collect_set(F.element_at(parts, 1)).alias("phys"),
+        F.collect_set(F.element_at(parts, 2)).alias("iaas"),
+        (F.coalesce(F.bool_or(F.size("idcs") == 0), F.lit(True)) if has_sites
+         else F.lit(True)).alias("all_sites"),
+        (F.array_distinct(F.flatten(F.collect_list("idcs"))) if has_sites
+         else F.array().cast("array<string>")).alias("sites")).first()
+    cond = F.lit(True)
+    if r["phys"] and NULL_PART not in r["phys"]:
+        cond = cond & F.col("physical_cluster").isin(sorted(r["phys"]))
+    if r["iaas"] and NULL_PART not in r["iaas"]:
+        cond = cond & F.col("iaas_cluster").isin(sorted(r["iaas"]))
+    if not r["all_sites"]:
+        cond = cond & F.col("idc").isin(sorted(r["sites"]))
+    return cond
 
 
 def parse_requests(df: DataFrame, column: str = "body") -> DataFrame:
@@ -142,7 +174,9 @@ def migration_batch(inv: DataFrame, requests: DataFrame, rank_by: str = "last",
     """
     rp = request_pools(requests.withColumnRenamed(group, "request_id")) \
         if group != "request_id" else request_pools(requests)
-    rp = maybe_broadcast(rp)
+    if fits(rp):
+        inv = inv.filter(scan_filter(rp))
+        rp = F.broadcast(rp)
     j = batch_rows(inv, rp)
     has_package = F.bool_or(F.col("package").isNotNull() & (F.col("package") != ""))
     services = lender_rank(j, F.col("lender_key"), F.col("receiver_key"), rank_by=rank_by,

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import parse_pool_text, pool_key
-from .batch import maybe_broadcast, migration_batch
+from .batch import fits, migration_batch, scan_filter
 from .filters import filter_by_idc, filter_default
 from .migration import zero_if_null
 
@@ -56,10 +56,11 @@ class CandidateComparison:
 def pool_stats(inv: DataFrame, pools: DataFrame, idc=None) -> DataFrame:
     """Totals of every pool listed in ``pools`` (column ``pool_identifier``):
     services, instances, CPU and memory over default clusters at the sites."""
-    rows = (filter_default(filter_by_idc(inv, idc))
-            .withColumn("pool_identifier", pool_key()))
-    return (rows.join(maybe_broadcast(pools.select("pool_identifier").distinct()),
-                      "pool_identifier")
+    keys = pools.select("pool_identifier").distinct()
+    rows = filter_default(filter_by_idc(inv, idc))
+    if fits(keys):
+        rows, keys = rows.filter(scan_filter(keys)), F.broadcast(keys)
+    return (rows.withColumn("pool_identifier", pool_key()).join(keys, "pool_identifier")
             .groupBy("pool_identifier")
             .agg(F.count_distinct("psm").cast("bigint").alias("psm_count"),
                  F.sum(zero_if_null("instance_num")).alias("total_instances"),
