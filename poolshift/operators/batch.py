@@ -174,7 +174,8 @@ def migration_batch(inv: DataFrame, requests: DataFrame, rank_by: str = "last",
     """
     rp = request_pools(requests.withColumnRenamed(group, "request_id")) \
         if group != "request_id" else request_pools(requests)
-    if fits(rp):
+    small = fits(rp)
+    if small:
         inv = inv.filter(scan_filter(rp))
         rp = F.broadcast(rp)
     j = batch_rows(inv, rp)
@@ -182,12 +183,17 @@ def migration_batch(inv: DataFrame, requests: DataFrame, rank_by: str = "last",
     services = lender_rank(j, F.col("lender_key"), F.col("receiver_key"), rank_by=rank_by,
                            group=["request_id"], with_row_count=True,
                            extra=[has_package.alias("_pkg_any")])
-    # Package gate per request, from the per-service table (one row per
-    # request after grouping: at most the number of requests).
+    # Package gate per request, from the per-service table: one row per
+    # request. With a small request table it is broadcast (bounded by the
+    # checked request count); otherwise services join it with hot requests
+    # split over several tasks.
     gate = services.groupBy("request_id").agg(F.bool_or("_pkg_any").alias("_pkg"),
                                               F.count(F.lit(1)).alias("_n"))
-    services = join_per_key(services, gate, ["request_id"], "_n", salt_source="psm") \
-        .drop("_pkg_any", "_n")
+    if small:
+        services = services.join(F.broadcast(gate.drop("_n")), "request_id")
+    else:
+        services = join_per_key(services, gate, ["request_id"], "_n", salt_source="psm")
+    services = services.drop("_pkg_any", "_n")
     joined = join_per_key(j, services, ["request_id", "psm"], "_rows").drop("_rows")
     services = services.drop("_rows", "_pkg")
     if materialize:

@@ -212,3 +212,36 @@ def test_format_numbers(spark):
     df = spark.createDataFrame([("a", 1500.0)], "k string, x double")
     r = R.format_numbers(df, ["x"]).first()
     assert (r["x_fmt"], r["x_short"], r["x_1f"]) == ("1,500.00", "1.5K", "1500.0")
+
+
+def test_scan_filter_is_implied_by_the_join(spark):
+    rows = [{"psm": f"s{i % 3}", "physical_cluster": ["A", "B", None][i % 3],
+             "iaas_cluster": ["default", None][i % 2], "idc": ["S1", "S2", "S3"][i % 3],
+             "instance_num": str(i)} for i in range(30)]
+    inv = make_inventory(spark, rows)
+    req = spark.createDataFrame(
+        [("q1", "S1,S2", "A/default", "B/nan"), ("q2", "", "nan/default", "A/default"),
+         ("q3", "S3", "B/default", "A/nan")],
+        "request_id string, idc string, pool1 string, pool2 string")
+    rp = B.request_pools(req)
+    cond = B.scan_filter(rp)
+    full = B.batch_rows(inv, rp)
+    pruned = B.batch_rows(inv.filter(cond), rp)
+    assert sorted(tuple(r) for r in full.collect()) == sorted(tuple(r) for r in pruned.collect())
+    one = B.request_pools(req.filter("request_id = 'q1'"))
+    assert sorted(tuple(r) for r in B.batch_rows(inv, one).collect()) == \
+        sorted(tuple(r) for r in B.batch_rows(inv.filter(B.scan_filter(one)), one).collect())
+
+
+def test_batch_large_request_path_matches_small(spark, monkeypatch):
+    rows = [{"psm": f"s{i % 4}", "physical_cluster": "AB"[i % 2], "instance_num": str(i),
+             "package": [None, "p", ""][i % 3]} for i in range(24)]
+    inv = make_inventory(spark, rows)
+    req = spark.createDataFrame([("r1", "", "A/default", "B/default"), ("r2", "S1", "B/default", "A/default")],
+                                "request_id string, idc string, pool1 string, pool2 string")
+    small = B.migration_batch(inv, req)
+    monkeypatch.setattr(B, "BROADCAST_MAX_ROWS", 0)
+    monkeypatch.setattr(B.fits, "__defaults__", (0,))
+    large = B.migration_batch(inv, req)
+    for a, b in [(small.detail, large.detail), (small.summary, large.summary)]:
+        assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
