@@ -47,6 +47,14 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def app_id(spark: SparkSession) -> str:
+    """Application id (classic session or, failing that, the session conf)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext
+        return spark.conf.get("spark.app.id", "poolshift")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written tables.
 
@@ -56,13 +64,16 @@ def scratch_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        app = spark.sparkContext.applicationId
+        app = app_id(spark)
         root = _LOCAL_ROOTS.get(app)
         if root is None:
             root = _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="poolshift-ckpt-")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
+    try:
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(root)
+    except Exception:  # noqa: BLE001 - the server side owns checkpoints
+        pass
     return root
 
 

@@ -210,8 +210,8 @@ def raw_inventory(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     """
     if not materialize:
         return inventory_from_tables(spark, sf_dir)
-    from ..session import scratch_path
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _stamp(sf_dir))
+    from ..session import app_id, scratch_path
+    key = (app_id(spark), os.path.abspath(sf_dir), _stamp(sf_dir))
     path = _WRITTEN.get(key)
     if path is None:  # the write either completed or raised
         path = scratch_path(spark, "inventory")

@@ -91,3 +91,24 @@ def test_migratable_matches_model(spark, seed):
                 r["instance_num"], r["package"], r["cluster_id"])
                for r in M3.migratable_services(inv, "S1", pool).collect()]
         assert got == model.migratable(rows, "S1", pool)
+
+
+@pytest.mark.parametrize("seed", SEEDS[:4])
+def test_candidates_equal_model_per_candidate(spark, seed):
+    from poolshift.operators import candidates as C
+    rows = random_rows(seed)
+    inv = make_inventory(spark, rows)
+    cands = ["B/gpu", "C/default", "A/gpu", "nan/default"]
+    cmp = C.compare_candidates(inv, "A/default", ",".join(cands), ["S1"])
+    detail = cmp.detail.drop("row_ord").collect()
+    summary = cmp.summary.collect()
+    for cand in cands:
+        want_detail, want_summary, n, package = model.migration(rows, "A/default", cand, ["S1"])
+        got = [r.asDict() for r in detail if r["candidate_pool"] == cand]
+        assert len(got) == len(want_detail)
+        key = lambda d: (d["psm"], d["pool_identifier"], d["instance_num"], d["sort_key"])
+        assert sorted(map(key, got)) == sorted(map(key, want_detail))
+        got_s = [r.asDict() for r in summary if r["candidate_pool"] == cand]
+        skey = lambda d: (d["psm"], d["pool_identifier"], d.get("package") if package else None,
+                          d["instance_num"], d["cpu_limit"], d["mem_limit"])
+        assert sorted(map(skey, got_s), key=repr) == sorted(map(skey, want_summary), key=repr)
