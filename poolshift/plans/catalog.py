@@ -9,7 +9,6 @@ argument-free. Where an output holds a list, the list is also given as
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -279,18 +278,11 @@ def q_migration_batch_stream(spark, sf_dir):
     """The batch answered by the streaming job: request files arrive in two
     parts (two micro-batches); the detail written by all batches is read back."""
     from ..streaming.requests import answer_requests, read_answers
-    src = scratch_path(spark, "request-files")
-    bodies = request_bodies(spark, sf_dir).withColumn("part", F.col("body").contains('"r0'))
-    for i, part in enumerate([True, False]):
-        (bodies.filter(F.col("part") == part).select("body").coalesce(1)
-         .write.text(os.path.join(src, f"part{i}")))
-    files = sorted(os.path.join(src, d, f) for d in os.listdir(src)
-                   if os.path.isdir(os.path.join(src, d))
-                   for f in os.listdir(os.path.join(src, d)) if f.endswith(".txt"))
-    landing = os.path.join(src, "landing")
-    os.makedirs(landing)
-    for i, f in enumerate(files):
-        os.link(f, os.path.join(landing, f"requests-{i}.json"))
+    landing = scratch_path(spark, "request-files")
+    bodies = request_bodies(spark, sf_dir)
+    first = F.col("body").contains('"request_id":"r0')
+    for part in (first, ~first):  # every request lands, in two files
+        bodies.filter(part).coalesce(1).write.mode("append").text(landing)
     sink = scratch_path(spark, "request-answers")
     # static side: the written inventory table, read by every micro-batch
     q = answer_requests(spark, lambda: inventory(spark, sf_dir), landing, sink)
