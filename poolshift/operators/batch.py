@@ -183,6 +183,10 @@ def migration_batch(inv: DataFrame, requests: DataFrame, rank_by: str = "last",
     services = lender_rank(j, F.col("lender_key"), F.col("receiver_key"), rank_by=rank_by,
                            group=["request_id"], with_row_count=True,
                            extra=[has_package.alias("_pkg_any")])
+    # One row per (request, service), read three times below (hot keys, gate,
+    # join keys) with different columns: checkpoint it once so the rows are
+    # aggregated once and the lineage is cut.
+    services = cut_lineage(services)
     # Package gate per request, from the per-service table: one row per
     # request. With a small request table it is broadcast (bounded by the
     # checked request count); otherwise services join it with hot requests

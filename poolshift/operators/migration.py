@@ -158,6 +158,9 @@ def migration(inv: DataFrame, pool1: str, pool2: str, idc=None, package="auto",
     rows = pool_rows(inv, [p1, p2], idc)
     sums = [F.sum(zero_if_null(c)).alias(f"_sum_{c}") for c in SUMMARY_MEASURES]
     per_service = lender_rank(rows, k1, k2, rank_by=rank_by, with_row_count=True, extra=sums)
+    # One row per matched service, read by the hot-key table, the join back
+    # and the statistics with different columns: checkpoint it once.
+    per_service = cut_lineage(per_service)
     services = per_service.select("psm", "sort_key", "_rows")
     joined = join_per_key(rows, services, ["psm"], "_rows").drop("_rows")
     services = services.drop("_rows")
