@@ -96,3 +96,73 @@ def available_pools(ms: DataFrame) -> DataFrame:
 def migratable_top(ms_with_order: DataFrame, n: int = DISPLAY_LIMIT) -> DataFrame:
     """The first ``n`` services in first-appearance order (the display cap)."""
     return ms_with_order.orderBy("first_seen").limit(n)
+
+
+def pool_profile(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """First level: one row per ``keys + (psm, physical, iaas)`` with the first
+    file position ``o``, the row count ``n`` and the first row's attributes."""
+    return (rows.groupBy(*keys, "psm", "physical_cluster", "iaas_cluster")
+            .agg(F.min("row_ord").alias("o"),
+                 F.count(F.lit(1)).alias("n"),
+                 F.min_by(F.struct(*ATTRIBUTES), F.col("row_ord")).alias("first_row")))
+
+
+def migratable_batch(inv: DataFrame, requests: DataFrame) -> DataFrame:
+    """The migratable analysis for every request (``request_id, idc, pool``).
+
+    The first aggregation does not depend on the requests: it runs once per
+    site (and once more, from its result, across sites for requests without
+    a site). Requests then pick their target services with an equi-join on
+    ``(site, physical cluster)``, take all pools of those services with an
+    equi-join on ``(site, psm)``, and the second aggregation runs per
+    ``(request, psm)``. No join is a cross product.
+    """
+    from ..functions.exprs import split_pool
+    from .batch import fits
+    rows = filter_default(inv).filter(F.col("psm").isNotNull())
+    # site_key: the site, or null for the across-sites profile ("every site")
+    per_site = (pool_profile(rows, ["idc"]).filter(F.col("idc").isNotNull())
+                .withColumnRenamed("idc", "site_key"))
+    per_all = (per_site.groupBy("psm", "physical_cluster", "iaas_cluster")
+               .agg(F.min("o").alias("o"), F.sum("n").alias("n"),
+                    F.min_by("first_row", "o").alias("first_row"))
+               .withColumn("site_key", F.lit(None).cast("string")))
+    profile = per_site.unionByName(per_all).withColumn("pool_key", pool_key())
+
+    ok, phys, iaas = split_pool(F.col("pool"))
+    req = requests.select(
+        "request_id", F.col("idc").alias("req_idc"), F.col("pool").alias("req_pool"),
+        F.when(F.coalesce(F.col("idc"), F.lit("")) != "", F.col("idc")).alias("req_site"),
+        F.when(ok, phys).otherwise(F.trim("pool")).alias("req_physical"),
+        F.when(ok & (iaas != ""), iaas).alias("req_iaas"))
+    req = F.broadcast(req) if fits(req) else req
+    # target services of each request: equi-join on (site, physical cluster)
+    prof_keys = profile.select("site_key", "psm", "physical_cluster").distinct()
+    targets = (prof_keys.join(req, prof_keys["site_key"].eqNullSafe(req["req_site"])
+                              & (prof_keys["physical_cluster"] == req["req_physical"]))
+               .select("request_id", "req_idc", "req_pool", "req_site", "req_physical",
+                       "req_iaas", "psm").distinct())
+    # all pools of those services at the request's site(s): equi-join on (site, psm)
+    expanded = profile.join(targets, profile["site_key"].eqNullSafe(targets["req_site"])
+                            & (profile["psm"] == targets["psm"])).drop(targets["psm"])
+
+    in_cluster = F.coalesce(F.col("physical_cluster") == F.col("req_physical"), F.lit(False))
+    in_pool = in_cluster & (F.col("req_iaas").isNull()
+                            | F.coalesce(F.col("iaas_cluster") == F.col("req_iaas"), F.lit(False)))
+    other = ~in_cluster
+    others_sorted = F.array_sort(F.collect_list(F.when(other, F.struct("o", "pool_key"))))
+    per_service = (expanded.groupBy("request_id", "psm")
+                   .agg(F.first("req_idc").alias("idc"), F.first("req_pool").alias("pool"),
+                        F.min(F.when(in_cluster, F.col("o"))).alias("first_seen"),
+                        F.array_distinct(F.transform(others_sorted, lambda x: x["pool_key"]))
+                        .alias("other_pools"),
+                        F.coalesce(F.sum(F.when(other, F.col("n"))), F.lit(0)).cast("bigint")
+                        .alias("other_pool_cluster_count"),
+                        F.min_by(F.col("first_row"), F.when(in_pool, F.col("o"))).alias("_main")))
+    return per_service.select(
+        "request_id", "psm",
+        F.when(F.size("other_pools") > 0, F.lit(STATUS_MULTI)).otherwise(F.lit(STATUS_SINGLE))
+        .alias("deployment_status"),
+        "other_pools", "other_pool_cluster_count", "idc", "pool",
+        *[F.col("_main")[a].alias(a) for a in ATTRIBUTES],
+        "first_seen")

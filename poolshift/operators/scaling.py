@@ -64,3 +64,44 @@ def recommend_display(rec: DataFrame) -> DataFrame:
                  "business_line", "cluster_id"]
     return rec.select(*[dash_if_blank(c).alias(c) if c in text_cols else F.col(c)
                         for c in rec.columns])
+
+
+def min_cores_value(c) -> "Column":
+    """Threshold text -> int: a whole number (blanks around it allowed), else 0."""
+    t = F.trim(F.col(c) if isinstance(c, str) else c)
+    return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("int")).otherwise(F.lit(0))
+
+
+def recommend_batch(inv: DataFrame, requests: DataFrame, with_priority: bool = True) -> DataFrame:
+    """Scale-down advice for every request (``request_id, idc, pool, min_save_cores``).
+
+    Requests join the inventory on ``(physical_cluster, iaas_cluster)`` (a
+    bare pool name means iaas ``default``); a blank site means every site.
+    The request table is broadcast and its pools and sites pushed to the
+    scan when it is proven small.
+    """
+    from ..functions.exprs import DEFAULT_IAAS, split_pool
+    from .batch import fits, scan_filter
+    ok, phys, iaas = split_pool(F.col("pool"))
+    req = requests.select(
+        "request_id",
+        F.when(F.coalesce(F.col("idc"), F.lit("")) == "", F.lit(None)).otherwise(F.col("idc"))
+        .alias("req_idc"),
+        F.when(ok, phys).otherwise(F.trim("pool")).alias("physical_cluster"),
+        F.when(ok, iaas).otherwise(F.lit(DEFAULT_IAAS)).alias("iaas_cluster"),
+        min_cores_value("min_save_cores").alias("min_cores"))
+    if fits(req):
+        keys = req.select(F.concat("physical_cluster", F.lit("/"), "iaas_cluster")
+                          .alias("pool_identifier"),
+                          F.when(F.col("req_idc").isNull(), F.array().cast("array<string>"))
+                          .otherwise(F.array("req_idc")).alias("idcs"))
+        inv = inv.filter(scan_filter(keys))
+        req = F.broadcast(req)
+    rows = (inv.join(req, ["physical_cluster", "iaas_cluster"])
+            .filter(F.col("req_idc").isNull() | (F.col("idc") == F.col("req_idc"))))
+    rows = save_cores_clean(rows).filter(F.col("save_cores") >= F.col("min_cores"))
+    out = rows.select("request_id", *[business_line().alias(c) if c == "business_line"
+                                      else F.col(c) for c in RECOMMEND_COLUMNS])
+    if with_priority:
+        out = out.withColumn("priority", F.col("save_cores") > PRIORITY_CORES)
+    return out

@@ -290,6 +290,16 @@ def q_migration_batch_stream(spark, sf_dir):
     return read_answers(spark, sink, "detail").drop("batch_id")
 
 
+def q_recommend_batch(spark, sf_dir):
+    req = B.parse_requests(request_bodies(spark, sf_dir))
+    return M2.recommend_batch(inventory(spark, sf_dir), req)
+
+
+def q_migratable_batch(spark, sf_dir):
+    req = B.parse_requests(request_bodies(spark, sf_dir))
+    return M3.migratable_flat(M3.migratable_batch(inventory(spark, sf_dir), req))
+
+
 def q_read_inventory(spark, sf_dir):
     path = scratch_path(spark, "inventory-csv")
     K.write_csv(raw_inventory(spark, sf_dir).drop("row_ord"), path)

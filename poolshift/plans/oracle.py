@@ -223,7 +223,53 @@ def _fmt(c: str) -> str:
             f"printf('%.1f', round({c}, 1)) AS {c}_1f")
 
 
+RQ_CTE = """rq AS (SELECT request_id, idc AS req_idc, pool AS req_pool,
+    NULLIF(coalesce(idc, ''), '') AS site,
+    len(string_split(trim(pool), '/')) = 2 AS pair,
+    CASE WHEN len(string_split(trim(pool), '/')) = 2 THEN trim(string_split(trim(pool), '/')[1])
+         ELSE trim(pool) END AS phys,
+    CASE WHEN len(string_split(trim(pool), '/')) = 2 THEN trim(string_split(trim(pool), '/')[2]) END AS part2,
+    CASE WHEN regexp_full_match(trim(min_save_cores), '[+-]?[0-9]+')
+         THEN CAST(trim(min_save_cores) AS INTEGER) ELSE 0 END AS min_cores
+  FROM req)"""
+
+RECOMMEND_BATCH = _with(REQ_CTE, RQ_CTE) + """SELECT q.request_id, d.psm, d.cluster_id, d.package,
+    d.cpu_limit, d.mem_limit, CAST(trunc(d.save_cores) AS BIGINT) AS save_cores,
+    d.cpu_util_max_1days, d.cpu_util_max_7days, d.mem_util_max_7days,
+    coalesce(d.dept_level1, '') || '/' || regexp_replace(coalesce(d.dept_level2, ''), '^/+|/+$', '', 'g') AS business_line,
+    CAST(trunc(d.save_cores) AS BIGINT) > 10 AS priority
+  FROM ninv d JOIN rq q ON d.physical_cluster = q.phys
+    AND d.iaas_cluster = (CASE WHEN q.pair THEN q.part2 ELSE 'default' END)
+    AND (q.site IS NULL OR d.idc = q.site)
+  WHERE d.save_cores IS NOT NULL AND CAST(trunc(d.save_cores) AS BIGINT) >= q.min_cores"""
+
+MIGRATABLE_BATCH = _with(REQ_CTE, RQ_CTE,
+    """rrows AS (SELECT q.request_id, q.phys, CASE WHEN q.pair AND q.part2 <> '' THEN q.part2 END AS want_iaas, d.*
+      FROM ninv d JOIN rq q ON (q.site IS NULL OR d.idc = q.site)
+      WHERE d.cluster_name = 'default' AND d.psm IS NOT NULL)""",
+    """targets AS (SELECT request_id, psm, min(row_ord) AS first_seen FROM rrows
+      WHERE physical_cluster = phys GROUP BY request_id, psm)""",
+    f"""others AS (SELECT r.request_id, r.psm, {PK} AS pk, min(r.row_ord) AS o, count(*) AS n
+      FROM rrows r JOIN targets t ON t.request_id = r.request_id AND t.psm = r.psm
+      WHERE r.physical_cluster IS DISTINCT FROM r.phys GROUP BY r.request_id, r.psm, {PK})""",
+    """other_lists AS (SELECT request_id, psm, string_agg(pk, ', ' ORDER BY o) AS other_pools,
+      CAST(sum(n) AS BIGINT) AS cnt FROM others GROUP BY request_id, psm)""",
+    """main_first AS (SELECT request_id, psm, instance_num, cpu_limit, mem_limit, dept_level1,
+      dept_level2, package, cluster_id FROM rrows
+      WHERE physical_cluster = phys AND (want_iaas IS NULL OR iaas_cluster = want_iaas)
+      QUALIFY row_number() OVER (PARTITION BY request_id, psm ORDER BY row_ord) = 1)""") + """
+SELECT t.request_id, t.psm,
+  CASE WHEN ol.psm IS NOT NULL THEN '多资源池' ELSE '单资源池' END AS deployment_status,
+  coalesce(ol.other_pools, '') AS other_pools, coalesce(ol.cnt, 0) AS other_pool_cluster_count,
+  q.req_idc AS idc, q.req_pool AS pool, m.instance_num, m.cpu_limit, m.mem_limit, m.dept_level1,
+  m.dept_level2, m.package, m.cluster_id, t.first_seen
+FROM targets t JOIN rq q ON q.request_id = t.request_id
+LEFT JOIN other_lists ol ON ol.request_id = t.request_id AND ol.psm = t.psm
+LEFT JOIN main_first m ON m.request_id = t.request_id AND m.psm = t.psm"""
+
 ORACLE: dict[str, str] = {
+    "recommend_batch": RECOMMEND_BATCH,
+    "migratable_batch": MIGRATABLE_BATCH,
     "pool_key": _with() + f"SELECT {PK} AS pool_key, count(*) AS row_count FROM ninv GROUP BY 1",
     "filter_by_idc": _with() + """SELECT row_ord, psm, idc, physical_cluster, iaas_cluster
         FROM ninv WHERE idc IN ('BUILDING', 'MACHINERY')""",

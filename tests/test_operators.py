@@ -245,3 +245,34 @@ def test_batch_large_request_path_matches_small(spark, monkeypatch):
     large = B.migration_batch(inv, req)
     for a, b in [(small.detail, large.detail), (small.summary, large.summary)]:
         assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+
+
+def test_recommend_and_migratable_batches_equal_single_calls(spark):
+    rows = [{"psm": f"s{i % 5}", "physical_cluster": "ABC"[i % 3],
+             "iaas_cluster": ["default", "gpu"][i % 2], "idc": ["S1", "S2", ""][i % 3],
+             "save_cores": str(i - 3), "instance_num": str(i)} for i in range(45)]
+    inv = make_inventory(spark, rows)
+    reqs = [("q1", "S1", "A/default", "0"), ("q2", "", "B", "2"), ("q3", "S2", "C/gpu", "x"),
+            ("q4", None, "A/", " 1 "), ("q5", "S9", "A/default", "0")]
+    req = spark.createDataFrame(reqs, "request_id string, idc string, pool string, min_save_cores string")
+    rb = M2.recommend_batch(inv, req).collect()
+    mb = M3.migratable_batch(inv, req).collect()
+    for rid, idc, pool, mc in reqs:
+        try:
+            n = int(mc)
+        except ValueError:
+            n = 0
+        want = sorted((tuple(r) for r in M2.recommend_scale_down(inv, idc, pool, n, ordered=False)
+                       .collect()), key=repr)
+        got = sorted((tuple(r)[1:] for r in rb if r["request_id"] == rid), key=repr)
+        assert got == want, rid
+        want = sorted((tuple(r) for r in M3.migratable_services(inv, idc, pool, ordered=False,
+                                                                 keep_order_key=True).collect()),
+                      key=repr)
+        got = sorted((tuple(r)[1:] for r in mb if r["request_id"] == rid), key=repr)
+        assert got == want, rid
+
+
+def test_min_cores_text(spark):
+    df = spark.createDataFrame([(" 5 ",), ("+3",), ("5.0",), ("x",), (None,)], "m string")
+    assert [r[0] for r in df.select(M2.min_cores_value("m")).collect()] == [5, 3, 0, 0, 0]
