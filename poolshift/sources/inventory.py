@@ -255,3 +255,24 @@ def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet",
     return df.select(*[F.when(~F.col(c).isin(list(na_values)), F.col(c)).alias(c)
                        if isinstance(df.schema[c].dataType, T.StringType) else F.col(c)
                        for c in df.columns])
+
+
+def read_named_inventory(spark: SparkSession, folder: str, name: str,
+                         fallback: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """Read data set ``name`` under ``folder``; if it does not exist, the
+    ``fallback`` data set (e.g. a test inventory); else a clear error.
+
+    Existence is checked by Spark's reader itself (works on any file system
+    the cluster uses), not by local file calls.
+    """
+    from pyspark.errors import AnalysisException
+    tried = []
+    for n in [name] + ([fallback] if fallback else []):
+        path = f"{folder.rstrip('/')}/{n}"
+        tried.append(path)
+        try:
+            return read_inventory(spark, path, fmt=fmt)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
+                raise
+    raise FileNotFoundError(f"inventory data set not found: {', '.join(tried)}")

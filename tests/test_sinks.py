@@ -79,3 +79,15 @@ def test_report_notes_formats_time(spark):
     stats = spark.createDataFrame([(1,)], "n long")
     got = dict(tuple(r) for r in K.report_notes(stats, {}, datetime(2024, 5, 6, 7, 8, 9)).collect())
     assert got["analysis_time"] == "2024-05-06 07:08:09"
+
+
+def test_read_named_inventory_falls_back(spark):
+    import pytest
+    from poolshift.sources.inventory import read_named_inventory
+    inv = make_inventory(spark, [{"psm": "a", "physical_cluster": "A"}])
+    folder = scratch_path(spark, "t-named")
+    inv.drop("row_ord").write.parquet(folder + "/test-set")
+    got = read_named_inventory(spark, folder, "missing", fallback="test-set")
+    assert got.count() == 1
+    with pytest.raises(FileNotFoundError):
+        read_named_inventory(spark, folder, "missing")
