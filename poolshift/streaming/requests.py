@@ -43,8 +43,9 @@ def answer_requests(spark: SparkSession, inventory: Callable[[], DataFrame], sou
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         checked = validate_requests(batch).persist()
-        answer = migration_batch(inventory(), checked.filter("valid").drop("errors", "valid"),
-                                 materialize=True)
+        # the per-(request, service) table is checkpointed inside; detail and
+        # summary each re-read the (pruned) inventory table
+        answer = migration_batch(inventory(), checked.filter("valid").drop("errors", "valid"))
         outputs = {"requests": checked, "detail": answer.detail, "summary": answer.summary}
         for name, df in outputs.items():
             (df.write.mode("overwrite")
