@@ -80,3 +80,18 @@ def test_salting_keeps_results(spark, key):
     finally:
         spark.conf.unset("poolshift.skew.rowsPerTask")
     assert salted == base
+
+
+def test_hot_service_rows_spread_over_tasks(spark):
+    """A service holding a third of the rows is split across tasks in the join back."""
+    from pyspark.sql import functions as F
+    from poolshift.operators.skew import join_per_key
+    rows = spark.range(0, 3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), F.col("id").cast("string")))
+        .alias("psm"), F.col("id").alias("row_ord"))
+    per_key = rows.groupBy("psm").agg(F.count(F.lit(1)).alias("_rows"), F.max("row_ord").alias("m"))
+    joined = join_per_key(rows, per_key, ["psm"], "_rows", rows_per_task=100)
+    hot_parts = (joined.filter(F.col("psm") == "hot")
+                 .select(F.spark_partition_id().alias("p")).distinct().count())
+    assert joined.count() == 3000
+    assert hot_parts > 1
