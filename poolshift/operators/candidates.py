@@ -69,7 +69,7 @@ def pool_stats(inv: DataFrame, pools: DataFrame, idc=None) -> DataFrame:
 
 
 def compare_candidates(inv: DataFrame, target: str, candidates: str | Iterable[str],
-                       idc=None) -> CandidateComparison:
+                       idc=None, ordered: bool = True) -> CandidateComparison:
     """Run the migration analysis of ``target`` against each candidate pool."""
     spark: SparkSession = inv.sparkSession
     tkey = "/".join(parse_pool_text(target, bare="error"))
@@ -78,11 +78,11 @@ def compare_candidates(inv: DataFrame, target: str, candidates: str | Iterable[s
     req = spark.createDataFrame(
         [(c, idc_text or "", tkey, c, i) for i, c in enumerate(cands)],
         "candidate_pool string, idc string, pool1 string, pool2 string, position int")
-    return compare_candidate_table(inv, req, tkey, idc)
+    return compare_candidate_table(inv, req, tkey, idc, ordered)
 
 
-def compare_candidate_table(inv: DataFrame, req: DataFrame, tkey: str, idc=None
-                            ) -> CandidateComparison:
+def compare_candidate_table(inv: DataFrame, req: DataFrame, tkey: str, idc=None,
+                            ordered: bool = True) -> CandidateComparison:
     """Like :func:`compare_candidates` with the candidates given as a table
     (``candidate_pool, idc, pool1, pool2, position``)."""
     b = migration_batch(inv, req.withColumnRenamed("candidate_pool", "request_id")
@@ -113,10 +113,13 @@ def compare_candidate_table(inv: DataFrame, req: DataFrame, tkey: str, idc=None
                           F.count_if(~F.col("has_matches")).cast("bigint").alias("unmatched"))
     pstats = pstats.withColumn(
         "role", F.when(F.col("pool_identifier") == tkey, "target").otherwise("candidate"))
+    if ordered:
+        overview = order_overview(overview)
     return CandidateComparison(overview, summary, detail, matches, pstats, counts)
 
 
 def order_overview(overview: DataFrame) -> DataFrame:
+    """Most matched services first, then by pool name."""
     return overview.orderBy(F.col("matching_psm_count").desc(), F.col("candidate_pool").asc())
 
 

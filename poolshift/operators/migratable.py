@@ -22,8 +22,6 @@ from .filters import filter_by_idc, filter_default
 
 ATTRIBUTES = ["instance_num", "cpu_limit", "mem_limit", "dept_level1", "dept_level2",
               "package", "cluster_id"]
-OUTPUT_COLUMNS = ["psm", "deployment_status", "other_pools", "other_pool_cluster_count", "idc",
-                  "pool"] + ATTRIBUTES
 DISPLAY_LIMIT = 500
 
 

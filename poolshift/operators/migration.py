@@ -183,17 +183,6 @@ def migration(inv: DataFrame, pool1: str, pool2: str, idc=None, package="auto",
     return Migration(detail, summary, stats, services, bool(package))
 
 
-def migration_stats(joined: DataFrame, pool1: str, pool2: str, full: bool = True) -> DataFrame:
-    """One row: the two pools, number of services in both, and pool-wide totals."""
-    aggs = [F.lit(pool1).alias("pool1"), F.lit(pool2).alias("pool2"),
-            F.count_distinct("psm").cast("bigint").alias("psm_count")]
-    if full:
-        aggs += [F.coalesce(F.sum(zero_if_null("instance_num")), F.lit(0.0)).alias("total_instances"),
-                 F.coalesce(F.sum(zero_if_null("cpu_limit")), F.lit(0.0)).alias("total_cpu"),
-                 F.coalesce(F.sum(zero_if_null("mem_limit")), F.lit(0.0)).alias("total_memory")]
-    return joined.agg(*aggs)
-
-
 def stats_from_services(per_service: DataFrame, pool1: str, pool2: str) -> DataFrame:
     """The statistics row from the per-service table (one row per matched
     service carrying its sums): no second pass over the rows."""

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import one_decimal, short_number
 
-PAGE_SIZES = (10, 25, 50, 100)
-
 
 def page_rows(df: DataFrame, order_by: list[str], page: int = 0, size: int = 25,
               descending: bool = False, tiebreak: str | None = None) -> DataFrame:

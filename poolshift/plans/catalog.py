@@ -14,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import coerce_number, count_or_zero, number_or_zero, pool_key, split_pool
+from ..functions.exprs import (coerce_number, count_or_zero, list_size, number_or_zero,
+                               pool_key, split_pool)
 from ..operators import batch as B
 from ..operators import candidates as C
 from ..operators import filters as FL
@@ -207,6 +208,7 @@ def q_parse_candidates(spark, sf_dir):
         "request_id", "target_pool",
         F.array_join(cands, ",").alias("candidates"),
         F.size(cands).alias("candidate_count"),
+        list_size("candidate_pools").alias("listed_count"),
         (F.size(items) != F.size(raw)).alias("had_duplicates"),
         F.array_contains(raw, F.trim("target_pool")).alias("target_listed"))
 

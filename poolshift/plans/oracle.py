@@ -342,6 +342,7 @@ ORACLE: dict[str, str] = {
         FROM req)""") + """SELECT request_id, target_pool,
         array_to_string(list_filter(list_distinct_ordered, lambda x: x <> trim(target_pool)), ',') AS candidates,
         CAST(len(list_filter(list_distinct_ordered, lambda x: x <> trim(target_pool))) AS INTEGER) AS candidate_count,
+        CAST(len(l) AS INTEGER) AS listed_count,
         len(l) <> len(list_distinct_ordered) AS had_duplicates,
         list_contains(l, trim(target_pool)) AS target_listed
       FROM (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered FROM items)""",

@@ -69,7 +69,6 @@ def read_back(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
-NAME_TIME_FORMAT = "yyyyMMdd_HHmmss"
 
 
 def report_name(kind: str, at: datetime, *parts: str) -> str:
