@@ -287,7 +287,8 @@ def q_migration_batch_stream(spark, sf_dir):
         bodies.filter(part).coalesce(1).write.mode("append").text(landing)
     sink = scratch_path(spark, "request-answers")
     # static side: the written inventory table, read by every micro-batch
-    q = answer_requests(spark, lambda: inventory(spark, sf_dir), landing, sink)
+    q = answer_requests(spark, lambda: inventory(spark, sf_dir), landing, sink,
+                        kinds=("migration",))
     q.awaitTermination()
     return read_answers(spark, sink, "detail").drop("batch_id")
 

@@ -19,7 +19,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from pyspark.sql import functions as F
+
 from ..operators.batch import REQUEST_SCHEMA, migration_batch, validate_requests
+from ..operators.migratable import migratable_batch
+from ..operators.scaling import recommend_batch
 from ..session import scratch_path
 
 
@@ -31,26 +35,52 @@ def request_stream(spark: SparkSession, source_dir: str, max_files_per_trigger:
             .json(source_dir))
 
 
+KINDS = ("migration", "scale_down", "migratable")
+
+
+def _given(c: str):
+    return F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
+
+
 def answer_requests(spark: SparkSession, inventory: Callable[[], DataFrame], source_dir: str,
                     sink_dir: str, checkpoint_dir: str | None = None,
-                    available_now: bool = True) -> StreamingQuery:
-    """Start the stream; results go to ``sink_dir/{requests,detail,summary}``.
-
-    ``inventory`` returns the typed inventory to answer against; it is called
-    per micro-batch, so a refreshed inventory table is picked up.
+                    available_now: bool = True, kinds: tuple[str, ...] = KINDS
+                    ) -> StreamingQuery:
+    """Start the stream. Each request is answered by every analysis whose
+    fields it carries (``pool1``/``pool2``: migration; ``pool``: scale-down
+    and migratable), as the original tool's three request types.
+
+    Outputs under ``sink_dir``: ``requests`` (migration validation),
+    ``detail`` and ``summary`` (migration), ``requests_scale_down`` and
+    ``recommend``, ``requests_migratable`` and ``migratable``.
+    ``inventory`` returns the typed inventory and is called per micro-batch,
+    so a refreshed inventory table is picked up.
     """
     ckpt = checkpoint_dir or scratch_path(spark, "request-stream-checkpoint")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        checked = validate_requests(batch).persist()
-        # the per-(request, service) table is checkpointed inside; detail and
-        # summary each re-read the (pruned) inventory table
-        answer = migration_batch(inventory(), checked.filter("valid").drop("errors", "valid"))
-        outputs = {"requests": checked, "detail": answer.detail, "summary": answer.summary}
+        batch = batch.persist()
+        outputs: dict[str, DataFrame] = {}
+        inv = inventory()
+        if "migration" in kinds:
+            checked = validate_requests(batch.filter(_given("pool1") | _given("pool2")))
+            # the per-(request, service) table is checkpointed inside; detail
+            # and summary each re-read the (pruned) inventory table
+            answer = migration_batch(inv, checked.filter("valid").drop("errors", "valid"))
+            outputs.update(requests=checked, detail=answer.detail, summary=answer.summary)
+        pool_requests = batch.filter(_given("pool"))
+        if "scale_down" in kinds:
+            checked = validate_requests(pool_requests, "scale_down")
+            outputs.update(requests_scale_down=checked,
+                           recommend=recommend_batch(inv, checked.filter("valid")))
+        if "migratable" in kinds:
+            checked = validate_requests(pool_requests, "scale_down")
+            outputs.update(requests_migratable=checked,
+                           migratable=migratable_batch(inv, checked.filter("valid")))
         for name, df in outputs.items():
             (df.write.mode("overwrite")
              .parquet(os.path.join(sink_dir, name, f"batch_id={batch_id}")))
-        checked.unpersist()
+        batch.unpersist()
 
     w = (request_stream(spark, source_dir).writeStream
          .foreachBatch(handle)

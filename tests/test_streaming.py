@@ -36,3 +36,29 @@ def test_stream_answers_each_file_once(spark):
         "request_id string, idc string, pool1 string, pool2 string"))
     assert sorted(tuple(r) for r in batch.detail.collect()) == \
         sorted(tuple(r) for r in detail.drop("batch_id").collect())
+
+
+def test_stream_answers_all_request_kinds(spark):
+    inv = make_inventory(spark, [
+        {"psm": "s", "physical_cluster": "A", "instance_num": "3", "save_cores": "4"},
+        {"psm": "s", "physical_cluster": "B", "save_cores": "1"},
+        {"psm": "t", "physical_cluster": "A", "save_cores": "x"},
+    ])
+    root = tempfile.mkdtemp(prefix="poolshift-stream-")
+    src, sink = os.path.join(root, "in"), os.path.join(root, "out")
+    os.makedirs(src)
+    reqs = [{"request_id": "m1", "pool1": "A/default", "pool2": "B/default"},
+            {"request_id": "p1", "idc": "S1", "pool": "A/default", "min_save_cores": "0"},
+            {"request_id": "p2", "pool": "A/default"}]
+    with open(os.path.join(src, "r.json"), "w") as f:
+        f.write("\n".join(json.dumps(r) for r in reqs) + "\n")
+    answer_requests(spark, lambda: inv, src, sink).awaitTermination()
+    rec = sorted((r["request_id"], r["psm"], r["save_cores"])
+                 for r in read_answers(spark, sink, "recommend").collect())
+    assert rec == [("p1", "s", 4)]
+    mig = sorted((r["request_id"], r["psm"], r["other_pools"])
+                 for r in read_answers(spark, sink, "migratable").collect())
+    assert mig == [("p1", "s", ["B/default"]), ("p1", "t", [])]
+    bad = {r["request_id"]: r["valid"] for r in read_answers(spark, sink, "requests_scale_down").collect()}
+    assert bad == {"p1": True, "p2": False}
+    assert {r["request_id"] for r in read_answers(spark, sink, "detail").collect()} == {"m1"}
