@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import STATUS_MULTI, STATUS_SINGLE, parse_pool_text, pool_key
+from ..session import cut_lineage
 from .filters import filter_by_idc, filter_default
 
 ATTRIBUTES = ["instance_num", "cpu_limit", "mem_limit", "dept_level1", "dept_level2",
@@ -119,13 +120,16 @@ def migratable_batch(inv: DataFrame, requests: DataFrame) -> DataFrame:
     from .batch import fits
     rows = filter_default(inv).filter(F.col("psm").isNotNull())
     # site_key: the site, or null for the across-sites profile ("every site")
-    per_site = (pool_profile(rows, ["idc"]).filter(F.col("idc").isNotNull())
-                .withColumnRenamed("idc", "site_key"))
+    # The first aggregation feeds both profiles below and is read again with
+    # other columns (target lookup, expansion): checkpoint it once so the
+    # rows are aggregated once.
+    per_site = cut_lineage(pool_profile(rows, ["idc"]).withColumnRenamed("idc", "site_key"))
     per_all = (per_site.groupBy("psm", "physical_cluster", "iaas_cluster")
                .agg(F.min("o").alias("o"), F.sum("n").alias("n"),
                     F.min_by("first_row", "o").alias("first_row"))
                .withColumn("site_key", F.lit(None).cast("string")))
-    profile = per_site.unionByName(per_all).withColumn("pool_key", pool_key())
+    profile = (per_site.filter(F.col("site_key").isNotNull()).unionByName(per_all)
+               .withColumn("pool_key", pool_key()))
 
     ok, phys, iaas = split_pool(F.col("pool"))
     req = requests.select(

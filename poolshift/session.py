@@ -30,6 +30,12 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # the driver keeps run history for status queries even without the UI;
+    # bound it so long-lived sessions do not slow down
+    "spark.ui.retainedJobs": "200",
+    "spark.ui.retainedStages": "200",
+    "spark.ui.retainedTasks": "10000",
+    "spark.sql.ui.retainedExecutions": "50",
 }
 
 
