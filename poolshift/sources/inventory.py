@@ -195,13 +195,13 @@ LAYOUT = ["idc", "physical_cluster", "iaas_cluster", "row_ord"]
 def write_inventory(df: DataFrame, path: str) -> None:
     """Write a raw inventory as Parquet partitioned by site.
 
-    ``rebalance`` by site: rows of one site go to the same tasks, so each
-    task writes files of one site instead of one file per site per task;
-    AQE splits the partitions of a hot site and merges small ones (no
-    sampling pass, unlike a range repartition). Files are sorted by pool so
-    row-group statistics skip other pools.
+    ``rebalance`` by (site, physical cluster): rows of one pool go to the
+    same tasks, so a task writes files of one or two sites instead of one
+    file per site per task; AQE splits the partitions of a hot pool and
+    merges small ones (no sampling pass, unlike a range repartition). Files
+    are sorted by pool so row-group statistics skip other pools.
     """
-    (df.hint("rebalance", "idc").sortWithinPartitions(*LAYOUT)
+    (df.hint("rebalance", "idc", "physical_cluster").sortWithinPartitions(*LAYOUT)
      .write.mode("overwrite").partitionBy("idc").parquet(path))
 
 
