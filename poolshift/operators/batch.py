@@ -156,7 +156,7 @@ def batch_rows(inv: DataFrame, req_pools: DataFrame) -> DataFrame:
     """Inventory rows attached to every request naming their pool and site.
 
     ``req_pools`` should already carry a broadcast hint when it is small
-    (see :func:`maybe_broadcast`)."""
+    (see :func:`fits`)."""
     rows = filter_default(inv).withColumn("pool_identifier", pool_key())
     j = rows.join(req_pools, "pool_identifier")
     return j.filter((F.size("idcs") == 0) | F.array_contains("idcs", F.col("idc")))
@@ -202,10 +202,9 @@ def migration_batch(inv: DataFrame, requests: DataFrame, rank_by: str = "last",
     services = services.drop("_rows", "_pkg")
     if materialize:
         joined = cut_lineage(joined)
-    joined_g = joined
-    detail = joined_g.select(*detail_columns(True, True, prefix=[F.col("request_id")]),
+    detail = joined.select(*detail_columns(True, True, prefix=[F.col("request_id")]),
                              "row_ord")
-    summary_rows = (joined_g.filter(~F.col("_pkg") | F.col("package").isNotNull())
+    summary_rows = (joined.filter(~F.col("_pkg") | F.col("package").isNotNull())
                     .withColumn("package", F.when(F.col("_pkg"), F.col("package"))))
     summary = summarise(summary_rows, True, keep_null_package=True, group=["request_id"])
     if ordered:
