@@ -91,3 +91,15 @@ def test_read_named_inventory_falls_back(spark):
     assert got.count() == 1
     with pytest.raises(FileNotFoundError):
         read_named_inventory(spark, folder, "missing")
+
+
+def test_read_inventory_json_and_orc(spark):
+    inv = make_inventory(spark, [{"psm": f"s{i}", "physical_cluster": "A", "instance_num": f" {i} "}
+                                 for i in range(4)])
+    raw = inv.drop("row_ord").select(*[c for c in inv.columns if c != "row_ord"])
+    for fmt in ("json", "orc"):
+        path = scratch_path(spark, f"t-inv-{fmt}")
+        raw.coalesce(1).write.format(fmt).save(path)
+        back = normalise_inventory(read_inventory(spark, path, fmt=fmt))
+        got = [(r["psm"], r["instance_num"]) for r in back.orderBy("row_ord").collect()]
+        assert got == [(f"s{i}", float(i)) for i in range(4)]
