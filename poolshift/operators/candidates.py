@@ -126,8 +126,10 @@ def order_overview(overview: DataFrame) -> DataFrame:
 def detail_top(detail: DataFrame, n: int = ROWS_PER_CANDIDATE) -> DataFrame:
     """First ``n`` detail rows of every candidate in detail order.
 
-    A per-candidate window; each candidate's rows are sorted in its own
-    partition. Candidates are few and their row count is the detail size.
+    ``row_number() <= n`` over a per-candidate window: Spark keeps at most
+    ``n`` rows per candidate in every task before the shuffle
+    (``WindowGroupLimit``), so even a candidate holding most of the detail
+    moves only ``n`` rows per task.
     """
     w = Window.partitionBy("candidate_pool").orderBy(
         F.col("sort_key").desc(), F.col("psm").asc(), F.col("pool_identifier").asc(),

@@ -1,14 +1,16 @@
 """Migration analysis: services deployed in both a lender and a receiver pool.
 
-Plan shape (one exchange on ``psm`` for the membership test, one on
-``(psm, salt)`` for the join back, one for the summary):
+Plan shape:
 
     rows  = inventory  -> site filter -> default clusters -> the two pools
-    per_service = rows.groupBy(psm): in-lender?, in-receiver?, lender count
-                  (partial aggregation map-side, so a hot service is
-                  pre-combined before the shuffle)
-    detail  = rows JOIN per_service (both present)   [hot services salted]
+            (partition pruning and Parquet filter pushdown)
+    per_service = rows.groupBy(psm): in-lender?, in-receiver?, lender count,
+                  row count and sums (partial aggregation map-side, so a hot
+                  service is pre-combined before the shuffle); checkpointed
+    detail  = rows JOIN per_service on (psm, salt)   [hot services salted;
+              broadcast instead when Spark measures per_service as small]
     summary = detail.groupBy(psm, pool, package)     [partial aggregation]
+    stats   = per_service.agg(...)                   [no second pass]
 """
 
 from __future__ import annotations
