@@ -48,7 +48,38 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def inventory_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Fixed layout of the fixture's row_ord: (orderkey, linenumber, partkey,
+# suppkey, quantity) packed as decimal digits. Narrow form (bigint): factors
+# 10, 100000, 10000, 100. Wide form (decimal(38,0)) for large scale factors:
+# factors 10, 10**11, 10**10, 100.
+NARROW_ROW_ORD = (10, 100_000, 10_000, 100)
+WIDE_ROW_ORD = (10, 10**11, 10**10, 100)
+BIGINT_MAX = 2**63 - 1
+
+
+def narrow_row_ord_fits(li: DataFrame) -> bool:
+    """True when every lineitem key fits the bigint packing (one 3-column
+    aggregate over lineitem)."""
+    m = li.agg(F.max("l_orderkey"), F.max("l_partkey"), F.max("l_suppkey")).first()
+    order, part, supp = (int(v or 0) for v in m)
+    f_line, f_part, f_supp, f_qty = NARROW_ROW_ORD
+    top = (((order * f_line + 9) * f_part + part) * f_supp + supp) * f_qty + 99
+    return part < f_part and supp < f_supp and top <= BIGINT_MAX
+
+
+def _row_ord(wide: bool):
+    f_line, f_part, f_supp, f_qty = WIDE_ROW_ORD if wide else NARROW_ROW_ORD
+    def num(c):
+        return F.col(c).cast("decimal(38,0)") if wide else F.col(c)
+    qty = F.col("l_quantity").cast("int")
+    packed = ((((num("l_orderkey") * f_line + num("l_linenumber")) * F.lit(f_part)
+                + num("l_partkey")) * F.lit(f_supp) + num("l_suppkey")) * f_qty
+              + (qty.cast("decimal(38,0)") if wide else qty))
+    return packed.cast("decimal(38,0)") if wide else packed
+
+
+def inventory_from_tables(spark: SparkSession, sf_dir: str,
+                          wide_row_ord: bool | None = None) -> DataFrame:
     """Inventory rows derived from lineitem and its dimensions (raw form).
 
     Mapping: a part is a service, a customer's market segment is the site,
@@ -60,8 +91,14 @@ def inventory_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair are joined first, so site and pool filters shrink those sides
     before they meet lineitem; the small dimensions are broadcast by the
     planner under its size threshold.
+
+    ``row_ord`` packs the line's keys in file order: a bigint while the keys
+    fit (checked from the data unless ``wide_row_ord`` is given), else the
+    same order as an exact ``decimal(38,0)``.
     """
     li = read_table(spark, sf_dir, "lineitem")
+    if wide_row_ord is None:
+        wide_row_ord = not narrow_row_ord_fits(li)
     part = read_table(spark, sf_dir, "part")
     supp = read_table(spark, sf_dir, "supplier")
     nation = read_table(spark, sf_dir, "nation")
@@ -119,8 +156,7 @@ def inventory_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("dept_level1"),
         F.concat(F.lit("/"), F.col("p_name"), F.lit("/")).alias("dept_level2"),
         F.col("o_orderpriority").alias("host_type"),
-        ((((F.col("l_orderkey") * 10 + ln) * 100000 + F.col("l_partkey")) * 10000
-          + F.col("l_suppkey")) * 100 + qty.cast("int")).alias("row_ord"),
+        _row_ord(wide_row_ord).alias("row_ord"),
     )
 
 
@@ -171,13 +207,7 @@ def normalise_inventory(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-# Raw (text) inventory as written to a table: measures that may be untidy text.
-RAW_TABLE_SCHEMA = T.StructType(
-    [T.StructField(c, T.StringType() if c in ("instance_num", "save_cores") or c in TEXT_COLUMNS
-                   else (T.LongType() if c == "row_ord" else T.DoubleType()), True)
-     for c in INVENTORY_COLUMNS])
-
-_WRITTEN: dict[tuple, str] = {}
+_WRITTEN: dict[tuple, tuple[str, T.StructType]] = {}
 
 
 def _stamp(sf_dir: str) -> tuple:
@@ -205,8 +235,10 @@ def write_inventory(df: DataFrame, path: str) -> None:
      .write.mode("overwrite").partitionBy("idc").parquet(path))
 
 
-def read_written_inventory(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RAW_TABLE_SCHEMA).parquet(path).select(*INVENTORY_COLUMNS)
+def read_written_inventory(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Read a table written by :func:`write_inventory` with the schema it was
+    written with (the site partition column stays text)."""
+    return spark.read.schema(schema).parquet(path).select(*INVENTORY_COLUMNS)
 
 
 def raw_inventory(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
@@ -221,12 +253,13 @@ def raw_inventory(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
         return inventory_from_tables(spark, sf_dir)
     from ..session import app_id, scratch_path
     key = (app_id(spark), os.path.abspath(sf_dir), _stamp(sf_dir))
-    path = _WRITTEN.get(key)
-    if path is None:  # the write either completed or raised
-        path = scratch_path(spark, "inventory")
-        write_inventory(inventory_from_tables(spark, sf_dir), path)
-        _WRITTEN[key] = path
-    return read_written_inventory(spark, path)
+    found = _WRITTEN.get(key)
+    if found is None:  # the write either completed or raised
+        df = inventory_from_tables(spark, sf_dir)
+        found = (scratch_path(spark, "inventory"), df.schema)
+        write_inventory(df, found[0])
+        _WRITTEN[key] = found
+    return read_written_inventory(spark, *found)
 
 
 def inventory(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
