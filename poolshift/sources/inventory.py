@@ -267,9 +267,12 @@ def inventory(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Dat
     return normalise_inventory(raw_inventory(spark, sf_dir, materialize))
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet",
                    na_values: tuple[str, ...] = ("",), header: bool = True,
-                   multiline: bool = False) -> DataFrame:
+                   multiline: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
     """Read an inventory export with an all-text schema and attach file order.
 
     ``row_ord`` is a struct ``(file, position)``: for Parquet the position is
@@ -277,14 +280,19 @@ def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet",
     it is the scan's increasing id, which grows with the position in a file.
     Text equal to one of ``na_values`` becomes null. ``multiline`` allows
     quoted line breaks in CSV, at the price of reading each file in one task.
+    For text formats, ``mode='PERMISSIVE'`` keeps malformed lines with their
+    raw text in ``_corrupt_record`` (see :func:`bad_rows`); ``'FAILFAST'``
+    stops the read with Spark's error at the first malformed line.
     """
     reader = spark.read.format(fmt)
     if fmt in ("csv",):
         reader = (reader.option("header", str(header).lower())
-                  .option("mode", "PERMISSIVE").option("multiLine", str(multiline).lower())
-                  .option("escape", '"'))
+                  .option("multiLine", str(multiline).lower()).option("escape", '"'))
     if fmt in ("csv", "json"):
-        reader = reader.schema(RAW_SCHEMA)
+        schema = T.StructType(list(RAW_SCHEMA.fields)
+                              + [T.StructField(CORRUPT, T.StringType(), True)])
+        reader = (reader.schema(schema).option("mode", mode)
+                  .option("columnNameOfCorruptRecord", CORRUPT))
     df = reader.load(path)
     if fmt == "parquet":
         pos = F.col("_metadata.row_index")
@@ -299,6 +307,16 @@ def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet",
                        for c in df.columns])
 
 
+def bad_rows(raw: DataFrame) -> DataFrame:
+    """Lines of a text inventory that did not parse (raw text, service as
+    parsed, position). Write or collect the result: Spark refuses a query on
+    raw text files that reads only the corrupt-record column, which is what
+    a bare ``count()`` of this frame would prune down to."""
+    if CORRUPT not in raw.columns:
+        return raw.limit(0)
+    return raw.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT, "psm", "row_ord")
+
+
 def read_named_inventory(spark: SparkSession, folder: str, name: str,
                          fallback: str | None = None, fmt: str = "parquet") -> DataFrame:
     """Read data set ``name`` under ``folder``; if it does not exist, the

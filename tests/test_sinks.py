@@ -103,3 +103,19 @@ def test_read_inventory_json_and_orc(spark):
         back = normalise_inventory(read_inventory(spark, path, fmt=fmt))
         got = [(r["psm"], r["instance_num"]) for r in back.orderBy("row_ord").collect()]
         assert got == [(f"s{i}", float(i)) for i in range(4)]
+
+
+def test_malformed_text_lines_are_kept_or_fail_fast(spark):
+    import pytest
+    from poolshift.sources.inventory import bad_rows
+    path = os.path.join(tempfile.mkdtemp(prefix="poolshift-bad-"), "inv.json")
+    with open(path, "w") as f:
+        f.write('{"psm": "s1", "idc": "S", "cluster_name": "default", "physical_cluster": "A", '
+                '"iaas_cluster": "default", "instance_num": "3"}\n')
+        f.write('{"psm": "s2", "idc": "S", "cluster_name": \n')
+    raw = read_inventory(spark, path, fmt="json")
+    bad = bad_rows(raw).collect()
+    assert len(bad) == 1 and bad[0]["_corrupt_record"].startswith('{"psm": "s2"')
+    assert [r["psm"] for r in normalise_inventory(raw).collect()] == ["s1", None]
+    with pytest.raises(Exception):
+        read_inventory(spark, path, fmt="json", mode="FAILFAST").collect()
