@@ -136,3 +136,53 @@ def detail_top(detail: DataFrame, n: int = ROWS_PER_CANDIDATE) -> DataFrame:
         F.col("row_ord").asc())
     return (detail.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= n))
+
+
+def candidate_batch(inv: DataFrame, requests: DataFrame) -> DataFrame:
+    """The candidate overview for every request (``request_id, idc,
+    target_pool, candidate_pools``): one row per (request, candidate) with
+    the matched-service count and the candidate pool's totals at the
+    request's sites.
+
+    Candidates are parsed per request (trimmed, blanks and duplicates
+    dropped, the target removed) and exploded; each (request, candidate) is
+    then a migration question answered by the batch plan, and pool totals
+    come from one equi-join of the rows on the pool key.
+    """
+    from ..functions.exprs import split_pool
+    from .batch import site_list
+    ok, p, i = split_pool(F.col("target_pool"))
+    cands = (requests.filter(ok)
+             .select("request_id", "idc", F.concat(p, F.lit("/"), i).alias("target"),
+                     F.posexplode(candidates_column(F.col("candidate_pools"),
+                                                    F.col("target_pool"))))
+             .select("request_id", "idc", "target", F.col("pos").alias("position"),
+                     F.col("col").alias("candidate_pool"),
+                     F.concat_ws("#", "request_id", F.col("pos").cast("string")).alias("sub_id")))
+    b = migration_batch(inv, cands.select(F.col("sub_id").alias("request_id"), "idc",
+                                          F.col("target").alias("pool1"),
+                                          F.col("candidate_pool").alias("pool2")))
+    matched = b.services.groupBy(F.col("request_id").alias("sub_id")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("matching_psm_count"))
+
+    keys = cands.select("sub_id", F.col("candidate_pool").alias("pool_identifier"),
+                        site_list("idc").alias("idcs"))
+    rows = filter_default(inv)
+    if fits(keys):
+        rows, keys = rows.filter(scan_filter(keys)), F.broadcast(keys)
+    totals = (rows.withColumn("pool_identifier", pool_key()).join(keys, "pool_identifier")
+              .filter((F.size("idcs") == 0) | F.array_contains("idcs", F.col("idc")))
+              .groupBy("sub_id")
+              .agg(F.count_distinct("psm").cast("bigint").alias("psm_count"),
+                   F.sum(zero_if_null("instance_num")).alias("total_instances"),
+                   F.sum(zero_if_null("cpu_limit")).alias("total_cpu"),
+                   F.sum(zero_if_null("mem_limit")).alias("total_memory")))
+    return (cands.join(matched, "sub_id", "left").join(totals, "sub_id", "left")
+            .select("request_id", "candidate_pool", "position",
+                    (F.coalesce("matching_psm_count", F.lit(0)) > 0).alias("has_matches"),
+                    F.coalesce("matching_psm_count", F.lit(0)).cast("bigint")
+                    .alias("matching_psm_count"),
+                    F.coalesce("psm_count", F.lit(0)).cast("bigint").alias("psm_count"),
+                    F.coalesce("total_instances", F.lit(0.0)).alias("total_instances"),
+                    F.coalesce("total_cpu", F.lit(0.0)).alias("total_cpu"),
+                    F.coalesce("total_memory", F.lit(0.0)).alias("total_memory")))

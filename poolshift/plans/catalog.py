@@ -303,6 +303,11 @@ def q_migratable_batch(spark, sf_dir):
     return M3.migratable_flat(M3.migratable_batch(inventory(spark, sf_dir), req))
 
 
+def q_candidate_batch(spark, sf_dir):
+    req = B.parse_requests(request_bodies(spark, sf_dir))
+    return C.candidate_batch(inventory(spark, sf_dir), req)
+
+
 def q_read_inventory(spark, sf_dir):
     path = scratch_path(spark, "inventory-csv")
     K.write_csv(raw_inventory(spark, sf_dir).drop("row_ord"), path)

@@ -267,7 +267,41 @@ FROM targets t JOIN rq q ON q.request_id = t.request_id
 LEFT JOIN other_lists ol ON ol.request_id = t.request_id AND ol.psm = t.psm
 LEFT JOIN main_first m ON m.request_id = t.request_id AND m.psm = t.psm"""
 
+CANDIDATE_BATCH = _with(REQ_CTE,
+    """rl AS (SELECT request_id, trim(target_pool) AS target,
+        CASE WHEN trim(coalesce(idc, '')) = '' THEN NULL
+             ELSE list_transform(string_split(idc, ','), lambda x: trim(x)) END AS sites,
+        list_filter(list_transform(string_split(coalesce(candidate_pools, ''), ','), lambda x: trim(x)),
+                    lambda x: x <> '') AS l
+      FROM req WHERE len(string_split(trim(target_pool), '/')) = 2)""",
+    """rc AS (SELECT request_id, target, sites, candidate_pool, CAST(pos - 1 AS INTEGER) AS position
+      FROM (SELECT request_id, target, sites,
+                   unnest(dl) AS candidate_pool, generate_subscripts(dl, 1) AS pos
+            FROM (SELECT *, list_filter(list_filter(l, lambda x, i: list_position(l, x) = i),
+                                        lambda x: x <> target) AS dl FROM rl)))""",
+    f"""rrows AS (SELECT c.request_id, c.candidate_pool, c.target, d.psm, {PK} AS pk,
+        d.instance_num, d.cpu_limit, d.mem_limit
+      FROM rc c JOIN ninv d ON {PK} IN (c.target, c.candidate_pool)
+      WHERE d.cluster_name = 'default' AND (c.sites IS NULL OR list_contains(c.sites, d.idc)))""",
+    """bm AS (SELECT request_id, candidate_pool, count(*) AS n FROM (
+        SELECT request_id, candidate_pool, psm FROM rrows WHERE pk = target AND psm IS NOT NULL
+        INTERSECT SELECT request_id, candidate_pool, psm FROM rrows WHERE pk = candidate_pool)
+      GROUP BY request_id, candidate_pool)""",
+    """bp AS (SELECT request_id, candidate_pool, count(DISTINCT psm) AS psm_count,
+        sum(coalesce(instance_num, 0)) AS total_instances, sum(coalesce(cpu_limit, 0)) AS total_cpu,
+        sum(coalesce(mem_limit, 0)) AS total_memory
+      FROM rrows WHERE pk = candidate_pool GROUP BY request_id, candidate_pool)""") + """
+SELECT c.request_id, c.candidate_pool, c.position,
+  coalesce(m.n, 0) > 0 AS has_matches, CAST(coalesce(m.n, 0) AS BIGINT) AS matching_psm_count,
+  CAST(coalesce(p.psm_count, 0) AS BIGINT) AS psm_count,
+  coalesce(p.total_instances, 0.0) AS total_instances, coalesce(p.total_cpu, 0.0) AS total_cpu,
+  coalesce(p.total_memory, 0.0) AS total_memory
+FROM rc c
+LEFT JOIN bm m ON m.request_id = c.request_id AND m.candidate_pool = c.candidate_pool
+LEFT JOIN bp p ON p.request_id = c.request_id AND p.candidate_pool = c.candidate_pool"""
+
 ORACLE: dict[str, str] = {
+    "candidate_batch": CANDIDATE_BATCH,
     "recommend_batch": RECOMMEND_BATCH,
     "migratable_batch": MIGRATABLE_BATCH,
     "pool_key": _with() + f"SELECT {PK} AS pool_key, count(*) AS row_count FROM ninv GROUP BY 1",

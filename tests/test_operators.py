@@ -276,3 +276,22 @@ def test_recommend_and_migratable_batches_equal_single_calls(spark):
 def test_min_cores_text(spark):
     df = spark.createDataFrame([(" 5 ",), ("+3",), ("5.0",), ("x",), (None,)], "m string")
     assert [r[0] for r in df.select(M2.min_cores_value("m")).collect()] == [5, 3, 0, 0, 0]
+
+
+def test_candidate_batch_equals_single_comparisons(spark):
+    rows = [{"psm": f"s{i % 5}", "physical_cluster": "ABC"[i % 3], "idc": ["S1", "S2"][i % 2],
+             "iaas_cluster": ["default", "gpu"][i % 2], "instance_num": str(i)} for i in range(40)]
+    inv = make_inventory(spark, rows)
+    reqs = [("q1", "S1", "A/default", "B/gpu, C/default, B/gpu, A/default"),
+            ("q2", "", "B/gpu", " ,A/default,Z/x"), ("q3", "S2", "bad", "A/default")]
+    req = spark.createDataFrame(reqs, "request_id string, idc string, target_pool string, "
+                                      "candidate_pools string")
+    got = {(r["request_id"], r["candidate_pool"]): r for r in C.candidate_batch(inv, req).collect()}
+    assert {k[0] for k in got} == {"q1", "q2"}
+    for rid, idc, target, cands in reqs[:2]:
+        ov = C.compare_candidates(inv, target, cands, idc or None).overview.collect()
+        assert len(ov) == sum(1 for k in got if k[0] == rid)
+        for o in ov:
+            g = got[(rid, o["candidate_pool"])]
+            for k in ("has_matches", "matching_psm_count", "psm_count", "total_instances"):
+                assert g[k] == o[k], (rid, o["candidate_pool"], k)
