@@ -164,19 +164,22 @@ def batch_rows(inv: DataFrame, req_pools: DataFrame) -> DataFrame:
 
 def migration_batch(inv: DataFrame, requests: DataFrame, rank_by: str = "last",
                     group: str = "request_id", ordered: bool = False,
-                    keep_row_ord: bool = False, materialize: bool = False) -> BatchMigration:
+                    keep_row_ord: bool = False, materialize: bool = False,
+                    prefilter: Column | None = None) -> BatchMigration:
     """Answer every valid request at once. Output keys are prefixed by ``group``.
 
     The package column is kept in both outputs; whether package is a summary
     key is decided per request by the same data rule as the single analysis.
     ``materialize`` checkpoints the matched rows (shared by both outputs)
-    into the shared checkpoint folder.
+    into the shared checkpoint folder. ``prefilter`` is a caller-known filter
+    implied by the requests (a small, driver-side request list); it replaces
+    the size check and the derived scan filter.
     """
     rp = request_pools(requests.withColumnRenamed(group, "request_id")) \
         if group != "request_id" else request_pools(requests)
-    small = fits(rp)
+    small = prefilter is not None or fits(rp)
     if small:
-        inv = inv.filter(scan_filter(rp))
+        inv = inv.filter(prefilter if prefilter is not None else scan_filter(rp))
         rp = F.broadcast(rp)
     j = batch_rows(inv, rp)
     has_package = F.bool_or(F.col("package").isNotNull() & (F.col("package") != ""))

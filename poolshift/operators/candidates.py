@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import parse_pool_text, pool_key
+from ..functions.exprs import in_list_or_all, parse_pool_text, pool_key
 from .batch import fits, migration_batch, scan_filter
-from .filters import filter_by_idc, filter_default
+from .filters import filter_by_idc, filter_default, pools_predicate
 from .migration import zero_if_null
 
 ROWS_PER_CANDIDATE = 10
@@ -53,12 +53,16 @@ class CandidateComparison:
     counts: DataFrame
 
 
-def pool_stats(inv: DataFrame, pools: DataFrame, idc=None) -> DataFrame:
+def pool_stats(inv: DataFrame, pools: DataFrame, idc=None,
+               prefilter: Column | None = None) -> DataFrame:
     """Totals of every pool listed in ``pools`` (column ``pool_identifier``):
-    services, instances, CPU and memory over default clusters at the sites."""
+    services, instances, CPU and memory over default clusters at the sites.
+    ``prefilter``: a caller-known filter on the listed pools (small list)."""
     keys = pools.select("pool_identifier").distinct()
     rows = filter_default(filter_by_idc(inv, idc))
-    if fits(keys):
+    if prefilter is not None:
+        rows, keys = rows.filter(prefilter), F.broadcast(keys)
+    elif fits(keys):
         rows, keys = rows.filter(scan_filter(keys)), F.broadcast(keys)
     return (rows.withColumn("pool_identifier", pool_key()).join(keys, "pool_identifier")
             .groupBy("pool_identifier")
@@ -78,22 +82,29 @@ def compare_candidates(inv: DataFrame, target: str, candidates: str | Iterable[s
     req = spark.createDataFrame(
         [(c, idc_text or "", tkey, c, i) for i, c in enumerate(cands)],
         "candidate_pool string, idc string, pool1 string, pool2 string, position int")
-    return compare_candidate_table(inv, req, tkey, idc, ordered)
+    # the pools and sites are known here: filter the scan without a lookup job
+    pairs = [parse_pool_text(tkey)] + [parse_pool_text(c) for c in cands
+                                       if len(c.strip().split("/")) == 2]
+    known = pools_predicate(pairs) & in_list_or_all("idc", idc)
+    return compare_candidate_table(inv, req, tkey, idc, ordered, known)
 
 
 def compare_candidate_table(inv: DataFrame, req: DataFrame, tkey: str, idc=None,
-                            ordered: bool = True) -> CandidateComparison:
+                            ordered: bool = True, prefilter: Column | None = None
+                            ) -> CandidateComparison:
     """Like :func:`compare_candidates` with the candidates given as a table
-    (``candidate_pool, idc, pool1, pool2, position``)."""
+    (``candidate_pool, idc, pool1, pool2, position``); ``prefilter`` is an
+    optional filter implied by the target, candidates and sites."""
     b = migration_batch(inv, req.withColumnRenamed("candidate_pool", "request_id")
-                        .select("request_id", "idc", "pool1", "pool2"), keep_row_ord=True)
+                        .select("request_id", "idc", "pool1", "pool2"), keep_row_ord=True,
+                        prefilter=prefilter)
     detail = b.detail.withColumnRenamed("request_id", "candidate_pool")
     summary = b.summary.withColumnRenamed("request_id", "candidate_pool")
     matches = b.services.withColumnRenamed("request_id", "candidate_pool")
 
     pools = req.select(F.col("candidate_pool").alias("pool_identifier")).unionByName(
         req.select(F.lit(tkey).alias("pool_identifier")))
-    pstats = pool_stats(inv, pools, idc)
+    pstats = pool_stats(inv, pools, idc, prefilter)
     matched = matches.groupBy("candidate_pool").agg(
         F.count(F.lit(1)).cast("bigint").alias("matching_psm_count"))
     overview = (req.select("candidate_pool", "position")
