@@ -33,16 +33,19 @@ def format_numbers(df: DataFrame, columns: list[str], decimals: int = 2) -> Data
     return df.select(*out)
 
 
-def pad_rows(df: DataFrame, empty_rows: int = 1, order_col: str = "row_ord") -> DataFrame:
+def pad_rows(df: DataFrame, empty_rows: int = 1, order_col: str = "row_ord",
+             ordered: bool = False) -> DataFrame:
     """After every row insert ``empty_rows`` rows whose columns are all null.
 
     Each input row becomes ``empty_rows + 1`` rows via ``explode(sequence)``,
     a narrow operation (no shuffle). ``pad_index`` 0 is the original row;
-    the output order is ``(order_col, pad_index)``.
+    the output order is ``(order_col, pad_index)``, applied with ``ordered``
+    (a range-partitioned sort, so written part files follow it).
     """
     if empty_rows < 0:
         raise ValueError("empty_rows must be >= 0")
     i = F.col("pad_index")
     exploded = df.withColumn("pad_index", F.explode(F.sequence(F.lit(0), F.lit(empty_rows))))
     cols = [F.when(i == 0, F.col(c)).alias(c) for c in df.columns if c != order_col]
-    return exploded.select(F.col(order_col), i, *cols)
+    out = exploded.select(F.col(order_col), i, *cols)
+    return out.orderBy(order_col, "pad_index") if ordered else out

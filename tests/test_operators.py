@@ -295,3 +295,9 @@ def test_candidate_batch_equals_single_comparisons(spark):
             g = got[(rid, o["candidate_pool"])]
             for k in ("has_matches", "matching_psm_count", "psm_count", "total_instances"):
                 assert g[k] == o[k], (rid, o["candidate_pool"], k)
+
+
+def test_pad_rows_ordered(spark):
+    df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "row_ord long, v string")
+    out = [r["v"] for r in R.pad_rows(df, 1, ordered=True).collect()]
+    assert out == ["a", None, "b", None, "c", None]
