@@ -308,9 +308,20 @@ def q_candidate_batch(spark, sf_dir):
     return C.candidate_batch(inventory(spark, sf_dir), req)
 
 
+_CSV_EXPORTS: dict[tuple, str] = {}
+
+
 def q_read_inventory(spark, sf_dir):
-    path = scratch_path(spark, "inventory-csv")
-    K.write_csv(raw_inventory(spark, sf_dir).drop("row_ord"), path)
+    """Read an untidy CSV export of the inventory (all text, quoted, blanks).
+    The export is written once per session and data folder; the query is
+    the read and normalisation."""
+    from ..session import app_id
+    key = (app_id(spark), sf_dir.rstrip("/"))
+    path = _CSV_EXPORTS.get(key)
+    if path is None:
+        path = scratch_path(spark, "inventory-csv")
+        K.write_csv(raw_inventory(spark, sf_dir).drop("row_ord"), path)
+        _CSV_EXPORTS[key] = path
     inv = normalise_inventory(read_inventory(spark, path, fmt="csv"))
     return inv.drop("row_ord")
 
