@@ -301,3 +301,22 @@ def test_pad_rows_ordered(spark):
     df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "row_ord long, v string")
     out = [r["v"] for r in R.pad_rows(df, 1, ordered=True).collect()]
     assert out == ["a", None, "b", None, "c", None]
+
+
+def test_strict_raises_on_empty_results(spark):
+    import pytest
+    inv = make_inventory(spark, [{"psm": "s", "physical_cluster": "A"}])
+    assert M1.migration(inv, "A/default", "B/default").detail.count() == 0
+    with pytest.raises(LookupError):
+        M1.migration(inv, "A/default", "B/default", strict=True)
+    assert M2.recommend_scale_down(inv, "S1", "Z/default").count() == 0
+    with pytest.raises(LookupError):
+        M2.recommend_scale_down(inv, "S1", "Z/default", strict=True)
+
+
+def test_nulls_sort_last_both_directions(spark):
+    df = spark.createDataFrame([(1, None), (2, 5.0), (3, 1.0)], "row_ord long, x double")
+    up = [r["row_ord"] for r in R.page_rows(df, ["x"], size=10, tiebreak="row_ord").collect()]
+    down = [r["row_ord"] for r in R.page_rows(df, ["x"], size=10, descending=True,
+                                               tiebreak="row_ord").collect()]
+    assert up == [3, 2, 1] and down == [2, 3, 1]
