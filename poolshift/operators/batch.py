@@ -177,6 +177,9 @@ def migration_batch(inv: DataFrame, requests: DataFrame, rank_by: str = "last",
     """
     rp = request_pools(requests.withColumnRenamed(group, "request_id")) \
         if group != "request_id" else request_pools(requests)
+    # read by the size check, the implied scan filter and the join:
+    # checkpoint the (request, pool) table once
+    rp = cut_lineage(rp)
     small = prefilter is not None or fits(rp)
     if small:
         inv = inv.filter(prefilter if prefilter is not None else scan_filter(rp))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import in_list_or_all, parse_pool_text, pool_key
+from ..session import cut_lineage
 from .batch import fits, migration_batch, scan_filter
 from .filters import filter_by_idc, filter_default, pools_predicate
 from .migration import zero_if_null
@@ -170,6 +171,7 @@ def candidate_batch(inv: DataFrame, requests: DataFrame) -> DataFrame:
              .select("request_id", "idc", "target", F.col("pos").alias("position"),
                      F.col("col").alias("candidate_pool"),
                      F.concat_ws("#", "request_id", F.col("pos").cast("string")).alias("sub_id")))
+    cands = cut_lineage(cands)  # read by the batch plan, the pool totals and the overview
     b = migration_batch(inv, cands.select(F.col("sub_id").alias("request_id"), "idc",
                                           F.col("target").alias("pool1"),
                                           F.col("candidate_pool").alias("pool2")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import (PRIORITY_CORES, business_line, dash_if_blank,
                                parse_pool_text)
+from ..session import cut_lineage
 from .filters import filter_by_idc, filter_default, filter_pool
 
 RECOMMEND_COLUMNS = ["psm", "cluster_id", "package", "cpu_limit", "mem_limit", "save_cores",
@@ -90,6 +91,7 @@ def recommend_batch(inv: DataFrame, requests: DataFrame, with_priority: bool = T
         F.when(ok, phys).otherwise(F.trim("pool")).alias("physical_cluster"),
         F.when(ok, iaas).otherwise(F.lit(DEFAULT_IAAS)).alias("iaas_cluster"),
         min_cores_value("min_save_cores").alias("min_cores"))
+    req = cut_lineage(req)  # read by the size check, the scan filter and the join
     if fits(req):
         keys = req.select(F.concat("physical_cluster", F.lit("/"), "iaas_cluster")
                           .alias("pool_identifier"),
