@@ -137,6 +137,7 @@ def migratable_batch(inv: DataFrame, requests: DataFrame) -> DataFrame:
         F.when(F.coalesce(F.col("idc"), F.lit("")) != "", F.col("idc")).alias("req_site"),
         F.when(ok, phys).otherwise(F.trim("pool")).alias("req_physical"),
         F.when(ok & (iaas != ""), iaas).alias("req_iaas"))
+    req = cut_lineage(req)  # read by the size check and both joins
     req = F.broadcast(req) if fits(req) else req
     # target services of each request: equi-join on (site, physical cluster)
     prof_keys = profile.select("site_key", "psm", "physical_cluster").distinct()
