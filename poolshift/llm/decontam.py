@@ -17,7 +17,7 @@ Defined cases: null texts and items are empty; items with fewer than
 ``seed_words`` words are seeded by their whole word sequence; empty items
 match nothing; repeated items count once each; a repeated document row is
 judged by itself; an empty benchmark leaks nothing; extra columns stay where
-documents are filtered.
+documents are filtered, and rows of any doc_id are judged.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import as_text, window_hashes
+from .text import as_text, ship, window_hashes
 
 SEED_WORDS = 4
 MIN_MATCH = 3
@@ -134,32 +134,22 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, seed_
     ``coverage`` is the largest among the items tiled; items that cannot reach
     the threshold, by an upper bound, are not tiled (0 if none was).
     """
-    spark, parts = docs.sparkSession, []
+    parts = []
     for block in _blocks(items, block_words):
-        seeds = np.concatenate([_seeds(h, seed_words) for _, h in block])
-        owner = np.concatenate([np.full(len(_seeds(h, seed_words)), n) for n, (_, h) in enumerate(block)])
-        lengths = sorted({min(seed_words, len(h)) for _, h in block})
-        order = np.argsort(seeds, kind="stable")
-        sent = spark.sparkContext.broadcast((block, seeds[order], owner[order], lengths))
+        sent = ship(docs.sparkSession, Block(block, seed_words, min_match, threshold))
 
-        def judge(batches, sent=sent):
-            block, seeds, owner, lengths = sent.value
-            known = _Hashed()
+        def run(batches, sent=sent):
+            block = sent()
             for batch in batches:
-                ids, found = batch.column(0), []
-                for text in as_text(batch.column(1)):
-                    words = words_of(text.as_py())
-                    if len(known) > 1_000_000:
-                        known.clear()
-                    found.append(_judge(_hashes(words, known), block, seeds, owner, lengths, min_match, threshold))
+                found = [block.judge(t.as_py()) for t in as_text(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([
-                    ids, pa.array([x[0] for x in found], pa.int64()),
+                    batch.column(0), pa.array([x[0] for x in found], pa.int64()),
                     pa.array([x[1] for x in found], pa.list_(pa.int64())),
                     pa.array([x[2] for x in found], pa.float64())], ["doc_id", "n_words", "items", "coverage"])
 
-        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, RESULT))
+        parts.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT))
     if not parts:
-        return docs.select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("n_words"),
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_words"),
                            F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("coverage"))
     out = parts[0]
     for x in parts[1:]:
@@ -167,6 +157,43 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, seed_
     return out
 
 
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, seed_words: int = SEED_WORDS,
+                  min_match: int = MIN_MATCH, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` that leak no item; all columns kept, nothing shuffled."""
+    at = docs.columns.index("text")
+    for block in _blocks(items, block_words):
+        sent = ship(docs.sparkSession, Block(block, seed_words, min_match, threshold))
+
+        def run(batches, sent=sent):
+            block = sent()
+            for batch in batches:
+                yield batch.filter(pa.array([not block.judge(t.as_py())[1] for t in as_text(batch.column(at))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+class Block:
+    """A block of items with its seeds sorted by hash."""
+
+    def __init__(self, items, seed_words: int, min_match: int, threshold: float):
+        self.items, self.min_match, self.threshold = items, min_match, threshold
+        each = [_seeds(h, seed_words) for _, h in items]
+        seeds = np.concatenate(each)
+        order = np.argsort(seeds, kind="stable")
+        self.seeds = seeds[order]
+        self.owner = np.repeat(np.arange(len(each)), [len(x) for x in each])[order]
+        self.lengths = sorted({min(seed_words, len(h)) for _, h in items})
+        self.known = _Hashed()
+
+    def judge(self, text: str) -> tuple[int, list[int], float]:
+        """Words of the text, ids of the items it leaks, largest coverage."""
+        if len(self.known) > 1_000_000:
+            self.known.clear()
+        return _judge(_hashes(words_of(text), self.known), self.items, self.seeds, self.owner, self.lengths,
+                      self.min_match, self.threshold)
+
+
 def _judge(doc, block, seeds, owner, lengths, min_match, threshold):
     hit: set[int] = set()
     for k in lengths:
@@ -196,9 +223,3 @@ def _within_reach(item, doc_runs, k: int) -> float:
     for d in range(k):
         covered[known + d] = True
     return covered.mean()
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
-    """``docs`` without the documents that leak a benchmark item; all columns kept. Rows are judged by doc_id."""
-    bad = leaks(docs, items, **kw).where(F.size("items") > 0).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontam, quality, shards
+from . import bpe, decontam, ngram_join, pii, quality, shards, toxicity
 from .text import table
 
 
+def op2_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_byte_bpe(spark, sf_dir):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op6_personal_data(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark, sf_dir):
     found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", F.array_join("items", ",").alias("leaked_items"), "coverage",
@@ -23,5 +41,7 @@ def op9_quality_classifier(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op7_benchmark_decontamination, op8_histogram_shards, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (
+    op2_ngram_jaccard_join, op3_toxicity, op5_byte_bpe, op6_personal_data, op7_benchmark_decontamination,
+    op8_histogram_shards, op9_quality_classifier)}
 ORACLE: dict[str, str] = {}

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
@@ -103,3 +104,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession, value):
+    """Broadcasts an object of bounded size with its class; the function returned gives a copy inside a task."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(sent.value)
