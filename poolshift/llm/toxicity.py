@@ -38,7 +38,7 @@ STEM_LENGTHS = (5, 6, 7)
 MAX_TERMS = 2_000
 WINDOW = 8
 CACHE = 1_000_000
-FEATURES = ["word", "stem", "misspelt", "quoted", "share", "addressed"]
+FEATURES = ["any", "exact", "misspelt", "quoted", "share", "addressed"]
 
 # Reporting verbs and pronouns of address, English.
 REPORTING = frozenset("said says wrote writes called calls quoted quote quotes replied answered shouted claimed".split())
@@ -65,11 +65,13 @@ class Lexicon:
 
     A state is the set of (trie node, edits so far) that the letters read so
     far allow. ``find`` gives (kind, edits): kind "word" if the whole word is
-    within the allowed edits of a term, "stem" if it begins with a stem.
+    within the allowed edits of a term, "stem" if it begins with a stem. Words
+    in ``clean`` are no misspellings.
     """
 
     words: list[str]
     stems: list[str]
+    clean: frozenset = frozenset()
     _children: list[dict] = field(default_factory=lambda: [{}])
     _allowed: dict = field(default_factory=dict)
     _reach: list[int] = field(default_factory=lambda: [0])
@@ -142,7 +144,7 @@ class Lexicon:
         if len(self._cache) >= CACHE:
             self._cache.clear()
         if len(self._sets) > 200_000:
-            self.__init__(self.words, self.stems)
+            self.__init__(self.words, self.stems, self.clean)
         state, stem = self._start, False
         for c in word:
             to = self._moves[state].get(c)
@@ -151,11 +153,11 @@ class Lexicon:
                 break
             stem = stem or self._accept[state][1]
         edits = self._accept[state][0] if state >= 0 else -1
-        found = self._cache[word] = ("word", edits) if edits == 0 else ("stem", 0) if stem else ("word", edits) if edits > 0 else None
+        found = self._cache[word] = ("word", edits) if edits == 0 else ("stem", 0) if stem else ("word", edits) if edits > 0 and word not in self.clean else None
         return found
 
     def __getstate__(self):
-        return {"words": self.words, "stems": self.stems}
+        return {"words": self.words, "stems": self.stems, "clean": self.clean}
 
     def __setstate__(self, state):
         self.__init__(**state)
@@ -171,8 +173,8 @@ def measure(text: str, lexicon: Lexicon) -> list[float]:
             known[token] = lexicon.find(normal(token))
         if known[token]:
             hits.append((i, *known[token]))
-    exact = stem = fuzzy = quoted = addressed = 0
-    for i, kind, edits in hits:
+    exact = fuzzy = quoted = addressed = 0
+    for i, _, edits in hits:
         if _is_quoted(tokens, i):
             quoted += 1
             continue
@@ -180,12 +182,10 @@ def measure(text: str, lexicon: Lexicon) -> list[float]:
         addressed += bool(near & ADDRESS)
         if edits:
             fuzzy += 1
-        elif kind == "stem":
-            stem += 1
         else:
             exact += 1
-    per_hundred = 100 * (exact + stem + fuzzy) / max(1, len(tokens))
-    return [math.log1p(exact), math.log1p(stem), math.log1p(fuzzy), math.log1p(quoted), math.log1p(per_hundred), math.log1p(addressed)]
+    per_hundred = 100 * (exact + fuzzy) / max(1, len(tokens))
+    return [float(exact > 0), math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), math.log1p(per_hundred), math.log1p(addressed)]
 
 
 def _is_quoted(tokens: list[str], i: int) -> bool:
@@ -223,19 +223,27 @@ def learn_lexicon(docs: DataFrame, sample: DataFrame, max_terms: int = MAX_TERMS
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Lexicon([], [])
-    counts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("text", "label")
+    counts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("text", "label")
               .mapInArrow(count, "term string, toxic long, clean long").groupBy("term")
-              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-terms")
     # rate among toxic rows against the smoothed rate among clean rows
     rate = (F.col("toxic") / sizes[1]) / ((F.col("clean") + 0.5) / sizes[0])
-    best = (counts.where((F.col("toxic") >= max(3, sizes[1] // 500)) & (rate >= 20))
+    best = (counts.where((F.col("toxic") >= max(4, sizes[1] // 100)) & (rate >= 20))
             .orderBy(F.desc("toxic"), "term").limit(max_terms).collect())
     stems = [r["term"][:-1] for r in best if r["term"].endswith("*")]
     kept = [s for s in stems if not any(s != o and s.startswith(o) for o in stems)]
-    return Lexicon([r["term"] for r in best if not r["term"].endswith("*")], kept)
+    lexicon = Lexicon([r["term"] for r in best if not r["term"].endswith("*")], kept)
+
+    def near(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([(hit := lexicon.find(t)) is not None and hit[1] > 0 for t in batch.column(0).to_pylist()], pa.bool_()))
+
+    # words of clean rows that resemble a term are words of their own, not misspellings
+    own = counts.where((F.col("clean") >= 1) & ~F.col("term").endswith("*")).select("term").mapInArrow(near, "term string").collect()
+    return Lexicon(lexicon.words, lexicon.stems, frozenset(r["term"] for r in own))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 50) -> np.ndarray:
+def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 50) -> np.ndarray:
     """Logistic regression with an intercept (Newton steps); both classes weigh as they occur."""
     if not len(y) or y.min() == y.max():
         return np.concatenate([[np.log((y.sum() + 1) / (len(y) - y.sum() + 1))], np.zeros(x.shape[1])])
