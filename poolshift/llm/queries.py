@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, ngram_join, pii, quality, shards, toxicity
+from . import bpe, decontam, lm_score, ngram_join, pii, quality, shards, substrings, topk, toxicity
 from .text import table
 
 
+def op1_exact_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op2_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -17,6 +22,11 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_cross_entropy_difference(spark, sf_dir):
+    target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), target)
+
+
 def op5_byte_bpe(spark, sf_dir):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -41,7 +51,63 @@ def op9_quality_classifier(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_repeated_spans(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_ngram_jaccard_join, op3_toxicity, op5_byte_bpe, op6_personal_data, op7_benchmark_decontamination,
-    op8_histogram_shards, op9_quality_classifier)}
-ORACLE: dict[str, str] = {}
+    op1_exact_top_k, op2_ngram_jaccard_join, op3_toxicity, op4_cross_entropy_difference, op5_byte_bpe,
+    op6_personal_data, op7_benchmark_decontamination, op8_histogram_shards, op9_quality_classifier,
+    op10_repeated_spans)}
+#: DuckDB: lower-case A-Z and the words of a text.
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE: dict[str, str] = {
+    "op1_exact_top_k": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT DISTINCT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op2_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+            FROM w),
+        sizes AS (SELECT doc_id, len(g) AS n FROM s),
+        grams AS (SELECT doc_id, unnest(g) AS gram FROM s),
+        common AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+            FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+            WHERE 100 * c >= 75 * (p.n + q.n - c)),
+        reach AS (
+            SELECT doc_id, doc_id AS other FROM sizes
+            UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
+        SELECT s.doc_id, CAST(any_value(s.n) AS BIGINT) AS n_shingles, min(r.other) AS component_id
+        FROM sizes s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id""",
+    "op10_repeated_spans": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+        starts AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS words
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+        least AS (SELECT words, min(doc_id) AS least FROM starts GROUP BY words HAVING min(doc_id) < max(doc_id)),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i
+            FROM starts JOIN least USING (words) WHERE least < doc_id),
+        dropped AS (SELECT doc_id, count(*) AS n, list(i) AS at FROM gone GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(d.n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(CASE WHEN d.n IS NULL THEN w.w ELSE
+                   list_transform(list_filter(range(1, len(w.w) + 1), lambda i: NOT list_contains(d.at, i)), lambda i: w.w[i]) END, ' '), '')) AS kept_sha256
+        FROM w LEFT JOIN dropped d ON d.doc_id = w.doc_id""",
+}
