@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding.
 
-Encoding, in one pass without a shuffle:
+Encoding; texts are not shuffled:
 
 1. each whole text is split by the tokenizer's pattern (Spark's
    ``regexp_extract_all``);
 2. the words of a block of documents are turned into a list of distinct words
-   and a stream of positions in it (Arrow dictionary encoding);
+   and a stream of positions in it (Arrow dictionary encoding); words that
+   occur in several blocks are folded once for all blocks (at most ``SHARED``
+   words, the ones in most blocks; the rest are folded with their block);
 3. Spark higher-order functions fold the merges over the bytes of each
    distinct word: in every step the adjacent pair whose concatenation has
    the lowest rank is joined, until no pair has a rank. The rank map is a
@@ -32,16 +34,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import as_text
+from .text import written
 
 #: The pattern that splits texts, as the tokenizer's users write it; white space and letters are Unicode's ("(?U)").
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKETS = 1 << 13
 LONG_WORD = 64
 BLOCK_WORDS = 4_000_000
+SHARED = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -77,9 +81,9 @@ def fold_merges(word: Column, ranks: Column) -> Column:
             joined = F.concat(F.element_at(p, at), F.element_at(p, at + 1))
             left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), joined)))).otherwise(F.array().cast("array<int>"))
             right = F.when(at + 1 < F.size(p), F.array(rank(F.concat(joined, F.get(p, at + 1))))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(p, 1, at - 1), F.array(joined), F.slice(p, at + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(p))).alias("r"))
+            return F.struct(  # flatten: much cheaper here than concat of arrays
+                F.flatten(F.array(F.slice(p, 1, at - 1), F.array(joined), F.slice(p, at + 2, F.size(p)))).alias("p"),
+                F.flatten(F.array(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(p)))).alias("r"))
 
         lowest = F.array_position(r, F.array_min(r)).cast("int")
         return F.when(F.array_min(r).isNull(), state).otherwise(F.transform(F.array(lowest), merge)[0])
@@ -125,22 +129,26 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _blocks(batches):
-    """Blocks of documents: their rows, distinct words, word positions and words for each row."""
+def _blocks(batches, shared: pa.Array):
+    """Blocks of documents: their rows, words for each row, positions in ``shared`` and the block's further words, those words."""
     rows, lists, held = [], [], 0
 
     def block():
         words = pa.concat_arrays([x.flatten() for x in lists])
         per_row = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]).astype(np.int32)
         coded = words.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=shared)
+        own = at.is_null().to_numpy(zero_copy_only=False)
+        place = np.where(own, len(shared) + np.cumsum(own) - 1, at.fill_null(0).to_numpy())
+        more = coded.dictionary.filter(pa.array(own))
         kept = pa.Table.from_batches(rows).combine_chunks().to_batches()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, kept[0].schema) as out:
             out.write_batch(kept[0])
         return pa.RecordBatch.from_arrays([
             pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([per_row.tobytes()], pa.binary()),
-            pa.array([coded.indices.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()], pa.binary()),
-            pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)],
+            pa.array([place[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int32).tobytes()], pa.binary()),
+            pa.ListArray.from_arrays(pa.array([0, len(more)], pa.int32()), more)],
             ["rows", "per_row", "positions", "words"])
 
     for batch in batches:
@@ -156,43 +164,86 @@ def _blocks(batches):
         yield block()
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], keep: list[str], finish, schema: str, pattern: str = PATTERN) -> DataFrame:
+def _folded(words: Column, ranks: Column) -> Column:
+    """Ids of each word of an array (null for long words); the literal occurs once."""
+    return F.transform(F.array(ranks), lambda r: F.transform(words, lambda w: fold_merges(w, r)))[0]
+
+
+def shared_words(split: DataFrame, ranks: Column, size: int = SHARED) -> pa.Table:
+    """word and ids of the words found in most blocks, at most ``size``, each in two blocks or more.
+
+    ``split``: rows with ``bpe_words``. The words are counted by Spark; how many
+    blocks a word must be in follows from the counts of counts.
+    """
+    def distinct(batches):
+        seen, held = [], 0
+        for batch in batches:
+            seen.append(batch.column(0).flatten().unique())
+            held += len(batch.column(0).flatten())
+            if held >= BLOCK_WORDS:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(seen).unique()], ["word"])
+                seen, held = [], 0
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(seen).unique()], ["word"])
+
+    counts = written(split.select("bpe_words").mapInArrow(distinct, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("blocks"))
+                     .where(f"blocks > 1 and octet_length(word) <= {LONG_WORD}"), "bpe-words")
+    least, total = 2, 0
+    for r in counts.groupBy("blocks").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("blocks")).collect():
+        total += r["n"]
+        if total > size:
+            least = r["blocks"] + 1
+            break
+    words = counts.where(F.col("blocks") >= least)
+    return words.select("word", _folded(F.array("word"), ranks)[0].alias("ids")).toArrow().combine_chunks()
+
+
+def _one(table: pa.Table, name: str, kind: pa.DataType) -> pa.Array:
+    return table.column(name).combine_chunks().cast(kind) if table.num_rows else pa.array([], kind)
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], keep: list[str], finish, schema: str, pattern: str = PATTERN,
+           shared: int = SHARED) -> DataFrame:
     """Encodes every whole text of ``docs``.
 
     ``finish(rows, ids, ends)`` gets a record batch of the ``keep`` columns, the
     ids of all its texts as one int32 array and the end of each text's ids,
     and returns the record batches of ``schema``.
     """
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
-    blocks = docs.select(*keep, words.alias("bpe_words")).mapInArrow(
-        _blocks, "rows binary, per_row binary, positions binary, words array<string>")
-    merges = rank_map(ranks)
-    coded = blocks.select("rows", "per_row", "positions", F.transform(F.array(merges), lambda ranks: F.transform("words", lambda w: fold_merges(w, ranks)))[0].alias("ids"),
-                          F.filter("words", lambda w: F.octet_length(w) > LONG_WORD).alias("long_words"))
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    merges, send = rank_map(ranks), docs.sparkSession.sparkContext.broadcast
+    split = docs.select(*keep, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), F.lit(0)).alias("bpe_words"))
+    known = shared_words(split, merges, shared)
+    words, lists = send(_one(known, "word", pa.string())), send(_one(known, "ids", pa.list_(pa.int32())))
+    sent = send(ranks)
+
+    def pack(batches):
+        yield from _blocks(batches, words.value)
 
     def lay_out(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                lists = batch.column(3)[i].values
-                missing = lists.is_null().to_numpy(zero_copy_only=False)
-                if missing.any():
-                    late = iter(batch.column(4)[i].as_py())
-                    table = [None] * len(missing)
-                    done = lists.to_pylist()
-                    words = [w for w in late if w.encode() not in sent.value]
-                    for at, w in zip(np.flatnonzero(missing).tolist(), words, strict=True):
-                        done[at] = merge_long(w.encode(), sent.value)
-                    lists = pa.array(done, pa.list_(pa.int32()))
-                starts, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
+                own = _with_long(batch.column(3)[i].values.cast(pa.list_(pa.int32())), batch.column(4)[i].as_py(), sent)
+                table = pa.concat_arrays([lists.value, own])
+                starts, flat = table.offsets.to_numpy().astype(np.int64), table.values.to_numpy(zero_copy_only=False)
                 positions = np.frombuffer(batch.column(2)[i].as_py(), np.int32)
                 per_row = np.frombuffer(batch.column(1)[i].as_py(), np.int32)
                 rows = pa.ipc.open_stream(batch.column(0)[i].as_py()).read_all().combine_chunks().to_batches()
-                yield from finish(rows[0] if rows else None, *_laid_out(starts, flat, positions, per_row))
+                yield from finish(rows[0], *_laid_out(starts, flat, positions, per_row))
 
+    blocks = split.mapInArrow(pack, "rows binary, per_row binary, positions binary, words array<string>")
+    coded = blocks.select("rows", "per_row", "positions", _folded(F.col("words"), merges).alias("ids"),
+                          F.filter("words", lambda w: F.octet_length(w) > LONG_WORD).alias("long_words"))
     return coded.mapInArrow(lay_out, schema)
 
 
+def _with_long(lists: pa.Array, long_words: list[str], ranks) -> pa.Array:
+    """Ids of a block's words, those of its long words filled in."""
+    if not lists.null_count:
+        return lists
+    late = iter([merge_long(w.encode(), ranks.value) for w in long_words if w.encode() not in ranks.value])
+    return pa.array([next(late) if x is None else x for x in lists.to_pylist()], pa.list_(pa.int32()))
+
+
 def _laid_out(starts, flat, positions, per_row):
     """All ids in text order and the end of each row's ids."""
     sizes = np.diff(starts)[positions]
