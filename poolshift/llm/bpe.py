@@ -44,7 +44,7 @@ from .text import written
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKETS = 1 << 13
 LONG_WORD = 64
-BLOCK_WORDS = 4_000_000
+COUNT_BLOCK, BLOCK = 4_000_000, 1_000_000  # words of a block: when words are counted, when texts are encoded
 SHARED = 1 << 20
 
 
@@ -153,11 +153,11 @@ def _blocks(batches, shared: pa.Array):
 
     for batch in batches:
         n = batch.num_columns - 1
-        for piece in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+        for piece in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
             rows.append(piece.select(range(n)))
             lists.append(piece.column(n))
             held += len(lists[-1].flatten())
-            if held >= BLOCK_WORDS:
+            if held >= BLOCK:
                 yield block()
                 rows, lists, held = [], [], 0
     if rows:
@@ -180,7 +180,7 @@ def shared_words(split: DataFrame, ranks: Column, size: int = SHARED) -> pa.Tabl
         for batch in batches:
             seen.append(batch.column(0).flatten().unique())
             held += len(batch.column(0).flatten())
-            if held >= BLOCK_WORDS:
+            if held >= COUNT_BLOCK:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(seen).unique()], ["word"])
                 seen, held = [], 0
         if seen:
