@@ -26,6 +26,9 @@ STATUS_MULTI = "多资源池"
 STATUS_SINGLE = "单资源池"
 EMPTY_DISPLAY = "-"
 PRIORITY_CORES = 10
+# Blanks cut off around numbers, pools and list items: space, tab, line feed,
+# vertical tab, form feed, carriage return.
+BLANKS = " \t\n\v\f\r"
 
 # A decimal number as a forgiving text parser accepts it: optional sign,
 # digits with an optional fraction (or a bare fraction), optional exponent.
@@ -39,13 +42,18 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c: str | Column) -> Column:
+    """Text without blanks at either end (see :data:`BLANKS`)."""
+    return F.btrim(col_(c).cast("string"), F.lit(BLANKS))
+
+
 def coerce_number(c: str | Column) -> Column:
     """Text or number -> double; blanks, words and malformed text -> null.
 
     Leading/trailing blanks are ignored, exponents are accepted and the
     word ``nan`` yields null (NaN folded into null).
     """
-    s = F.trim(col_(c).cast("string"))
+    s = strip(c)
     return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
 
 
@@ -71,11 +79,18 @@ def split_pool(pool: Column) -> tuple[Column, Column, Column]:
 
     ``is_pair`` is true only for exactly one separator.
     """
-    parts = F.split(F.trim(pool), POOL_SEP)
+    parts = F.split(strip(pool), POOL_SEP)
     is_pair = F.size(parts) == 2
     return (is_pair,
-            F.when(is_pair, F.trim(F.element_at(parts, 1))),
-            F.when(is_pair, F.trim(F.element_at(parts, 2))))
+            F.when(is_pair, strip(F.element_at(parts, 1))),
+            F.when(is_pair, strip(F.element_at(parts, 2))))
+
+
+def normal_pool(pool: Column) -> Column:
+    """Pool text in one spelling: ``physical/iaas`` without blanks around the
+    parts; text that is no pair only loses the blanks at its ends."""
+    ok, physical, iaas = split_pool(pool)
+    return F.when(ok, F.concat(physical, F.lit(POOL_SEP), iaas)).otherwise(strip(pool))
 
 
 def parse_pool_text(pool: str, bare: str = "error") -> tuple[str, str | None]:
@@ -86,10 +101,10 @@ def parse_pool_text(pool: str, bare: str = "error") -> tuple[str, str | None]:
     bare='any'     -> a bare name matches any iaas (None)   (migratable)
     Two or more separators count as bare.
     """
-    text = (pool or "").strip()
+    text = (pool or "").strip(BLANKS)
     parts = text.split(POOL_SEP)
     if len(parts) == 2:
-        return parts[0].strip(), parts[1].strip()
+        return parts[0].strip(BLANKS), parts[1].strip(BLANKS)
     if bare == "error":
         raise ValueError(f"pool {pool!r} must look like 'physical_cluster/iaas_cluster'")
     if bare == "default":
@@ -111,21 +126,23 @@ def dash_if_blank(c: str | Column) -> Column:
 
 def split_list(c: str | Column, drop_empty: bool = True) -> Column:
     """Comma list -> array of trimmed items (empties dropped if asked)."""
-    items = F.transform(F.split(F.coalesce(col_(c), F.lit("")), ","), lambda x: F.trim(x))
+    items = F.transform(F.split(F.coalesce(col_(c), F.lit("")), ","), strip)
     return F.filter(items, lambda x: x != "") if drop_empty else items
 
 
 def list_size(c: str | Column) -> Column:
-    """Number of non-blank items in a comma list; 0 for blank text."""
-    return F.size(split_list(c, drop_empty=True))
+    """Number of items in a comma list, empty ones included; 0 for blank text."""
+    text = F.coalesce(strip(c), F.lit(""))
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, ",")))
 
 
 def short_number(c: str | Column) -> Column:
-    """1234 -> '1.2K', 2500000 -> '2.5M', smaller values as they are."""
+    """1234 -> '1.2K', 2500000 -> '2.5M', smaller values as they are (999, 12.5)."""
     x = col_(c).cast("double")
     return (F.when(x >= 1e6, F.concat(F.format_string("%.1f", F.round(x / 1e6, 1)), F.lit("M")))
             .when(x >= 1e3, F.concat(F.format_string("%.1f", F.round(x / 1e3, 1)), F.lit("K")))
-            .otherwise(F.format_string("%.1f", F.round(x, 1))))
+            .when(x == F.floor(x), x.cast("bigint").cast("string"))
+            .otherwise(x.cast("string")))
 
 
 def one_decimal(c: str | Column) -> Column:
@@ -154,5 +171,5 @@ def in_list_or_all(c: str | Column, values: Iterable[str] | str | None) -> Colum
         return F.lit(True)
     if isinstance(values, str):
         return F.lit(True) if values == "" else (col_(c) == values)
-    vals = [v for v in values]
+    vals = list(values)
     return F.lit(True) if not vals else col_(c).isin(vals)

@@ -1,9 +1,10 @@
 """Many migration questions in one plan.
 
 A request table (``request_id, idc, pool1, pool2``) is turned into a long
-table of ``(request_id, pool_identifier)``; the inventory joins it on the
-pool key (broadcast when the request table is proven small, a shuffle join
-otherwise). From there the plan is the single-request plan with
+table of ``(request_id, physical cluster, iaas cluster)``; the inventory
+joins it on the two parts of the pool. Which side is broadcast, if any, is
+left to the planner and to AQE, which measure sizes: one plan, one answer,
+at any number of requests. From there the plan is the single-request plan with
 ``request_id`` added to every key, so a batch costs one pass over the
 inventory instead of one pass per request.
 """
@@ -12,19 +13,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import NULL_PART, POOL_PATTERN, pool_key, split_pool
+from ..functions.exprs import NULL_PART, POOL_PATTERN, normal_pool, pool_key, split_pool, strip
 from ..session import cut_lineage
 from .filters import filter_default
 from .skew import join_per_key
 from .migration import detail_columns, lender_rank, order_detail, order_summary, summarise
 
-# Largest request table that is broadcast; above it the join shuffles.
-BROADCAST_MAX_ROWS = 100_000
-
 REQUEST_SCHEMA = T.StructType([
     T.StructField("request_id", T.StringType()),
     T.StructField("idc", T.StringType()),
@@ -37,44 +35,6 @@ REQUEST_SCHEMA = T.StructType([
 ])
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (counts at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after counting at most ``max_rows + 1`` rows."""
-    return F.broadcast(df) if fits(df, max_rows) else df
-
-
-def scan_filter(req_pools: DataFrame) -> Column:
-    """Filter on inventory columns implied by a (proven small) request table:
-    the physical and iaas clusters and the sites that any request names.
-
-    It is implied by the join on the pool key, so it changes no result; it
-    lets the scan skip partitions and row groups of pools and sites no
-    request asks about. One one-row aggregate is collected; its lists are
-    bounded by the request table's size.
-    """
-    parts = F.split("pool_identifier", "/")
-    has_sites = "idcs" in req_pools.columns
-    r = req_pools.agg(
-        F.collect_set(F.element_at(parts, 1)).alias("phys"),
-        F.collect_set(F.element_at(parts, 2)).alias("iaas"),
-        (F.coalesce(F.bool_or(F.size("idcs") == 0), F.lit(True)) if has_sites
-         else F.lit(True)).alias("all_sites"),
-        (F.array_distinct(F.flatten(F.collect_list("idcs"))) if has_sites
-         else F.array().cast("array<string>")).alias("sites")).first()
-    cond = F.lit(True)
-    if r["phys"] and NULL_PART not in r["phys"]:
-        cond = cond & F.col("physical_cluster").isin(sorted(r["phys"]))
-    if r["iaas"] and NULL_PART not in r["iaas"]:
-        cond = cond & F.col("iaas_cluster").isin(sorted(r["iaas"]))
-    if not r["all_sites"]:
-        cond = cond & F.col("idc").isin(sorted(r["sites"]))
-    return cond
-
-
 def parse_requests(df: DataFrame, column: str = "body") -> DataFrame:
     """JSON request bodies -> typed request columns (unknown keys ignored)."""
     return (df.select(F.from_json(F.col(column), REQUEST_SCHEMA).alias("r"))
@@ -84,39 +44,39 @@ def parse_requests(df: DataFrame, column: str = "body") -> DataFrame:
 def site_list(c: str | Column) -> Column:
     """Comma list of sites; blank or null means every site (empty array)."""
     s = F.col(c) if isinstance(c, str) else c
-    return F.when(F.coalesce(F.trim(s), F.lit("")) == "", F.array().cast("array<string>")) \
-        .otherwise(F.transform(F.split(s, ","), lambda x: F.trim(x)))
+    return F.when(F.coalesce(strip(s), F.lit("")) == "", F.array().cast("array<string>")) \
+        .otherwise(F.transform(F.split(s, ","), strip))
 
 
 def valid_pool(c: str | Column) -> Column:
     """Pool text has the form ``name/name`` (letters, digits, ``_``, ``-``)."""
     s = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.trim(s).rlike(POOL_PATTERN), F.lit(False))
+    return F.coalesce(strip(s).rlike(POOL_PATTERN), F.lit(False))
 
 
 def request_errors(kind: str = "migration") -> Column:
     """Array of rule violations for one request row (empty when valid)."""
     def blank(c):
-        return F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+        return F.coalesce(strip(c), F.lit("")) == ""
     checks = []
     if kind == "migration":
         checks = [
             (blank("pool1") | blank("pool2"), "missing pool"),
             (~blank("pool1") & ~split_pool(F.col("pool1"))[0], "pool1 is not physical/iaas"),
             (~blank("pool2") & ~split_pool(F.col("pool2"))[0], "pool2 is not physical/iaas"),
-            (~blank("pool1") & ~blank("pool2") & (F.trim("pool1") == F.trim("pool2")),
+            (~blank("pool1") & ~blank("pool2") & (normal_pool(F.col("pool1")) == normal_pool(F.col("pool2"))),
              "pool1 equals pool2"),
         ]
     elif kind == "scale_down":
         checks = [(blank("idc") | blank("pool"), "missing site or pool")]
     elif kind == "candidates":
-        cands = F.transform(F.filter(F.split(F.coalesce("candidate_pools", F.lit("")), ","),
-                                     lambda x: F.trim(x) != ""), lambda x: F.trim(x))
+        cands = F.filter(F.transform(F.split(F.coalesce("candidate_pools", F.lit("")), ","), normal_pool),
+                         lambda x: x != "")
         checks = [
             (blank("target_pool"), "missing target pool"),
             (F.size(cands) == 0, "no candidate pools"),
             (F.size(F.array_distinct(cands)) != F.size(cands), "duplicate candidate pools"),
-            (F.array_contains(cands, F.trim("target_pool")), "target among candidates"),
+            (F.coalesce(F.array_contains(cands, normal_pool(F.col("target_pool"))), F.lit(False)), "target among candidates"),
             (~F.forall(cands, lambda x: x.rlike(POOL_PATTERN)), "candidate pool format"),
         ]
     else:
@@ -125,24 +85,49 @@ def request_errors(kind: str = "migration") -> Column:
 
 
 def validate_requests(requests: DataFrame, kind: str = "migration") -> DataFrame:
-    """Request rows with an ``errors`` array and a ``valid`` flag."""
-    return (requests.withColumn("errors", request_errors(kind))
+    """Request rows with an ``errors`` array and a ``valid`` flag. An id that
+    several rows carry is an error in each of them: answers are told apart by
+    it (requests without an id column are single questions)."""
+    if "request_id" not in requests.columns:
+        return (requests.withColumn("errors", request_errors(kind))
+                .withColumn("valid", F.size("errors") == 0))
+    repeated = F.count(F.lit(1)).over(Window.partitionBy("request_id")) > 1
+    again = F.when(repeated, F.array(F.lit("repeated request_id"))).otherwise(F.array().cast("array<string>"))
+    return (requests.withColumn("errors", F.concat(request_errors(kind), again))
             .withColumn("valid", F.size("errors") == 0))
 
 
+def once(requests: DataFrame) -> DataFrame:
+    """Requests whose id no other row carries (the others cannot be answered apart)."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("request_id"))
+    return requests.withColumn("_same_id", n).filter("_same_id = 1").drop("_same_id")
+
+
 def request_pools(requests: DataFrame) -> DataFrame:
-    """Valid migration requests in long form: one row per (request, pool)."""
-    ok1, p1, i1 = split_pool(F.col("pool1"))
-    ok2, p2, i2 = split_pool(F.col("pool2"))
-    req = (requests
-           .filter(ok1 & ok2)
+    """Valid migration requests in long form: one row per (request, pool), the
+    pool's parts as columns of their own. The rules are those of
+    :func:`validate_requests`, here and in the stream."""
+    _, p1, i1 = split_pool(F.col("pool1"))
+    _, p2, i2 = split_pool(F.col("pool2"))
+    pools = F.array(F.struct(p1.alias("p"), i1.alias("i")), F.struct(p2.alias("p"), i2.alias("i")))
+    req = (validate_requests(requests).filter("valid")
            .select("request_id",
                    site_list("idc").alias("idcs"),
                    F.concat(p1, F.lit("/"), i1).alias("lender_key"),
-                   F.concat(p2, F.lit("/"), i2).alias("receiver_key")))
+                   F.concat(p2, F.lit("/"), i2).alias("receiver_key"),
+                   F.explode(pools).alias("pool")))
     return req.select("request_id", "idcs", "lender_key", "receiver_key",
-                      F.explode(F.array_distinct(F.array("lender_key", "receiver_key")))
-                      .alias("pool_identifier"))
+                      F.col("pool.p").alias("req_physical"), F.col("pool.i").alias("req_iaas"))
+
+
+def join_pools(rows: DataFrame, requested: DataFrame) -> DataFrame:
+    """Rows with every request for their pool (``req_physical``, ``req_iaas``;
+    a missing part of a row's pool is named ``nan``) at one of its ``idcs``."""
+    def part(c):
+        return F.coalesce(F.col(c), F.lit(NULL_PART))
+    on = (part("physical_cluster") == F.col("req_physical")) & (part("iaas_cluster") == F.col("req_iaas"))
+    j = rows.join(requested, on).drop("req_physical", "req_iaas")
+    return j.filter((F.size("idcs") == 0) | F.array_contains("idcs", F.col("idc")))
 
 
 @dataclass
@@ -153,13 +138,8 @@ class BatchMigration:
 
 
 def batch_rows(inv: DataFrame, req_pools: DataFrame) -> DataFrame:
-    """Inventory rows attached to every request naming their pool and site.
-
-    ``req_pools`` should already carry a broadcast hint when it is small
-    (see :func:`fits`)."""
-    rows = filter_default(inv).withColumn("pool_identifier", pool_key())
-    j = rows.join(req_pools, "pool_identifier")
-    return j.filter((F.size("idcs") == 0) | F.array_contains("idcs", F.col("idc")))
+    """Inventory rows attached to every request naming their pool and site."""
+    return join_pools(filter_default(inv).withColumn("pool_identifier", pool_key()), req_pools)
 
 
 def migration_batch(inv: DataFrame, requests: DataFrame, rank_by: str = "last",
@@ -171,19 +151,14 @@ def migration_batch(inv: DataFrame, requests: DataFrame, rank_by: str = "last",
     The package column is kept in both outputs; whether package is a summary
     key is decided per request by the same data rule as the single analysis.
     ``materialize`` checkpoints the matched rows (shared by both outputs)
-    into the shared checkpoint folder. ``prefilter`` is a caller-known filter
-    implied by the requests (a small, driver-side request list); it replaces
-    the size check and the derived scan filter.
+    into the shared checkpoint folder. ``prefilter`` is a filter on inventory
+    columns that the requests imply and the caller knows (pools and sites
+    given as arguments); it only spares reading rows the join would drop.
     """
     rp = request_pools(requests.withColumnRenamed(group, "request_id")) \
         if group != "request_id" else request_pools(requests)
-    # read by the size check, the implied scan filter and the join:
-    # checkpoint the (request, pool) table once
-    rp = cut_lineage(rp)
-    small = prefilter is not None or fits(rp)
-    if small:
-        inv = inv.filter(prefilter if prefilter is not None else scan_filter(rp))
-        rp = F.broadcast(rp)
+    if prefilter is not None:
+        inv = inv.filter(prefilter)
     j = batch_rows(inv, rp)
     has_package = F.bool_or(F.col("package").isNotNull() & (F.col("package") != ""))
     services = lender_rank(j, F.col("lender_key"), F.col("receiver_key"), rank_by=rank_by,
@@ -194,16 +169,10 @@ def migration_batch(inv: DataFrame, requests: DataFrame, rank_by: str = "last",
     # aggregated once and the lineage is cut.
     services = cut_lineage(services)
     # Package gate per request, from the per-service table: one row per
-    # request. With a small request table it is broadcast (bounded by the
-    # checked request count); otherwise services join it with hot requests
-    # split over several tasks.
-    gate = services.groupBy("request_id").agg(F.bool_or("_pkg_any").alias("_pkg"),
-                                              F.count(F.lit(1)).alias("_n"))
-    if small:
-        services = services.join(F.broadcast(gate.drop("_n")), "request_id")
-    else:
-        services = join_per_key(services, gate, ["request_id"], "_n", salt_source="psm")
-    services = services.drop("_pkg_any", "_n")
+    # request (AQE splits a request that most services belong to).
+    gate = services.groupBy("request_id").agg(F.bool_or("_pkg_any").alias("_pkg"))
+    services = services.join(gate, "request_id")
+    services = services.drop("_pkg_any")
     joined = join_per_key(j, services, ["request_id", "psm"], "_rows").drop("_rows")
     services = services.drop("_rows", "_pkg")
     if materialize:

@@ -13,34 +13,40 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import in_list_or_all, parse_pool_text, pool_key
-from ..session import cut_lineage
-from .batch import fits, migration_batch, scan_filter
+from ..functions.exprs import (BLANKS, POOL_SEP, in_list_or_all, normal_pool, parse_pool_text,
+                               pool_key, split_pool)
+from .batch import join_pools, migration_batch, once, site_list
 from .filters import filter_by_idc, filter_default, pools_predicate
 from .migration import zero_if_null
 
 ROWS_PER_CANDIDATE = 10
 
 
+def one_spelling(pool: str | None) -> str:
+    """Driver-side :func:`normal_pool`: no blanks around the parts of a pair."""
+    text = (pool or "").strip(BLANKS)
+    parts = text.split(POOL_SEP)
+    return POOL_SEP.join(p.strip(BLANKS) for p in parts) if len(parts) == 2 else text
+
+
 def candidate_list(text: str | Iterable[str], target: str | None = None) -> list[str]:
-    """Driver-side form of a candidate argument: trimmed, blanks dropped,
-    duplicates dropped (first kept), the target itself removed."""
+    """Driver-side form of a candidate argument: each in one spelling, blanks
+    dropped, duplicates dropped (first kept), the target itself removed."""
     items = text.split(",") if isinstance(text, str) else list(text)
     out: list[str] = []
-    for it in items:
-        it = (it or "").strip()
-        if it and it not in out and it != (target or "").strip():
+    for it in map(one_spelling, items):
+        if it and it not in out and it != one_spelling(target):
             out.append(it)
     return out
 
 
 def candidates_column(text: Column, target: Column | None = None) -> Column:
-    """Column form: comma text -> trimmed, non-empty, distinct list without the target."""
-    items = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)),
+    """Column form: comma text -> distinct non-empty pools in one spelling, without the target."""
+    items = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), normal_pool),
                      lambda x: x != "")
     items = F.array_distinct(items)
     if target is not None:
-        items = F.array_remove(items, F.trim(target))
+        items = F.array_remove(items, normal_pool(target))
     return items
 
 
@@ -62,9 +68,7 @@ def pool_stats(inv: DataFrame, pools: DataFrame, idc=None,
     keys = pools.select("pool_identifier").distinct()
     rows = filter_default(filter_by_idc(inv, idc))
     if prefilter is not None:
-        rows, keys = rows.filter(prefilter), F.broadcast(keys)
-    elif fits(keys):
-        rows, keys = rows.filter(scan_filter(keys)), F.broadcast(keys)
+        rows = rows.filter(prefilter)
     return (rows.withColumn("pool_identifier", pool_key()).join(keys, "pool_identifier")
             .groupBy("pool_identifier")
             .agg(F.count_distinct("psm").cast("bigint").alias("psm_count"),
@@ -156,36 +160,29 @@ def candidate_batch(inv: DataFrame, requests: DataFrame) -> DataFrame:
     the matched-service count and the candidate pool's totals at the
     request's sites.
 
-    Candidates are parsed per request (trimmed, blanks and duplicates
-    dropped, the target removed) and exploded; each (request, candidate) is
+    Candidates are parsed per request (one spelling each, blanks and
+    duplicates dropped, the target removed) and exploded; each (request, candidate) is
     then a migration question answered by the batch plan, and pool totals
     come from one equi-join of the rows on the pool key.
     """
-    from ..functions.exprs import split_pool
-    from .batch import site_list
     ok, p, i = split_pool(F.col("target_pool"))
-    cands = (requests.filter(ok)
+    cands = (once(requests).filter(ok)
              .select("request_id", "idc", F.concat(p, F.lit("/"), i).alias("target"),
                      F.posexplode(candidates_column(F.col("candidate_pools"),
                                                     F.col("target_pool"))))
              .select("request_id", "idc", "target", F.col("pos").alias("position"),
                      F.col("col").alias("candidate_pool"),
                      F.concat_ws("#", "request_id", F.col("pos").cast("string")).alias("sub_id")))
-    cands = cut_lineage(cands)  # read by the batch plan, the pool totals and the overview
     b = migration_batch(inv, cands.select(F.col("sub_id").alias("request_id"), "idc",
                                           F.col("target").alias("pool1"),
                                           F.col("candidate_pool").alias("pool2")))
     matched = b.services.groupBy(F.col("request_id").alias("sub_id")).agg(
         F.count(F.lit(1)).cast("bigint").alias("matching_psm_count"))
 
-    keys = cands.select("sub_id", F.col("candidate_pool").alias("pool_identifier"),
+    _, cand_physical, cand_iaas = split_pool(F.col("candidate_pool"))
+    keys = cands.select("sub_id", cand_physical.alias("req_physical"), cand_iaas.alias("req_iaas"),
                         site_list("idc").alias("idcs"))
-    rows = filter_default(inv)
-    if fits(keys):
-        rows, keys = rows.filter(scan_filter(keys)), F.broadcast(keys)
-    totals = (rows.withColumn("pool_identifier", pool_key()).join(keys, "pool_identifier")
-              .filter((F.size("idcs") == 0) | F.array_contains("idcs", F.col("idc")))
-              .groupBy("sub_id")
+    totals = (join_pools(filter_default(inv), keys).groupBy("sub_id")
               .agg(F.count_distinct("psm").cast("bigint").alias("psm_count"),
                    F.sum(zero_if_null("instance_num")).alias("total_instances"),
                    F.sum(zero_if_null("cpu_limit")).alias("total_cpu"),

@@ -38,12 +38,11 @@ def pools_predicate(pools: list[tuple[str, str | None]]):
         cond = pool_key().isin(keys)
     parts_ok = all(p != NULL_PART and (i is None or i != NULL_PART) for p, i in pools)
     if parts_ok:
-        phys = sorted({p for p, _ in pools})
-        cond = F.col("physical_cluster").isin(phys) if cond is None else \
-            cond & F.col("physical_cluster").isin(phys)
+        phys = in_list_or_all("physical_cluster", sorted({p for p, _ in pools}))
+        cond = phys if cond is None else cond & phys
         iaas = {i for _, i in pools}
         if None not in iaas:
-            cond = cond & F.col("iaas_cluster").isin(sorted(iaas))
+            cond = cond & in_list_or_all("iaas_cluster", sorted(iaas))
     return cond if cond is not None else F.lit(True)
 
 

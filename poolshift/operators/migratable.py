@@ -116,8 +116,8 @@ def migratable_batch(inv: DataFrame, requests: DataFrame) -> DataFrame:
     equi-join on ``(site, psm)``, and the second aggregation runs per
     ``(request, psm)``. No join is a cross product.
     """
-    from ..functions.exprs import split_pool
-    from .batch import fits
+    from ..functions.exprs import split_pool, strip
+    from .batch import once
     rows = filter_default(inv).filter(F.col("psm").isNotNull())
     # site_key: the site, or null for the across-sites profile ("every site")
     # The first aggregation feeds both profiles below and is read again with
@@ -132,13 +132,11 @@ def migratable_batch(inv: DataFrame, requests: DataFrame) -> DataFrame:
                .withColumn("pool_key", pool_key()))
 
     ok, phys, iaas = split_pool(F.col("pool"))
-    req = requests.select(
+    req = once(requests).select(
         "request_id", F.col("idc").alias("req_idc"), F.col("pool").alias("req_pool"),
         F.when(F.coalesce(F.col("idc"), F.lit("")) != "", F.col("idc")).alias("req_site"),
-        F.when(ok, phys).otherwise(F.trim("pool")).alias("req_physical"),
+        F.when(ok, phys).otherwise(strip("pool")).alias("req_physical"),
         F.when(ok & (iaas != ""), iaas).alias("req_iaas"))
-    req = cut_lineage(req)  # read by the size check and both joins
-    req = F.broadcast(req) if fits(req) else req
     # target services of each request: equi-join on (site, physical cluster)
     prof_keys = profile.select("site_key", "psm", "physical_cluster").distinct()
     targets = (prof_keys.join(req, prof_keys["site_key"].eqNullSafe(req["req_site"])

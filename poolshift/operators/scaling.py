@@ -8,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (PRIORITY_CORES, business_line, dash_if_blank,
-                               parse_pool_text)
-from ..session import cut_lineage
+from ..functions.exprs import (DEFAULT_IAAS, PRIORITY_CORES, business_line, dash_if_blank,
+                               parse_pool_text, split_pool, strip)
 from .filters import filter_by_idc, filter_default, filter_pool
 
 RECOMMEND_COLUMNS = ["psm", "cluster_id", "package", "cpu_limit", "mem_limit", "save_cores",
@@ -69,7 +68,7 @@ def recommend_display(rec: DataFrame) -> DataFrame:
 
 def min_cores_value(c) -> "Column":
     """Threshold text -> int: a whole number (blanks around it allowed), else 0."""
-    t = F.trim(F.col(c) if isinstance(c, str) else c)
+    t = strip(c)
     return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("int")).otherwise(F.lit(0))
 
 
@@ -78,27 +77,16 @@ def recommend_batch(inv: DataFrame, requests: DataFrame, with_priority: bool = T
 
     Requests join the inventory on ``(physical_cluster, iaas_cluster)`` (a
     bare pool name means iaas ``default``); a blank site means every site.
-    The request table is broadcast and its pools and sites pushed to the
-    scan when it is proven small.
+    Rows of requests that share an id stay rows of that id.
     """
-    from ..functions.exprs import DEFAULT_IAAS, split_pool
-    from .batch import fits, scan_filter
     ok, phys, iaas = split_pool(F.col("pool"))
     req = requests.select(
         "request_id",
         F.when(F.coalesce(F.col("idc"), F.lit("")) == "", F.lit(None)).otherwise(F.col("idc"))
         .alias("req_idc"),
-        F.when(ok, phys).otherwise(F.trim("pool")).alias("physical_cluster"),
+        F.when(ok, phys).otherwise(strip("pool")).alias("physical_cluster"),
         F.when(ok, iaas).otherwise(F.lit(DEFAULT_IAAS)).alias("iaas_cluster"),
         min_cores_value("min_save_cores").alias("min_cores"))
-    req = cut_lineage(req)  # read by the size check, the scan filter and the join
-    if fits(req):
-        keys = req.select(F.concat("physical_cluster", F.lit("/"), "iaas_cluster")
-                          .alias("pool_identifier"),
-                          F.when(F.col("req_idc").isNull(), F.array().cast("array<string>"))
-                          .otherwise(F.array("req_idc")).alias("idcs"))
-        inv = inv.filter(scan_filter(keys))
-        req = F.broadcast(req)
     rows = (inv.join(req, ["physical_cluster", "iaas_cluster"])
             .filter(F.col("req_idc").isNull() | (F.col("idc") == F.col("req_idc"))))
     rows = save_cores_clean(rows).filter(F.col("save_cores") >= F.col("min_cores"))

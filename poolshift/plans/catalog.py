@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (coerce_number, count_or_zero, list_size, number_or_zero,
+from ..functions.exprs import (coerce_number, count_or_zero, list_size, normal_pool, number_or_zero,
                                pool_key, split_pool)
 from ..operators import batch as B
 from ..operators import candidates as C
@@ -25,7 +25,8 @@ from ..operators import results as R
 from ..operators import scaling as M2
 from ..session import scratch_path
 from ..sinks import report as K
-from ..sources.inventory import inventory, normalise_inventory, raw_inventory, read_inventory
+from ..sources.inventory import (INVENTORY_COLUMNS, inventory, normalise_inventory,
+                                 raw_inventory, read_inventory)
 from ..sources.requests import request_bodies, request_table
 
 # Standard parameters of the checks.
@@ -202,15 +203,15 @@ def q_parse_candidates(spark, sf_dir):
     req = request_table(spark, sf_dir)
     raw = C.candidates_column(F.col("candidate_pools"))
     cands = C.candidates_column(F.col("candidate_pools"), F.col("target_pool"))
-    items = F.filter(F.transform(F.split(F.coalesce("candidate_pools", F.lit("")), ","),
-                                 lambda x: F.trim(x)), lambda x: x != "")
+    items = F.filter(F.transform(F.split(F.coalesce("candidate_pools", F.lit("")), ","), normal_pool),
+                     lambda x: x != "")
     return req.select(
         "request_id", "target_pool",
         F.array_join(cands, ",").alias("candidates"),
         F.size(cands).alias("candidate_count"),
         list_size("candidate_pools").alias("listed_count"),
         (F.size(items) != F.size(raw)).alias("had_duplicates"),
-        F.array_contains(raw, F.trim("target_pool")).alias("target_listed"))
+        F.array_contains(raw, normal_pool(F.col("target_pool"))).alias("target_listed"))
 
 
 def q_pool_stats(spark, sf_dir):
@@ -258,6 +259,16 @@ def q_validate_pools(spark, sf_dir):
                       B.valid_pool("pool2").alias("pool2_ok"))
 
 
+def q_validate_requests_candidates(spark, sf_dir):
+    req = B.validate_requests(B.parse_requests(request_bodies(spark, sf_dir)), "candidates")
+    return req.select("request_id", F.array_join("errors", "; ").alias("errors"), "valid")
+
+
+def q_validate_requests_scale_down(spark, sf_dir):
+    req = B.validate_requests(B.parse_requests(request_bodies(spark, sf_dir)), "scale_down")
+    return req.select("request_id", F.array_join("errors", "; ").alias("errors"), "valid")
+
+
 def q_validate_requests(spark, sf_dir):
     req = B.validate_requests(B.parse_requests(request_bodies(spark, sf_dir)))
     return req.select("request_id", F.array_join("errors", "; ").alias("errors"), "valid")
@@ -308,22 +319,44 @@ def q_candidate_batch(spark, sf_dir):
     return C.candidate_batch(inventory(spark, sf_dir), req)
 
 
-_CSV_EXPORTS: dict[tuple, str] = {}
+_EXPORTS: dict[tuple, str] = {}
 
 
-def q_read_inventory(spark, sf_dir):
-    """Read an untidy CSV export of the inventory (all text, quoted, blanks).
-    The export is written once per session and data folder; the query is
-    the read and normalisation."""
+def _export(spark, sf_dir, fmt: str, columns: list[str]) -> str:
+    """An export of the raw inventory with the given columns, written once per
+    session and source data."""
     from ..session import app_id
-    key = (app_id(spark), sf_dir.rstrip("/"))
-    path = _CSV_EXPORTS.get(key)
-    if path is None:
-        path = scratch_path(spark, "inventory-csv")
-        K.write_csv(raw_inventory(spark, sf_dir).drop("row_ord"), path)
-        _CSV_EXPORTS[key] = path
-    inv = normalise_inventory(read_inventory(spark, path, fmt="csv"))
-    return inv.drop("row_ord")
+    from ..sources.inventory import _stamp
+    key = (app_id(spark), fmt, *columns, _stamp(spark, sf_dir))
+    if key not in _EXPORTS:
+        path = scratch_path(spark, f"inventory-{fmt}")
+        K.write_table(raw_inventory(spark, sf_dir).select(*columns), path, fmt)
+        _EXPORTS[key] = path
+    return _EXPORTS[key]
+
+
+def _read_export(spark, sf_dir, fmt, columns):
+    return normalise_inventory(read_inventory(spark, _export(spark, sf_dir, fmt, columns), fmt=fmt)).drop("row_ord")
+
+
+def q_read_inventory(spark, sf_dir):
+    """An untidy CSV export of the inventory (all text, quoted, blanks), read and normalised."""
+    return _read_export(spark, sf_dir, "csv", [c for c in INVENTORY_COLUMNS if c != "row_ord"])
+
+
+# Columns of the exports that come in another order and without save_cores and cluster_id.
+REORDERED = ["idc", "mem_limit", "psm", "cpu_request", "cluster_name", "physical_cluster", "package",
+             "iaas_cluster", "instance_num", "cpu_limit"]
+
+
+def q_read_inventory_reordered(spark, sf_dir):
+    """CSV columns are found by name; absent ones fall back (cluster_name, cpu_limit - cpu_request)."""
+    return _read_export(spark, sf_dir, "csv", REORDERED).select(*REORDERED, "cluster_id", "save_cores", "host_type")
+
+
+def q_read_inventory_json(spark, sf_dir):
+    """The same from JSON lines."""
+    return _read_export(spark, sf_dir, "json", REORDERED).select(*REORDERED, "cluster_id", "save_cores", "host_type")
 
 
 def q_normalised_inventory(spark, sf_dir):
@@ -352,7 +385,7 @@ def q_pad_rows(spark, sf_dir):
 
 
 def q_records_json(spark, sf_dir):
-    return K.records_json(_migration(spark, sf_dir).services)
+    return K.records_json(q_recommend_scale_down(spark, sf_dir).select("psm", "package", "save_cores", "mem_util_max_7days"))
 
 
 def q_csv_export(spark, sf_dir):

@@ -17,7 +17,7 @@ SELECT 'svc.' || CAST(p.p_partkey AS STRING) AS psm,
        replace(r.r_name, ' ', '-') AS physical_cluster,
        CASE l.l_returnflag WHEN 'N' THEN 'default' WHEN 'A' THEN 'gpu' ELSE 'spot' END AS iaas_cluster,
        CASE l.l_linenumber WHEN 7 THEN 'n/a' WHEN 6 THEN NULL
-            WHEN 5 THEN ' ' || CAST(l.l_quantity AS STRING) || ' '
+            WHEN 5 THEN chr(9) || CAST(l.l_quantity AS STRING) || chr(10)
             WHEN 4 THEN CAST(l.l_quantity + 0.5 AS STRING)
             ELSE CAST(CAST(l.l_quantity AS INT) AS STRING) END AS instance_num,
        l.l_quantity * 4 AS cpu_limit,
@@ -32,7 +32,8 @@ SELECT 'svc.' || CAST(p.p_partkey AS STRING) AS psm,
        p.p_type AS dept_level1,
        '/' || p.p_name || '/' AS dept_level2,
        o.o_orderpriority AS host_type,
-       (((l.l_orderkey * 10 + l.l_linenumber) * 100000 + l.l_partkey) * 10000 + l.l_suppkey) * 100 + CAST(l.l_quantity AS INT) AS row_ord
+       (l.l_orderkey * 10 + l.l_linenumber) * 1000 + row_number() OVER (
+           PARTITION BY l.l_orderkey, l.l_linenumber ORDER BY l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice) AS row_ord
 FROM lineitem l
 JOIN part p ON p.p_partkey = l.l_partkey
 JOIN supplier s ON s.s_suppkey = l.l_suppkey
@@ -43,10 +44,15 @@ JOIN customer c ON c.c_custkey = o.o_custkey
 """
 
 
+# Space and the control characters 9 to 13.
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
 def num(x: str) -> str:
     """Text -> double the way a forgiving parser reads it (bad/blank/nan -> NULL)."""
-    v = f"TRY_CAST(trim({x}) AS DOUBLE)"
-    return (f"(CASE WHEN regexp_full_match(trim({x}), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') "
+    s = f"trim({x}, {BLANKS})"
+    v = f"TRY_CAST({s} AS DOUBLE)"
+    return (f"(CASE WHEN regexp_full_match({s}, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') "
             f"THEN {v} END)")
 
 
@@ -153,7 +159,7 @@ REQ_CTE = """req AS (
     (replace(r2.r_name, ' ', '-') || '/' || CASE n.n_nationkey % 3 WHEN 0 THEN 'default'
          WHEN 1 THEN 'gpu' ELSE 'spot' END) || ', ,' || replace(r1.r_name, ' ', '-') || '/default' || ','
       || (replace(r2.r_name, ' ', '-') || '/' || CASE n.n_nationkey % 3 WHEN 0 THEN 'default'
-         WHEN 1 THEN 'gpu' ELSE 'spot' END) || ',' || replace(r2.r_name, ' ', '-') || '/default'
+         WHEN 1 THEN 'gpu' ELSE 'spot' END) || ',' || replace(r2.r_name, ' ', '-') || ' / default '
       AS candidate_pools
   FROM nation n JOIN region r1 ON r1.r_regionkey = n.n_regionkey
   JOIN region r2 ON r2.r_regionkey = (n.n_regionkey + 1) % 5)"""
@@ -166,7 +172,7 @@ BATCH_CTES = (
         CASE WHEN trim(coalesce(idc, '')) = '' THEN NULL
              ELSE list_transform(string_split(idc, ','), lambda x: trim(x)) END AS sites
       FROM req
-      WHERE length(trim(pool1)) - length(replace(trim(pool1), '/', '')) = 1
+      WHERE trim(pool1) <> trim(pool2) AND length(trim(pool1)) - length(replace(trim(pool1), '/', '')) = 1
         AND length(trim(pool2)) - length(replace(trim(pool2), '/', '')) = 1)""",
     f"""brows AS (SELECT v.request_id, v.k1, v.k2, d.*, {PK} AS pool_identifier
       FROM ninv d JOIN vreq v ON {PK} IN (v.k1, v.k2)
@@ -214,12 +220,16 @@ CAND_CTES = (
 )
 CAND = _with(*CAND_CTES)
 
-# Fixed display rule: 1,234.50 / 1.2K / 3.4M / %.1f (rounding half away from zero).
+_REORDERED = """SELECT idc, mem_limit, psm, cpu_request, cluster_name, physical_cluster, {package} AS package,
+    iaas_cluster, instance_num, cpu_limit, cluster_name AS cluster_id, cpu_limit - cpu_request AS save_cores,
+    CAST(NULL AS VARCHAR) AS host_type FROM ninv"""
+
+# Fixed display rule: 1,234.50 / 999 / 1.2K / 3.4M / %.1f (rounding half away from zero).
 def _fmt(c: str) -> str:
     return (f"format('{{:,.2f}}', {c}) AS {c}_fmt, "
             f"CASE WHEN {c} >= 1e6 THEN printf('%.1f', round({c} / 1e6, 1)) || 'M' "
             f"WHEN {c} >= 1e3 THEN printf('%.1f', round({c} / 1e3, 1)) || 'K' "
-            f"ELSE printf('%.1f', round({c}, 1)) END AS {c}_short, "
+            f"WHEN {c} = trunc({c}) THEN CAST(CAST({c} AS BIGINT) AS STRING) ELSE CAST({c} AS STRING) END AS {c}_short, "
             f"printf('%.1f', round({c}, 1)) AS {c}_1f")
 
 
@@ -271,8 +281,8 @@ CANDIDATE_BATCH = _with(REQ_CTE,
     """rl AS (SELECT request_id, trim(target_pool) AS target,
         CASE WHEN trim(coalesce(idc, '')) = '' THEN NULL
              ELSE list_transform(string_split(idc, ','), lambda x: trim(x)) END AS sites,
-        list_filter(list_transform(string_split(coalesce(candidate_pools, ''), ','), lambda x: trim(x)),
-                    lambda x: x <> '') AS l
+        list_filter(list_transform(string_split(coalesce(candidate_pools, ''), ','),
+            lambda x: trim(regexp_replace(x, '^([^/]*?) */ *([^/]*)$', '\\1/\\2'))), lambda x: x <> '') AS l
       FROM req WHERE len(string_split(trim(target_pool), '/')) = 2)""",
     """rc AS (SELECT request_id, target, sites, candidate_pool, CAST(pos - 1 AS INTEGER) AS position
       FROM (SELECT request_id, target, sites,
@@ -371,12 +381,14 @@ ORACLE: dict[str, str] = {
     "migratable_top": MS + f"SELECT {MS_COLS}, first_seen FROM ms ORDER BY first_seen LIMIT 500",
     "filter_other_pools": MS + f"""SELECT {MS_COLS}, first_seen FROM ms
         WHERE contains(lower(other_pools), 'asia')""",
-    "parse_candidates": _with(REQ_CTE, """items AS (SELECT request_id, target_pool,
-          list_filter(list_transform(string_split(coalesce(candidate_pools, ''), ','), lambda x: trim(x)), lambda x: x <> '') AS l
+    "parse_candidates": _with(REQ_CTE, """items AS (SELECT request_id, target_pool, candidate_pools,
+          list_filter(list_transform(string_split(coalesce(candidate_pools, ''), ','),
+            lambda x: trim(regexp_replace(x, '^([^/]*?) */ *([^/]*)$', '\\1/\\2'))), lambda x: x <> '') AS l
         FROM req)""") + """SELECT request_id, target_pool,
         array_to_string(list_filter(list_distinct_ordered, lambda x: x <> trim(target_pool)), ',') AS candidates,
         CAST(len(list_filter(list_distinct_ordered, lambda x: x <> trim(target_pool))) AS INTEGER) AS candidate_count,
-        CAST(len(l) AS INTEGER) AS listed_count,
+        CAST(CASE WHEN trim(coalesce(candidate_pools, '')) = '' THEN 0
+             ELSE len(string_split(candidate_pools, ',')) END AS INTEGER) AS listed_count,
         len(l) <> len(list_distinct_ordered) AS had_duplicates,
         list_contains(l, trim(target_pool)) AS target_listed
       FROM (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered FROM items)""",
@@ -418,8 +430,7 @@ ORACLE: dict[str, str] = {
          AND trim(pool1) <> trim(pool2)) AS valid
       FROM req""",
     "migration_batch": BATCH + f"SELECT request_id, {DETAIL_SELECT} FROM bmatched",
-    "migration_batch_stream": BATCH + f"""SELECT request_id, {DETAIL_SELECT} FROM bmatched
-        WHERE request_id IN (SELECT request_id FROM req WHERE trim(pool1) <> trim(pool2))""",
+    "migration_batch_stream": BATCH + f"SELECT request_id, {DETAIL_SELECT} FROM bmatched",
     "migration_batch_summary": BATCH + f"""SELECT m.request_id, psm, pool_identifier,
         CASE WHEN g.pkg THEN package END AS package, {SUMMARY_SUMS}
         FROM bmatched m JOIN bgate g ON g.request_id = m.request_id
@@ -428,6 +439,22 @@ ORACLE: dict[str, str] = {
         physical_cluster, iaas_cluster, instance_num, cpu_limit, cpu_request, mem_limit, save_cores,
         NULLIF(cpu_util_max_1days, '') AS cpu_util_max_1days, cpu_util_max_7days, mem_util_max_7days,
         dept_level1, dept_level2, host_type FROM ninv""",
+    "read_inventory_reordered": _with() + _REORDERED.format(package="NULLIF(package, '')"),
+    "read_inventory_json": _with() + _REORDERED.format(package="NULLIF(package, '')"),
+    "validate_requests_scale_down": _with(REQ_CTE) + """SELECT request_id,
+        CASE WHEN trim(coalesce(idc, '')) = '' OR trim(coalesce(pool, '')) = '' THEN 'missing site or pool' ELSE '' END AS errors,
+        NOT (trim(coalesce(idc, '')) = '' OR trim(coalesce(pool, '')) = '') AS valid FROM req""",
+    "validate_requests_candidates": _with(REQ_CTE, """citems AS (SELECT request_id, target_pool,
+          list_filter(list_transform(string_split(coalesce(candidate_pools, ''), ','),
+            lambda x: trim(regexp_replace(x, '^([^/]*?) */ *([^/]*)$', '\\1/\\2'))), lambda x: x <> '') AS l FROM req)""",
+        """cerrors AS (SELECT request_id, list_filter([
+          CASE WHEN trim(coalesce(target_pool, '')) = '' THEN 'missing target pool' END,
+          CASE WHEN len(l) = 0 THEN 'no candidate pools' END,
+          CASE WHEN len(list_distinct(l)) <> len(l) THEN 'duplicate candidate pools' END,
+          CASE WHEN list_contains(l, trim(target_pool)) THEN 'target among candidates' END,
+          CASE WHEN len(list_filter(l, lambda x: NOT regexp_full_match(x, '[A-Za-z0-9_-]+/[A-Za-z0-9_-]+'))) > 0 THEN 'candidate pool format' END
+        ], lambda x: x IS NOT NULL) AS e FROM citems)""") + """SELECT request_id, array_to_string(e, '; ') AS errors,
+        len(e) = 0 AS valid FROM cerrors""",
     "normalised_inventory": _with() + "SELECT * FROM ninv",
     "search_rows": MIG + f"""SELECT * FROM (SELECT {DETAIL_SELECT} FROM matched) d
         WHERE contains(lower(concat_ws(' ', coalesce(psm, ''), coalesce(pool_identifier, ''), coalesce(package, ''),
@@ -450,8 +477,8 @@ ORACLE: dict[str, str] = {
         CASE WHEN i = 0 THEN psm END AS psm, CASE WHEN i = 0 THEN cluster_id END AS cluster_id,
         CASE WHEN i = 0 THEN cpu_limit END AS cpu_limit
       FROM prows, range(0, 3) t(i)""",
-    "records_json": MIG + """SELECT to_json({'psm': b.psm, 'sort_key': l.sort_key}) AS record
-        FROM both_svc b JOIN lender_last l ON l.psm = b.psm""",
+    "records_json": REC + """SELECT to_json({'psm': psm, 'package': package, 'save_cores': save_cores,
+        'mem_util_max_7days': mem_util_max_7days}) AS record FROM rec""",
     "csv_export": REC + """SELECT psm,
         CASE WHEN coalesce(cluster_id, '') = '' THEN '-' ELSE cluster_id END AS cluster_id,
         CASE WHEN coalesce(package, '') = '' THEN '-' ELSE package END AS package,

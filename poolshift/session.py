@@ -1,13 +1,15 @@
 """Session settings and the shared scratch folder.
 
 Scratch output (checkpoints, written reports) always goes under the folder
-the cluster names in ``spark.checkpoint.dir``; a local temporary folder is
-taken only when that setting is absent (tests, local runs).
+the cluster names in ``spark.checkpoint.dir``. A local temporary folder is
+taken only by a local session that names none (tests, local runs); on any
+other master its absence is an error, as executors could not share it.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,13 +41,22 @@ SCALE_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
-                  app_name: str = "poolshift", extra: dict | None = None) -> SparkSession:
-    b = SparkSession.builder.master(master).appName(app_name)
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
+                  app_name: str = "poolshift", extra: dict | None = None,
+                  driver_memory: str | None = None) -> SparkSession:
+    """Session with :data:`SCALE_CONF`. Master, shuffle partitions and driver
+    memory are left to the submit options unless given here (the memory also
+    by ``POOLSHIFT_DRIVER_MEMORY``, for local runs)."""
+    b = SparkSession.builder.appName(app_name)
+    if master:
+        b = b.master(master)
     for k, v in SCALE_CONF.items():
         b = b.config(k, v)
-    b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    b = b.config("spark.driver.memory", os.environ.get("POOLSHIFT_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    memory = driver_memory or os.environ.get("POOLSHIFT_DRIVER_MEMORY")
+    if memory:
+        b = b.config("spark.driver.memory", memory)
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -54,32 +65,29 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def app_id(spark: SparkSession) -> str:
-    """Application id (classic session or, failing that, the session conf)."""
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - sessions without a SparkContext
-        return spark.conf.get("spark.app.id", "poolshift")
+    """Application id."""
+    return spark.sparkContext.applicationId
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written tables.
 
     Read from ``spark.checkpoint.dir`` (a core setting, fixed when the
-    session starts); only when unset (tests, local runs) a temporary folder
-    is created once per application.
+    session starts); only a local session that leaves it unset gets a
+    temporary folder, once per application.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share (master {master!r})")
         app = app_id(spark)
         root = _LOCAL_ROOTS.get(app)
         if root is None:
             root = _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="poolshift-ckpt-")
-    try:
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(root)
-    except Exception:  # noqa: BLE001 - the server side owns checkpoints
-        pass
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root
 
 

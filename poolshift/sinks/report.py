@@ -18,8 +18,9 @@ FORMATS = ("parquet", "json", "csv", "orc")
 
 
 def records_json(df: DataFrame) -> DataFrame:
-    """Each row as one JSON object text (column ``record``); nulls omitted."""
-    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("record"))
+    """Each row as one JSON object text (column ``record``); null fields are kept."""
+    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]),
+                               {"ignoreNullFields": "false"}).alias("record"))
 
 
 def csv_ready(df: DataFrame) -> DataFrame:
@@ -47,6 +48,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if fmt == "json":
+        w = w.option("ignoreNullFields", "false")
     w.format(fmt).save(path)
 
 

@@ -13,12 +13,13 @@ Three ways in:
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import coerce_number
+from ..functions.exprs import DEFAULT_CLUSTER, coerce_number, in_list_or_all
 
 TEXT_COLUMNS = [
     "psm", "idc", "cluster_name", "cluster_id", "package", "physical_cluster",
@@ -48,38 +49,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-# Fixed layout of the fixture's row_ord: (orderkey, linenumber, partkey,
-# suppkey, quantity) packed as decimal digits. Narrow form (bigint): factors
-# 10, 100000, 10000, 100. Wide form (decimal(38,0)) for large scale factors:
-# factors 10, 10**11, 10**10, 100.
-NARROW_ROW_ORD = (10, 100_000, 10_000, 100)
-WIDE_ROW_ORD = (10, 10**11, 10**10, 100)
-BIGINT_MAX = 2**63 - 1
+def _row_ord():
+    """File order of the fixture: the line's key, then its place among the
+    lines of that key. The window needs the rows by order key, as the join
+    with orders does."""
+    same_line = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
+        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000
+            + F.row_number().over(same_line)).cast("bigint")
 
 
-def narrow_row_ord_fits(li: DataFrame) -> bool:
-    """True when every lineitem key fits the bigint packing (one 3-column
-    aggregate over lineitem)."""
-    m = li.agg(F.max("l_orderkey"), F.max("l_partkey"), F.max("l_suppkey")).first()
-    order, part, supp = (int(v or 0) for v in m)
-    f_line, f_part, f_supp, f_qty = NARROW_ROW_ORD
-    top = (((order * f_line + 9) * f_part + part) * f_supp + supp) * f_qty + 99
-    return part < f_part and supp < f_supp and top <= BIGINT_MAX
-
-
-def _row_ord(wide: bool):
-    f_line, f_part, f_supp, f_qty = WIDE_ROW_ORD if wide else NARROW_ROW_ORD
-    def num(c):
-        return F.col(c).cast("decimal(38,0)") if wide else F.col(c)
-    qty = F.col("l_quantity").cast("int")
-    packed = ((((num("l_orderkey") * f_line + num("l_linenumber")) * F.lit(f_part)
-                + num("l_partkey")) * F.lit(f_supp) + num("l_suppkey")) * f_qty
-              + (qty.cast("decimal(38,0)") if wide else qty))
-    return packed.cast("decimal(38,0)") if wide else packed
-
-
-def inventory_from_tables(spark: SparkSession, sf_dir: str,
-                          wide_row_ord: bool | None = None) -> DataFrame:
+def inventory_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventory rows derived from lineitem and its dimensions (raw form).
 
     Mapping: a part is a service, a customer's market segment is the site,
@@ -92,13 +72,9 @@ def inventory_from_tables(spark: SparkSession, sf_dir: str,
     before they meet lineitem; the small dimensions are broadcast by the
     planner under its size threshold.
 
-    ``row_ord`` packs the line's keys in file order: a bigint while the keys
-    fit (checked from the data unless ``wide_row_ord`` is given), else the
-    same order as an exact ``decimal(38,0)``.
+    ``row_ord`` is a bigint at every scale factor.
     """
-    li = read_table(spark, sf_dir, "lineitem")
-    if wide_row_ord is None:
-        wide_row_ord = not narrow_row_ord_fits(li)
+    li = read_table(spark, sf_dir, "lineitem").withColumn("row_ord", _row_ord())
     part = read_table(spark, sf_dir, "part")
     supp = read_table(spark, sf_dir, "supplier")
     nation = read_table(spark, sf_dir, "nation")
@@ -137,7 +113,7 @@ def inventory_from_tables(spark: SparkSession, sf_dir: str,
          .otherwise("spot").alias("iaas_cluster"),
         F.when(ln == 7, F.lit("n/a"))
          .when(ln == 6, F.lit(None).cast("string"))
-         .when(ln == 5, F.concat(F.lit(" "), qty_text, F.lit(" ")))
+         .when(ln == 5, F.concat(F.lit("\t"), qty_text, F.lit("\n")))
          .when(ln == 4, (qty + 0.5).cast("string"))
          .otherwise(qty.cast("int").cast("string")).alias("instance_num"),
         (qty * 4).alias("cpu_limit"),
@@ -156,7 +132,7 @@ def inventory_from_tables(spark: SparkSession, sf_dir: str,
         F.col("p_type").alias("dept_level1"),
         F.concat(F.lit("/"), F.col("p_name"), F.lit("/")).alias("dept_level2"),
         F.col("o_orderpriority").alias("host_type"),
-        _row_ord(wide_row_ord).alias("row_ord"),
+        "row_ord",
     )
 
 
@@ -210,13 +186,15 @@ def normalise_inventory(df: DataFrame) -> DataFrame:
 _WRITTEN: dict[tuple, tuple[str, T.StructType]] = {}
 
 
-def _stamp(sf_dir: str) -> tuple:
-    """Identity of the source files (local paths): names, sizes, mtimes."""
-    try:
-        return tuple(sorted((e.name, e.stat().st_size, e.stat().st_mtime_ns)
-                            for e in os.scandir(sf_dir)))
-    except OSError:
-        return ()
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Identity of the source files: names, sizes and times of change. Local
+    folders are listed directly, others by Spark, so any file system will do."""
+    if os.path.isdir(sf_dir):
+        found = [os.path.join(d, n) for d, _, names in os.walk(sf_dir) for n in names]
+        return tuple(sorted((f, os.stat(f).st_size, os.stat(f).st_mtime_ns) for f in found))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.parquet").load(sf_dir).select("path", "length", "modificationTime"))
+    return tuple(sorted(map(tuple, files.collect())))
 
 
 LAYOUT = ["idc", "physical_cluster", "iaas_cluster", "row_ord"]
@@ -252,7 +230,7 @@ def raw_inventory(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     if not materialize:
         return inventory_from_tables(spark, sf_dir)
     from ..session import app_id, scratch_path
-    key = (app_id(spark), os.path.abspath(sf_dir), _stamp(sf_dir))
+    key = (app_id(spark), sf_dir.rstrip('/'), _stamp(spark, sf_dir))
     found = _WRITTEN.get(key)
     if found is None:  # the write either completed or raised
         df = inventory_from_tables(spark, sf_dir)
@@ -270,43 +248,81 @@ def inventory(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Dat
 CORRUPT = "_corrupt_record"
 
 
+def _columns_of(spark: SparkSession, path: str, fmt: str, header: bool) -> list[str]:
+    """Names a text inventory really holds: a CSV's header, or the keys that
+    occur in any JSON record (one pass over the names)."""
+    if fmt == "csv":
+        return spark.read.option("header", "true").csv(path).columns if header else RAW_SCHEMA.names
+    return spark.read.option("primitivesAsString", "true").json(path).drop(CORRUPT).columns
+
+
+def _not_blank(c: str, na_values: Iterable[str]) -> Column:
+    """``c`` without the texts that stand for a missing value. Comparisons of
+    the result prune partitions, but do not reach a file's reader: hand those
+    to ``where``, which tests the raw column."""
+    out = F.col(c)
+    for v in na_values:
+        out = F.when(~F.col(c).eqNullSafe(v), out)
+    return out
+
+
 def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet",
                    na_values: tuple[str, ...] = ("",), header: bool = True,
-                   multiline: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
-    """Read an inventory export with an all-text schema and attach file order.
+                   multiline: bool = False, mode: str = "PERMISSIVE",
+                   where: Column | None = None) -> DataFrame:
+    """Read an inventory export by column name, all text, and attach file order.
+
+    CSV columns are found by the header (all files must have the same one;
+    ``header=False`` takes them in the order of :data:`RAW_SCHEMA`), JSON
+    fields by their names; columns that a text inventory lacks are absent
+    from the result, as with Parquet and ORC, so that
+    :func:`normalise_inventory` can fall back or refuse.
 
     ``row_ord`` is a struct ``(file, position)``: for Parquet the position is
-    the row index inside the file (``_metadata.row_index``); for text formats
+    the row index inside the file (``_metadata.row_index``); for other formats
     it is the scan's increasing id, which grows with the position in a file.
-    Text equal to one of ``na_values`` becomes null. ``multiline`` allows
-    quoted line breaks in CSV, at the price of reading each file in one task.
-    For text formats, ``mode='PERMISSIVE'`` keeps malformed lines with their
-    raw text in ``_corrupt_record`` (see :func:`bad_rows`); ``'FAILFAST'``
-    stops the read with Spark's error at the first malformed line.
+    ``where`` (site and pool tests, see :func:`scan_condition`) is applied to
+    the raw columns below that id: it prunes partitions and reaches readers
+    that take filters, for every format. Text equal to one of ``na_values``
+    becomes null. ``multiline`` allows quoted line breaks in CSV, at the price
+    of reading each file in one task. For text formats, ``mode='PERMISSIVE'``
+    keeps malformed lines with their raw text in ``_corrupt_record`` (see
+    :func:`bad_rows`); ``'FAILFAST'`` stops the read at the first one.
     """
     reader = spark.read.format(fmt)
-    if fmt in ("csv",):
-        reader = (reader.option("header", str(header).lower())
+    if fmt == "csv":
+        reader = (reader.option("header", str(header).lower()).option("enforceSchema", str(not header).lower())
                   .option("multiLine", str(multiline).lower()).option("escape", '"'))
     if fmt in ("csv", "json"):
-        schema = T.StructType(list(RAW_SCHEMA.fields)
-                              + [T.StructField(CORRUPT, T.StringType(), True)])
-        reader = (reader.schema(schema).option("mode", mode)
-                  .option("columnNameOfCorruptRecord", CORRUPT))
+        fields = [T.StructField(c, T.StringType(), True) for c in _columns_of(spark, path, fmt, header)]
+        reader = (reader.schema(T.StructType([*fields, T.StructField(CORRUPT, T.StringType(), True)]))
+                  .option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT))
     df = reader.load(path)
-    if fmt == "parquet":
-        pos = F.col("_metadata.row_index")
-    else:
-        pos = F.monotonically_increasing_id()
-    df = df.withColumn("row_ord", F.struct(F.col("_metadata.file_path").alias("file"),
-                                           pos.alias("pos")))
-    if not na_values:
-        return df
-    return df.select(*[F.when(~F.col(c).isin(list(na_values)), F.col(c)).alias(c)
-                       if isinstance(df.schema[c].dataType, T.StringType) else F.col(c)
+    if where is not None:
+        df = df.filter(where)
+    pos = F.col("_metadata.row_index") if fmt == "parquet" else F.monotonically_increasing_id()
+    df = df.withColumn("row_ord", F.struct(F.col("_metadata.file_path").alias("file"), pos.alias("pos")))
+    return df.select(*[_not_blank(c, na_values).alias(c)
+                       if isinstance(df.schema[c].dataType, T.StringType) and c != CORRUPT else F.col(c)
                        for c in df.columns])
 
 
+def scan_condition(idc: str | Iterable[str] | None = None, pools: Iterable[tuple[str, str | None]] = (),
+                   default_only: bool = False) -> Column:
+    """Test on raw inventory columns for :func:`read_inventory`'s ``where``:
+    rows at one of the sites and in one of the pools (``iaas`` None: any;
+    no pools: every pool). The analysis applies its own filters on top."""
+    cond = in_list_or_all("idc", idc)
+    any_pool = None
+    for physical, iaas in pools:
+        one = F.col("physical_cluster") == physical
+        one = one if iaas is None else one & (F.col("iaas_cluster") == iaas)
+        any_pool = one if any_pool is None else any_pool | one
+    if any_pool is not None:
+        cond = cond & any_pool
+    return cond & (F.col("cluster_name") == DEFAULT_CLUSTER) if default_only else cond
+
+
 def bad_rows(raw: DataFrame) -> DataFrame:
     """Lines of a text inventory that did not parse (raw text, service as
     parsed, position). Write or collect the result: Spark refuses a query on

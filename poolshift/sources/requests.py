@@ -52,8 +52,9 @@ def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         pool1.alias("pool"),
         (k % 4 * 5).cast("string").alias("min_save_cores"),
         pool1.alias("target_pool"),
+        # a blank item, the target, a double, and one of them with blanks inside
         F.concat_ws(",", pool2, F.lit(" "), pool1, pool2,
-                    F.concat(F.col("reg2"), F.lit("/default"))).alias("candidate_pools"),
+                    F.concat(F.col("reg2"), F.lit(" / default "))).alias("candidate_pools"),
     )
 
 

@@ -19,7 +19,7 @@ def test_cli_runs_each_analysis(spark):
     assert r["rows"]["detail"] == 16 and r["rows"]["stats"] == 1 and os.path.isdir(r["report"])
     r = main(["recommend", "--inventory", src, "--idc", "S1", "--pool", "A", "--min-save-cores", "4",
               "--out", out, "--out-format", "csv"], spark=spark)
-    assert r["rows"]["detail"] == 6 and r["rows"]["notes"] == 6
+    assert r["rows"]["detail"] == 6 and r["rows"]["notes"] == 7
     r = main(["migratable", "--inventory", src, "--idc", "S1", "--pool", "A/default", "--out", out,
               "--out-format", "json"], spark=spark)
     assert r["rows"]["detail"] == 3 and r["rows"]["available_pools"] == 1

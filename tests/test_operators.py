@@ -214,7 +214,7 @@ def test_format_numbers(spark):
     assert (r["x_fmt"], r["x_short"], r["x_1f"]) == ("1,500.00", "1.5K", "1500.0")
 
 
-def test_scan_filter_is_implied_by_the_join(spark):
+def test_pools_with_missing_parts_join_by_their_key(spark):
     rows = [{"psm": f"s{i % 3}", "physical_cluster": ["A", "B", None][i % 3],
              "iaas_cluster": ["default", None][i % 2], "idc": ["S1", "S2", "S3"][i % 3],
              "instance_num": str(i)} for i in range(30)]
@@ -223,28 +223,47 @@ def test_scan_filter_is_implied_by_the_join(spark):
         [("q1", "S1,S2", "A/default", "B/nan"), ("q2", "", "nan/default", "A/default"),
          ("q3", "S3", "B/default", "A/nan")],
         "request_id string, idc string, pool1 string, pool2 string")
-    rp = B.request_pools(req)
-    cond = B.scan_filter(rp)
-    full = B.batch_rows(inv, rp)
-    pruned = B.batch_rows(inv.filter(cond), rp)
-    assert sorted(tuple(r) for r in full.collect()) == sorted(tuple(r) for r in pruned.collect())
-    one = B.request_pools(req.filter("request_id = 'q1'"))
-    assert sorted(tuple(r) for r in B.batch_rows(inv, one).collect()) == \
-        sorted(tuple(r) for r in B.batch_rows(inv.filter(B.scan_filter(one)), one).collect())
+    got = sorted((r["request_id"], r["row_ord"]) for r in B.batch_rows(inv, B.request_pools(req)).collect())
+    pk = lambda r: f"{r['physical_cluster'] or 'nan'}/{r['iaas_cluster'] or 'nan'}"
+    full = inv.collect()
+    want = sorted((q["request_id"], r["row_ord"]) for q in req.collect() for r in full
+                  if pk(r) in (q["pool1"], q["pool2"]) and (not q["idc"] or r["idc"] in q["idc"].split(",")))
+    assert got == want
+
+
+def test_batch_answers_pools_with_several_slashes(spark):
+    """A name with two slashes is a bare physical cluster, in the batch as in the single call."""
+    inv = make_inventory(spark, [{"psm": "s1", "physical_cluster": "A/b/c", "save_cores": "5"},
+                                 {"psm": "s2", "physical_cluster": "A", "save_cores": "7"}])
+    req = spark.createDataFrame([("q", "S1", "A/b/c", "0")],
+                                "request_id string, idc string, pool string, min_save_cores string")
+    assert [r["psm"] for r in M2.recommend_batch(inv, req).collect()] == ["s1"]
+    assert [r["psm"] for r in M2.recommend_scale_down(inv, "S1", "A/b/c").collect()] == ["s1"]
+
+
+def test_requests_that_share_an_id_are_flagged_and_not_merged(spark):
+    rows = [{"psm": f"s{i % 4}", "physical_cluster": "AB"[i % 2], "instance_num": str(i)} for i in range(24)]
+    rows += [{"psm": f"s{i % 4}", "physical_cluster": "BA"[i % 2], "instance_num": str(i)} for i in range(24)]
+    inv = make_inventory(spark, rows)
+    schema = "request_id string, idc string, pool1 string, pool2 string"
+    req = spark.createDataFrame([("r1", "", "A/default", "B/default"), ("r1", "", "B/default", "A/default"),
+                                 ("r2", "", "A/default", "B/default"), ("r3", "", "A/default", "A / default")], schema)
+    errors = sorted((r["request_id"], r["errors"]) for r in B.validate_requests(req).collect())
+    assert errors == [("r1", ["repeated request_id"]), ("r1", ["repeated request_id"]), ("r2", []), ("r3", ["pool1 equals pool2"])]
+    assert {r["request_id"] for r in B.migration_batch(inv, req).detail.collect()} == {"r2"}
 
 
-def test_batch_large_request_path_matches_small(spark, monkeypatch):
-    rows = [{"psm": f"s{i % 4}", "physical_cluster": "AB"[i % 2], "instance_num": str(i),
-             "package": [None, "p", ""][i % 3]} for i in range(24)]
+def test_candidates_in_one_spelling(spark):
+    assert C.candidate_list("ASIA/default, ASIA / default,EUROPE / default\t,x", "EUROPE/default") == ["ASIA/default", "x"]
+    rows = [{"psm": f"s{i % 5}", "physical_cluster": ["ASIA", "EUROPE"][i % 2]} for i in range(20)]
     inv = make_inventory(spark, rows)
-    req = spark.createDataFrame([("r1", "", "A/default", "B/default"), ("r2", "S1", "B/default", "A/default")],
-                                "request_id string, idc string, pool1 string, pool2 string")
-    small = B.migration_batch(inv, req)
-    monkeypatch.setattr(B, "BROADCAST_MAX_ROWS", 0)
-    monkeypatch.setattr(B.fits, "__defaults__", (0,))
-    large = B.migration_batch(inv, req)
-    for a, b in [(small.detail, large.detail), (small.summary, large.summary)]:
-        assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+    out = C.compare_candidates(inv, " EUROPE / default", "ASIA/default, ASIA / default, EUROPE / default")
+    got = out.overview.collect()
+    assert [(r["candidate_pool"], r["matching_psm_count"], r["psm_count"]) for r in got] == [("ASIA/default", 5, 5)]
+    req = spark.createDataFrame([("q", "", "EUROPE/ default", "ASIA / default,ASIA/default,EUROPE/default")],
+                                "request_id string, idc string, target_pool string, candidate_pools string")
+    got = C.candidate_batch(inv, req).collect()
+    assert [(r["candidate_pool"], r["matching_psm_count"], r["psm_count"]) for r in got] == [("ASIA/default", 5, 5)]
 
 
 def test_recommend_and_migratable_batches_equal_single_calls(spark):

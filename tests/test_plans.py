@@ -7,6 +7,7 @@ import io
 import pytest
 
 import __spark_entry__ as E
+from poolshift.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +19,7 @@ def plan(df, mode="formatted"):
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_no_python_udf_no_cartesian(spark, key):
     p = plan(E.queries()[key](spark, SF))
     for bad in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "CartesianProduct",

@@ -1,8 +1,12 @@
+import json
 import os
 import tempfile
 
+import pytest
+
+from poolshift.operators.scaling import recommend_scale_down
 from poolshift.sinks import report as K
-from poolshift.sources.inventory import normalise_inventory, read_inventory
+from poolshift.sources.inventory import normalise_inventory, read_inventory, scan_condition
 from poolshift.session import scratch_path
 
 from .helpers import make_inventory
@@ -36,7 +40,69 @@ def test_csv_quotes_and_newlines(spark):
 
 def test_records_json(spark):
     df = spark.createDataFrame([("s", 3, None)], "psm string, n long, z string")
-    assert K.records_json(df).first()["record"] == '{"psm":"s","n":3}'
+    assert K.records_json(df).first()["record"] == '{"psm":"s","n":3,"z":null}'
+
+
+ROW = {"psm": "s1", "idc": "S", "cluster_name": "default", "physical_cluster": "A", "iaas_cluster": "default",
+       "instance_num": "\t3 ", "cpu_limit": "40", "cpu_request": "10", "mem_limit": "8"}
+
+
+def _files(fmt, records, names):
+    folder = tempfile.mkdtemp(prefix="poolshift-inv-")
+    for n, r in enumerate(records):
+        with open(os.path.join(folder, f"{n}.{fmt}"), "w") as f:
+            if fmt == "json":
+                f.write(json.dumps({k: r[k] for k in names}) + "\n")
+            else:
+                f.write(",".join(names) + "\n" + ",".join(r[k] for k in names) + "\n")
+    return folder
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_text_inventories_are_read_by_name(spark, fmt):
+    names = ["idc", "mem_limit", "psm", "cluster_name", "physical_cluster", "cpu_request", "iaas_cluster", "cpu_limit", "instance_num"]
+    inv = normalise_inventory(read_inventory(spark, _files(fmt, [ROW], names), fmt=fmt))
+    r = inv.first()
+    assert (r["psm"], r["idc"], r["cluster_id"], r["instance_num"], r["save_cores"]) == ("s1", "S", "default", 3.0, 30.0)
+    with pytest.raises(ValueError, match="mem_limit"):
+        normalise_inventory(read_inventory(spark, _files(fmt, [ROW], [n for n in names if n != "mem_limit"]), fmt=fmt))
+
+
+def test_csv_files_must_agree_on_their_header(spark):
+    folder = _files("csv", [ROW], list(ROW))
+    with open(os.path.join(folder, "z.csv"), "w") as f:
+        f.write(",".join(reversed(list(ROW))) + "\n" + ",".join(reversed(list(ROW.values()))) + "\n")
+    with pytest.raises(Exception, match="header"):
+        read_inventory(spark, folder, fmt="csv").collect()
+
+
+def formatted(spark, df):
+    """The entries of the scan in the formatted plan."""
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    lines = df._jdf.queryExecution().explainString(mode).splitlines()
+    return dict(x.split(": ", 1) for x in lines if x.startswith(("PushedFilters: ", "PartitionFilters: ")))
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc"])
+def test_filters_reach_real_files(spark, fmt):
+    folder = tempfile.mkdtemp(prefix="poolshift-inv-") + "/inv"
+    rows = [dict(ROW, psm=f"s{i}", idc=["S", "T"][i % 2], physical_cluster=["A", "B", ""][i % 3], save_cores=str(i)) for i in range(12)]
+    spark.createDataFrame(rows).write.partitionBy("idc").format(fmt).save(folder)
+    inv = normalise_inventory(read_inventory(spark, folder, fmt=fmt, where=scan_condition("S", [("A", "default")])))
+    plan = formatted(spark, recommend_scale_down(inv, "S", "A/default"))
+    assert "EqualTo(physical_cluster,A)" in plan["PushedFilters"] and "EqualTo(iaas_cluster,default)" in plan["PushedFilters"]
+    assert "(idc#" in plan["PartitionFilters"]
+    assert {r["psm"] for r in recommend_scale_down(inv, "S", "A/default").collect()} == {"s0", "s6"}
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_sites_prune_partitions_of_text_files(spark, fmt):
+    folder = tempfile.mkdtemp(prefix="poolshift-inv-") + "/inv"
+    w = spark.createDataFrame([dict(ROW, psm=f"s{i}", idc=["S", "T"][i % 2]) for i in range(4)]).write.partitionBy("idc")
+    (w.option("header", "true") if fmt == "csv" else w).format(fmt).save(folder)
+    inv = read_inventory(spark, folder, fmt=fmt, where=scan_condition("S"))
+    assert "(idc#" in formatted(spark, inv)["PartitionFilters"]
+    assert {r["psm"] for r in inv.collect()} == {"s0", "s2"}
 
 
 def test_read_inventory_csv_with_blanks_and_missing_columns(spark):
@@ -111,7 +177,7 @@ def test_malformed_text_lines_are_kept_or_fail_fast(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="poolshift-bad-"), "inv.json")
     with open(path, "w") as f:
         f.write('{"psm": "s1", "idc": "S", "cluster_name": "default", "physical_cluster": "A", '
-                '"iaas_cluster": "default", "instance_num": "3"}\n')
+                '"iaas_cluster": "default", "instance_num": "3", "cpu_limit": "4", "mem_limit": "8"}\n')
         f.write('{"psm": "s2", "idc": "S", "cluster_name": \n')
     raw = read_inventory(spark, path, fmt="json")
     bad = bad_rows(raw).collect()
