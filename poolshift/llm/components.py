@@ -1,22 +1,23 @@
-"""Connected components of a table of links, by alternating star contraction.
+"""Connected components of a table of links, by star contraction.
 
 Links are first contracted inside each partition by union-find (a partition
-of links at a time, no group is ever gathered), then large-star and
-small-star rounds run as joins and aggregations until nothing changes; the
-number of rounds grows with the logarithm of the longest chain. Each round
-is written to the shared folder, so lost executors cost one round at most.
+of links at a time, no group is ever gathered). Then in every round each node
+finds its smallest neighbour by an aggregation with map-side minima, a join
+links all its neighbours to that one, and partitions are contracted again.
+Rounds end when all links point from a node to the smallest of its
+component; their number grows with the logarithm of the longest chain. Each
+round is written to the shared folder, so lost executors cost one round.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import written
 
-EDGE = "u long, v long"
+EDGE = "u long, v long, changed boolean"
 
 
 def _find(parent: dict, x: int) -> int:
@@ -29,37 +30,36 @@ def _find(parent: dict, x: int) -> int:
 
 
 def _contract(batches):
-    """Stars of a partition's links: every node with its smallest reachable one."""
+    """Stars of a partition's links (u, v, changed): every node with its smallest reachable one."""
     parent: dict[int, int] = {}
+    changed = False
     for batch in batches:
+        changed = changed or bool(batch.column(2).true_count)
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = _find(parent, u), _find(parent, v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
     nodes = [x for x in parent if _find(parent, x) != x]
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([_find(parent, x) for x in nodes], pa.int64())], ["u", "v"])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([_find(parent, x) for x in nodes], pa.int64()),
+                                      pa.array([changed] * len(nodes), pa.bool_())], ["u", "v", "changed"])
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``links`` (u, v longs) that has a link to another node.
+    """(node, component) of every node of ``links`` (u, v longs) that reaches a smaller node.
 
-    ``component`` is the smallest node reachable. Links may repeat, point
-    either way or to their own node.
+    ``component`` is the smallest node reachable (it has no row of its own).
+    Links may repeat, point either way or to their own node.
     """
-    edges = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
-    # twice, dealt by either end, so that most of a component meets in a partition
-    edges = edges.repartition("u").mapInArrow(_contract, EDGE).repartition("v").mapInArrow(_contract, EDGE)
-    edges, before = written(edges.distinct(), "links"), None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = (small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        edges = written(small, "links")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = state
+    u, v = F.col("u").cast("long"), F.col("v").cast("long")
+    edges = links.select(u.alias("u"), v.alias("v"), F.lit(True).alias("changed")).where("u <> v")
+    edges = written(edges.repartition("u").mapInArrow(_contract, EDGE), "links")
+    while edges.where("changed").limit(1).count():
+        both = (edges.select(F.col("u").alias("k"), F.col("v").alias("o"))
+                .unionByName(edges.select(F.col("v").alias("k"), F.col("u").alias("o"))))
+        least = both.groupBy("k").agg(F.min("o").alias("m")).select("k", F.least("k", "m").alias("m"))
+        moved = both.join(least, "k").select(
+            F.when(F.col("o") == F.col("m"), F.col("k")).otherwise(F.col("o")).alias("u"), F.col("m").alias("v"),
+            # in finished stars the smallest neighbour of either end is the smaller end
+            (F.col("m") != F.least("k", "o")).alias("changed")).where("u <> v")
+        edges = written(moved.mapInArrow(_contract, EDGE), "links")
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

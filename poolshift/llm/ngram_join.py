@@ -10,7 +10,8 @@ only); two texts link when 100 * intersection >= 75 * union.
    each, so those are dealt out by shingle. A shingle that very many sets
    hold is dealt to a triangle of tiles, every two of its sets meeting in one
    of them. Within a tile, neighbours in order of size are paired first.
-3. Pairs are verified by tries: for each left set, the right sets are stored
+3. Pairs that share too few of these first shingles to reach the overlap
+   needed are left out; the others are verified by tries: for each left set, the right sets are stored
    in a trie in the global order and walked with the left set; sets with a
    common beginning share the partial overlap, and a subtree is left as soon
    as the words remaining on either side cannot reach the overlap needed.
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import as_text, hash_words, sequence_hash, ship, signed, split_words, window_hashes, written
+from .text import as_text, hash_words, having, sequence_hash, ship, signed, small, split_words, window_hashes, written
 
 N = 5
 FREQUENT = 1 << 16
@@ -56,7 +57,9 @@ def prefix_length(n: int) -> int:
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
-    """The distinct shingle hashes of every text, ascending."""
+    """The distinct shingle hashes of every text, ascending; a few hundred texts are worked on at a time."""
+    if len(texts) > 500:
+        return [s for i in range(0, len(texts), 500) for s in shingle_sets(texts.slice(i, 500))]
     words, offsets = split_words(as_text(texts), lower=True)
     w = hash_words(words)
     grams, out = window_hashes(w, N), []
@@ -92,38 +95,37 @@ class Order:
         return s[order], count[order]
 
 
-def global_order(docs: DataFrame, size: int = FREQUENT) -> Order:
-    """The order from counts over all texts.
-
-    Each batch of texts reports the shingles it holds in ``LOCAL_COUNT`` texts
-    or more; the ``size`` largest sums are listed. Any list gives the same
-    links; a better one gives fewer candidates.
-    """
-    def count(batches):
-        for batch in batches:
-            sets = shingle_sets(batch.column(0))
-            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
-            often = n >= LOCAL_COUNT
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h[often])), pa.array(n[often].astype(np.int64))], ["h", "n"])
-
-    rows = (docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "h").limit(size).toPandas())
-    return Order(rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
-
-
 def _signature(s: np.ndarray) -> int:
     return int(np.uint64(sequence_hash(s)).view(np.int64))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles) and sig (identity of the set) of every row."""
+def read_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One pass over the texts: (doc_id, n, sig) of every row, and (h, n) counts of common shingles.
+
+    ``sig`` is the identity of the set of n shingles. Each batch of texts
+    reports the shingles it holds in ``LOCAL_COUNT`` texts or more.
+    """
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([_signature(s) for s in sets], pa.int64())], ["doc_id", "n", "sig"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig long")
+            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
+            often, rows = n >= LOCAL_COUNT, len(sets)
+            h, n = signed(h[often]), n[often]
+            none = pa.nulls(len(h), pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays([batch.column(0), none]), pa.array(np.concatenate([[len(s) for s in sets], n]).astype(np.int64)),
+                pa.concat_arrays([pa.array([_signature(s) for s in sets], pa.int64()), none]),
+                pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(h)])], ["doc_id", "n", "sig", "h"])
+
+    read = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+                   .mapInArrow(run, "doc_id long, n long, sig long, h long"), "shingle-pass")
+    return read.where("sig is not null").select("doc_id", "n", "sig"), read.where("h is not null").select("h", "n")
+
+
+def global_order(counts: DataFrame, size: int = FREQUENT) -> Order:
+    """The order by the ``size`` largest counts. Any list gives the same links; a better one gives fewer candidates."""
+    rows = counts.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(size).toPandas()
+    return Order(rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
 
 
 def _tiles_of(count: np.ndarray, sig: int, tile: int) -> list[tuple[int, int]]:
@@ -139,20 +141,18 @@ def _tiles_of(count: np.ndarray, sig: int, tile: int) -> list[tuple[int, int]]:
     return out
 
 
-def prefix_entries(docs: DataFrame, order: Order, tile: int = TILE) -> DataFrame:
-    """(token, tile, n, sig, pos) of the prefix of every distinct set of a batch."""
-    sent = ship(docs.sparkSession, order)
-
+def prefix_entries(docs: DataFrame, order, tile: int = TILE) -> DataFrame:
+    """(token, tile, n, sig, pos) of the prefix of every distinct set of a batch. ``order`` gives the Order in a task."""
     def run(batches):
-        order = sent()
-        for batch in batches:
+        own = order()
+        for batch in small(batches):
             columns, seen = [], set()
             for s in shingle_sets(batch.column(0)):
                 if not len(s) or (sig := _signature(s)) in seen:
                     continue
                 seen.add(sig)
                 k = prefix_length(len(s))
-                tokens, count = order.sort(s)
+                tokens, count = own.sort(s)
                 tokens, count = tokens[:k], count[:k]
                 if count.max(initial=0) > tile:
                     at, t = (np.array(x) for x in zip(*_tiles_of(count, sig, tile), strict=True))
@@ -195,7 +195,7 @@ def _bounds(cols) -> np.ndarray:
 
 
 def _shared(batches):
-    """Entries whose tile holds two sets or more, each with the set before it in order of size (null for the first)."""
+    """Entries whose tile holds two sets or more, each with the set before it in order of size if both pass the bounds."""
     for t in _groups(batches, 2):
         token, tile, n, sig, pos = (t.column(i).to_numpy() for i in range(5))
         same_tile = (token[1:] == token[:-1]) & (tile[1:] == tile[:-1])
@@ -208,7 +208,9 @@ def _shared(batches):
         first = np.zeros(len(token), bool)
         first[ends[:-1]] = True
         keep = size > 1
-        prev = pa.array(np.roll(sig, 1), mask=first)
+        m, left = n.astype(np.int64), n.astype(np.int64) - pos
+        far = (4 * np.roll(m, 1) < 3 * m) | (np.minimum(left, np.roll(left, 1)) < -(-3 * (m + np.roll(m, 1)) // 7))
+        prev = pa.array(np.roll(sig, 1), mask=first | far)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (token, tile, n, sig, pos)] + [prev],
                                          ["token", "tile", "n", "sig", "pos", "prev"]).filter(pa.array(keep))
 
@@ -227,7 +229,7 @@ def _crossing(batches):
             top = np.searchsorted(m, m * 4 // 3, "right")  # sizes ascend; linked sets are within 3/4 of each other
             for i in range(b - a - 1):
                 j = np.arange(i + 1, top[i])
-                j = j[(c[j] != c[i]) & (1 + np.minimum(m[i] - p[i], m[j] - p[j]) - 1 >= -(-3 * (m[i] + m[j]) // 7))]
+                j = j[(c[j] != c[i]) & (np.minimum(m[i] - p[i], m[j] - p[j]) >= -(-3 * (m[i] + m[j]) // 7))]
                 if len(j):
                     left.append(np.minimum(s[i], s[j]))
                     right.append(np.maximum(s[i], s[j]))
@@ -279,6 +281,28 @@ class Trie:
         return depth + int(parted[0]) if len(parted) else m
 
 
+def _promising(batches):
+    """Rows (a, b, n, tokens): b null is a itself and comes first; yields the pairs whose shared first shingles leave the overlap in reach.
+
+    With c first shingles shared, the set whose first shingles end earlier in
+    the global order has all its other common shingles among its last ones.
+    """
+    own, size, probe = None, 0, None
+    for batch in batches:
+        left, right = [], []
+        for a, b, n, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            t = tokens.values.to_numpy()
+            if b is None:
+                own, size, probe = a, n, np.sort(t)
+            elif a == own:
+                at = np.minimum(np.searchsorted(probe, t), len(probe) - 1)
+                rest = max(n - prefix_length(n), size - prefix_length(size))
+                if int((probe[at] == t).sum()) + rest >= needed(n, size):
+                    left.append(a)
+                    right.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
 def _verify(batches):
     """Rows (a, b, set): b null holds a's own set and comes first; yields the linked pairs."""
     own, probe, held = None, None, []
@@ -304,41 +328,50 @@ def _verify(batches):
         yield walk()
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, as (u, v). ``sets``: sig, shingles (binary, global order)."""
-    rights = pairs.join(sets.withColumnRenamed("sig", "b"), "b").select("a", "b", "shingles")
-    lefts = pairs.select("a").distinct().join(sets.withColumnRenamed("sig", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "shingles")
-    return (rights.unionByName(lefts).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
-            .mapInArrow(_verify, "u long, v long"))
+def _beside(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with b's columns of ``facts`` (by sig), after a row for each a with its own, dealt by a."""
+    rights = pairs.join(facts.withColumnRenamed("sig", "b"), "b").select("a", "b", *facts.columns[1:])
+    lefts = pairs.select("a").distinct().join(facts.withColumnRenamed("sig", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), *facts.columns[1:])
+    return rights.unionByName(lefts).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, firstly: DataFrame, order) -> DataFrame:
+    """The pairs (a, b) of set identities whose sets link, as (u, v).
+
+    ``firsts``: sig and a doc_id with that set; ``firstly``: sig, n and the first
+    shingles it shares with any set. Sets are made anew from the texts of
+    promising pairs only.
+    """
+    pairs = written(_beside(pairs, firstly).mapInArrow(_promising, "a long, b long"), "shingle-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(firsts, "sig").select("doc_id").distinct()
+
+    def collect(batches):
+        own = order()
+        for batch in small(batches):
+            kept = {_signature(s): own.sort(s)[0].tobytes() for s in shingle_sets(batch.column(0)) if len(s)}
+            yield pa.RecordBatch.from_arrays([pa.array(kept.keys(), pa.int64()), pa.array(kept.values(), pa.binary())], ["sig", "shingles"])
+
+    texts = having(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted)
+    sets = written(texts.select("text").mapInArrow(collect, "sig long, shingles binary").dropDuplicates(["sig"]), "shingle-sets")
+    return _beside(pairs, sets).mapInArrow(_verify, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
-    order = global_order(docs, frequent)
-    named = written(classes(docs), "shingle-classes")
+    named, counts = read_sets(docs)
+    order = ship(docs.sparkSession, global_order(counts, frequent))
     entries = (prefix_entries(docs, order, tile).repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "sig")
                .mapInArrow(_shared, "token long, tile int, n int, sig long, pos int, prev long"))
     entries = written(entries, "shingle-entries")
     firsts = named.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    wanted = entries.select("sig").distinct().join(firsts, "sig").select("doc_id")
-    sent = ship(docs.sparkSession, order)
-
-    def collect(batches):
-        order = sent()
-        for batch in batches:
-            kept = {_signature(s): order.sort(s)[0].tobytes() for s in shingle_sets(batch.column(0)) if len(s)}
-            yield pa.RecordBatch.from_arrays([pa.array(kept.keys(), pa.int64()), pa.array(kept.values(), pa.binary())], ["sig", "shingles"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = written(texts.select("text").mapInArrow(collect, "sig long, shingles binary").dropDuplicates(["sig"]), "shingle-sets")
-    near = (entries.where("prev is not null").select(F.least("prev", "sig").alias("a"), F.greatest("prev", "sig").alias("b")).distinct())
-    links = written(verified(near, sets), "shingle-links")
-    parts = components(links)
+    firstly = entries.groupBy("sig").agg(F.first("n").alias("n"), F.collect_set("token").alias("tokens"))
+    near = entries.where("prev is not null").select(F.least("prev", "sig").alias("a"), F.greatest("prev", "sig").alias("b")).distinct()
+    parts = components(verified(near, docs, firsts, firstly, order))
     marked = (entries.join(parts.withColumnRenamed("node", "sig"), "sig", "left")
               .select("token", "tile", "n", "sig", "pos", F.coalesce("component", "sig").alias("component")))
     crossing = (marked.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "sig")
                 .mapInArrow(_crossing, "a long, b long").distinct().join(near, ["a", "b"], "left_anti"))
-    more = verified(crossing, sets)
+    more = written(verified(crossing, docs, firsts, firstly, order), "shingle-links")
     # classes as nodes; a class's smallest doc_id names its component
     parts = components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     class_of = firsts.join(parts.withColumnRenamed("node", "sig"), "sig", "left").select(

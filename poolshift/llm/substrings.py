@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import as_text, hash_words, mix64, sequence_hash, signed, split_words, window_hashes, written
+from .text import as_text, hash_words, having, mix64, sequence_hash, signed, small, split_words, window_hashes, written
 
 WINDOW = 50
 K = 16
@@ -133,7 +133,7 @@ def _id(h: int) -> int:
 def sequences(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, seq (identity of the word sequence) and all_sha256 (of all words joined) of every row."""
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             b = _Batch(batch.column(1))
             seq = [_id(sequence_hash(b.w[x:y])) for x, y in b.bounds()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(b.offsets)), pa.array(seq, pa.int64()), b.joined_sha256()],
@@ -147,12 +147,13 @@ def graph_nodes(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     def run(batches):
         for batch in batches:
             parts, seen = [], set()
-            for _, own, t in _Batch(batch.column(0)).texts(window, k):
-                if own in seen:
-                    continue
-                seen.add(own)
-                way_in, way_out = t.edges(own)
-                parts.append((t.names, np.full(len(t.names), own, np.uint64), way_in, way_out))
+            for piece in small([batch]):
+                for _, own, t in _Batch(piece.column(0)).texts(window, k):
+                    if own in seen:
+                        continue
+                    seen.add(own)
+                    way_in, way_out = t.edges(own)
+                    parts.append((t.names, np.full(len(t.names), own, np.uint64), way_in, way_out))
             for i in range(0, len(parts), 1024):
                 cols = [signed(np.concatenate(c)) for c in zip(*parts[i:i + 1024], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["node", "seq", "way_in", "way_out"])
@@ -178,15 +179,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> tuple[DataFram
                .agg(F.collect_set(F.struct("node", "inner_node")).alias("nodes")).join(first, "seq").select("doc_id", "seq", "nodes"))
     def own_text(batches):
         """Rows whose text has the sequence named beside it (a doc_id may have several texts)."""
-        for batch in batches:
+        for batch in small(batches):
             b = _Batch(batch.column(2))
             yield batch.filter(pa.array([_id(sequence_hash(b.w[x:y])) == s for (x, y), s in zip(b.bounds(), batch.column(1).to_pylist(), strict=True)], pa.bool_()))
 
-    holders = docs.join(holders, "doc_id").select("doc_id", "seq", "text", "nodes")
+    holders = having(docs, written(holders, "repeat-nodes"), "inner").select("doc_id", "seq", "text", "nodes")
     holders = written(holders.mapInArrow(own_text, holders.schema), "repeat-holders")
 
     def look(batches):
-        for batch in batches:
+        for batch in small(batches):
             ids, seqs, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for i, _, t in _Batch(batch.column(2)).texts(window, k):
                 repeated = {x["node"] & (1 << 64) - 1: x["inner_node"] for x in batch.column(3)[i].as_py()}
@@ -218,7 +219,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     named, late = repeats(docs, window, k)
 
     def cut(batches):
-        for batch in batches:
+        for batch in small(batches):
             b = _Batch(batch.column(2))
             stays = np.concatenate([_kept(y - x, batch.column(3)[i].as_py(), window) for i, (x, y) in enumerate(b.bounds())] or [np.empty(0, bool)])
             gone = np.concatenate([[0], np.cumsum(~stays)])[b.offsets]

@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
@@ -55,6 +56,13 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
     return words, offsets
 
 
+def small(batches, rows: int = 1000):
+    """The batches in slices of at most ``rows`` rows, so that a task's arrays stay small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def hash_words(words: pa.Array) -> np.ndarray:
     """64-bit hash of every word; each distinct word is hashed once."""
     if not len(words):
@@ -110,3 +118,20 @@ def ship(spark: SparkSession, value):
     """Broadcasts an object of bounded size with its class; the function returned gives a copy inside a task."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: cloudpickle.loads(sent.value)
+
+
+#: Rows of the broadcast that thins out a table before a join by doc_id, at most.
+THIN = 1 << 20
+
+
+def having(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``docs`` joined with ``ids`` by doc_id; few texts are shuffled where few are wanted.
+
+    Texts whose id falls in none of the ``THIN`` hash slots that wanted ids fall
+    in go before the shuffle; the broadcast holds slots, never more than
+    ``THIN`` rows, and the join after it decides.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(THIN)).cast("int")
+    slots = ids.select(slot.alias("slot")).distinct()
+    near = docs.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    return near.join(ids, "doc_id", how)
