@@ -44,8 +44,8 @@ from .text import written
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKETS = 1 << 13
 LONG_WORD = 64
-COUNT_BLOCK, BLOCK = 4_000_000, 1_000_000  # words of a block: when words are counted, when texts are encoded
-SHARED = 1 << 20
+COUNT_BLOCK, BLOCK = 4_000_000, 500_000  # words of a block: when words are counted, when texts are encoded
+SHARED = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

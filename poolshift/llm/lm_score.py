@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import as_text, hash_words, mix64, ship, signed, split_words
+from .text import as_text, hash_words, mix64, ship, signed, small, split_words
 
 VOCABULARY = 1 << 16
 SLOTS = 1 << 20
@@ -69,8 +69,8 @@ def count_words(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     """The ``size`` most frequent words of all documents."""
     def count(batches):
         for batch in batches:
-            words, _ = split_words(as_text(batch.column(0)), lower=True)
-            h, n = np.unique(hash_words(words), return_counts=True)
+            words = [hash_words(split_words(as_text(x.column(0)), lower=True)[0]) for x in small([batch])]
+            h, n = np.unique(np.concatenate(words), return_counts=True) if words else (np.empty(0, np.uint64), np.empty(0, int))
             yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     top = (docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -99,25 +99,28 @@ def count_models(docs: DataFrame, target: DataFrame, vocabulary: Vocabulary, slo
     sent, v = ship(docs.sparkSession, vocabulary), vocabulary.size + 2
 
     def count(batches):
+        # one key space: words, then contexts, then pairs; sums of a whole task
         vocabulary = sent()
-        for batch in batches:
+        ours, every = np.zeros(2 * v + slots, np.int64), np.zeros(2 * v + slots, np.int64)
+        for batch in small(batches):
             ids, before, slot, offsets = vocabulary.read(batch.column(0), slots)
             good = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(offsets))
-            # one key space: words, then contexts, then pairs
-            key = np.concatenate([ids, v + before, 2 * v + slot])
-            keys, at = np.unique(key, return_inverse=True)
-            every = np.bincount(at, minlength=len(keys))
-            ours = np.bincount(at, np.tile(good, 3), minlength=len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ours), pa.array(every)], ["key", "ours", "every"])
+            for key in (ids, v + before, 2 * v + slot):
+                every += np.bincount(key, minlength=len(every))
+                ours += np.bincount(key[good], minlength=len(ours))
+        keys = np.flatnonzero(every)
+        for i in range(0, len(keys), 100_000):
+            k = keys[i:i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(ours[k]), pa.array(every[k])], ["key", "ours", "every"])
 
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         target.select("doc_id", F.lit(True).alias("good")), "doc_id", "left")
     rows = (marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(count, "key long, ours long, every long")
-            .groupBy("key").agg(F.sum("ours").alias("ours"), F.sum("every").alias("every")).toPandas())
+            .groupBy("key").agg(F.sum("ours").alias("ours"), F.sum("every").alias("every")).toArrow())
     models = []
     for side in ("ours", "every"):
         counts = np.zeros(2 * v + slots, np.int64)
-        counts[rows["key"].to_numpy(np.int64)] = rows[side].to_numpy(np.int64)
+        counts[rows.column("key").to_numpy()] = rows.column(side).to_numpy()
         models.append(Model(counts[:v], counts[2 * v:], counts[v:2 * v]))
     return models[0], models[1]
 
@@ -130,7 +133,7 @@ def score_documents(docs: DataFrame, target: DataFrame, vocabulary_size: int = V
 
     def score(batches):
         vocabulary, ours, every = sent()
-        for batch in batches:
+        for batch in small(batches):
             ids, before, slot, offsets = vocabulary.read(batch.column(1), slots)
             n, owner = np.diff(offsets), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             means = [np.bincount(owner, m.losses(ids, before, slot), minlength=len(n)) / np.maximum(n, 1) for m in (ours, every)]

@@ -9,7 +9,9 @@ only); two texts link when 100 * intersection >= 75 * union.
 2. Two linked sets share a shingle among the first ``n - ceil(3n/4) + 1`` of
    each, so those are dealt out by shingle. A shingle that very many sets
    hold is dealt to a triangle of tiles, every two of its sets meeting in one
-   of them. Within a tile, neighbours in order of size are paired first.
+   of them. Within a tile, every set is paired first with the tile's two hubs,
+   the sets with the smallest scrambled identities (mostly the same two all
+   over a group of near copies).
 3. Pairs that share too few of these first shingles to reach the overlap
    needed are left out; the others are verified by tries: for each left set, the right sets are stored
    in a trie in the global order and walked with the left set; sets with a
@@ -38,11 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import as_text, hash_words, having, sequence_hash, ship, signed, small, split_words, window_hashes, written
+from .text import as_text, hash_words, having, mix64, sequence_hash, ship, signed, small, split_words, window_hashes, written
 
 N = 5
-FREQUENT = 1 << 16
-LOCAL_COUNT = 4
+FREQUENT = 1 << 20
+LOCAL_COUNT = 2
 TILE = 1_000
 TRIE_SETS = 256
 
@@ -195,7 +197,7 @@ def _bounds(cols) -> np.ndarray:
 
 
 def _shared(batches):
-    """Entries whose tile holds two sets or more, each with the set before it in order of size if both pass the bounds."""
+    """Entries whose tile holds two sets or more, each with the tile's two hubs where both pass the bounds."""
     for t in _groups(batches, 2):
         token, tile, n, sig, pos = (t.column(i).to_numpy() for i in range(5))
         same_tile = (token[1:] == token[:-1]) & (tile[1:] == tile[:-1])
@@ -205,14 +207,16 @@ def _shared(batches):
             continue
         ends = _bounds([token, tile])
         size = np.repeat(np.diff(ends), np.diff(ends))
-        first = np.zeros(len(token), bool)
-        first[ends[:-1]] = True
-        keep = size > 1
-        m, left = n.astype(np.int64), n.astype(np.int64) - pos
-        far = (4 * np.roll(m, 1) < 3 * m) | (np.minimum(left, np.roll(left, 1)) < -(-3 * (m + np.roll(m, 1)) // 7))
-        prev = pa.array(np.roll(sig, 1), mask=first | far)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (token, tile, n, sig, pos)] + [prev],
-                                         ["token", "tile", "n", "sig", "pos", "prev"]).filter(pa.array(keep))
+        group = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        ranked = np.lexsort((mix64(sig.view(np.uint64)), group))  # each tile's sets, hubs first
+        m, left, hubs = n.astype(np.int64), n.astype(np.int64) - pos, []
+        for place in (0, 1):
+            hub = ranked[np.minimum(ends[:-1] + place, len(ranked) - 1)][group]
+            a, b = np.minimum(m, m[hub]), np.maximum(m, m[hub])
+            bad = (size < 2) | (sig == sig[hub]) | (4 * a < 3 * b) | (np.minimum(left, left[hub]) < -(-3 * (a + b) // 7))
+            hubs.append(pa.array(sig[hub], mask=bad))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (token, tile, n, sig, pos)] + hubs,
+                                         ["token", "tile", "n", "sig", "pos", "hub", "hub2"]).filter(pa.array(size > 1))
 
 
 def _crossing(batches):
@@ -361,11 +365,13 @@ def near_duplicates(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT)
     named, counts = read_sets(docs)
     order = ship(docs.sparkSession, global_order(counts, frequent))
     entries = (prefix_entries(docs, order, tile).repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "sig")
-               .mapInArrow(_shared, "token long, tile int, n int, sig long, pos int, prev long"))
+               .mapInArrow(_shared, "token long, tile int, n int, sig long, pos int, hub long, hub2 long"))
     entries = written(entries, "shingle-entries")
     firsts = named.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     firstly = entries.groupBy("sig").agg(F.first("n").alias("n"), F.collect_set("token").alias("tokens"))
-    near = entries.where("prev is not null").select(F.least("prev", "sig").alias("a"), F.greatest("prev", "sig").alias("b")).distinct()
+    near = entries.where("hub is not null").select("sig", "hub").unionByName(
+        entries.where("hub2 is not null").select("sig", F.col("hub2").alias("hub"))).select(
+        F.least("hub", "sig").alias("a"), F.greatest("hub", "sig").alias("b")).distinct()
     parts = components(verified(near, docs, firsts, firstly, order))
     marked = (entries.join(parts.withColumnRenamed("node", "sig"), "sig", "left")
               .select("token", "tile", "n", "sig", "pos", F.coalesce("component", "sig").alias("component")))
