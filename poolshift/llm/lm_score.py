@@ -1,19 +1,26 @@
 """Scoring documents by the cross-entropy difference of two word n-gram models.
 
 The target model is counted over the documents labelled good, the background
-model over all documents; both use the same vocabulary, the same hashed
-table of word pairs and the same smoothing. A token's loss is minus the log
-of ``LAMBDA * c(previous, word) / c(previous) + (1 - LAMBDA) * (c(word) + 1) / (tokens + words)``;
+model over all documents; both have all words, all pairs of words and the
+same smoothing. A token's loss is minus the log of
+``LAMBDA * c(previous, word) / c(previous) + (1 - LAMBDA) * (c(word) + 1) / (tokens + words)``;
 a document's score is the mean over its tokens of background loss minus
 target loss, so text like the target scores above 0.
 
-1. Words (by 64-bit hash, lower-cased A-Z) are counted over all documents;
-   the ``VOCABULARY`` most frequent make the shared vocabulary, all others are
-   one unknown word.
-2. Pairs of all documents, and of the target ones, are counted into
-   ``SLOTS`` hashed counters by Spark (map-side sums, one shuffle).
-3. The model, bounded by ``VOCABULARY`` and ``SLOTS``, goes to the tasks, which
-   score whole texts without a shuffle.
+1. Words (by 64-bit hash, lower-cased A-Z) are counted over all documents, as
+   words and as contexts, into a table that grows with the corpus.
+2. Words that are more than one in ``VOCABULARY`` of all tokens, and pairs of
+   these that are more than one in ``SLOTS``, are frequent: at most so many
+   exist at any size. Their counts go to the tasks, which score frequent pairs
+   at once.
+3. All other tokens are dealt to buckets of about ``BUCKET`` tokens, by
+   context, by word where the context is frequent, by both where both are. The
+   counts of other words are dealt to the buckets that need them. So each
+   bucket holds all tokens of its pairs, counts the pairs and has both
+   counts of their words; the losses are summed by document.
+
+Nothing is left out or merged: what ``VOCABULARY`` and ``SLOTS`` choose is where a
+pair is counted, not whether.
 
 Defined cases: null and empty texts have no tokens, zero losses and score 0;
 without target documents the target model is the uniform one; repeated rows
@@ -28,117 +35,263 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import as_text, hash_words, mix64, ship, signed, small, split_words
+from .text import as_text, hash_words, mix64, ship, signed, small, split_words, written
 
 VOCABULARY = 1 << 16
 SLOTS = 1 << 20
+BUCKET = 1 << 20
 LAMBDA = 0.7
+#: The context of a text's first word; no word holds a line break.
+START = np.uint64(xxhash.xxh3_64_intdigest("\n"))
+#: Counts of a word: as word and as context, in all documents and in target ones.
+COUNTS = ["every", "ours", "c_every", "c_ours"]
+_DEALT = "bucket int, kind int, data binary"
+_TOKENS, _WORDS, _ROWS = range(3)
+_FORM = {
+    _TOKENS: np.dtype([("row", "<i8"), ("b", "<u8"), ("w", "<u8"), ("good", "?")]),
+    _WORDS: np.dtype([("h", "<u8"), *((c, "<i8") for c in COUNTS)]),
+    _ROWS: np.dtype([("row", "<i8"), ("doc_id", "<i8"), ("known", "?"), ("n", "<i8"), ("ours", "<f8"), ("every", "<f8")]),
+}
 
 
-@dataclass
-class Vocabulary:
-    """The hashes of the shared words, ascending; id ``size`` is the unknown word, ``size + 1`` the start of a text."""
+def read(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of a batch of texts, the hash before each, and the texts' offsets."""
+    words, offsets = split_words(as_text(col), lower=True)
+    w = hash_words(words)
+    b = np.concatenate([[START], w[:-1]]).astype(np.uint64) if len(w) else w
+    b[offsets[:-1][np.diff(offsets) > 0]] = START
+    return w, b, offsets
+
+
+def _flags(col: pa.Array, offsets: np.ndarray) -> np.ndarray:
+    return np.repeat(col.to_numpy(zero_copy_only=False).astype(bool), np.diff(offsets))
 
-    words: np.ndarray
 
-    @property
-    def size(self) -> int:
-        return len(self.words)
-
-    def ids(self, w: np.ndarray) -> np.ndarray:
-        if not self.size:
-            return np.zeros(len(w), np.int64)
-        at = np.minimum(np.searchsorted(self.words, w), self.size - 1)
-        return np.where(self.words[at] == w, at, self.size)
-
-    def read(self, col: pa.Array, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all words of a batch of texts, the id before each, the slot of each pair, and the texts' offsets."""
-        words, offsets = split_words(as_text(col), lower=True)
-        ids = self.ids(hash_words(words))
-        before = np.concatenate([[0], ids[:-1]]) if len(ids) else ids
-        starts = offsets[:-1][np.diff(offsets) > 0]
-        before[starts] = self.size + 1
-        slot = mix64((before * (self.size + 2) + ids).astype(np.uint64)) % np.uint64(slots)
-        return ids, before, slot.astype(np.int64), offsets
-
-
-def count_words(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-    """The ``size`` most frequent words of all documents."""
+def count_words(marked: DataFrame) -> DataFrame:
+    """h and ``COUNTS`` of every word and of ``START``."""
     def count(batches):
-        for batch in batches:
-            words = [hash_words(split_words(as_text(x.column(0)), lower=True)[0]) for x in small([batch])]
-            h, n = np.unique(np.concatenate(words), return_counts=True) if words else (np.empty(0, np.uint64), np.empty(0, int))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n.astype(np.int64))], ["h", "n"])
+        for batch in small(batches, 4000):
+            w, b, offsets = read(batch.column(0))
+            good = _flags(batch.column(1), offsets)
+            h, at = np.unique(np.concatenate([w, b]), return_inverse=True)
+            at, n = (at[:len(w)], at[len(w):]), len(h)
+            counts = [np.bincount(x[keep], minlength=n) for x in at for keep in (slice(None), good)]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), *(pa.array(x.astype(np.int64)) for x in counts)], ["h", *COUNTS])
+
+    return written(marked.select("text", "good").mapInArrow(count, "h long, " + ", ".join(f"{c} long" for c in COUNTS))
+                   .groupBy("h").agg(*(F.sum(c).alias(c) for c in COUNTS)), "word-counts")
 
-    top = (docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "h").limit(size).select("h").toPandas())
-    return Vocabulary(np.sort(top["h"].to_numpy(np.int64).view(np.uint64)))
+
+def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of ``x`` in ascending ``keys``, -1 where there is none."""
+    if not len(keys):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[at] == x, at, -1)
 
 
 @dataclass
 class Model:
-    """Word and pair counts of one side; ``contexts`` is how often each id precedes a word."""
+    """Totals of the corpus, the frequent words with their ``COUNTS`` (ascending) and the buckets of all other tokens."""
 
+    tokens: dict
+    size: int
+    buckets: int
     words: np.ndarray
-    pairs: np.ndarray
-    contexts: np.ndarray
 
-    def losses(self, ids, before, slot) -> np.ndarray:
-        base = (self.words[ids] + 1) / (self.words.sum() + len(self.words))
-        seen = self.contexts[before]
-        share = np.minimum(self.pairs[slot], seen) / np.maximum(seen, 1)
-        weight = np.where(seen > 0, LAMBDA, 0.0)
-        return -np.log(weight * share + (1 - weight) * base)
+    def bucket(self, x: np.ndarray) -> np.ndarray:
+        return (mix64(x) % np.uint64(self.buckets)).astype(np.int64)
+
+    def deal(self, b, w, at_b, at_w) -> np.ndarray:
+        """The bucket of each token: by context, by word if the context is frequent, by both if both are."""
+        with np.errstate(over="ignore"):
+            both = mix64(b) + w
+        return self.bucket(np.where(at_b < 0, b, np.where(at_w < 0, w, both)))
 
+    def losses(self, side: str, pairs, contexts, words) -> np.ndarray:
+        base = (words + 1) / (self.tokens[side] + self.size)
+        weight = np.where(contexts > 0, LAMBDA, 0.0)
+        return -np.log(weight * pairs / np.maximum(contexts, 1) + (1 - weight) * base)
 
-def count_models(docs: DataFrame, target: DataFrame, vocabulary: Vocabulary, slots: int = SLOTS) -> tuple[Model, Model]:
-    """Target and background model. ``target``: doc_ids, one row each."""
-    sent, v = ship(docs.sparkSession, vocabulary), vocabulary.size + 2
 
+def _packed(data: np.ndarray, bucket: np.ndarray, kind: int) -> pa.RecordBatch:
+    """One row for each bucket, its records column after column."""
+    order = np.argsort(bucket, kind="stable")
+    ids, starts = np.unique(bucket[order], return_index=True)
+    parts = np.split(data[order], starts[1:]) if len(ids) else []
+    blobs = [b"".join(np.ascontiguousarray(p[c]).tobytes() for c in p.dtype.names) for p in parts]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([kind] * len(ids), pa.int32()), pa.array(blobs, pa.binary())],
+                                      ["bucket", "kind", "data"])
+
+
+def _unpacked(blobs: list[bytes], kind: int) -> np.ndarray:
+    form = _FORM[kind]
+    out, done = np.empty(sum(map(len, blobs)) // form.itemsize, form), 0
+    for blob in blobs:
+        n, at = len(blob) // form.itemsize, 0
+        for c in form.names:
+            out[c][done:done + n] = np.frombuffer(blob, form[c], n, at)
+            at += n * form[c].itemsize
+        done += n
+    return out
+
+
+def _records(kind: int, **columns) -> np.ndarray:
+    out = np.empty(len(next(iter(columns.values()))), _FORM[kind])
+    for c, x in columns.items():
+        out[c] = x
+    return out
+
+
+def frequent_pairs(marked: DataFrame, sent, least: int) -> np.ndarray:
+    """Counts of the pairs of frequent words that occur more than ``least`` times; ``key`` is context place * words + word place, ascending."""
     def count(batches):
-        # one key space: words, then contexts, then pairs; sums of a whole task
-        vocabulary = sent()
-        ours, every = np.zeros(2 * v + slots, np.int64), np.zeros(2 * v + slots, np.int64)
-        for batch in small(batches):
-            ids, before, slot, offsets = vocabulary.read(batch.column(0), slots)
-            good = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(offsets))
-            for key in (ids, v + before, 2 * v + slot):
-                every += np.bincount(key, minlength=len(every))
-                ours += np.bincount(key[good], minlength=len(ours))
-        keys = np.flatnonzero(every)
-        for i in range(0, len(keys), 100_000):
-            k = keys[i:i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(ours[k]), pa.array(every[k])], ["key", "ours", "every"])
-
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        target.select("doc_id", F.lit(True).alias("good")), "doc_id", "left")
-    rows = (marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(count, "key long, ours long, every long")
-            .groupBy("key").agg(F.sum("ours").alias("ours"), F.sum("every").alias("every")).toArrow())
-    models = []
-    for side in ("ours", "every"):
-        counts = np.zeros(2 * v + slots, np.int64)
-        counts[rows.column("key").to_numpy()] = rows.column(side).to_numpy()
-        models.append(Model(counts[:v], counts[2 * v:], counts[v:2 * v]))
-    return models[0], models[1]
-
-
-def score_documents(docs: DataFrame, target: DataFrame, vocabulary_size: int = VOCABULARY, slots: int = SLOTS) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (means) and score of every row of ``docs``."""
+        model = sent()
+        for batch in small(batches, 4000):
+            w, b, offsets = read(batch.column(0))
+            at_b, at_w = find(model.words["h"], b), find(model.words["h"], w)
+            both = (at_b >= 0) & (at_w >= 0)
+            key, at = np.unique((at_b * len(model.words) + at_w)[both], return_inverse=True)
+            good = _flags(batch.column(1), offsets)[both]
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *(pa.array(np.bincount(x, minlength=len(key)).astype(np.int64)) for x in (at, at[good]))],
+                                             ["key", "every", "ours"])
+
+    rows = (marked.select("text", "good").mapInArrow(count, "key long, every long, ours long").groupBy("key")
+            .agg(F.sum("every").alias("every"), F.sum("ours").alias("ours")).where(F.col("every") > least).toArrow())
+    out = np.empty(rows.num_rows, [("key", "<i8"), ("every", "<i8"), ("ours", "<i8")])
+    for c in out.dtype.names:
+        out[c] = rows.column(c).to_numpy()
+    return np.sort(out, order="key")
+
+
+def _asked(marked: DataFrame, sent) -> DataFrame:
+    """(bucket, h) of the words that meet, in a bucket dealt by context, a context that is not frequent either."""
+    def ask(batches):
+        model = sent()
+        for batch in small(batches, 4000):
+            w, b, _ = read(batch.column(0))
+            at_b, at_w = find(model.words["h"], b), find(model.words["h"], w)
+            rare = (at_b < 0) & (at_w < 0)
+            pairs = np.unique(np.stack([model.bucket(b[rare]).astype(np.int64), signed(w[rare])], axis=1), axis=0) if rare.any() else np.empty((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int32()), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["bucket", "h"])
+
+    return marked.select("text").mapInArrow(ask, "bucket int, h long").distinct()
+
+
+def _dealt_words(marked: DataFrame, words: DataFrame, least: int, sent) -> DataFrame:
+    """Counts of the words that are not frequent, in their own bucket and in those that ask for them."""
+    rare = words.where(F.greatest("every", "c_every") <= least)
+
+    def pack(batches):
+        model = sent()
+        for batch in batches:
+            h = batch.column(1).to_numpy().view(np.uint64)
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            bucket = np.where(np.isnan(own), model.bucket(h), own).astype(np.int64) if batch.column(0).null_count else own.astype(np.int64)
+            yield _packed(_records(_WORDS, h=h, **{c: batch.column(c).to_numpy() for c in COUNTS}), bucket, _WORDS)
+
+    own = rare.select(F.lit(None).cast("int").alias("bucket"), "h", *COUNTS)
+    return own.unionByName(_asked(marked, sent).join(rare, "h").select("bucket", "h", *COUNTS)).mapInArrow(pack, _DEALT)
+
+
+def _dealt_tokens(marked: DataFrame, sent, pairs) -> DataFrame:
+    """Every row with the losses of its frequent pairs, and its other tokens."""
+    def deal(batches):
+        model, frequent = sent(), pairs()
+        words = model.words
+        row = TaskContext.get().partitionId() << 33
+        for batch in small(batches, 4000):
+            w, b, offsets = read(batch.column(1))
+            n = np.diff(offsets)
+            owner = np.repeat(np.arange(len(n)), n)
+            at_b, at_w = find(words["h"], b), find(words["h"], w)
+            at = find(frequent["key"], np.where((at_b >= 0) & (at_w >= 0), at_b * len(words) + at_w, -1))
+            now = at >= 0
+            sums = {side: np.bincount(owner[now], model.losses(side, frequent[side][at[now]], words["c_" + side][at_b[now]], words[side][at_w[now]]),
+                                      minlength=len(n)) for side in ("ours", "every")}
+            ids = batch.column(0)
+            head = _records(_ROWS, row=row + np.arange(len(n)), doc_id=ids.fill_null(0).to_numpy(), n=n,
+                            known=ids.is_valid().to_numpy(zero_copy_only=False), **sums)
+            yield _packed(head, np.full(len(n), model.bucket(np.array([row], np.uint64))[0]), _ROWS)
+            late = ~now
+            tokens = _records(_TOKENS, row=row + owner[late], b=b[late], w=w[late], good=_flags(batch.column(2), offsets)[late])
+            yield _packed(tokens, model.deal(b[late], w[late], at_b[late], at_w[late]), _TOKENS)
+            row += len(n)
+
+    return marked.select("doc_id", "text", "good").mapInArrow(deal, _DEALT)
+
+
+def _losses_of(model: Model, tokens: np.ndarray, facts: np.ndarray) -> tuple[np.ndarray, dict]:
+    """Rows of a bucket's tokens and the sums of their losses."""
+    _, first = np.unique(facts["h"], return_index=True)
+    known = np.concatenate([model.words, facts[first]])
+    known = known[np.argsort(known["h"], kind="stable")]
+    order = np.lexsort((tokens["w"], tokens["b"]))
+    tokens = tokens[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens["b"][1:] != tokens["b"][:-1]) | (tokens["w"][1:] != tokens["w"][:-1])
+    pair, heads = np.cumsum(new) - 1, tokens[new]
+    b, w = known[find(known["h"], heads["b"])], known[find(known["h"], heads["w"])]
+    counts = {"every": np.bincount(pair), "ours": np.bincount(pair[tokens["good"]], minlength=len(heads))}
+    rows, at = np.unique(tokens["row"], return_inverse=True)
+    return rows, {side: np.bincount(at, model.losses(side, counts[side], b["c_" + side], w[side])[pair], minlength=len(rows))
+                  for side in ("ours", "every")}
+
+
+def score_documents(docs: DataFrame, target: DataFrame, vocabulary_size: int = VOCABULARY, slots: int = SLOTS,
+                    bucket: int = BUCKET) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (means) and score of every row of ``docs``.
+
+    ``vocabulary_size`` and ``slots``: frequent words (and as many contexts) and pairs sent to the tasks, at most.
+    """
+    spark = docs.sparkSession
     target = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    vocabulary = count_words(docs, vocabulary_size)
-    sent = ship(docs.sparkSession, (vocabulary, *count_models(docs, target, vocabulary, slots)))
+    marked = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+                     .join(target.select("doc_id", F.lit(True).alias("good")), "doc_id", "left")
+                     .select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good")), "marked-texts")
+    words = count_words(marked)
+    total = words.agg(F.sum("every").alias("every"), F.sum("ours").alias("ours"), F.count_if(F.col("every") > 0).alias("words")).first()
+    tokens = {side: total[side] or 0 for side in ("every", "ours")}
+    least = tokens["every"] // vocabulary_size
+    hot = words.where(F.greatest("every", "c_every") > least).toArrow()
+    model = Model(tokens, total["words"] + 2, max(1, -(-tokens["every"] // bucket)),
+                  np.sort(_records(_WORDS, h=hot.column("h").to_numpy().view(np.uint64), **{c: hot.column(c).to_numpy() for c in COUNTS}), order="h"))
+    sent = ship(spark, model)
+    pairs = ship(spark, frequent_pairs(marked, sent, tokens["every"] // slots))
 
     def score(batches):
-        vocabulary, ours, every = sent()
-        for batch in small(batches):
-            ids, before, slot, offsets = vocabulary.read(batch.column(1), slots)
-            n, owner = np.diff(offsets), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            means = [np.bincount(owner, m.losses(ids, before, slot), minlength=len(n)) / np.maximum(n, 1) for m in (ours, every)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *(pa.array(x) for x in means), pa.array(means[1] - means[0])],
-                                             ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+        model = sent()
+
+        def finish(parts):
+            for x in np.array_split(_unpacked(parts[_ROWS], _ROWS), 1 + len(parts[_ROWS]) // 100):
+                yield pa.RecordBatch.from_arrays([pa.array(x["row"]), pa.array(x["doc_id"], mask=~x["known"]), pa.array(x["n"]),
+                                                  pa.array(x["ours"]), pa.array(x["every"])], ["row", "doc_id", "n", "ours", "every"])
+            if parts[_TOKENS]:
+                rows, sums = _losses_of(model, _unpacked(parts[_TOKENS], _TOKENS), _unpacked(parts[_WORDS], _WORDS))
+                none = pa.nulls(len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(rows), none, none, pa.array(sums["ours"]), pa.array(sums["every"])],
+                                                 ["row", "doc_id", "n", "ours", "every"])
+
+        now, parts = None, None
+        for batch in batches:
+            for k, kind, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if k != now:
+                    if parts:
+                        yield from finish(parts)
+                    now, parts = k, {x: [] for x in _FORM}
+                parts[kind].append(data)
+        if parts:
+            yield from finish(parts)
+
+    dealt = _dealt_tokens(marked, sent, pairs).unionByName(_dealt_words(marked, words, least, sent))
+    sums = (dealt.repartition(model.buckets, "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(score, "row long, doc_id long, n long, ours double, every double").groupBy("row")
+            .agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), F.sum("ours").alias("ours"), F.sum("every").alias("every")))
+    mean = lambda side: F.col(side) / F.greatest("n_tokens", F.lit(1))
+    return sums.select("doc_id", "n_tokens", mean("ours").alias("target_loss"), mean("every").alias("background_loss"),
+                       (mean("every") - mean("ours")).alias("score"))

@@ -61,3 +61,13 @@ def test_small_vocabulary_and_empty_table(spark, make_docs):
     ids = spark.createDataFrame([(1,)], "doc_id long")
     assert L.score_documents(make_docs(DOCS), ids, vocabulary_size=2, slots=8).count() == len(DOCS)
     assert L.score_documents(make_docs([]), ids).collect() == []
+
+
+@pytest.mark.parametrize(("vocabulary_size", "slots", "bucket"), [(2, 8, 1 << 20), (30, 40, 50), (1, 1, 7)])
+def test_bounds_of_what_is_sent_change_no_score(spark, make_docs, vocabulary_size, slots, bucket):
+    docs = DOCS + [(100 + i, f"rare{i} rare{i % 3} the rare{i % 2} rare{i} sea") for i in range(12)]
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 52, 101, 104)], "doc_id long")
+    got = L.score_documents(make_docs(docs), ids, vocabulary_size=vocabulary_size, slots=slots, bucket=bucket).collect()
+    key = lambda r: (str(r[0]), r[1], round(r[4], 6))
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(plain(docs, {1, 2, 52, 101, 104}), key=key), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
