@@ -10,8 +10,9 @@ place, so reordered passages count. An item is leaked by a document when its
 tiles cover at least ``threshold`` of the item's words.
 
 The benchmark is taken in blocks of at most ``block_words`` words, each sent
-to the tasks in turn (the bound holds for a benchmark of any size; documents
-are read once per block). Documents are never shuffled.
+to the tasks in turn (the bound holds for a benchmark of any size). Each
+document row is judged against all blocks and gives one result row. Documents
+are never shuffled.
 
 Defined cases: null texts and items are empty; items with fewer than
 ``seed_words`` words are seeded by their whole word sequence; empty items
@@ -129,32 +130,33 @@ def _blocks(items: DataFrame, block_words: int):
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, seed_words: int = SEED_WORDS,
           min_match: int = MIN_MATCH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document and benchmark block: doc_id, n_words, items (ids leaked, ascending), coverage.
+    """Per row of ``docs``, over the whole benchmark: doc_id, n_words, items (ids leaked, ascending), coverage.
 
     ``coverage`` is the largest among the items tiled; items that cannot reach
     the threshold, by an upper bound, are not tiled (0 if none was).
     """
-    parts = []
-    for block in _blocks(items, block_words):
-        sent = ship(docs.sparkSession, Block(block, seed_words, min_match, threshold))
-
-        def run(batches, sent=sent):
-            block = sent()
-            for batch in batches:
-                found = [block.judge(t.as_py()) for t in as_text(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array([x[0] for x in found], pa.int64()),
-                    pa.array([x[1] for x in found], pa.list_(pa.int64())),
-                    pa.array([x[2] for x in found], pa.float64())], ["doc_id", "n_words", "items", "coverage"])
-
-        parts.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT))
-    if not parts:
+    sent = [ship(docs.sparkSession, Block(block, seed_words, min_match, threshold)) for block in _blocks(items, block_words)]
+    if not sent:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_words"),
                            F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("coverage"))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+
+    def run(batches):
+        # a task holds one block at a time
+        block = sent[0]()
+        for batch in batches:
+            texts = as_text(batch.column(1))
+            n_words, leaked, most = [0] * len(texts), [set() for _ in texts], [0.0] * len(texts)
+            for other in sent:
+                block = other() if len(sent) > 1 else block
+                for i, t in enumerate(texts):
+                    n_words[i], found, covered = block.judge(t.as_py())
+                    leaked[i].update(found)
+                    most[i] = max(most[i], covered)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(n_words, pa.int64()), pa.array([sorted(x) for x in leaked], pa.list_(pa.int64())),
+                pa.array(most, pa.float64())], ["doc_id", "n_words", "items", "coverage"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, seed_words: int = SEED_WORDS,

@@ -66,3 +66,10 @@ def test_empty_tables(make_docs, make_items):
     assert D.leaks(make_docs([]), make_items([(1, "a b c d")])).collect() == []
     assert [tuple(r) for r in D.leaks(docs, make_items([])).select("doc_id", "items").collect()] == [(1, [])]
     assert D.decontaminate(docs, make_items([])).count() == 1
+
+
+def test_one_row_per_document_at_any_benchmark_size(make_docs, make_items):
+    docs, items = corpus()
+    key = lambda r: (str(r[0]), r[1], r[2], r[3])
+    whole, blocks = (sorted(map(tuple, D.leaks(make_docs(docs), make_items(items), block_words=n).collect()), key=key) for n in (1 << 20, 30))
+    assert len(blocks) == len(docs) and blocks == whole
