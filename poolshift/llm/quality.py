@@ -2,7 +2,7 @@
 
 Statistics of every whole text are computed once and written to the shared
 folder. Trees are fitted on a bounded sample of labelled rows
-(``PER_CLASS`` of each class): features are cut into at most ``BINS`` bins, each
+(``PER_CLASS`` of each class, weighed to the class mix of all usable labels): features are cut into at most ``BINS`` bins, each
 node chooses the split with the largest gain from gradient histograms, and
 the ensemble is flattened into arrays that a batch of rows walks level by
 level in numpy.
@@ -92,12 +92,14 @@ class Forest:
         return 1 / (1 + np.exp(-total))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE,
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE,
         min_leaf: int = MIN_LEAF, ridge: float = RIDGE) -> Forest:
-    """Histogram gradient boosting with logistic loss."""
-    odds = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    """Histogram gradient boosting with logistic loss; ``weight``: rows that each row stands for (1 each)."""
+    weight = np.ones(len(y)) if weight is None else weight
+    odds = np.log((weight @ y + 1) / (weight @ (1 - y) + 1))
     if not len(y) or y.min() == y.max():
         return Forest(float(odds), *(np.zeros((0, 1), t) for t in (np.int64, float, float)), depth)
+    weight = weight / weight.mean()
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T, strict=True)], axis=1)
     cells = binned + np.arange(x.shape[1]) * bins
@@ -105,7 +107,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
     feature, limit, value = np.full((trees, size), -1), np.zeros((trees, size)), np.zeros((trees, size))
     for t in range(trees):
         p = 1 / (1 + np.exp(-score))
-        grad, hess, node = y - p, p * (1 - p), np.zeros(len(y), np.int64)
+        grad, hess, node = weight * (y - p), weight * p * (1 - p), np.zeros(len(y), np.int64)
         for level in range(depth + 1):
             for i in range(2 ** level - 1, 2 ** (level + 1) - 1):
                 own = np.flatnonzero(node == i)
@@ -136,7 +138,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     rows = (stats.dropDuplicates(["doc_id"]).join(training_ids(labels, "quality", FOLDS, FOLD, per_class), "doc_id")
             .orderBy("doc_id").toPandas())
     x = np.array(rows["stats"].tolist(), float).reshape(len(rows), len(STATS))
-    forest = fit(x, rows["label"].to_numpy(float))
+    forest = fit(x, rows["label"].to_numpy(float), rows["weight"].to_numpy(float))
 
     def judge(batches):
         for batch in batches:

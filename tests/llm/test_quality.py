@@ -59,3 +59,13 @@ def test_flat_trees_equal_a_walk():
             total[r] += f.value[t, node]
     assert np.allclose(f.score(x), 1 / (1 + np.exp(-total)))
     assert ((f.score(x) > 0.5) == y).mean() > 0.9
+
+
+def test_a_smaller_sample_keeps_the_class_mix(make_docs, make_labels):
+    rnd = random.Random(5)
+    docs = [(i, " ".join(rnd.choice(["the", "sea", "Wind", "over"]) for _ in range(rnd.randint(5, 40)))) for i in range(900)]
+    labels = make_labels([(i, int(rnd.random() < 0.85), 0) for i in range(900)])
+    rows = training_ids(labels, "quality", 5, 0, 60).collect()
+    assert len(rows) == 120 and len({r["weight"] for r in rows}) == 2
+    mean = [np.mean([r["score"] for r in Q.score_quality(make_docs(docs), labels, per_class=n).collect()]) for n in (60, 10_000)]
+    assert abs(mean[0] - mean[1]) < 0.08 and mean[1] > 0.8
