@@ -8,8 +8,8 @@
    walked, so a word costs one table lookup per letter until it falls out.
 3. Each hit is weighed by the words around it: hits inside quotation marks or
    after a reporting verb count as quotation, the others as abuse.
-4. A logistic regression over those counts, fitted on the same sample, gives
-   the score.
+4. A logistic regression over those counts, fitted on the same sample weighed
+   to the class mix of all usable labels, gives the score.
 
 Defined cases: null and empty texts hold no hits and get the score of a text
 without hits; with labels of one class or none there is no lexicon and every
@@ -243,16 +243,18 @@ def learn_lexicon(docs: DataFrame, sample: DataFrame, max_terms: int = MAX_TERMS
     return Lexicon(lexicon.words, lexicon.stems, frozenset(r["term"] for r in own))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 50) -> np.ndarray:
-    """Logistic regression with an intercept (Newton steps); both classes weigh as they occur."""
+def fit_weights(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-4, steps: int = 50) -> np.ndarray:
+    """Logistic regression with an intercept (Newton steps); ``weight``: rows that each row stands for (1 each), so both classes weigh as they occur."""
+    weight = np.ones(len(y)) if weight is None else weight
     if not len(y) or y.min() == y.max():
-        return np.concatenate([[np.log((y.sum() + 1) / (len(y) - y.sum() + 1))], np.zeros(x.shape[1])])
+        return np.concatenate([[np.log((weight @ y + 1) / (weight @ (1 - y) + 1))], np.zeros(x.shape[1])])
+    weight = weight / weight.mean()
     z = np.hstack([np.ones((len(x), 1)), x])
     penalty = np.diag([1e-6] + [ridge] * x.shape[1])
     w = np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) / len(y) + penalty, z.T @ (y - p) / len(y) - penalty @ w)
+        step = np.linalg.solve(z.T @ (z * (weight * p * (1 - p))[:, None]) / len(y) + penalty, z.T @ (weight * (y - p)) / len(y) - penalty @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -279,13 +281,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Sco
     def run(batches):
         for batch in batches:
             rows = [measure(t.as_py(), lexicon) for t in as_text(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64())), batch.column(2)],
-                                             ["doc_id", "hits", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64())), batch.column(2), batch.column(3)],
+                                             ["doc_id", "hits", "label", "weight"])
 
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-            .mapInArrow(run, "doc_id long, hits array<double>, label int").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas())
+            .mapInArrow(run, "doc_id long, hits array<double>, label int, weight double").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas())
     x = np.array(rows["hits"].tolist(), float).reshape(len(rows), len(FEATURES))
-    return Scorer(lexicon, fit_weights(x, rows["label"].to_numpy(float)))
+    return Scorer(lexicon, fit_weights(x, rows["label"].to_numpy(float), rows["weight"].to_numpy(float)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, cut: float = CUT) -> DataFrame:

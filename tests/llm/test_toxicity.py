@@ -90,3 +90,13 @@ def test_without_labels_or_documents(make_docs, make_labels, data):
     for few in ([], [(1, 1, 0), (2, 1, 0)]):
         assert len({r["score"] for r in T.score_toxicity(make_docs(docs[:20]), make_labels(few)).collect()}) == 1
     assert T.score_toxicity(make_docs([]), make_labels(labels)).collect() == []
+
+
+def test_a_smaller_sample_keeps_the_class_mix(make_docs, make_labels):
+    docs, _ = corpus(600)
+    # of the toxic rows, half hold no toxic word
+    toxic = {i for i in range(600) if i % 6 == 0 or i % 12 == 1}
+    docs = [(i, t if i % 6 == 0 else " ".join(w for w in t.split() if w not in ("snarfle", "grumbolt", "veckless"))) for i, t in docs]
+    labels = make_labels([(i, 1, int(i in toxic)) for i, _ in docs])
+    mean = [np.mean([r["score"] for r in T.score_toxicity(make_docs(docs), labels, per_class=n).collect()]) for n in (40, 5_000)]
+    assert abs(mean[0] - mean[1]) < 0.06
