@@ -360,8 +360,8 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, firstly: Data
     return _beside(pairs, sets).mapInArrow(_verify, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``."""
+def _rows(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, n, sig (set identity) and component_id of every row of ``docs``."""
     named, counts = read_sets(docs)
     order = ship(docs.sparkSession, global_order(counts, frequent))
     entries = (prefix_entries(docs, order, tile).repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "sig")
@@ -378,15 +378,27 @@ def near_duplicates(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT)
     crossing = (marked.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "sig")
                 .mapInArrow(_crossing, "a long, b long").distinct().join(near, ["a", "b"], "left_anti"))
     more = written(verified(crossing, docs, firsts, firstly, order), "shingle-links")
+    # the sets of a doc_id that has several, or an empty one too, are one document
+    own = F.when(F.col("n") > 0, F.col("sig"))
+    several = written(named.where("doc_id is not null").groupBy("doc_id")
+                      .agg(F.min(own).alias("u"), F.max(own).alias("last"), F.min("n").alias("least"))
+                      .where("u <> last or (least = 0 and u is not null)"), "several-sets")
+    same = named.where("n > 0").join(several.where("u <> last").select("doc_id", "u"), "doc_id").select("u", F.col("sig").alias("v"))
     # classes as nodes; a class's smallest doc_id names its component
-    parts = components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    parts = components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more).unionByName(same))
     class_of = firsts.join(parts.withColumnRenamed("node", "sig"), "sig", "left").select(
         "sig", "doc_id", F.coalesce("component", "sig").alias("component"))
     names = class_of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named_classes = class_of.join(names, "component").select("sig", "component_id")
-    return (named.join(named_classes, "sig", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    whole = (named.join(several.where("least = 0").select("doc_id", "u"), "doc_id", "left")
+             .select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).otherwise(F.col("u")).alias("sig")))
+    return (whole.join(named_classes, "sig", "left")
+            .select("doc_id", "n", "sig", F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``."""
+    return _rows(docs, tile, frequent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:

@@ -72,3 +72,10 @@ def test_trie_agrees_with_set_arithmetic():
 def test_a_common_token_meets_all_pairs_of_tiles():
     tiles = {sig: {t for _, t in N._tiles_of(np.array([10]), sig, 3)} for sig in range(12)}
     assert all(tiles[a] & tiles[b] for a in tiles for b in tiles)
+
+
+def test_texts_of_one_doc_id_are_one_document(make_docs):
+    a, b, c = ("a b c d e f g", "k l m n o p q", "r s t u v w x")
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (8, c), (9, ""), (11, ""), (12, b + " r")]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in N.near_duplicates(make_docs(rows)).collect()}
+    assert got == {(3, 3): 3, (5, 3): 3, (7, 3): 3, (9, 3): 8, (8, 3): 8, (9, 0): 8, (11, 0): 11, (12, 4): 3}
