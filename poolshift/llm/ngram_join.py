@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .text import as_text, hash_words, having, mix64, sequence_hash, ship, signed, small, split_words, window_hashes, written
@@ -402,6 +403,27 @@ def near_duplicates(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT)
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component: one document of each group of near copies stays."""
-    keep = near_duplicates(docs, **kw).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").select(*docs.columns)
+    """One row of each group of near copies: of the doc_id that names it, texts with words first, then by hash.
+
+    A row of null doc_id stays if no row with an id is in its group, once for
+    each set; without words it is a group of its own.
+    """
+    rows = written(_rows(docs, **kw), "row-components")
+    names = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")).where("doc_id = component_id")
+    order = F.struct(F.coalesce(F.trim("text"), F.lit("")) == "", F.xxhash64("text"), F.xxhash64(*docs.columns))
+    first = F.min_by(F.struct(*docs.columns), order).alias("row")
+    once = docs.join(names.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    repeated = docs.join(names.where("rows > 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(first).select("row.*")
+
+    at, names_out = docs.columns.index("text"), [*docs.columns, "_sig"]
+
+    def sign(batches):
+        for batch in small(batches):
+            sets = [_signature(s) if len(s) else None for s in shingle_sets(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.int64())], names_out)
+
+    unnamed = docs.where("doc_id is null").mapInArrow(sign, T.StructType([*docs.schema.fields, T.StructField("_sig", T.LongType())]))
+    taken = rows.where("doc_id is null and component_id is not null").select(F.col("sig").alias("_sig")).distinct()
+    alone = unnamed.where("_sig is not null").join(taken, "_sig", "left_anti").groupBy("_sig").agg(first).select("row.*")
+    wordless = unnamed.where("_sig is null").select(*docs.columns)
+    return once.unionByName(repeated).unionByName(alone).unionByName(wordless)

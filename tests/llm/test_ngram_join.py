@@ -79,3 +79,12 @@ def test_texts_of_one_doc_id_are_one_document(make_docs):
     rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (8, c), (9, ""), (11, ""), (12, b + " r")]
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in N.near_duplicates(make_docs(rows)).collect()}
     assert got == {(3, 3): 3, (5, 3): 3, (7, 3): 3, (9, 3): 8, (8, 3): 8, (9, 0): 8, (11, 0): 11, (12, 4): 3}
+
+
+def test_one_of_each_of_repeated_rows_and_null_ids(make_docs):
+    a, b, c = ("a b c d e f g", "k l m n o p q", "r s t u v w x")
+    rows = [(1, a), (1, a), (1, b), (2, a), (None, a), (None, c), (None, c), (None, None), (4, ""), (4, ""), (6, "z"), (6, "")]
+    kept = N.one_of_each(make_docs(rows)).collect()
+    ids = sorted((r["doc_id"] for r in kept), key=str)
+    assert ids == [1, 4, 6, None, None]
+    assert [r["text"] for r in kept if r["doc_id"] == 6] == ["z"] and {r["text"] for r in kept if r["doc_id"] is None} == {c, None}
