@@ -128,7 +128,8 @@ def shuffled(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """doc_id, source, size with rank, before and total in the source's fixed shuffle."""
     sized = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"))
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    return laid_out(sized.withColumn("mix_key", key), "source", ["mix_key", "doc_id", "size"], "size").drop("mix_key")
+    # written first: the ranges are found by a pass of their own, which must not read the texts again
+    return laid_out(written(sized.withColumn("mix_key", key), "mix-sizes"), "source", ["mix_key", "doc_id", "size"], "size").drop("mix_key")
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
