@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import (BLANKS, POOL_SEP, in_list_or_all, normal_pool, parse_pool_text,
                                pool_key, split_pool)
-from .batch import join_pools, migration_batch, once, site_list
+from .batch import IN_BOTH, class_services, listed, migration_batch, once, request_classes
 from .filters import filter_by_idc, filter_default, pools_predicate
-from .migration import zero_if_null
+from .migration import SUMMARY_MEASURES, zero_if_null
 
 ROWS_PER_CANDIDATE = 10
 
@@ -161,38 +161,32 @@ def candidate_batch(inv: DataFrame, requests: DataFrame) -> DataFrame:
     request's sites.
 
     Candidates are parsed per request (one spelling each, blanks and
-    duplicates dropped, the target removed) and exploded; each (request, candidate) is
-    then a migration question answered by the batch plan, and pool totals
-    come from one equi-join of the rows on the pool key.
+    duplicates dropped, the target removed) and exploded; equal (target,
+    candidate, sites) are evaluated once, and one aggregate over the profile
+    of the pools gives both the matches and the candidate's totals.
     """
     ok, p, i = split_pool(F.col("target_pool"))
+    target = F.concat(p, F.lit("/"), i)
+    pools = F.filter(F.transform(listed(requests, "candidate_pools"), normal_pool), lambda x: x != "")
     cands = (once(requests).filter(ok)
-             .select("request_id", "idc", F.concat(p, F.lit("/"), i).alias("target"),
-                     F.posexplode(candidates_column(F.col("candidate_pools"),
-                                                    F.col("target_pool"))))
-             .select("request_id", "idc", "target", F.col("pos").alias("position"),
-                     F.col("col").alias("candidate_pool"),
-                     F.concat_ws("#", "request_id", F.col("pos").cast("string")).alias("sub_id")))
-    b = migration_batch(inv, cands.select(F.col("sub_id").alias("request_id"), "idc",
-                                          F.col("target").alias("pool1"),
-                                          F.col("candidate_pool").alias("pool2")))
-    matched = b.services.groupBy(F.col("request_id").alias("sub_id")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("matching_psm_count"))
-
-    _, cand_physical, cand_iaas = split_pool(F.col("candidate_pool"))
-    keys = cands.select("sub_id", cand_physical.alias("req_physical"), cand_iaas.alias("req_iaas"),
-                        site_list("idc").alias("idcs"))
-    totals = (join_pools(filter_default(inv), keys).groupBy("sub_id")
-              .agg(F.count_distinct("psm").cast("bigint").alias("psm_count"),
-                   F.sum(zero_if_null("instance_num")).alias("total_instances"),
-                   F.sum(zero_if_null("cpu_limit")).alias("total_cpu"),
-                   F.sum(zero_if_null("mem_limit")).alias("total_memory")))
-    return (cands.join(matched, "sub_id", "left").join(totals, "sub_id", "left")
-            .select("request_id", "candidate_pool", "position",
-                    (F.coalesce("matching_psm_count", F.lit(0)) > 0).alias("has_matches"),
-                    F.coalesce("matching_psm_count", F.lit(0)).cast("bigint")
-                    .alias("matching_psm_count"),
+             .select("request_id", target.alias("lender_key"),
+                     F.array_sort(F.array_distinct(listed(requests, "idc"))).alias("idcs"),
+                     F.posexplode(F.array_remove(F.array_distinct(pools), target)).alias("position", "receiver_key")))
+    # numbered by request and place: the id of the question
+    cands = cands.withColumn("sub_id", F.concat_ws("#", "request_id", F.col("position").cast("string")))
+    asked = cands.filter(split_pool(F.col("receiver_key"))[0]).select(
+        F.col("sub_id").alias("request_id"), "idcs", "lender_key", "receiver_key")
+    classes, members = request_classes(asked)
+    names = ["total_instances", "total_cpu", "total_memory"]
+    answers = (class_services(inv, classes).groupBy("request_id")
+               .agg(F.count_if(F.expr(IN_BOTH)).alias("matching_psm_count"),
+                    F.count_if(F.expr("psm IS NOT NULL AND _in_receiver")).alias("psm_count"),
+                    *[F.sum(f"_sum_{c}").alias(name) for c, name in zip(SUMMARY_MEASURES, names)]))
+    given = (members.withColumnRenamed("request_id", "sub_id")
+             .join(answers.withColumnRenamed("request_id", "class_id"), "class_id"))
+    matches = F.coalesce("matching_psm_count", F.lit(0)).cast("bigint")
+    return (cands.join(given, "sub_id", "left")
+            .select("request_id", F.col("receiver_key").alias("candidate_pool"), "position",
+                    (matches > 0).alias("has_matches"), matches.alias("matching_psm_count"),
                     F.coalesce("psm_count", F.lit(0)).cast("bigint").alias("psm_count"),
-                    F.coalesce("total_instances", F.lit(0.0)).alias("total_instances"),
-                    F.coalesce("total_cpu", F.lit(0.0)).alias("total_cpu"),
-                    F.coalesce("total_memory", F.lit(0.0)).alias("total_memory")))
+                    *[F.coalesce(name, F.lit(0.0)).alias(name) for name in names]))

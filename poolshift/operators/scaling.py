@@ -77,10 +77,11 @@ def recommend_batch(inv: DataFrame, requests: DataFrame, with_priority: bool = T
 
     Requests join the inventory on ``(physical_cluster, iaas_cluster)`` (a
     bare pool name means iaas ``default``); a blank site means every site.
-    Rows of requests that share an id stay rows of that id.
+    Requests that share an id, or could not be read, are not answered.
     """
+    from .batch import once
     ok, phys, iaas = split_pool(F.col("pool"))
-    req = requests.select(
+    req = once(requests).select(
         "request_id",
         F.when(F.coalesce(F.col("idc"), F.lit("")) == "", F.lit(None)).otherwise(F.col("idc"))
         .alias("req_idc"),

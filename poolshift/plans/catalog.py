@@ -27,7 +27,7 @@ from ..session import scratch_path
 from ..sinks import report as K
 from ..sources.inventory import (INVENTORY_COLUMNS, inventory, normalise_inventory,
                                  raw_inventory, read_inventory)
-from ..sources.requests import request_bodies, request_table
+from ..sources.requests import mixed_bodies, request_bodies, request_table
 
 # Standard parameters of the checks.
 POOL1 = "EUROPE/default"
@@ -243,7 +243,7 @@ def q_candidate_counts(spark, sf_dir):
 
 
 def q_parse_requests(spark, sf_dir):
-    return B.parse_requests(request_bodies(spark, sf_dir))
+    return B.parse_requests(request_bodies(spark, sf_dir)).select(*B.REQUEST_SCHEMA.names)
 
 
 def q_parse_pool(spark, sf_dir):
@@ -274,6 +274,19 @@ def q_validate_requests(spark, sf_dir):
     return req.select("request_id", F.array_join("errors", "; ").alias("errors"), "valid")
 
 
+def q_typed_requests(spark, sf_dir):
+    """Bodies of every shape: what was read, and what is wrong with each."""
+    req = B.parse_requests(mixed_bodies(spark, sf_dir), keep=["c_custkey"])
+    return B.validate_requests(req, "candidates").select(
+        "c_custkey", "request_id", F.array_join("sites", "|").alias("sites"), F.array_join("candidates", "|").alias("candidates"),
+        F.array_join("errors", "; ").alias("errors"), "valid")
+
+
+def q_candidate_batch_typed(spark, sf_dir):
+    """The candidate overview for the bodies that could be read: many requests, few different questions."""
+    return C.candidate_batch(inventory(spark, sf_dir), B.parse_requests(mixed_bodies(spark, sf_dir)))
+
+
 def _batch(spark, sf_dir):
     req = B.parse_requests(request_bodies(spark, sf_dir))
     return B.migration_batch(inventory(spark, sf_dir), req)
@@ -293,9 +306,9 @@ def q_migration_batch_stream(spark, sf_dir):
     from ..streaming.requests import answer_requests, read_answers
     landing = scratch_path(spark, "request-files")
     bodies = request_bodies(spark, sf_dir)
-    first = F.col("body").contains('"request_id":"r0')
-    for part in (first, ~first):  # every request lands, in two files
-        bodies.filter(part).coalesce(1).write.mode("append").text(landing)
+    first = F.get_json_object("body", "$.request_id").startswith("r0")
+    for part in (first, ~first):  # every request lands, in two writes
+        bodies.filter(part).write.mode("append").text(landing)
     sink = scratch_path(spark, "request-answers")
     # static side: the written inventory table, read by every micro-batch
     q = answer_requests(spark, lambda: inventory(spark, sf_dir), landing, sink,

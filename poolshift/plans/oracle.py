@@ -277,13 +277,13 @@ FROM targets t JOIN rq q ON q.request_id = t.request_id
 LEFT JOIN other_lists ol ON ol.request_id = t.request_id AND ol.psm = t.psm
 LEFT JOIN main_first m ON m.request_id = t.request_id AND m.psm = t.psm"""
 
-CANDIDATE_BATCH = _with(REQ_CTE,
-    """rl AS (SELECT request_id, trim(target_pool) AS target,
+RL_CTE = """rl AS (SELECT request_id, trim(target_pool) AS target,
         CASE WHEN trim(coalesce(idc, '')) = '' THEN NULL
              ELSE list_transform(string_split(idc, ','), lambda x: trim(x)) END AS sites,
         list_filter(list_transform(string_split(coalesce(candidate_pools, ''), ','),
             lambda x: trim(regexp_replace(x, '^([^/]*?) */ *([^/]*)$', '\\1/\\2'))), lambda x: x <> '') AS l
-      FROM req WHERE len(string_split(trim(target_pool), '/')) = 2)""",
+      FROM req WHERE len(string_split(trim(target_pool), '/')) = 2)"""
+CANDIDATE_CTES = (
     """rc AS (SELECT request_id, target, sites, candidate_pool, CAST(pos - 1 AS INTEGER) AS position
       FROM (SELECT request_id, target, sites,
                    unnest(dl) AS candidate_pool, generate_subscripts(dl, 1) AS pos
@@ -300,7 +300,8 @@ CANDIDATE_BATCH = _with(REQ_CTE,
     """bp AS (SELECT request_id, candidate_pool, count(DISTINCT psm) AS psm_count,
         sum(coalesce(instance_num, 0)) AS total_instances, sum(coalesce(cpu_limit, 0)) AS total_cpu,
         sum(coalesce(mem_limit, 0)) AS total_memory
-      FROM rrows WHERE pk = candidate_pool GROUP BY request_id, candidate_pool)""") + """
+      FROM rrows WHERE pk = candidate_pool GROUP BY request_id, candidate_pool)""")
+CANDIDATE_SELECT = """
 SELECT c.request_id, c.candidate_pool, c.position,
   coalesce(m.n, 0) > 0 AS has_matches, CAST(coalesce(m.n, 0) AS BIGINT) AS matching_psm_count,
   CAST(coalesce(p.psm_count, 0) AS BIGINT) AS psm_count,
@@ -309,9 +310,60 @@ SELECT c.request_id, c.candidate_pool, c.position,
 FROM rc c
 LEFT JOIN bm m ON m.request_id = c.request_id AND m.candidate_pool = c.candidate_pool
 LEFT JOIN bp p ON p.request_id = c.request_id AND p.candidate_pool = c.candidate_pool"""
+CANDIDATE_BATCH = _with(REQ_CTE, RL_CTE, *CANDIDATE_CTES) + CANDIDATE_SELECT
+
+# Bodies of every shape, one per customer, and what can be read of them.
+MIXED_CTES = (
+    """mtext AS (SELECT c.c_custkey, c.c_custkey % 8 AS shape,
+        '{' || CASE WHEN c.c_custkey % 48 = 8 THEN '"request_id": "same", ' WHEN c.c_custkey % 8 = 5 THEN ''
+               ELSE '"request_id": "c' || c.c_custkey || '", ' END
+        || '"idc": ' || CASE c.c_custkey % 8 WHEN 1 THEN '["' || c.c_mktsegment || ' ", null, "MACHINERY"]' WHEN 2 THEN '7'
+               ELSE '" ' || c.c_mktsegment || ' , MACHINERY"' END
+        || ', "target_pool": "' || replace(r1.r_name, ' ', '-') || '/default", "candidate_pools": '
+        || CASE c.c_custkey % 8 WHEN 1 THEN '["' || p.pool || '", "AFRICA / gpu"]' WHEN 3 THEN '["' || p.pool || '", 3]'
+               ELSE '"' || p.pool || ' ,, AFRICA / gpu"' END || '}' AS full_body
+      FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r1 ON r1.r_regionkey = n.n_regionkey
+      JOIN region r2 ON r2.r_regionkey = (n.n_regionkey + 1) % 5,
+      LATERAL (SELECT replace(r2.r_name, ' ', '-') || '/' || ['default', 'gpu', 'spot'][c.c_custkey % 3 + 1] AS pool) p)""",
+    """mbody AS (SELECT c_custkey, CASE shape WHEN 4 THEN left(full_body, 30) WHEN 6 THEN NULL WHEN 7 THEN '[1]' ELSE full_body END AS body FROM mtext)""",
+    """mjson AS (SELECT c_custkey, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM mbody)""",
+    """mfield AS (SELECT c_custkey, j, json_type(j) = 'OBJECT' AS object, json_extract_string(j, '$.request_id') AS request_id,
+        json_extract_string(j, '$.target_pool') AS target_pool,
+        json_type(j, '$.idc') AS idc_type, json_type(j, '$.candidate_pools') AS pools_type,
+        CASE json_type(j, '$.idc') WHEN 'VARCHAR' THEN string_split(json_extract_string(j, '$.idc'), ',')
+             WHEN 'ARRAY' THEN list_filter(json_extract_string(j, '$.idc[*]'), lambda x: x IS NOT NULL) ELSE [] END AS idc_items,
+        CASE json_type(j, '$.candidate_pools') WHEN 'VARCHAR' THEN string_split(json_extract_string(j, '$.candidate_pools'), ',')
+             WHEN 'ARRAY' THEN json_extract_string(j, '$.candidate_pools[*]') ELSE [] END AS pool_items,
+        json_type(j, '$.candidate_pools') = 'ARRAY' AND len(list_filter(json_extract(j, '$.candidate_pools[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0 AS bad_item
+      FROM mjson)""",
+    """mreq AS (SELECT c_custkey, request_id, target_pool, object,
+        CASE WHEN idc_type IN ('VARCHAR', 'ARRAY') THEN list_transform(idc_items, lambda x: trim(x)) ELSE [] END AS sites,
+        CASE WHEN bad_item THEN [] ELSE list_transform(pool_items, lambda x: trim(x)) END AS candidates,
+        CASE WHEN j IS NULL THEN ['body is not JSON'] WHEN NOT object THEN ['body is not an object'] ELSE list_filter([
+          CASE WHEN idc_type NOT IN ('VARCHAR', 'ARRAY') THEN 'idc is neither text nor a list of texts' END,
+          CASE WHEN bad_item THEN 'candidate_pools is neither text nor a list of texts' END,
+          CASE WHEN request_id IS NULL THEN 'missing request_id' END], lambda x: x IS NOT NULL) END AS faults,
+        request_id IS NOT NULL AND count(*) OVER (PARTITION BY request_id) > 1 AS again
+      FROM mfield)""",
+    """mlist AS (SELECT *, list_filter(list_transform(candidates,
+            lambda x: regexp_replace(x, '^([^/]*?) */ *([^/]*)$', '\\1/\\2')), lambda x: x <> '') AS l FROM mreq)""",
+)
+TYPED_REQUESTS = _with(*MIXED_CTES) + """SELECT c_custkey, request_id, array_to_string(sites, '|') AS sites, array_to_string(candidates, '|') AS candidates,
+    array_to_string(list_concat(e, CASE WHEN again THEN ['repeated request_id'] ELSE [] END), '; ') AS errors,
+    len(e) = 0 AND NOT again AS valid
+  FROM (SELECT *, CASE WHEN len(faults) > 0 THEN faults ELSE list_filter([
+      CASE WHEN len(l) = 0 THEN 'no candidate pools' END,
+      CASE WHEN len(list_distinct(l)) <> len(l) THEN 'duplicate candidate pools' END,
+      CASE WHEN list_contains(l, target_pool) THEN 'target among candidates' END], lambda x: x IS NOT NULL) END AS e FROM mlist)"""
+CANDIDATE_BATCH_TYPED = _with(*MIXED_CTES,
+    """rl AS (SELECT request_id, target_pool AS target, CASE WHEN len(sites) > 0 THEN sites END AS sites, l
+        FROM mlist WHERE len(faults) = 0 AND NOT again)""", *CANDIDATE_CTES) + CANDIDATE_SELECT
+
 
 ORACLE: dict[str, str] = {
     "candidate_batch": CANDIDATE_BATCH,
+    "candidate_batch_typed": CANDIDATE_BATCH_TYPED,
+    "typed_requests": TYPED_REQUESTS,
     "recommend_batch": RECOMMEND_BATCH,
     "migratable_batch": MIGRATABLE_BATCH,
     "pool_key": _with() + f"SELECT {PK} AS pool_key, count(*) AS row_count FROM ninv GROUP BY 1",

@@ -62,3 +62,39 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same requests as JSON text bodies (column ``body``)."""
     t = request_table(spark, sf_dir)
     return t.select(F.to_json(F.struct(*t.columns)).alias("body"))
+
+
+def mixed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request body per customer (``c_custkey, body``), in every shape they
+    arrive in, cycled over the customer key: lists as comma text and as JSON
+    arrays, fields of a wrong type, bodies that are cut off, empty or no
+    object, bodies without an id, and ids that several bodies carry."""
+    customer = read_table(spark, sf_dir, "customer")
+    nation = read_table(spark, sf_dir, "nation")
+    region = read_table(spark, sf_dir, "region")
+    name = F.replace("r_name", F.lit(" "), F.lit("-"))
+    home = region.select(F.col("r_regionkey").alias("rk1"), name.alias("home"))
+    away = region.select(F.col("r_regionkey").alias("rk2"), name.alias("away"))
+    k = F.col("c_custkey")
+    rows = (customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(home, F.col("n_regionkey") == F.col("rk1"))
+            .join(away, (F.col("n_regionkey") + 1) % 5 == F.col("rk2")))
+    shape = k % 8
+
+    def quoted(*parts):
+        return F.concat(F.lit('"'), *parts, F.lit('"'))
+
+    site, pool = F.col("c_mktsegment"), F.concat("away", F.lit("/"), _cycle(k, IAAS_CYCLE))
+    text_sites = quoted(F.lit(" "), site, F.lit(" , MACHINERY"))
+    text_pools = quoted(pool, F.lit(" ,, AFRICA / gpu"))
+    sites = F.when(shape == 1, F.concat(F.lit("["), quoted(site, F.lit(" ")), F.lit(', null, "MACHINERY"]'))).when(shape == 2, F.lit("7")) \
+        .otherwise(text_sites)
+    pools = F.when(shape == 1, F.concat(F.lit("["), quoted(pool), F.lit(', "AFRICA / gpu"]'))) \
+        .when(shape == 3, F.concat(F.lit("["), quoted(pool), F.lit(", 3]"))).otherwise(text_pools)
+    ident = F.when(k % 48 == 8, F.lit('"request_id": "same", ')).when(shape == 5, F.lit("")) \
+        .otherwise(F.concat(F.lit('"request_id": '), quoted(F.lit("c"), k.cast("string")), F.lit(", ")))
+    body = F.concat(F.lit("{"), ident, F.lit('"idc": '), sites, F.lit(', "target_pool": '), quoted(F.col("home"), F.lit("/default")),
+                    F.lit(', "candidate_pools": '), pools, F.lit("}"))
+    out = rows.select("c_custkey", body.alias("_body"))
+    return out.select("c_custkey", F.when(shape == 4, F.left("_body", F.lit(30))).when(shape == 6, F.lit(None).cast("string"))
+                      .when(shape == 7, F.lit("[1]")).otherwise(F.col("_body")).alias("body"))

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pyspark.sql import functions as F
 
-from ..operators.batch import REQUEST_SCHEMA, migration_batch, validate_requests
+from ..operators.batch import migration_batch, parse_requests, validate_requests
 from ..operators.migratable import migratable_batch
 from ..operators.scaling import recommend_batch
 from ..session import scratch_path
@@ -29,10 +29,10 @@ from ..session import scratch_path
 
 def request_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 1
                    ) -> DataFrame:
-    """Streaming DataFrame of requests from JSON-lines files in ``source_dir``."""
-    return (spark.readStream.schema(REQUEST_SCHEMA)
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .json(source_dir))
+    """Streaming DataFrame of requests from JSON-lines files in ``source_dir``,
+    read and typed as the batch does it; an unreadable line is a request with faults."""
+    lines = (spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(source_dir))
+    return parse_requests(lines.filter(F.trim("value") != ""), "value")
 
 
 KINDS = ("migration", "scale_down", "migratable")
@@ -63,7 +63,9 @@ def answer_requests(spark: SparkSession, inventory: Callable[[], DataFrame], sou
         outputs: dict[str, DataFrame] = {}
         inv = inventory()
         if "migration" in kinds:
-            checked = validate_requests(batch.filter(_given("pool1") | _given("pool2")))
+            # unreadable requests name no pool; they are listed with their faults
+            unread = F.size("faults") > 0
+            checked = validate_requests(batch.filter(unread | _given("pool1") | _given("pool2")))
             # the per-(request, service) table is checkpointed inside; detail
             # and summary each re-read the (pruned) inventory table
             answer = migration_batch(inv, checked.filter("valid").drop("errors", "valid"))
