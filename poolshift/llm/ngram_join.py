@@ -17,10 +17,13 @@ only); two texts link when 100 * intersection >= 75 * union.
    in a trie in the global order and walked with the left set; sets with a
    common beginning share the partial overlap, and a subtree is left as soon
    as the words remaining on either side cannot reach the overlap needed.
-4. Verified links are contracted to components. The remaining pairs of a tile
-   that pass the length and position bounds and lie in different components
-   are then verified the same way, so no link between components is lost,
-   while groups of thousands of near copies never become all pairs.
+4. Verified links are contracted to components. In each tile, every set
+   outside the largest component there then meets up to ``MEETINGS`` sets of
+   other components, others in every tile, which contracts nearly all of a
+   group. The remaining pairs of a tile that pass the length and position
+   bounds and lie in different components are verified last, so no link
+   between components is lost, while groups of thousands of near copies never
+   become all pairs.
 
 Sets are held as 64-bit hashes; a set's identity is a 64-bit hash of all of
 them with their number.
@@ -41,11 +44,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .text import as_text, hash_words, having, mix64, sequence_hash, ship, signed, small, split_words, window_hashes, written
+from .text import as_text, hash_words, having, mix64, sequence_hash, ship, signed, small, split_words, unused, window_hashes, written
 
 N = 5
-FREQUENT = 1 << 20
-LOCAL_COUNT = 2
+FREQUENT = 1 << 16
+#: Shingles whose counts a task holds at most before it drops those seen once.
+COUNTED = 1 << 20
+MEETINGS = 4
 TILE = 1_000
 TRIE_SETS = 256
 
@@ -102,23 +107,62 @@ def _signature(s: np.ndarray) -> int:
     return int(np.uint64(sequence_hash(s)).view(np.int64))
 
 
+class Counts:
+    """Counts of shingles of a task's texts, in bounded memory: beyond ``most`` shingles, those seen once are forgotten.
+
+    Counts are too small by the times a shingle was forgotten; they only set an order.
+    """
+
+    def __init__(self, most: int = COUNTED):
+        self.most, self.held, self.rows = most, [], 0
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        h = np.sort(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
+        ends = _bounds([h]) if len(h) else np.zeros(1, int)
+        self.held.append((h[ends[:-1]], np.diff(ends)))
+        self.rows += len(ends) - 1
+        if self.rows > self.most:
+            self._merge()
+            if self.rows > self.most // 2:
+                h, n = self.held[0]
+                self.held, self.rows = [(h[n > 1], n[n > 1])], int((n > 1).sum())
+
+    def _merge(self) -> None:
+        h = np.concatenate([x for x, _ in self.held]) if self.held else np.empty(0, np.uint64)
+        n = np.concatenate([x for _, x in self.held]) if self.held else np.empty(0, int)
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        starts = _bounds([h])[:-1] if len(h) else np.empty(0, int)
+        self.held = [(h[starts], np.add.reduceat(n, starts) if len(h) else n)]
+        self.rows = len(starts)
+
+    def often(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of two texts or more, and their counts."""
+        self._merge()
+        h, n = self.held[0]
+        return h[n > 1], n[n > 1]
+
+
 def read_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One pass over the texts: (doc_id, n, sig) of every row, and (h, n) counts of common shingles.
 
-    ``sig`` is the identity of the set of n shingles. Each batch of texts
-    reports the shingles it holds in ``LOCAL_COUNT`` texts or more.
+    ``sig`` is the identity of the set of n shingles. Each task reports the
+    shingles that it holds in two texts or more.
     """
+    def out(ids, n, sig, h):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, n, sig, h)], ["doc_id", "n", "sig", "h"])
+
     def run(batches):
-        for batch in batches:
+        counts = Counts()
+        for batch in small(batches):
             sets = shingle_sets(batch.column(1))
-            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
-            often, rows = n >= LOCAL_COUNT, len(sets)
-            h, n = signed(h[often]), n[often]
-            none = pa.nulls(len(h), pa.int64())
-            yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([batch.column(0), none]), pa.array(np.concatenate([[len(s) for s in sets], n]).astype(np.int64)),
-                pa.concat_arrays([pa.array([_signature(s) for s in sets], pa.int64()), none]),
-                pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(h)])], ["doc_id", "n", "sig", "h"])
+            counts.add(sets)
+            yield out(batch.column(0), [len(s) for s in sets], [_signature(s) for s in sets], pa.nulls(len(sets), pa.int64()))
+        h, n = counts.often()
+        for i in range(0, len(h), 100_000):
+            part = signed(h[i:i + 100_000])
+            none = pa.nulls(len(part), pa.int64())
+            yield out(none, n[i:i + 100_000].astype(np.int64), none, part)
 
     read = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
                    .mapInArrow(run, "doc_id long, n long, sig long, h long"), "shingle-pass")
@@ -127,8 +171,8 @@ def read_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def global_order(counts: DataFrame, size: int = FREQUENT) -> Order:
     """The order by the ``size`` largest counts. Any list gives the same links; a better one gives fewer candidates."""
-    rows = counts.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(size).toPandas()
-    return Order(rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
+    rows = counts.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(size).toArrow()
+    return Order(rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy().astype(np.int64))
 
 
 def _tiles_of(count: np.ndarray, sig: int, tile: int) -> list[tuple[int, int]]:
@@ -243,6 +287,30 @@ def _crossing(batches):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _meetings(batches):
+    """Pairs of a tile in different components: each set outside the largest one there with up to ``MEETINGS`` others that pass the bounds."""
+    for t in _groups(batches, 2):
+        token, tile, n, sig, pos, comp = (t.column(i).to_numpy() for i in range(6))
+        ends = _bounds([token, tile])
+        left, right = [], []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            c = comp[a:b]
+            if (c == c[0]).all():
+                continue
+            s, m, p = sig[a:b], n[a:b].astype(np.int64), pos[a:b].astype(np.int64)
+            dealt = np.argsort(mix64((s ^ token[a]).view(np.uint64)))  # an order of its own in every tile
+            _, part, sizes = np.unique(c, return_inverse=True, return_counts=True)
+            for i in np.flatnonzero(part != sizes.argmax()).tolist():
+                j = dealt[c[dealt] != c[i]]
+                small_n, large_n = np.minimum(m[j], m[i]), np.maximum(m[j], m[i])
+                j = j[(4 * small_n >= 3 * large_n) & (np.minimum(m[j] - p[j], m[i] - p[i]) >= -(-3 * (m[i] + m[j]) // 7))][:MEETINGS]
+                left.append(np.minimum(s[j], s[i]))
+                right.append(np.maximum(s[j], s[i]))
+        if left:
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
 class Trie:
     """Sets in global order, stored with shared beginnings; nodes hold runs of shingles (labels) until sets part."""
 
@@ -373,11 +441,22 @@ def _rows(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT) -> DataFr
     near = entries.where("hub is not null").select("sig", "hub").unionByName(
         entries.where("hub2 is not null").select("sig", F.col("hub2").alias("hub"))).select(
         F.least("hub", "sig").alias("a"), F.greatest("hub", "sig").alias("b")).distinct()
-    parts = components(verified(near, docs, firsts, firstly, order))
-    marked = (entries.join(parts.withColumnRenamed("node", "sig"), "sig", "left")
-              .select("token", "tile", "n", "sig", "pos", F.coalesce("component", "sig").alias("component")))
-    crossing = (marked.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "sig")
-                .mapInArrow(_crossing, "a long, b long").distinct().join(near, ["a", "b"], "left_anti"))
+
+    def apart(parts, task, tested):
+        """Pairs (a, b) that ``task`` finds in the tiles, given the components so far, less those tested."""
+        marked = (entries.join(parts.withColumnRenamed("node", "sig"), "sig", "left")
+                  .select("token", "tile", "n", "sig", "pos", F.coalesce("component", "sig").alias("component")))
+        return (marked.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "sig")
+                .mapInArrow(task, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
+
+    def as_links(parts):
+        return parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+    near = written(near, "hub-pairs")
+    parts = written(components(verified(near, docs, firsts, firstly, order)), "hub-components")
+    met = written(apart(parts, _meetings, near), "met-pairs")
+    parts = written(components(as_links(parts).unionByName(verified(met, docs, firsts, firstly, order))), "met-components")
+    crossing = apart(parts, _crossing, near.unionByName(met))
     more = written(verified(crossing, docs, firsts, firstly, order), "shingle-links")
     # the sets of a doc_id that has several, or an empty one too, are one document
     own = F.when(F.col("n") > 0, F.col("sig"))
@@ -386,7 +465,7 @@ def _rows(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT) -> DataFr
                       .where("u <> last or (least = 0 and u is not null)"), "several-sets")
     same = named.where("n > 0").join(several.where("u <> last").select("doc_id", "u"), "doc_id").select("u", F.col("sig").alias("v"))
     # classes as nodes; a class's smallest doc_id names its component
-    parts = components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more).unionByName(same))
+    parts = components(as_links(parts).unionByName(more).unionByName(same))
     class_of = firsts.join(parts.withColumnRenamed("node", "sig"), "sig", "left").select(
         "sig", "doc_id", F.coalesce("component", "sig").alias("component"))
     names = class_of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -415,15 +494,16 @@ def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     once = docs.join(names.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     repeated = docs.join(names.where("rows > 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(first).select("row.*")
 
-    at, names_out = docs.columns.index("text"), [*docs.columns, "_sig"]
+    sig = unused(docs, "sig")
+    at, names_out = docs.columns.index("text"), [*docs.columns, sig]
 
     def sign(batches):
         for batch in small(batches):
             sets = [_signature(s) if len(s) else None for s in shingle_sets(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.int64())], names_out)
 
-    unnamed = docs.where("doc_id is null").mapInArrow(sign, T.StructType([*docs.schema.fields, T.StructField("_sig", T.LongType())]))
-    taken = rows.where("doc_id is null and component_id is not null").select(F.col("sig").alias("_sig")).distinct()
-    alone = unnamed.where("_sig is not null").join(taken, "_sig", "left_anti").groupBy("_sig").agg(first).select("row.*")
-    wordless = unnamed.where("_sig is null").select(*docs.columns)
+    unnamed = docs.where("doc_id is null").mapInArrow(sign, T.StructType([*docs.schema.fields, T.StructField(sig, T.LongType())]))
+    taken = rows.where("doc_id is null and component_id is not null").select(F.col("sig").alias(sig)).distinct()
+    alone = unnamed.where(F.col(sig).isNotNull()).join(taken, sig, "left_anti").groupBy(sig).agg(first).select("row.*")
+    wordless = unnamed.where(F.col(sig).isNull()).select(*docs.columns)
     return once.unionByName(repeated).unionByName(alone).unionByName(wordless)

@@ -114,6 +114,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to be none of the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ship(spark: SparkSession, value):
     """Broadcasts an object of bounded size with its class; the function returned gives a copy inside a task."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import held_out, training_ids
-from .text import as_text, ship, written
+from .text import as_text, ship, small, written
 
 FOLDS, FOLD = 3, 1
 CUT = 0.7
@@ -37,7 +37,9 @@ PER_CLASS = 5_000
 STEM_LENGTHS = (5, 6, 7)
 MAX_TERMS = 2_000
 WINDOW = 8
-CACHE = 1_000_000
+#: Words and automaton states that a task remembers; both only save time.
+CACHE = 100_000
+STATES = 20_000
 FEATURES = ["any", "exact", "misspelt", "quoted", "share", "addressed"]
 
 # Reporting verbs and pronouns of address, English.
@@ -143,7 +145,7 @@ class Lexicon:
             pass
         if len(self._cache) >= CACHE:
             self._cache.clear()
-        if len(self._sets) > 200_000:
+        if len(self._sets) > STATES:
             self.__init__(self.words, self.stems, self.clean)
         state, stem = self._start, False
         for c in word:
@@ -296,7 +298,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
 
     def run(batches):
         scorer = sent()
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(as_text(batch.column(1))))],
                                              ["doc_id", "score"])
 
@@ -311,7 +313,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
 
     def run(batches):
         scorer = sent()
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(scorer.scores(as_text(batch.column(at))) < cut))
 
     return docs.mapInArrow(run, docs.schema)

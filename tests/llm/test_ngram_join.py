@@ -33,8 +33,7 @@ def check(got, rows):
 
 
 @pytest.mark.parametrize("kw", [{}, {"tile": 3}, {"frequent": 5}])
-def test_matches_brute_force(make_docs, kw, monkeypatch):
-    monkeypatch.setattr(N, "LOCAL_COUNT", 2)
+def test_matches_brute_force(make_docs, kw):
     rows = texts()
     check(N.near_duplicates(make_docs(rows), **kw).collect(), rows)
 
@@ -60,6 +59,44 @@ def test_one_of_each_keeps_columns(make_docs):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 4, None]
 
 
+def test_one_of_each_keeps_columns_named_like_inner_ones(spark):
+    names = ["sig", "_sig", "SIG_", "component_id", "row", "n", "rows"]
+    rows = [(i, t, *names) for i, t in [(1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (None, "z"), (None, "z"), (None, "")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = N.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3], rows[5]], key=str)
+
+
+def test_pairing_rounds_meet_other_components_only():
+    import pyarrow as pa
+    rnd = np.random.default_rng(2)
+    for task, most in ((N._meetings, N.MEETINGS), (N._crossing, 40)):
+        sizes, comp = np.sort(rnd.integers(10, 14, 40)), rnd.integers(0, 3, 40)
+        cols = [np.full(40, 7), np.zeros(40, int), sizes, np.arange(40), np.zeros(40, int), comp]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "tile", "n", "sig", "pos", "component"])
+        pairs = {p for out in task([batch]) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+        assert pairs and all(a < b and comp[a] != comp[b] for a, b in pairs)
+        bound = {(a, b) for b in range(40) for a in range(b) if comp[a] != comp[b] and 4 * sizes[a] >= 3 * sizes[b]
+                 and sizes[a] >= -(-3 * (sizes[a] + sizes[b]) // 7)}
+        assert pairs <= bound and (pairs == bound if task is N._crossing else len(pairs) <= most * 40)
+
+
+def test_counts_in_bounded_memory():
+    rnd = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([[5, 6], rnd.integers(10, 1 << 40, 30)])).astype(np.uint64) for _ in range(200)]
+    for most in (1 << 20, 100):
+        counts = N.Counts(most)
+        for i in range(0, 200, 7):
+            counts.add(sets[i:i + 7])
+            assert counts.rows <= most + 7 * 32
+        h, n = counts.often()
+        assert dict(zip(h.tolist(), n.tolist(), strict=True)) == {5: 200, 6: 200}
+    empty = N.Counts()
+    empty.add([])
+    assert len(empty.often()[0]) == 0
+
+
 def test_trie_agrees_with_set_arithmetic():
     rnd = np.random.default_rng(1)
     order = rnd.permutation(60).astype(np.uint64)
