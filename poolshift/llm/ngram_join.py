@@ -17,10 +17,10 @@ only); two texts link when 100 * intersection >= 75 * union.
    in a trie in the global order and walked with the left set; sets with a
    common beginning share the partial overlap, and a subtree is left as soon
    as the words remaining on either side cannot reach the overlap needed.
-4. Verified links are contracted to components. In each tile, every set
-   outside the largest component there then meets up to ``MEETINGS`` sets of
-   other components, others in every tile, which contracts nearly all of a
-   group. The remaining pairs of a tile that pass the length and position
+4. Verified links are contracted to components. In ``ROUNDS`` rounds, every
+   set outside the largest component of its tile then meets up to ``MEETINGS``
+   sets of other components, others in every tile and round, which contracts
+   nearly all of a group. The remaining pairs of a tile that pass the length and position
    bounds and lie in different components are verified last, so no link
    between components is lost, while groups of thousands of near copies never
    become all pairs.
@@ -51,6 +51,7 @@ FREQUENT = 1 << 16
 #: Shingles whose counts a task holds at most before it drops those seen once.
 COUNTED = 1 << 20
 MEETINGS = 4
+ROUNDS = 2
 TILE = 1_000
 TRIE_SETS = 256
 
@@ -264,51 +265,70 @@ def _shared(batches):
                                          ["token", "tile", "n", "sig", "pos", "hub", "hub2"]).filter(pa.array(size > 1))
 
 
-def _crossing(batches):
-    """Pairs of a tile in different components that pass the length and position bounds."""
-    for t in _groups(batches, 2):
-        token, tile, n, sig, pos, comp = (t.column(i).to_numpy() for i in range(6))
-        ends = _bounds([token, tile])
-        left, right = [], []
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            c = comp[a:b]
-            if (c == c[0]).all():
-                continue
-            s, m, p = sig[a:b], n[a:b].astype(np.int64), pos[a:b].astype(np.int64)
-            top = np.searchsorted(m, m * 4 // 3, "right")  # sizes ascend; linked sets are within 3/4 of each other
-            for i in range(b - a - 1):
-                j = np.arange(i + 1, top[i])
-                j = j[(c[j] != c[i]) & (np.minimum(m[i] - p[i], m[j] - p[j]) >= -(-3 * (m[i] + m[j]) // 7))]
-                if len(j):
-                    left.append(np.minimum(s[i], s[j]))
-                    right.append(np.maximum(s[i], s[j]))
-        if left:
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-
-def _meetings(batches):
-    """Pairs of a tile in different components: each set outside the largest one there with up to ``MEETINGS`` others that pass the bounds."""
+def _fits(n, m, left, rest):
+    """Length and position bounds of two sets of n and m shingles, ``left`` and ``rest`` of them from a shared one on."""
+    return (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (np.minimum(left, rest) >= -(-3 * (n + m) // 7))
+
+
+def _apart(batches, choose):
+    """Tables of entries with their components, and the places (i, j) of entries of one tile, in different components, that pass the bounds.
+
+    ``choose(fits, component, dealt)`` gives the places of a tile of three sets
+    or more from the matrix of fitting pairs; ``dealt`` is an order of the
+    tile's sets that differs from tile to tile.
+    """
     for t in _groups(batches, 2):
         token, tile, n, sig, pos, comp = (t.column(i).to_numpy() for i in range(6))
+        m = n.astype(np.int32)  # a tile's matrices are a few million values
+        left = (m - pos).astype(np.int32)
         ends = _bounds([token, tile])
-        left, right = [], []
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        starts, sizes = ends[:-1], np.diff(ends)
+        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+        two = starts[mixed & (sizes == 2)]
+        two = two[_fits(m[two], m[two + 1], left[two], left[two + 1])]
+        one, other = [two], [two + 1]
+        for a, b in zip(starts[mixed & (sizes > 2)].tolist(), ends[1:][mixed & (sizes > 2)].tolist(), strict=True):
             c = comp[a:b]
-            if (c == c[0]).all():
-                continue
-            s, m, p = sig[a:b], n[a:b].astype(np.int64), pos[a:b].astype(np.int64)
-            dealt = np.argsort(mix64((s ^ token[a]).view(np.uint64)))  # an order of its own in every tile
-            _, part, sizes = np.unique(c, return_inverse=True, return_counts=True)
-            for i in np.flatnonzero(part != sizes.argmax()).tolist():
-                j = dealt[c[dealt] != c[i]]
-                small_n, large_n = np.minimum(m[j], m[i]), np.maximum(m[j], m[i])
-                j = j[(4 * small_n >= 3 * large_n) & (np.minimum(m[j] - p[j], m[i] - p[i]) >= -(-3 * (m[i] + m[j]) // 7))][:MEETINGS]
-                left.append(np.minimum(s[j], s[i]))
-                right.append(np.maximum(s[j], s[i]))
-        if left:
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            fits = _fits(m[a:b, None], m[None, a:b], left[a:b, None], left[None, a:b]) & (c[:, None] != c[None])
+            i, j = choose(fits, c, np.argsort(mix64((sig[a:b] ^ token[a]).view(np.uint64))))
+            one.append(a + i)
+            other.append(a + j)
+        yield t, np.concatenate(one), np.concatenate(other)
+
+
+def _every_pair(fits, component, dealt):
+    return np.nonzero(np.triu(fits))
+
+
+def _few_pairs(fits, component, dealt):
+    """Each set outside the tile's largest component with its first ``MEETINGS`` in the order dealt."""
+    _, part, sizes = np.unique(component, return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(part != sizes.argmax())
+    held = fits[rows][:, dealt]
+    i, j = np.nonzero(held & (held.cumsum(axis=1) <= MEETINGS))
+    return rows[i], dealt[j]
+
+
+def _pairs(choose):
+    """A task giving the pairs (a, b) of set identities that ``choose`` takes."""
+    def run(batches):
+        for t, i, j in _apart(batches, choose):
+            if len(i):
+                sig = t.column(3).to_numpy()
+                pairs = np.unique(np.stack([np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+_crossing, _meetings = _pairs(_every_pair), _pairs(_few_pairs)
+
+
+def _open(batches):
+    """Entries that have a fitting partner in another component."""
+    for t, i, j in _apart(batches, _every_pair):
+        if len(i):
+            yield from t.take(np.unique(np.concatenate([i, j]))).to_batches()
 
 
 class Trie:
@@ -442,21 +462,28 @@ def _rows(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT) -> DataFr
         entries.where("hub2 is not null").select("sig", F.col("hub2").alias("hub"))).select(
         F.least("hub", "sig").alias("a"), F.greatest("hub", "sig").alias("b")).distinct()
 
-    def apart(parts, task, tested):
-        """Pairs (a, b) that ``task`` finds in the tiles, given the components so far, less those tested."""
+    def dealt(entries, parts, task, schema):
+        """What ``task`` finds in the tiles of ``entries``, given the components so far."""
         marked = (entries.join(parts.withColumnRenamed("node", "sig"), "sig", "left")
                   .select("token", "tile", "n", "sig", "pos", F.coalesce("component", "sig").alias("component")))
-        return (marked.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "sig")
-                .mapInArrow(task, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
+        return marked.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "sig").mapInArrow(task, schema)
 
     def as_links(parts):
         return parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
-    near = written(near, "hub-pairs")
-    parts = written(components(verified(near, docs, firsts, firstly, order)), "hub-components")
-    met = written(apart(parts, _meetings, near), "met-pairs")
-    parts = written(components(as_links(parts).unionByName(verified(met, docs, firsts, firstly, order))), "met-components")
-    crossing = apart(parts, _crossing, near.unionByName(met))
+    pair = "a long, b long"
+    tested = written(near, "hub-pairs")
+    parts = written(components(verified(tested, docs, firsts, firstly, order)), "hub-components")
+    # entries without a fitting partner in another component are done with
+    left = written(dealt(entries, parts, _open, "token long, tile int, n int, sig long, pos int, component long")
+                   .drop("component"), "open-entries")
+    for n in range(ROUNDS):
+        # another order of the sets of a tile in every round
+        turned = left.withColumn("token", F.col("token").bitwiseXOR(n))
+        met = written(dealt(turned, parts, _meetings, pair).distinct().join(tested, ["a", "b"], "left_anti"), "met-pairs")
+        parts = written(components(as_links(parts).unionByName(verified(met, docs, firsts, firstly, order))), "met-components")
+        tested = tested.unionByName(met)
+    crossing = dealt(left, parts, _crossing, pair).distinct().join(tested, ["a", "b"], "left_anti")
     more = written(verified(crossing, docs, firsts, firstly, order), "shingle-links")
     # the sets of a doc_id that has several, or an empty one too, are one document
     own = F.when(F.col("n") > 0, F.col("sig"))
