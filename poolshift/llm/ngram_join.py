@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .text import as_text, hash_words, having, mix64, sequence_hash, ship, signed, small, split_words, unused, window_hashes, written
+from .text import as_text, hash_words, having, lean, mix64, sequence_hash, ship, signed, small, split_words, unused, window_hashes, written
 
 N = 5
 FREQUENT = 1 << 16
@@ -166,7 +166,7 @@ def read_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield out(none, n[i:i + 100_000].astype(np.int64), none, part)
 
     read = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-                   .mapInArrow(run, "doc_id long, n long, sig long, h long"), "shingle-pass")
+                   .mapInArrow(lean(run), "doc_id long, n long, sig long, h long"), "shingle-pass")
     return read.where("sig is not null").select("doc_id", "n", "sig"), read.where("h is not null").select("h", "n")
 
 
@@ -213,7 +213,7 @@ def prefix_entries(docs: DataFrame, order, tile: int = TILE) -> DataFrame:
                                                   pa.array(part[3].astype(np.int64)), pa.array(part[4].astype(np.int32))],
                                                  ["token", "tile", "n", "sig", "pos"])
 
-    return docs.select("text").mapInArrow(run, "token long, tile int, n int, sig long, pos int")
+    return docs.select("text").mapInArrow(lean(run), "token long, tile int, n int, sig long, pos int")
 
 
 def _groups(batches, keys: int):
@@ -289,7 +289,10 @@ def _apart(batches, choose):
         one, other = [two], [two + 1]
         for a, b in zip(starts[mixed & (sizes > 2)].tolist(), ends[1:][mixed & (sizes > 2)].tolist(), strict=True):
             c = comp[a:b]
-            fits = _fits(m[a:b, None], m[None, a:b], left[a:b, None], left[None, a:b]) & (c[:, None] != c[None])
+            fits = np.empty((b - a, b - a), bool)
+            for k in range(0, b - a, 128):  # rows of the matrix at a time: its numbers take many times its room
+                r = slice(a + k, min(b, a + k + 128))
+                fits[k:k + 128] = _fits(m[r, None], m[None, a:b], left[r, None], left[None, a:b]) & (comp[r, None] != c[None])
             i, j = choose(fits, c, np.argsort(mix64((sig[a:b] ^ token[a]).view(np.uint64))))
             one.append(a + i)
             other.append(a + j)
@@ -305,7 +308,7 @@ def _few_pairs(fits, component, dealt):
     _, part, sizes = np.unique(component, return_inverse=True, return_counts=True)
     rows = np.flatnonzero(part != sizes.argmax())
     held = fits[rows][:, dealt]
-    i, j = np.nonzero(held & (held.cumsum(axis=1) <= MEETINGS))
+    i, j = np.nonzero(held & (held.cumsum(axis=1, dtype=np.int16) <= MEETINGS))
     return rows[i], dealt[j]
 
 
@@ -435,7 +438,7 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, firstly: Data
     shingles it shares with any set. Sets are made anew from the texts of
     promising pairs only.
     """
-    pairs = written(_beside(pairs, firstly).mapInArrow(_promising, "a long, b long"), "shingle-pairs")
+    pairs = written(_beside(pairs, firstly).mapInArrow(lean(_promising), "a long, b long"), "shingle-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(firsts, "sig").select("doc_id").distinct()
 
     def collect(batches):
@@ -445,8 +448,8 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, firstly: Data
             yield pa.RecordBatch.from_arrays([pa.array(kept.keys(), pa.int64()), pa.array(kept.values(), pa.binary())], ["sig", "shingles"])
 
     texts = having(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted)
-    sets = written(texts.select("text").mapInArrow(collect, "sig long, shingles binary").dropDuplicates(["sig"]), "shingle-sets")
-    return _beside(pairs, sets).mapInArrow(_verify, "u long, v long")
+    sets = written(texts.select("text").mapInArrow(lean(collect), "sig long, shingles binary").dropDuplicates(["sig"]), "shingle-sets")
+    return _beside(pairs, sets).mapInArrow(lean(_verify), "u long, v long")
 
 
 def _rows(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT) -> DataFrame:
@@ -454,7 +457,7 @@ def _rows(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT) -> DataFr
     named, counts = read_sets(docs)
     order = ship(docs.sparkSession, global_order(counts, frequent))
     entries = (prefix_entries(docs, order, tile).repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "sig")
-               .mapInArrow(_shared, "token long, tile int, n int, sig long, pos int, hub long, hub2 long"))
+               .mapInArrow(lean(_shared), "token long, tile int, n int, sig long, pos int, hub long, hub2 long"))
     entries = written(entries, "shingle-entries")
     firsts = named.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     firstly = entries.groupBy("sig").agg(F.first("n").alias("n"), F.collect_set("token").alias("tokens"))
@@ -466,7 +469,7 @@ def _rows(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT) -> DataFr
         """What ``task`` finds in the tiles of ``entries``, given the components so far."""
         marked = (entries.join(parts.withColumnRenamed("node", "sig"), "sig", "left")
                   .select("token", "tile", "n", "sig", "pos", F.coalesce("component", "sig").alias("component")))
-        return marked.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "sig").mapInArrow(task, schema)
+        return marked.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "sig").mapInArrow(lean(task), schema)
 
     def as_links(parts):
         return parts.select(F.col("node").alias("u"), F.col("component").alias("v"))

@@ -7,6 +7,8 @@ on whole batches, so no Python code runs per word occurrence.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -63,6 +65,16 @@ def small(batches, rows: int = 1000):
             yield batch.slice(i, rows)
 
 
+def lean(task):
+    """``task`` over Arrow batches, handing Arrow's unused memory back when it is done: Python workers live on with what they hold."""
+    def run(batches):
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def hash_words(words: pa.Array) -> np.ndarray:
     """64-bit hash of every word; each distinct word is hashed once."""
     if not len(words):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import held_out, training_ids
-from .text import as_text, ship, small, written
+from .text import as_text, lean, ship, small, written
 
 FOLDS, FOLD = 3, 1
 CUT = 0.7
@@ -39,7 +39,7 @@ MAX_TERMS = 2_000
 WINDOW = 8
 #: Words and automaton states that a task remembers; both only save time.
 CACHE = 100_000
-STATES = 20_000
+STATES = 60_000
 FEATURES = ["any", "exact", "misspelt", "quoted", "share", "addressed"]
 
 # Reporting verbs and pronouns of address, English.
@@ -287,7 +287,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Sco
                                              ["doc_id", "hits", "label", "weight"])
 
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-            .mapInArrow(run, "doc_id long, hits array<double>, label int, weight double").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas())
+            .mapInArrow(lean(run), "doc_id long, hits array<double>, label int, weight double").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas())
     x = np.array(rows["hits"].tolist(), float).reshape(len(rows), len(FEATURES))
     return Scorer(lexicon, fit_weights(x, rows["label"].to_numpy(float), rows["weight"].to_numpy(float)))
 
@@ -302,7 +302,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(as_text(batch.column(1))))],
                                              ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(FOLDS, FOLD).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
@@ -316,4 +316,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
         for batch in small(batches):
             yield batch.filter(pa.array(scorer.scores(as_text(batch.column(at))) < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
