@@ -115,7 +115,14 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+#: Bytes of an Arrow batch of texts, at most.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. The session's Arrow batches are held to
+    ``BATCH_BYTES`` from here on: by rows alone, a batch of long texts has no bound."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
