@@ -21,6 +21,7 @@ from ..operators import candidates as C
 from ..operators import filters as FL
 from ..operators import migratable as M3
 from ..operators import migration as M1
+from ..operators import overlap as OV
 from ..operators import results as R
 from ..operators import scaling as M2
 from ..session import scratch_path
@@ -287,6 +288,11 @@ def q_candidate_batch_typed(spark, sf_dir):
     return C.candidate_batch(inventory(spark, sf_dir), B.parse_requests(mixed_bodies(spark, sf_dir)))
 
 
+def q_candidate_overlap(spark, sf_dir):
+    """The services that target and candidates share, for the bodies that could be read, from bitmaps."""
+    return OV.candidate_overlap(inventory(spark, sf_dir), B.parse_requests(mixed_bodies(spark, sf_dir)))
+
+
 def _batch(spark, sf_dir):
     req = B.parse_requests(request_bodies(spark, sf_dir))
     return B.migration_batch(inventory(spark, sf_dir), req)

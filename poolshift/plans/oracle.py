@@ -355,14 +355,22 @@ TYPED_REQUESTS = _with(*MIXED_CTES) + """SELECT c_custkey, request_id, array_to_
       CASE WHEN len(l) = 0 THEN 'no candidate pools' END,
       CASE WHEN len(list_distinct(l)) <> len(l) THEN 'duplicate candidate pools' END,
       CASE WHEN list_contains(l, target_pool) THEN 'target among candidates' END], lambda x: x IS NOT NULL) END AS e FROM mlist)"""
-CANDIDATE_BATCH_TYPED = _with(*MIXED_CTES,
+TYPED_CTES = (*MIXED_CTES,
     """rl AS (SELECT request_id, target_pool AS target, CASE WHEN len(sites) > 0 THEN sites END AS sites, l
-        FROM mlist WHERE len(faults) = 0 AND NOT again)""", *CANDIDATE_CTES) + CANDIDATE_SELECT
-
-
+        FROM mlist WHERE len(faults) = 0 AND NOT again)""", *CANDIDATE_CTES)
+CANDIDATE_BATCH_TYPED = _with(*TYPED_CTES) + CANDIDATE_SELECT
+CANDIDATE_OVERLAP = _with(*TYPED_CTES, """tp AS (SELECT request_id, candidate_pool, count(DISTINCT psm) AS n
+        FROM rrows WHERE pk = target GROUP BY request_id, candidate_pool)""") + """
+SELECT c.request_id, c.candidate_pool, c.position, CAST(coalesce(t.n, 0) AS BIGINT) AS target_psm_count,
+  CAST(coalesce(p.psm_count, 0) AS BIGINT) AS psm_count, CAST(coalesce(m.n, 0) AS BIGINT) AS matching_psm_count
+FROM rc c
+LEFT JOIN bm m ON m.request_id = c.request_id AND m.candidate_pool = c.candidate_pool
+LEFT JOIN bp p ON p.request_id = c.request_id AND p.candidate_pool = c.candidate_pool
+LEFT JOIN tp t ON t.request_id = c.request_id AND t.candidate_pool = c.candidate_pool"""
 ORACLE: dict[str, str] = {
     "candidate_batch": CANDIDATE_BATCH,
     "candidate_batch_typed": CANDIDATE_BATCH_TYPED,
+    "candidate_overlap": CANDIDATE_OVERLAP,
     "typed_requests": TYPED_REQUESTS,
     "recommend_batch": RECOMMEND_BATCH,
     "migratable_batch": MIGRATABLE_BATCH,
