@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import one_decimal, short_number
+from ..session import cut_lineage
+
+# Row groups of a table written for paging: small, as a page reads whole ones.
+PAGE_GROUP_BYTES = 8 << 20
 
 
 def page_rows(df: DataFrame, order_by: list[str], page: int = 0, size: int = 25,
@@ -15,11 +19,53 @@ def page_rows(df: DataFrame, order_by: list[str], page: int = 0, size: int = 25,
     The order is the chosen columns (nulls last) followed by ``tiebreak``
     (a unique column) so that pages neither overlap nor skip rows.
     """
+    return df.orderBy(*_total_order(order_by, descending, tiebreak)).offset(page * size).limit(size)
+
+
+def _total_order(order_by: list[str], descending: bool, tiebreak: str | None) -> list[Column]:
     keys = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last()
             for c in order_by]
     if tiebreak:
         keys.append(F.col(tiebreak).asc_nulls_last())
-    return df.orderBy(*keys).offset(page * size).limit(size)
+    return keys
+
+
+def ranked_rows(df: DataFrame, order_by: list[str], descending: bool = False,
+                tiebreak: str | None = None, rank: str = "page_rank") -> DataFrame:
+    """``df`` with each row's place in the total order (from 0).
+
+    Order statistics: rows are dealt by ranges of the order, the ranges are
+    counted, and a row's place is the rows of the ranges before its own plus
+    its place inside, so no task sees more than its range. Rows that are
+    equal in the whole order are placed among each other in any way; without
+    a unique ``tiebreak`` they should be few, as they share a range.
+    """
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = _total_order(order_by, descending, tiebreak)
+    ranged = cut_lineage(df.repartitionByRange(tasks, *keys).withColumn("_range", F.spark_partition_id()))
+    front = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for a range
+    before = (ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+              .select("_range", F.coalesce(F.sum("_rows").over(front), F.lit(0)).alias("_before")))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    return (ranged.join(before, "_range")
+            .withColumn(rank, (F.col("_before") + place - 1).cast("bigint")).drop("_range", "_before"))
+
+
+def write_pages(df: DataFrame, path: str, order_by: list[str], descending: bool = False,
+                tiebreak: str | None = None, rank: str = "page_rank") -> None:
+    """Write ``df`` with its ranks, in rank order inside each file, so that a
+    page is found by the statistics of files, row groups and their pages."""
+    (ranked_rows(df, order_by, descending, tiebreak, rank).sortWithinPartitions(rank)
+     .write.option("parquet.block.size", PAGE_GROUP_BYTES).parquet(path))
+
+
+def read_page(spark: SparkSession, path: str, page: int, size: int = 25, rank: str = "page_rank") -> DataFrame:
+    """Page ``page`` (from 0) of a table written by :func:`write_pages`: a
+    pushed-down test on the rank, whatever the page; no sort of the table, no offset."""
+    at = F.col(rank)
+    return spark.read.parquet(path).filter((at >= page * size) & (at < (page + 1) * size))
 
 
 def format_numbers(df: DataFrame, columns: list[str], decimals: int = 2) -> DataFrame:

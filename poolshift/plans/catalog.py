@@ -392,6 +392,15 @@ def q_page_rows(spark, sf_dir):
                        tiebreak="row_ord")
 
 
+def q_page_rows_middle(spark, sf_dir):
+    """The page in the middle of all rows, read from a table of ranks."""
+    rows = inventory(spark, sf_dir).select("row_ord", "psm", "cluster_id", "cpu_limit")
+    path = scratch_path(spark, "pages")
+    R.write_pages(rows, path, ["cpu_limit"], descending=True, tiebreak="row_ord")
+    middle = spark.read.parquet(path).count() // 2 // PAGE_SIZE
+    return R.read_page(spark, path, middle, PAGE_SIZE)
+
+
 def q_format_numbers(spark, sf_dir):
     s = _migration(spark, sf_dir).summary
     return R.format_numbers(s, ["instance_num", "cpu_limit", "mem_limit"]).drop(

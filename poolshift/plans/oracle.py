@@ -529,6 +529,9 @@ ORACLE: dict[str, str] = {
           coalesce(host_type, ''), coalesce(idc, ''), coalesce(CAST(sort_key AS STRING), ''))), 'europe')""",
     "page_rows": _with(POOL_ROWS) + """SELECT row_ord, psm, cluster_id, cpu_limit FROM prows
         ORDER BY cpu_limit DESC NULLS LAST, row_ord LIMIT 25 OFFSET 25""",
+    "page_rows_middle": _with() + """SELECT row_ord, psm, cluster_id, cpu_limit, page_rank FROM (
+        SELECT *, row_number() OVER (ORDER BY cpu_limit DESC NULLS LAST, row_ord) - 1 AS page_rank, count(*) OVER () AS n FROM ninv)
+        WHERE page_rank // 25 = n // 2 // 25""",
     "format_numbers": MIG + f"""SELECT psm, pool_identifier, package, sort_key,
         {_fmt('instance_num')}, {_fmt('cpu_limit')}, {_fmt('mem_limit')}
       FROM (SELECT psm, pool_identifier, package, {SUMMARY_SUMS}

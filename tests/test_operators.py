@@ -316,6 +316,24 @@ def test_candidate_batch_equals_single_comparisons(spark):
                 assert g[k] == o[k], (rid, o["candidate_pool"], k)
 
 
+def test_pages_by_rank_equal_pages_by_offset(spark, tmp_path):
+    rows = [(i, float(i * 37 % 11) if i % 9 else None, f"v{i}") for i in range(137)]
+    df = spark.createDataFrame(rows, "row_ord long, x double, v string").repartition(5)
+    for descending in (True, False):
+        path = str(tmp_path / f"pages-{descending}")
+        R.write_pages(df, path, ["x"], descending, "row_ord")
+        for page in (0, 3, 13, 14):
+            want = [tuple(r) for r in R.page_rows(df, ["x"], page, 10, descending, "row_ord").collect()]
+            got = R.read_page(spark, path, page, 10).orderBy("page_rank").collect()
+            assert [tuple(r)[:3] for r in got] == want
+            assert [r.page_rank for r in got] == list(range(page * 10, page * 10 + len(want)))
+    plan = R.read_page(spark, path, 3, 10)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(page_rank,30)" in plan and "Exchange" not in plan and "Sort" not in plan
+    empty = str(tmp_path / "empty")
+    R.write_pages(df.limit(0), empty, ["x"], True, "row_ord")
+    assert R.read_page(spark, empty, 0).collect() == []
+
+
 def test_pad_rows_ordered(spark):
     df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "row_ord long, v string")
     out = [r["v"] for r in R.pad_rows(df, 1, ordered=True).collect()]
