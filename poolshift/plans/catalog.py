@@ -435,6 +435,19 @@ def q_report_tables(spark, sf_dir):
     return out
 
 
+def q_published_report(spark, sf_dir):
+    """A report published twice: the manifest of the newest version, counted again from its tables."""
+    m = _migration(spark, sf_dir, materialize=True)
+    folder = scratch_path(spark, "published")
+    K.publish_report({"summary": m.summary, "stats": m.stats}, folder)
+    K.publish_report({"summary": m.summary, "detail": m.detail, "stats": m.stats}, folder)
+    out = None
+    for name, df in K.published_tables(spark, folder).items():
+        part = df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
+        out = part if out is None else out.unionByName(part)
+    return out.join(K.published(spark, folder).select("table_name", F.col("row_count").alias("listed_count")), "table_name")
+
+
 def q_candidate_report(spark, sf_dir):
     """Per-candidate report tables written partitioned by candidate pool,
     row counts read back per table and candidate."""

@@ -556,6 +556,10 @@ ORACLE: dict[str, str] = {
           (SELECT 1 FROM matched WHERE package IS NOT NULL GROUP BY psm, pool_identifier, package)
         UNION ALL SELECT 'detail', count(*) FROM matched
         UNION ALL SELECT 'stats', 1""",
+    "published_report": MIG + """SELECT table_name, row_count, row_count AS listed_count FROM (SELECT 'summary' AS table_name, count(*) AS row_count FROM
+          (SELECT 1 FROM matched WHERE package IS NOT NULL GROUP BY psm, pool_identifier, package)
+        UNION ALL SELECT 'detail', count(*) FROM matched
+        UNION ALL SELECT 'stats', 1)""",
     "candidate_report": CAND + f"""SELECT 'summary' AS table_name, candidate_pool, count(*) AS row_count
         FROM (SELECT m.candidate_pool, psm, pool_identifier, CASE WHEN g.pkg THEN package END AS package
               FROM cmatched m JOIN cgate g ON g.candidate_pool = m.candidate_pool

@@ -7,8 +7,10 @@ the executors (``df.write``), never gathered on the driver.
 from __future__ import annotations
 
 import os
+import uuid
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,52 @@ def write_report(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet"
     return paths
 
 
+MANIFEST_SCHEMA = "version string, seq long, table_name string, fmt string, row_count long"
+
+
+def _manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of a published report; no rows where none is published yet."""
+    try:
+        return spark.read.schema(MANIFEST_SCHEMA).json(os.path.join(folder, "manifest"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+
+
+def publish_report(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet",
+                   partition_by: dict[str, list[str]] | None = None) -> str:
+    """Write a whole report as a new version of ``folder``; returns its version.
+
+    Every table goes to ``folder/versions/<version>/<name>``; the manifest,
+    one line per table with its rows, is added by one write at the very end. A
+    write that fails on the way leaves files that no manifest names: readers
+    (:func:`published_tables`) still get the version before. One writer a
+    folder at a time; of two that finish together the later id is read.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = uuid.uuid4().hex
+    paths = write_report(tables, os.path.join(folder, "versions", version), fmt, "error", partition_by)
+    seq = (_manifest(spark, folder).agg(F.max("seq")).first()[0] or 0) + 1
+    lines = [(version, seq, name, fmt, read_back(spark, p, fmt).count()) for name, p in paths.items()]
+    spark.createDataFrame(lines, MANIFEST_SCHEMA).coalesce(1).write.mode("append").json(os.path.join(folder, "manifest"))
+    return version
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest lines of the newest whole report of ``folder``."""
+    lines = _manifest(spark, folder)
+    newest = lines.agg(F.max(F.struct("seq", "version")).alias("_newest"))
+    return (lines.join(newest, F.struct("seq", "version") == F.col("_newest")).drop("_newest"))
+
+
+def published_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the newest whole report of ``folder``."""
+    lines = published(spark, folder).collect()
+    return {r["table_name"]: read_back(spark, os.path.join(folder, "versions", r["version"], r["table_name"]), r["fmt"])
+            for r in lines}
+
+
 def read_back(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     if fmt == "csv":
         return spark.read.option("header", "true").option("escape", '"').csv(path)

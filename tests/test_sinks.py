@@ -3,6 +3,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from poolshift.operators.scaling import recommend_scale_down
 from poolshift.sinks import report as K
@@ -185,3 +186,19 @@ def test_malformed_text_lines_are_kept_or_fail_fast(spark):
     assert [r["psm"] for r in normalise_inventory(raw).collect()] == ["s1", None]
     with pytest.raises(Exception):
         read_inventory(spark, path, fmt="json", mode="FAILFAST").collect()
+
+
+def test_a_failed_report_leaves_the_former_one_readable(spark, tmp_path):
+    folder = str(tmp_path / "report")
+    one, two = spark.range(3).toDF("a"), spark.range(5).toDF("a")
+    assert K.published_tables(spark, folder) == {} and K.published(spark, folder).collect() == []
+    K.publish_report({"x": one, "y": two}, folder)
+    broken = spark.range(4).select(F.raise_error(F.lit("no third table")).alias("a"))
+    with pytest.raises(Exception, match="no third table"):
+        K.publish_report({"x": two, "y": one, "z": broken}, folder)
+    got = K.published_tables(spark, folder)
+    assert {n: df.count() for n, df in got.items()} == {"x": 3, "y": 5}
+    K.publish_report({"x": two}, folder, "csv")
+    got = K.published_tables(spark, folder)
+    assert {n: df.count() for n, df in got.items()} == {"x": 5}
+    assert [(r.table_name, r.seq, r.fmt, r.row_count) for r in K.published(spark, folder).collect()] == [("x", 2, "csv", 5)]
