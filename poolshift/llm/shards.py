@@ -127,7 +127,10 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, max_share: int = MAX_SHA
     is null under this law.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = (docs.drop(*ADDED, "cell", "cell_id").withColumn("size", F.octet_length(text).cast("long") + 1)
+    # further columns travel in a struct, so that none meets a name used here
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text", *ADDED)]
+    kept = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("other_columns")] if others else []
+    sized = (docs.select("doc_id", "text", *kept).withColumn("size", F.octet_length(text).cast("long") + 1)
              .withColumn("text_crc32", F.crc32(text.cast("binary"))))
     keys = written(sized.select("doc_id", "size", "text_crc32"), "shard-keys")
     probes, cells = histogram_cells(keys, n_shards, max_share)
@@ -162,4 +165,4 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, max_share: int = MAX_SHA
             .withColumn("slot", F.when(F.col("shard") == F.col("cell_shard"), F.col("cell_slot") + row)
                         .otherwise(row - F.min(row).over(Window.partitionBy("cell", "shard"))))
             .withColumn("grown_shard", F.lit(None).cast("int"))
-            .drop("cell", "cell_id", "cell_row", "cell_bytes", "cell_rows", "cell_below", "cell_shard", "cell_slot"))
+            .select(*(F.col("other_columns")[c].alias(c) if c in others else c for c in docs.columns if c.lower() not in ADDED), *ADDED))

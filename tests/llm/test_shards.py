@@ -44,6 +44,18 @@ def test_repeated_rows_and_edges(make_docs):
     check(make_docs(rows), rows)
 
 
+def test_columns_named_like_inner_ones_are_kept(spark):
+    names = ["cell", "cell_id", "cell_row", "cell_bytes", "cell_rows", "cell_below", "cell_shard", "cell_slot", "first_id", "ids_each", "other_columns", "a.b"]
+    rows = [(1000 + 3 * i, "the same text" if i % 4 else f"text {i}", *(f"{n} {i}" for n in names)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for max_share in (S.MAX_SHARE, 8):  # with few shares, the hot text is split by id
+        got = S.shard_documents(df, 3, max_share=max_share)
+        assert got.columns == [*df.columns, *S.ADDED]
+        got = got.collect()
+        assert sorted(tuple(r)[:len(df.columns)] for r in got) == sorted(rows)
+        assert sorted((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == want([r[:2] for r in rows], 3)
+
+
 def test_empty_table(make_docs):
     assert S.shard_documents(make_docs([])).collect() == []
 
