@@ -7,20 +7,19 @@ same smoothing. A token's loss is minus the log of
 a document's score is the mean over its tokens of background loss minus
 target loss, so text like the target scores above 0.
 
-1. Words (by 64-bit hash, lower-cased A-Z) are counted over all documents, as
-   words and as contexts, into a table that grows with the corpus.
-2. Words that are more than one in ``VOCABULARY`` of all tokens, and pairs of
-   these that are more than one in ``SLOTS``, are frequent: at most so many
-   exist at any size. Their counts go to the tasks, which score frequent pairs
-   at once.
-3. All other tokens are dealt to buckets of about ``BUCKET`` tokens, by
-   context, by word where the context is frequent, by both where both are. The
-   counts of other words are dealt to the buckets that need them. So each
-   bucket holds all tokens of its pairs, counts the pairs and has both
-   counts of their words; the losses are summed by document.
-
-Nothing is left out or merged: what ``VOCABULARY`` and ``SLOTS`` choose is where a
-pair is counted, not whether.
+1. Texts are read once, in blocks of about ``BLOCK`` bytes. A block keeps its
+   distinct words, the place of each token's word and the lengths of its texts.
+2. It asks the buckets about its distinct words (by 64-bit hash, lower-cased
+   A-Z) and pairs (by a 64-bit hash within buckets dealt by another one), and
+   tells them its own counts. A pair is one entry of a block however often it
+   occurs, so frequent words and pairs are no hot keys.
+3. Each bucket (about ``BUCKET`` tokens) sums the counts and answers every
+   block in the order it asked; both models are these answers and grow with
+   the documents.
+4. Blocks meet their answers and sum the losses of their texts.
+
+Nothing is left out or merged: ``BLOCK`` and ``BUCKET`` choose where a pair is
+counted, not whether. Only totals go through the driver.
 
 Defined cases: null and empty texts have no tokens, zero losses and score 0;
 without target documents the target model is the uniform one; repeated rows
@@ -31,8 +30,6 @@ matter.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,258 +37,191 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import as_text, hash_words, mix64, ship, signed, small, split_words, written
+from .text import THIN, as_text, lean, mix64, small, split_words, written
 
-VOCABULARY = 1 << 16
-SLOTS = 1 << 20
+BLOCK = 8 << 20
 BUCKET = 1 << 20
 LAMBDA = 0.7
 #: The context of a text's first word; no word holds a line break.
 START = np.uint64(xxhash.xxh3_64_intdigest("\n"))
-#: Counts of a word: as word and as context, in all documents and in target ones.
-COUNTS = ["every", "ours", "c_every", "c_ours"]
-_DEALT = "bucket int, kind int, data binary"
-_TOKENS, _WORDS, _ROWS = range(3)
-_FORM = {
-    _TOKENS: np.dtype([("row", "<i8"), ("b", "<u8"), ("w", "<u8"), ("good", "?")]),
-    _WORDS: np.dtype([("h", "<u8"), *((c, "<i8") for c in COUNTS)]),
-    _ROWS: np.dtype([("row", "<i8"), ("doc_id", "<i8"), ("known", "?"), ("n", "<i8"), ("ours", "<f8"), ("every", "<f8")]),
-}
-
-
-def read(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words of a batch of texts, the hash before each, and the texts' offsets."""
-    words, offsets = split_words(as_text(col), lower=True)
-    w = hash_words(words)
-    b = np.concatenate([[START], w[:-1]]).astype(np.uint64) if len(w) else w
-    b[offsets[:-1][np.diff(offsets) > 0]] = START
-    return w, b, offsets
-
-
-def _flags(col: pa.Array, offsets: np.ndarray) -> np.ndarray:
-    return np.repeat(col.to_numpy(zero_copy_only=False).astype(bool), np.diff(offsets))
-
-
-def count_words(marked: DataFrame) -> DataFrame:
-    """h and ``COUNTS`` of every word and of ``START``."""
-    def count(batches):
-        for batch in small(batches, 4000):
-            w, b, offsets = read(batch.column(0))
-            good = _flags(batch.column(1), offsets)
-            h, at = np.unique(np.concatenate([w, b]), return_inverse=True)
-            at, n = (at[:len(w)], at[len(w):]), len(h)
-            counts = [np.bincount(x[keep], minlength=n) for x in at for keep in (slice(None), good)]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), *(pa.array(x.astype(np.int64)) for x in counts)], ["h", *COUNTS])
-
-    return written(marked.select("text", "good").mapInArrow(count, "h long, " + ", ".join(f"{c} long" for c in COUNTS))
-                   .groupBy("h").agg(*(F.sum(c).alias(c) for c in COUNTS)), "word-counts")
-
-
-def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Places of ``x`` in ascending ``keys``, -1 where there is none."""
-    if not len(keys):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return np.where(keys[at] == x, at, -1)
-
-
-@dataclass
-class Model:
-    """Totals of the corpus, the frequent words with their ``COUNTS`` (ascending) and the buckets of all other tokens."""
-
-    tokens: dict
-    size: int
-    buckets: int
-    words: np.ndarray
-
-    def bucket(self, x: np.ndarray) -> np.ndarray:
-        return (mix64(x) % np.uint64(self.buckets)).astype(np.int64)
-
-    def deal(self, b, w, at_b, at_w) -> np.ndarray:
-        """The bucket of each token: by context, by word if the context is frequent, by both if both are."""
-        with np.errstate(over="ignore"):
-            both = mix64(b) + w
-        return self.bucket(np.where(at_b < 0, b, np.where(at_w < 0, w, both)))
+#: Turns a word's hash into a second one, for the keys of pairs.
+_SECOND = np.uint64(xxhash.xxh3_64_intdigest("pair"))
+_BLOCKS = "bucket int, block long, words binary, pairs binary, rows binary"
+_ANSWERS = "bucket int, block long, words binary, pairs binary, size long, every long, ours long"
+_SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
-    def losses(self, side: str, pairs, contexts, words) -> np.ndarray:
-        base = (words + 1) / (self.tokens[side] + self.size)
-        weight = np.where(contexts > 0, LAMBDA, 0.0)
-        return -np.log(weight * pairs / np.maximum(contexts, 1) + (1 - weight) * base)
-
-
-def _packed(data: np.ndarray, bucket: np.ndarray, kind: int) -> pa.RecordBatch:
-    """One row for each bucket, its records column after column."""
-    order = np.argsort(bucket, kind="stable")
-    ids, starts = np.unique(bucket[order], return_index=True)
-    parts = np.split(data[order], starts[1:]) if len(ids) else []
-    blobs = [b"".join(np.ascontiguousarray(p[c]).tobytes() for c in p.dtype.names) for p in parts]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([kind] * len(ids), pa.int32()), pa.array(blobs, pa.binary())],
-                                      ["bucket", "kind", "data"])
-
-
-def _unpacked(blobs: list[bytes], kind: int) -> np.ndarray:
-    form = _FORM[kind]
-    out, done = np.empty(sum(map(len, blobs)) // form.itemsize, form), 0
-    for blob in blobs:
-        n, at = len(blob) // form.itemsize, 0
-        for c in form.names:
-            out[c][done:done + n] = np.frombuffer(blob, form[c], n, at)
-            at += n * form[c].itemsize
-        done += n
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length of numbers from 0 up, each in as few bytes a number as its largest needs."""
+    least = [np.ascontiguousarray(c, np.min_scalar_type(int(c.max(initial=0)))) for c in columns]
+    return len(columns[0]).to_bytes(8, "little") + bytes(c.itemsize for c in least) + b"".join(c.tobytes() for c in least)
+
+
+def unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
+    n, at, out = int.from_bytes(blob[:8], "little"), 8 + columns, []
+    for size in blob[8:at]:
+        out.append(np.frombuffer(blob, f"<u{size}", n, at))
+        at += n * size
     return out
 
 
-def _records(kind: int, **columns) -> np.ndarray:
-    out = np.empty(len(next(iter(columns.values()))), _FORM[kind])
-    for c, x in columns.items():
-        out[c] = x
+def joined(blobs: list[bytes], columns: int) -> list[np.ndarray]:
+    """The columns of all ``blobs``, one after the other."""
+    parts = [unpacked(x, columns) for x in blobs]
+    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.uint64)] * columns
+
+
+class Block:
+    """Words and pairs of some texts, each in the order of the buckets that count them.
+
+    ``h``: hashes of the distinct words and ``START``; ``w``: place of each
+    token's word; ``n``: tokens of each text. ``at`` is the place of each
+    token's pair, ``b`` and ``pair_w`` are the words of each pair.
+    """
+
+    def __init__(self, h: np.ndarray, w: np.ndarray, n: np.ndarray, buckets: int):
+        self.n = n.astype(np.int64)
+        mixed = mix64(h)
+        self.word_bucket = mixed % np.uint64(buckets)
+        order = np.argsort(self.word_bucket, kind="stable")
+        self.h, self.word_bucket, mixed, self.w = h[order], self.word_bucket[order], mixed[order], _places(order)[w]
+        start = int(np.flatnonzero(self.h == START)[0])
+        self.before = np.concatenate([[start], self.w[:-1]])[:len(self.w)]
+        self.before[(np.cumsum(self.n) - self.n)[self.n > 0]] = start
+        key, at = np.unique(self.before * len(h) + self.w, return_inverse=True)
+        b, pair_w = key // len(h), key % len(h)
+        with np.errstate(over="ignore"):
+            dealt = mix64(mixed[b] + self.h[pair_w]) % np.uint64(buckets)
+            order = np.argsort(dealt, kind="stable")
+            self.b, self.pair_w, self.pair_bucket, self.at = b[order], pair_w[order], dealt[order], _places(order)[at]
+            self.key = mix64(mix64(self.h ^ _SECOND)[self.b] + mixed[self.pair_w])
+
+    def asked(self, good: np.ndarray):
+        """(bucket, words, pairs): what the block asks each bucket, with its own counts; ``good`` flags its texts."""
+        ours = np.repeat(good, self.n)
+        counts = lambda x, n: (np.bincount(x, minlength=n), np.bincount(x[ours], minlength=n))
+        words = (self.h, *counts(self.w, len(self.h)), *counts(self.before, len(self.h)))
+        pairs = (self.key, *counts(self.at, len(self.key)))
+        ids = np.union1d(self.word_bucket, self.pair_bucket)
+        cuts = [np.searchsorted(x, ids, side) for x in (self.word_bucket, self.pair_bucket) for side in ("left", "right")]
+        for k, i, j, p, q in zip(ids.tolist(), *cuts, strict=True):
+            yield k, packed(*(c[i:j] for c in words)), packed(*(c[p:q] for c in pairs))
+
+
+def _places(order: np.ndarray) -> np.ndarray:
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
     return out
 
 
-def frequent_pairs(marked: DataFrame, sent, least: int) -> np.ndarray:
-    """Counts of the pairs of frequent words that occur more than ``least`` times; ``key`` is context place * words + word place, ascending."""
-    def count(batches):
-        model = sent()
-        for batch in small(batches, 4000):
-            w, b, offsets = read(batch.column(0))
-            at_b, at_w = find(model.words["h"], b), find(model.words["h"], w)
-            both = (at_b >= 0) & (at_w >= 0)
-            key, at = np.unique((at_b * len(model.words) + at_w)[both], return_inverse=True)
-            good = _flags(batch.column(1), offsets)[both]
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *(pa.array(np.bincount(x, minlength=len(key)).astype(np.int64)) for x in (at, at[good]))],
-                                             ["key", "every", "ours"])
-
-    rows = (marked.select("text", "good").mapInArrow(count, "key long, every long, ours long").groupBy("key")
-            .agg(F.sum("every").alias("every"), F.sum("ours").alias("ours")).where(F.col("every") > least).toArrow())
-    out = np.empty(rows.num_rows, [("key", "<i8"), ("every", "<i8"), ("ours", "<i8")])
-    for c in out.dtype.names:
-        out[c] = rows.column(c).to_numpy()
-    return np.sort(out, order="key")
-
-
-def _asked(marked: DataFrame, sent) -> DataFrame:
-    """(bucket, h) of the words that meet, in a bucket dealt by context, a context that is not frequent either."""
-    def ask(batches):
-        model = sent()
-        for batch in small(batches, 4000):
-            w, b, _ = read(batch.column(0))
-            at_b, at_w = find(model.words["h"], b), find(model.words["h"], w)
-            rare = (at_b < 0) & (at_w < 0)
-            pairs = np.unique(np.stack([model.bucket(b[rare]).astype(np.int64), signed(w[rare])], axis=1), axis=0) if rare.any() else np.empty((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int32()), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["bucket", "h"])
-
-    return marked.select("text").mapInArrow(ask, "bucket int, h long").distinct()
-
-
-def _dealt_words(marked: DataFrame, words: DataFrame, least: int, sent) -> DataFrame:
-    """Counts of the words that are not frequent, in their own bucket and in those that ask for them."""
-    rare = words.where(F.greatest("every", "c_every") <= least)
-
-    def pack(batches):
-        model = sent()
-        for batch in batches:
-            h = batch.column(1).to_numpy().view(np.uint64)
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            bucket = np.where(np.isnan(own), model.bucket(h), own).astype(np.int64) if batch.column(0).null_count else own.astype(np.int64)
-            yield _packed(_records(_WORDS, h=h, **{c: batch.column(c).to_numpy() for c in COUNTS}), bucket, _WORDS)
-
-    own = rare.select(F.lit(None).cast("int").alias("bucket"), "h", *COUNTS)
-    return own.unionByName(_asked(marked, sent).join(rare, "h").select("bucket", "h", *COUNTS)).mapInArrow(pack, _DEALT)
-
-
-def _dealt_tokens(marked: DataFrame, sent, pairs) -> DataFrame:
-    """Every row with the losses of its frequent pairs, and its other tokens."""
-    def deal(batches):
-        model, frequent = sent(), pairs()
-        words = model.words
-        row = TaskContext.get().partitionId() << 33
-        for batch in small(batches, 4000):
-            w, b, offsets = read(batch.column(1))
-            n = np.diff(offsets)
-            owner = np.repeat(np.arange(len(n)), n)
-            at_b, at_w = find(words["h"], b), find(words["h"], w)
-            at = find(frequent["key"], np.where((at_b >= 0) & (at_w >= 0), at_b * len(words) + at_w, -1))
-            now = at >= 0
-            sums = {side: np.bincount(owner[now], model.losses(side, frequent[side][at[now]], words["c_" + side][at_b[now]], words[side][at_w[now]]),
-                                      minlength=len(n)) for side in ("ours", "every")}
-            ids = batch.column(0)
-            head = _records(_ROWS, row=row + np.arange(len(n)), doc_id=ids.fill_null(0).to_numpy(), n=n,
-                            known=ids.is_valid().to_numpy(zero_copy_only=False), **sums)
-            yield _packed(head, np.full(len(n), model.bucket(np.array([row], np.uint64))[0]), _ROWS)
-            late = ~now
-            tokens = _records(_TOKENS, row=row + owner[late], b=b[late], w=w[late], good=_flags(batch.column(2), offsets)[late])
-            yield _packed(tokens, model.deal(b[late], w[late], at_b[late], at_w[late]), _TOKENS)
-            row += len(n)
-
-    return marked.select("doc_id", "text", "good").mapInArrow(deal, _DEALT)
-
-
-def _losses_of(model: Model, tokens: np.ndarray, facts: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Rows of a bucket's tokens and the sums of their losses."""
-    _, first = np.unique(facts["h"], return_index=True)
-    known = np.concatenate([model.words, facts[first]])
-    known = known[np.argsort(known["h"], kind="stable")]
-    order = np.lexsort((tokens["w"], tokens["b"]))
-    tokens = tokens[order]
-    new = np.ones(len(tokens), bool)
-    new[1:] = (tokens["b"][1:] != tokens["b"][:-1]) | (tokens["w"][1:] != tokens["w"][:-1])
-    pair, heads = np.cumsum(new) - 1, tokens[new]
-    b, w = known[find(known["h"], heads["b"])], known[find(known["h"], heads["w"])]
-    counts = {"every": np.bincount(pair), "ours": np.bincount(pair[tokens["good"]], minlength=len(heads))}
-    rows, at = np.unique(tokens["row"], return_inverse=True)
-    return rows, {side: np.bincount(at, model.losses(side, counts[side], b["c_" + side], w[side])[pair], minlength=len(rows))
-                  for side in ("ours", "every")}
-
-
-def score_documents(docs: DataFrame, target: DataFrame, vocabulary_size: int = VOCABULARY, slots: int = SLOTS,
-                    bucket: int = BUCKET) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (means) and score of every row of ``docs``.
+def _texts(batches, size: int):
+    """Batches joined to about ``size`` bytes each."""
+    held, total = [], 0
+    for batch in small(batches, 100):
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, total = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def read_blocks(marked: DataFrame, buckets: int, size: int) -> DataFrame:
+    """One pass over doc_id, text, good: what blocks ask of buckets, and (bucket null) what they keep."""
+    def read(batches):
+        block = TaskContext.get().partitionId() << 33
+        for t in _texts(batches, size):
+            words, offsets = split_words(as_text(t.column(1)), lower=True)
+            coded = words.dictionary_encode()
+            h = np.fromiter((START, *(xxhash.xxh3_64_intdigest(x) for x in coded.dictionary.to_pylist())), np.uint64, len(coded.dictionary) + 1)
+            own = Block(h, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, np.diff(offsets), buckets)
+            ids, good = t.column(0).combine_chunks(), t.column(2).to_numpy().astype(bool)
+            rows = packed(ids.fill_null(0).to_numpy().view(np.uint64), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), own.n)
+            out = [(None, packed(own.h), packed(own.w), rows), *((*x, None) for x in own.asked(good))]
+            for i in range(0, len(out), 64):
+                bucket, first, second, third = zip(*out[i:i + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([block] * len(bucket), pa.int64()),
+                                                  *(pa.array(x, pa.binary()) for x in (first, second, third))],
+                                                 ["bucket", "block", "words", "pairs", "rows"])
+            block += 1
+
+    return written(marked.mapInArrow(lean(read), _BLOCKS), "token-blocks")
+
+
+def _answered(t: pa.Table) -> pa.Table:
+    """One bucket's counts for each block that asked, and (block null) its distinct words and tokens."""
+    def summed(name, columns):
+        blobs = t.column(name).to_pylist()
+        ends = np.cumsum([int.from_bytes(x[:8], "little") for x in blobs])[:-1]
+        key, *counts = joined(blobs, columns)
+        _, at = np.unique(key, return_inverse=True)
+        sums = [np.bincount(at, c).astype(np.int64) for c in counts]
+        return sums, [packed(*x) for x in zip(*(np.split(s[at], ends) for s in sums), strict=True)]
+
+    (every, ours, *_), words = summed("words", 5)
+    _, pairs = summed("pairs", 3)
+    n = len(words)
+    total = [int((every > 0).sum()), int(every.sum()), int(ours.sum())]
+    bucket = t.column("bucket")[0].as_py()
+    return pa.table([pa.array([bucket] * (n + 1), pa.int32()), pa.array([*t.column("block").to_pylist(), None], pa.int64()),
+                     pa.array([*words, None], pa.binary()), pa.array([*pairs, None], pa.binary()),
+                     *(pa.array([None] * n + [x], pa.int64()) for x in total)],
+                    ["bucket", "block", "words", "pairs", "size", "every", "ours"])
+
+
+def _scored(own: pa.Table, answers: pa.Table, buckets: int, tokens: dict, size: int) -> pa.Table:
+    """The rows of a block, scored by the answers to it."""
+    (h,), (w,) = (unpacked(own.column(c)[0].as_py(), 1) for c in ("words", "pairs"))
+    ids, known, n = unpacked(own.column("rows")[0].as_py(), 3)
+    block = Block(h.astype(np.uint64), w, n, buckets)
+    answers = answers.sort_by("bucket")
+    words = dict(zip(("every", "ours", "c_every", "c_ours"), joined(answers.column("words").to_pylist(), 4), strict=True))
+    pairs = dict(zip(("every", "ours"), joined(answers.column("pairs").to_pylist(), 2), strict=True))
+    owner = np.repeat(np.arange(len(n)), block.n)
+    means = {}
+    for side in ("ours", "every"):
+        contexts = words["c_" + side][block.b].astype(np.float64)
+        base = (words[side][block.pair_w] + 1.0) / (tokens[side] + size)
+        weight = np.where(contexts > 0, LAMBDA, 0.0)
+        losses = -np.log(weight * pairs[side] / np.maximum(contexts, 1) + (1 - weight) * base)
+        means[side] = np.bincount(owner, losses[block.at], minlength=len(n)) / np.maximum(block.n, 1)
+    return pa.table([pa.array(ids.astype(np.uint64).view(np.int64), mask=known == 0), pa.array(block.n), pa.array(means["ours"]),
+                     pa.array(means["every"]), pa.array(means["every"] - means["ours"])],
+                    ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+
+def marked_texts(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """doc_id, text and whether the doc_id is one of ``target``.
 
-    ``vocabulary_size`` and ``slots``: frequent words (and as many contexts) and pairs sent to the tasks, at most.
+    Only texts whose id falls in a hash slot of a target id are shuffled; the
+    broadcast holds slots, at most ``THIN``, and the join decides.
     """
-    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     target = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    marked = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-                     .join(target.select("doc_id", F.lit(True).alias("good")), "doc_id", "left")
-                     .select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good")), "marked-texts")
-    words = count_words(marked)
-    total = words.agg(F.sum("every").alias("every"), F.sum("ours").alias("ours"), F.count_if(F.col("every") > 0).alias("words")).first()
-    tokens = {side: total[side] or 0 for side in ("every", "ours")}
-    least = tokens["every"] // vocabulary_size
-    hot = words.where(F.greatest("every", "c_every") > least).toArrow()
-    model = Model(tokens, total["words"] + 2, max(1, -(-tokens["every"] // bucket)),
-                  np.sort(_records(_WORDS, h=hot.column("h").to_numpy().view(np.uint64), **{c: hot.column(c).to_numpy() for c in COUNTS}), order="h"))
-    sent = ship(spark, model)
-    pairs = ship(spark, frequent_pairs(marked, sent, tokens["every"] // slots))
-
-    def score(batches):
-        model = sent()
-
-        def finish(parts):
-            for x in np.array_split(_unpacked(parts[_ROWS], _ROWS), 1 + len(parts[_ROWS]) // 100):
-                yield pa.RecordBatch.from_arrays([pa.array(x["row"]), pa.array(x["doc_id"], mask=~x["known"]), pa.array(x["n"]),
-                                                  pa.array(x["ours"]), pa.array(x["every"])], ["row", "doc_id", "n", "ours", "every"])
-            if parts[_TOKENS]:
-                rows, sums = _losses_of(model, _unpacked(parts[_TOKENS], _TOKENS), _unpacked(parts[_WORDS], _WORDS))
-                none = pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rows), none, none, pa.array(sums["ours"]), pa.array(sums["every"])],
-                                                 ["row", "doc_id", "n", "ours", "every"])
-
-        now, parts = None, None
-        for batch in batches:
-            for k, kind, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if k != now:
-                    if parts:
-                        yield from finish(parts)
-                    now, parts = k, {x: [] for x in _FORM}
-                parts[kind].append(data)
-        if parts:
-            yield from finish(parts)
-
-    dealt = _dealt_tokens(marked, sent, pairs).unionByName(_dealt_words(marked, words, least, sent))
-    sums = (dealt.repartition(model.buckets, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(score, "row long, doc_id long, n long, ours double, every double").groupBy("row")
-            .agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), F.sum("ours").alias("ours"), F.sum("every").alias("every")))
-    mean = lambda side: F.col(side) / F.greatest("n_tokens", F.lit(1))
-    return sums.select("doc_id", "n_tokens", mean("ours").alias("target_loss"), mean("every").alias("background_loss"),
-                       (mean("every") - mean("ours")).alias("score"))
+    slot = F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(THIN)).cast("int"))
+    slots = F.broadcast(target.select(slot.alias("slot")).distinct())
+    dealt = docs.withColumn("slot", slot)
+    near = (dealt.join(slots, "slot", "left_semi").drop("slot")
+            .join(target.withColumn("good", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good")))
+    return near.unionByName(dealt.join(slots, "slot", "left_anti").select("doc_id", "text", F.lit(False).alias("good")))
+
+
+def score_documents(docs: DataFrame, target: DataFrame, vocabulary_size: int | None = None, slots: int | None = None,
+                    bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (means) and score of every row of ``docs``.
+
+    ``bucket``: tokens whose pairs are counted in one place, about; ``block``:
+    bytes of texts read together. ``vocabulary_size`` and ``slots`` bounded
+    counts that were sent to the tasks; none are any more, and both are ignored.
+    """
+    # a token is a word and a blank, some 6 bytes
+    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-length // (6 * bucket)))
+    read = read_blocks(marked_texts(docs, target), buckets, block)
+    answers = written(read.where("bucket is not null").drop("rows").groupBy("bucket").applyInArrow(_answered, _ANSWERS), "block-answers")
+    total = answers.where("block is null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "every", "ours"))).first()
+    tokens, size = {"every": total["every"], "ours": total["ours"]}, total["size"] + 2
+    own = read.where("bucket is null").select("block", "words", "pairs", "rows").groupBy("block")
+    held = answers.where("block is not null").select("block", "bucket", "words", "pairs").groupBy("block")
+    return own.cogroup(held).applyInArrow(lambda a, b: _scored(a, b, buckets, tokens, size), _SCORES)

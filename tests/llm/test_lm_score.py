@@ -71,3 +71,21 @@ def test_bounds_of_what_is_sent_change_no_score(spark, make_docs, vocabulary_siz
     key = lambda r: (str(r[0]), r[1], round(r[4], 6))
     for a, b in zip(sorted(map(tuple, got), key=key), sorted(plain(docs, {1, 2, 52, 101, 104}), key=key), strict=True):
         assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
+
+
+@pytest.mark.parametrize(("block", "bucket"), [(1, 7), (3_000, 100), (8 << 20, 1)])
+def test_blocks_and_buckets_change_no_score(spark, make_docs, block, bucket):
+    docs = DOCS + [(100 + i, f"rare{i} rare{i % 3} the rare{i % 2} rare{i} sea") for i in range(200)]
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 52, 101, 104)], "doc_id long")
+    got = L.score_documents(make_docs(docs), ids, block=block, bucket=bucket).collect()
+    key = lambda r: (str(r[0]), r[1], round(r[4], 6))
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(plain(docs, {1, 2, 52, 101, 104}), key=key), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
+
+
+def test_packed_columns_come_back():
+    import numpy as np
+
+    columns = [np.array(x, np.uint64) for x in ([0, 255], [256, 3], [0, 0], [1 << 40, 2**64 - 1])]
+    assert [x.tolist() for x in L.unpacked(L.packed(*columns), 4)] == [x.tolist() for x in columns]
+    assert [len(x) for x in L.unpacked(L.packed(np.empty(0, int), np.empty(0, int)), 2)] == [0, 0]
