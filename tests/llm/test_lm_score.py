@@ -89,3 +89,12 @@ def test_packed_columns_come_back():
     columns = [np.array(x, np.uint64) for x in ([0, 255], [256, 3], [0, 0], [1 << 40, 2**64 - 1])]
     assert [x.tolist() for x in L.unpacked(L.packed(*columns), 4)] == [x.tolist() for x in columns]
     assert [len(x) for x in L.unpacked(L.packed(np.empty(0, int), np.empty(0, int)), 2)] == [0, 0]
+
+
+def test_more_target_ids_than_are_broadcast(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(L, "THIN", 4)
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 4, 5, 52, 60)], "doc_id long")
+    got = L.score_documents(make_docs(DOCS), ids).collect()
+    key = lambda r: (str(r[0]), r[1], round(r[4], 6))
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(plain(DOCS, {1, 2, 4, 5, 52, 60}), key=key), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
