@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .text import THIN, as_text, lean, mix64, small, split_words, written
 
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 BUCKET = 1 << 20
 LAMBDA = 0.7
 #: The context of a text's first word; no word holds a line break.
