@@ -13,7 +13,10 @@ Three ways in:
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -187,14 +190,15 @@ _WRITTEN: dict[tuple, tuple[str, T.StructType]] = {}
 
 
 def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
-    """Identity of the source files: names, sizes and times of change. Local
-    folders are listed directly, others by Spark, so any file system will do."""
+    """Identity of the source files. Local folders are listed directly (names,
+    sizes, times of change); others by Spark, so any file system will do, as
+    number, bytes and newest change of the files."""
     if os.path.isdir(sf_dir):
         found = [os.path.join(d, n) for d, _, names in os.walk(sf_dir) for n in names]
         return tuple(sorted((f, os.stat(f).st_size, os.stat(f).st_mtime_ns) for f in found))
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.parquet").load(sf_dir).select("path", "length", "modificationTime"))
-    return tuple(sorted(map(tuple, files.collect())))
+             .option("pathGlobFilter", "*.parquet").load(sf_dir))
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime")).first())
 
 
 LAYOUT = ["idc", "physical_cluster", "iaas_cluster", "row_ord"]
@@ -248,12 +252,84 @@ def inventory(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Dat
 CORRUPT = "_corrupt_record"
 
 
-def _columns_of(spark: SparkSession, path: str, fmt: str, header: bool) -> list[str]:
-    """Names a text inventory really holds: a CSV's header, or the keys that
-    occur in any JSON record (one pass over the names)."""
-    if fmt == "csv":
-        return spark.read.option("header", "true").csv(path).columns if header else RAW_SCHEMA.names
-    return spark.read.option("primitivesAsString", "true").json(path).drop(CORRUPT).columns
+# While headers are looked up: every file is a task of its own, which stops after its first lines.
+ONE_FILE_A_TASK = {"spark.sql.files.maxPartitionBytes": str(1 << 36),
+                   "spark.sql.files.openCostInBytes": str(1 << 36)}
+
+
+def _files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """Files of a CSV inventory that begin with the same line (blank lines
+    aside). A task reads the first lines of one file and leaves the rest;
+    files without a line are in no group. The list of files goes through the
+    driver, which holds it for every read anyway."""
+    def first_line(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    lines = (spark.read.text(path)
+             .filter((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+             .select(F.col("value").alias("header"), F.col("_metadata.file_path").alias("file"))
+             .mapInArrow(first_line, "header string, file string")
+             .groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")))
+    before = {k: spark.conf.get(k) for k in ONE_FILE_A_TASK}
+    try:
+        for k, v in ONE_FILE_A_TASK.items():
+            spark.conf.set(k, v)
+        found = lines.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return sorted([_as_path(f) for f in r["files"]] for r in found)
+
+
+def _as_path(uri: str) -> str:
+    """A file named by its URI as a path for a reader (readers expand globs)."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(uri))
+
+
+def _scans(spark: SparkSession, path: str, fmt: str, header: bool, multiline: bool) -> list[tuple[list[str], list[str]]]:
+    """(paths, columns) of each scan that a text inventory needs: one, or for
+    CSV files of several headers one for each list of columns. The columns are
+    those a CSV's header names, or the keys that occur in any JSON record (one
+    pass over the names), and the folders' partition columns."""
+    if fmt == "json":
+        return [([path], spark.read.option("primitivesAsString", "true").json(path).drop(CORRUPT).columns)]
+    if not header:
+        return [([path], RAW_SCHEMA.names)]
+
+    def columns(paths):
+        reader = spark.read.option("header", "true").option("multiLine", str(multiline).lower()).option("escape", '"')
+        return reader.options(**_base(path, paths)).csv(paths).columns
+
+    alike = _files_by_header(spark, path)
+    if len(alike) < 2:
+        return [([path], columns([path]))]
+    scans: dict[tuple[str, ...], list[str]] = {}
+    for files in alike:
+        scans.setdefault(tuple(columns(files[:1])), []).extend(files)
+    return [(files, list(names)) for names, files in scans.items()]
+
+
+def _base(path: str, paths: list[str]) -> dict[str, str]:
+    """Reader option that keeps the partition columns of single files of a folder."""
+    return {} if paths == [path] or re.search(r"[*?\[{]", path) else {"basePath": path}
+
+
+def _completed(df: DataFrame, every: list[str], na_values: Iterable[str]) -> DataFrame:
+    """The scan of files that lack some of the inventory's columns ``every``:
+    those that fall back do so here, file by file (see
+    :func:`normalise_inventory`), other optional ones are null."""
+    lacking = [c for c in every if c not in df.columns]
+    refused = [c for c in lacking if c in REQUIRED_COLUMNS]
+    if refused:
+        raise ValueError(f"some files of the inventory lack required columns: {refused}")
+    falls_back = {"cluster_id": F.col("cluster_name")}
+    if "cpu_request" in df.columns:
+        limit, request = (coerce_number(_not_blank(c, na_values)) for c in ("cpu_limit", "cpu_request"))
+        falls_back["save_cores"] = (limit - request).cast("string")
+    return df.withColumns({c: falls_back.get(c, F.lit(None).cast("string")) for c in lacking})
 
 
 def _not_blank(c: str, na_values: Iterable[str]) -> Column:
@@ -272,11 +348,14 @@ def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet",
                    where: Column | None = None) -> DataFrame:
     """Read an inventory export by column name, all text, and attach file order.
 
-    CSV columns are found by the header (all files must have the same one;
-    ``header=False`` takes them in the order of :data:`RAW_SCHEMA`), JSON
-    fields by their names; columns that a text inventory lacks are absent
-    from the result, as with Parquet and ORC, so that
-    :func:`normalise_inventory` can fall back or refuse.
+    CSV columns are found by the header (``header=False`` takes them in the
+    order of :data:`RAW_SCHEMA`), JSON fields by their names; columns that a
+    text inventory lacks are absent from the result, as with Parquet and ORC,
+    so that :func:`normalise_inventory` can fall back or refuse. The CSV files
+    of a folder may have different headers: each list of columns is a scan of
+    its files, put together by name. A file that lacks a column of the others
+    falls back by itself (``cluster_id``, ``save_cores``) or holds null; one
+    that lacks a required column that others have is refused.
 
     ``row_ord`` is a struct ``(file, position)``: for Parquet the position is
     the row index inside the file (``_metadata.row_index``); for other formats
@@ -289,22 +368,29 @@ def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet",
     keeps malformed lines with their raw text in ``_corrupt_record`` (see
     :func:`bad_rows`); ``'FAILFAST'`` stops the read at the first one.
     """
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = (reader.option("header", str(header).lower()).option("enforceSchema", str(not header).lower())
-                  .option("multiLine", str(multiline).lower()).option("escape", '"'))
-    if fmt in ("csv", "json"):
-        fields = [T.StructField(c, T.StringType(), True) for c in _columns_of(spark, path, fmt, header)]
-        reader = (reader.schema(T.StructType([*fields, T.StructField(CORRUPT, T.StringType(), True)]))
-                  .option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT))
-    df = reader.load(path)
-    if where is not None:
-        df = df.filter(where)
-    pos = F.col("_metadata.row_index") if fmt == "parquet" else F.monotonically_increasing_id()
-    df = df.withColumn("row_ord", F.struct(F.col("_metadata.file_path").alias("file"), pos.alias("pos")))
-    return df.select(*[_not_blank(c, na_values).alias(c)
-                       if isinstance(df.schema[c].dataType, T.StringType) and c != CORRUPT else F.col(c)
-                       for c in df.columns])
+    text = fmt in ("csv", "json")
+    scans = _scans(spark, path, fmt, header, multiline) if text else [([path], [])]
+    every = list(dict.fromkeys(c for _, columns in scans for c in columns))
+    parts = []
+    for paths, columns in scans:
+        reader = spark.read.format(fmt).options(**_base(path, paths))
+        if fmt == "csv":
+            reader = (reader.option("header", str(header).lower()).option("enforceSchema", str(not header).lower())
+                      .option("multiLine", str(multiline).lower()).option("escape", '"'))
+        if text:
+            reader = (reader.schema(T.StructType([T.StructField(c, T.StringType(), True) for c in [*columns, CORRUPT]]))
+                      .option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT))
+        df = reader.load(paths)
+        if len(scans) > 1:
+            df = _completed(df, every, na_values)
+        if where is not None:
+            df = df.filter(where)
+        pos = F.col("_metadata.row_index") if fmt == "parquet" else F.monotonically_increasing_id()
+        df = df.withColumn("row_ord", F.struct(F.col("_metadata.file_path").alias("file"), pos.alias("pos")))
+        parts.append(df.select(*[_not_blank(c, na_values).alias(c)
+                                 if isinstance(df.schema[c].dataType, T.StringType) and c != CORRUPT else F.col(c)
+                                 for c in df.columns]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def scan_condition(idc: str | Iterable[str] | None = None, pools: Iterable[tuple[str, str | None]] = (),

@@ -69,12 +69,53 @@ def test_text_inventories_are_read_by_name(spark, fmt):
         normalise_inventory(read_inventory(spark, _files(fmt, [ROW], [n for n in names if n != "mem_limit"]), fmt=fmt))
 
 
-def test_csv_files_must_agree_on_their_header(spark):
-    folder = _files("csv", [ROW], list(ROW))
-    with open(os.path.join(folder, "z.csv"), "w") as f:
-        f.write(",".join(reversed(list(ROW))) + "\n" + ",".join(reversed(list(ROW.values()))) + "\n")
-    with pytest.raises(Exception, match="header"):
-        read_inventory(spark, folder, fmt="csv").collect()
+def _csv(folder, name, records):
+    with open(os.path.join(folder, name), "w") as f:
+        f.write("\n" + ",".join(records[0]) + "\n" + "".join(",".join(r.values()) + "\n" for r in records))
+
+
+def test_csv_files_of_several_headers_are_one_table(spark):
+    folder = tempfile.mkdtemp(prefix="poolshift-inv-")
+    rows = [dict(ROW, psm=f"s{i}", cpu_limit=["40", "n/a", "7.5"][i % 3]) for i in range(9)]
+    _csv(folder, "a x.csv", rows[:3])
+    _csv(folder, "b.csv", [dict(reversed(r.items())) for r in rows[3:5]])
+    _csv(folder, "c.csv", [dict(r, save_cores="1", cluster_id="own", package="p") for r in rows[5:7]])
+    _csv(folder, "d[1].csv", rows[7:])
+    open(os.path.join(folder, "e.csv"), "w").close()
+    splits = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = normalise_inventory(read_inventory(spark, folder, fmt="csv")).orderBy("row_ord").collect()
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == splits
+    assert [r["psm"] for r in got] == [f"s{i}" for i in range(9)]
+    assert [r["cluster_id"] for r in got] == ["default"] * 5 + ["own"] * 2 + ["default"] * 2
+    assert [r["save_cores"] for r in got] == [30, None, -2.5, 30, None, 1, 1, None, -2.5]
+    assert [r["package"] for r in got] == [None] * 5 + ["p"] * 2 + [None] * 2
+    one = tempfile.mkdtemp(prefix="poolshift-inv-")
+    _csv(one, "one.csv", [dict(r, save_cores="1" if i in (5, 6) else str(float(r["cpu_limit"]) - 10) if i % 3 != 1 else "",
+                               cluster_id="own" if i in (5, 6) else "default", package="p" if i in (5, 6) else "")
+                          for i, r in enumerate(rows)])
+    whole = normalise_inventory(read_inventory(spark, one, fmt="csv")).orderBy("row_ord")
+    assert [tuple(r)[:-1] for r in got] == [tuple(r)[:-1] for r in whole.collect()]
+    kept = read_inventory(spark, folder, fmt="csv", where=F.col("cluster_id") == "own")
+    assert sorted(r["psm"] for r in kept.collect()) == ["s5", "s6"]
+
+
+def test_csv_file_without_a_required_column_of_the_others_is_refused(spark):
+    folder = tempfile.mkdtemp(prefix="poolshift-inv-")
+    _csv(folder, "a.csv", [ROW])
+    _csv(folder, "b.csv", [{k: v for k, v in ROW.items() if k != "mem_limit"}])
+    with pytest.raises(ValueError, match="mem_limit"):
+        read_inventory(spark, folder, fmt="csv")
+
+
+def test_several_headers_below_partition_folders(spark):
+    folder = tempfile.mkdtemp(prefix="poolshift-inv-")
+    rest = {k: v for k, v in ROW.items() if k != "idc"}
+    for site, r in (("7", rest), ("8", dict(reversed(rest.items())))):
+        os.mkdir(os.path.join(folder, f"idc={site}"))
+        _csv(os.path.join(folder, f"idc={site}"), "x.csv", [r])
+    inv = read_inventory(spark, folder, fmt="csv", where=scan_condition("8"))
+    assert [(r["psm"], r["idc"]) for r in inv.collect()] == [("s1", "8")]
+    assert [r["idc"] for r in read_inventory(spark, folder, fmt="csv").orderBy("row_ord").collect()] == ["7", "8"]
 
 
 def formatted(spark, df):
