@@ -155,10 +155,15 @@ def one_line(c: str | Column) -> Column:
     return F.regexp_replace(col_(c).cast("string"), r"\r?\n", " ")
 
 
+def search_text(cols: Sequence[str]) -> Column:
+    """Lower-case text of a row that a search looks into."""
+    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit(""))
+                                      for c in cols]))
+
+
 def all_words_present(cols: Sequence[str], text: str) -> Column:
     """Every blank-separated word of ``text`` occurs somewhere in the row."""
-    hay = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit(""))
-                                     for c in cols]))
+    hay = search_text(cols)
     cond = F.lit(True)
     for word in text.lower().split():
         cond = cond & hay.contains(word)

@@ -24,6 +24,7 @@ from ..operators import migration as M1
 from ..operators import overlap as OV
 from ..operators import results as R
 from ..operators import scaling as M2
+from ..operators import search as SE
 from ..session import scratch_path
 from ..sinks import report as K
 from ..sources.inventory import (INVENTORY_COLUMNS, inventory, normalise_inventory,
@@ -378,6 +379,17 @@ def q_read_inventory_json(spark, sf_dir):
     return _read_export(spark, sf_dir, "json", REORDERED).select(*REORDERED, "cluster_id", "save_cores", "host_type")
 
 
+def q_read_inventory_mixed(spark, sf_dir):
+    """A folder of CSV exports with three different headers, read as one table."""
+    raw, path = raw_inventory(spark, sf_dir), scratch_path(spark, "inventory-mixed")
+    line = F.floor(F.col("row_ord") / 1000) % 10
+    every = [c for c in INVENTORY_COLUMNS if c != "row_ord"]
+    for columns, own in ((REORDERED, line <= 2), (every, line.isin(3, 4)),
+                         ([c for c in reversed(every) if c != "dept_level2"], line >= 5)):
+        K.write_table(raw.filter(own).select(*columns), path, "csv", mode="append")
+    return normalise_inventory(read_inventory(spark, path, fmt="csv")).drop("row_ord")
+
+
 def q_normalised_inventory(spark, sf_dir):
     return inventory(spark, sf_dir)
 
@@ -386,6 +398,22 @@ def q_search_rows(spark, sf_dir):
     return FL.search_rows(_migration(spark, sf_dir).detail, SEARCH_TEXT)
 
 
+def q_search_indexed(spark, sf_dir):
+    """The same rows by the trigram index of the written detail rows."""
+    detail = _migration(spark, sf_dir).detail
+    path = scratch_path(spark, "search")
+    SE.write_search_table(detail, path, ["psm", "pool_identifier"], block_rows=256)
+    return SE.search_table(spark, path, SEARCH_TEXT).drop(SE.RANK)
+
+
+def q_search_inventory(spark, sf_dir):
+    """One service looked up by its name's letters in the whole inventory."""
+    rows = inventory(spark, sf_dir).select("row_ord", "psm", "cluster_id", "idc", "physical_cluster", "iaas_cluster")
+    path = scratch_path(spark, "search")
+    SE.write_search_table(rows, path, ["psm"], ["psm", "cluster_id", "idc"], tiebreak="row_ord", block_rows=1024)
+    return SE.search_table(spark, path, "SVC.77 build").drop(SE.RANK)
+
+
 def q_page_rows(spark, sf_dir):
     rows = _pool_rows(spark, sf_dir).select("row_ord", "psm", "cluster_id", "cpu_limit")
     return R.page_rows(rows, ["cpu_limit"], page=PAGE, size=PAGE_SIZE, descending=True,

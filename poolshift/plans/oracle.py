@@ -516,6 +516,16 @@ ORACLE: dict[str, str] = {
         ], lambda x: x IS NOT NULL) AS e FROM citems)""") + """SELECT request_id, array_to_string(e, '; ') AS errors,
         len(e) = 0 AS valid FROM cerrors""",
     "normalised_inventory": _with() + "SELECT * FROM ninv",
+    "read_inventory_mixed": _with() + """SELECT psm, idc, cluster_name, CASE WHEN ln <= 2 THEN cluster_name ELSE cluster_id END AS cluster_id,
+        NULLIF(package, '') AS package, physical_cluster, iaas_cluster, instance_num, cpu_limit, cpu_request, mem_limit,
+        CASE WHEN ln <= 2 THEN cpu_limit - cpu_request ELSE save_cores END AS save_cores,
+        CASE WHEN ln > 2 THEN NULLIF(cpu_util_max_1days, '') END AS cpu_util_max_1days,
+        CASE WHEN ln > 2 THEN cpu_util_max_7days END AS cpu_util_max_7days, mem_util_max_7days,
+        CASE WHEN ln > 2 THEN dept_level1 END AS dept_level1, CASE WHEN ln IN (3, 4) THEN dept_level2 END AS dept_level2,
+        CASE WHEN ln > 2 THEN host_type END AS host_type FROM (SELECT *, row_ord // 1000 % 10 AS ln FROM ninv)""",
+    "search_inventory": _with() + """SELECT row_ord, psm, cluster_id, idc, physical_cluster, iaas_cluster FROM ninv
+        WHERE contains(lower(coalesce(psm, '') || ' ' || coalesce(cluster_id, '') || ' ' || coalesce(idc, '')), 'svc.77')
+        AND contains(lower(coalesce(psm, '') || ' ' || coalesce(cluster_id, '') || ' ' || coalesce(idc, '')), 'build')""",
     "search_rows": MIG + f"""SELECT * FROM (SELECT {DETAIL_SELECT} FROM matched) d
         WHERE contains(lower(concat_ws(' ', coalesce(psm, ''), coalesce(pool_identifier, ''), coalesce(package, ''),
           coalesce(physical_cluster, ''), coalesce(iaas_cluster, ''), coalesce(CAST(instance_num AS STRING), ''),
@@ -571,3 +581,4 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'total_clusters', CAST(count(*) AS STRING) FROM rec
         UNION ALL SELECT 'clusters_over_10', CAST(count(*) FILTER (WHERE save_cores > 10) AS STRING) FROM rec""",
 }
+ORACLE["search_indexed"] = ORACLE["search_rows"]
