@@ -3,9 +3,9 @@
 Base spans come from four fixed patterns (email, ip, card, phone; see
 ``base_spans``) and always stay. Further candidates (phone numbers without a
 plus, numbers in groups, addresses written out as "name at host dot org",
-id numbers, names after a title or beside a contact word) are put to
-labelers: format rules, gazetteers of titles, hosts and given names, and
-context words around the candidate. Each labeler votes for, against or not
+id numbers, names after a title or a contact word, long keys with digits
+after a colon or an equals sign) are put to labelers: format rules, gazetteers of hosts,
+given names and words for secrets, and context words around the candidate. Each labeler votes for, against or not
 at all. Expectation-maximisation over the counts of vote patterns of the
 whole corpus estimates how reliable each labeler is; the posterior
 probabilities then train a logistic span classifier on votes and shape, and
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .text import as_text
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = ("address", "iban", "name", "number", "ssn")
+KINDS = ("address", "iban", "name", "number", "secret", "ssn")
 ACCEPT = 0.9
 EM_ROUNDS = 60
 PRIOR = 0.3
@@ -51,18 +52,23 @@ _NON_DIGIT = re.compile(r"[^0-9]")
 TITLES = ("mr", "mrs", "ms", "dr", "prof", "herr", "frau", "monsieur", "madame", "senor", "senora")
 GIVEN = frozenset("james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph "
                   "jessica thomas sarah charles karen anna peter maria paul laura hans klaus jean pierre marie juan carmen".split())
+CONTACTS = ("contact", "name", "call", "mail", "reach", "born", "signed")
+SECRETS = re.compile(r"(?i)(?:token|secret|passwd|password|key|auth|credential|bearer)\W*$")
 ANNOUNCE = re.compile(r"(?i)\b(?:phone|tel|call|mobile|fax|contact|mail|reach|ssn|social security|iban|account|name|born|passport|id)\b")
 AGAINST = re.compile(r"(?i)\b(?:version|isbn|issn|page|chapter|figure|table|section|order|item|price|total|year|copyright|license)\b")
 HOSTS = re.compile(r"(?i)\b(?:com|org|net|edu|gov|io|de|fr|es|uk)$")
 
+_NAME = "[A-Z][a-z]{1,30}"
+# A pattern with groups gives the group's span, the rest is context.
 _CANDIDATES = {
     "address": re.compile(r"(?i)\b[a-z0-9][a-z0-9._-]{0,63}\s?(?:\(at\)|\[at\]|\bat\b)\s?[a-z0-9-]{1,63}\s?(?:\(dot\)|\[dot\]|\bdot\b)\s?[a-z]{2,6}\b"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    "name": re.compile(r"\b(?i:" + "|".join(TITLES) + r")\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?\b"),
+    "name": re.compile(rf"\b(?:(?i:{'|'.join(CONTACTS)}):? ({_NAME} {_NAME})|(?i:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?)\b"),
     "number": re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    "secret": re.compile(r"[:=]\s?[\"']?((?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9][A-Za-z0-9+/_=-]{15,}+)"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
-_NEEDS = {"address": ("at", "dot"), "iban": (), "name": (), "number": (), "ssn": ("-",)}
+_NEEDS = {"address": ("at", "dot"), "iban": (), "name": (), "number": (), "secret": (), "ssn": ("-",)}
 
 
 def luhn(digits: str) -> bool:
@@ -108,6 +114,8 @@ def _by_format(kind, span, before, after):
         return -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" else 1
     if kind == "number":
         return 1 if digits[0] not in "01" and digits[3] not in "01" else -1
+    if kind == "secret":
+        return 1 if any(map(str.isalpha, span)) and len(set(span)) >= 8 else -1
     return 1 if kind == "address" and ("(" in span or "[" in span) else 0
 
 
@@ -115,7 +123,10 @@ def _by_gazetteer(kind, span, before, after):
     if kind == "address":
         return 1 if HOSTS.search(span) else -1
     if kind == "name":
-        return 1 if {w.lower() for w in span.split()[1:]} & GIVEN else 0
+        words = [w.lower().rstrip(".") for w in span.split()]
+        return 1 if GIVEN.intersection(words) else 0 if words[0] in TITLES else -1
+    if kind == "secret":
+        return 1 if SECRETS.search(before) else 0
     return 0
 
 
@@ -129,6 +140,8 @@ def _by_counter_words(kind, span, before, after):
 
 def _by_surroundings(kind, span, before, after):
     """Many digits around speak for a table of figures; plain words on both sides speak for a mention."""
+    if kind == "secret":
+        return 0
     near = before[-15:] + after[:15]
     return -1 if sum(map(str.isdigit, near)) > 8 else 1 if near and sum(map(str.isalpha, near)) > 0.7 * len(near) else 0
 
@@ -155,9 +168,9 @@ def candidates(text: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
             if not all(x in low for x in _NEEDS[kind]):
                 continue
         for m in _CANDIDATES[kind].finditer(text):
-            a, b = m.span()
-            before, after = text[max(0, a - CONTEXT):a], text[b:b + CONTEXT]
-            out.append((kind, a, b, (n, *(f(kind, m[0], before, after) for f in LABELERS), *_shape(m[0]))))
+            a, b = m.span(m.lastindex or 0)
+            span, before, after = text[a:b], text[max(0, a - CONTEXT):a], text[b:b + CONTEXT]
+            out.append((kind, a, b, (n, *(f(kind, span, before, after) for f in LABELERS), *_shape(span))))
     return out
 
 
@@ -222,15 +235,36 @@ def _design(patterns: np.ndarray) -> np.ndarray:
 def all_spans(text: str, accepted: dict) -> tuple[list, list]:
     """Base spans, and base plus accepted spans: base kinds as listed, then the added kinds by name, each by start."""
     base = base_spans(text)
-    taken = [(a, b) for _, a, b in base]
-    added = []
-    for kind, a, b, pattern in candidates(text):
-        if accepted.get(pattern) and not any(a < y and x < b for x, y in taken):
+    wanted = [c for c in candidates(text) if accepted.get(c[3])]
+    taken, added = _Taken(base), []
+    for kind, a, b, _ in wanted:
+        if taken.take(a, b):
             added.append((kind, a, b))
-            taken.append((a, b))
     return base, base + added
 
 
+class _Taken:
+    """Parts of a text that are taken: ascending, none overlapping another."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def take(self, a: int, b: int) -> bool:
+        """Takes a to b if no part of it is taken."""
+        i = bisect_right(self.starts, a)
+        if i and self.ends[i - 1] > a or i < len(self.starts) and self.starts[i] < b:
+            return False
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+        return True
+
+
 def _joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 

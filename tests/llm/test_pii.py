@@ -84,3 +84,44 @@ def test_em_finds_the_reliable_labeler(right):
     posterior, yes, no = P.reliabilities(votes, np.ones(4000))
     assert ((posterior > 0.5) == truth).mean() > 0.88
     assert abs(yes[2] - right) < 0.07 and abs(no[2] - right) < 0.07
+
+
+def test_names_beside_contact_words_and_secrets_are_candidates():
+    text = 'contact John Smith, Name: Anna Peter; token = "04dbebab91ab85687d33eeaaf9ac699e" key: short Dr. Paul see http://a1/bbbbbbbbbbbbbbbbbbb1'
+    found = [(k, text[a:b], p) for k, a, b, p in P.candidates(text)]
+    assert [f[:2] for f in found] == [("name", "John Smith"), ("name", "Anna Peter"), ("name", "Dr. Paul"),
+                                      ("secret", "04dbebab91ab85687d33eeaaf9ac699e")]
+    assert all(f[2][2] == 1 for f in found)  # the gazetteers speak for each
+    assert [p[1:3] for *_, p in P.candidates("figure: 1111-2222-3333-4444-5")] == [(-1, 0)]
+    assert P.candidates("figure: " + "abcdefgh" * 4) == []
+
+
+def test_secrets_are_redacted(make_docs):
+    docs = make_docs([(i, f'words token = "{i:02d}dbebab91ab85687d33eeaaf9ac699e1188f962" more') for i in range(20)]
+                     + [(50 + i, f"ratio: {'abcdefgh' * 4} plain") for i in range(20)])
+    kept = {r["doc_id"]: r["text"] for r in P.redact_documents(docs).collect()}
+    assert all(kept[i] == 'words token = "[secret]" more' for i in range(20))
+    assert all(kept[50 + i] == f"ratio: {'abcdefgh' * 4} plain" for i in range(20))
+
+
+def test_added_spans_equal_a_plain_check_of_all_pairs():
+    rnd = random.Random(9)
+    parts = ["Dr. Paul Jones", "call Anna Peter", "token=abcdef1234567890abcd", "415-555-2368", "123-45-6789", "a.b@c.de", "+1 415 555 2368",
+             "1.2.3.4", "joe at host dot com", "4111 1111 1111 1111", "id:a.b@c.de12345678901234567"]
+    for _ in range(300):
+        text = rnd.choice(["", " ", ", "]).join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+        every = {p: True for *_, p in P.candidates(text)}
+        want, base = [], P.base_spans(text)
+        for k, a, b, _ in P.candidates(text):
+            if not any(a < y and x < b for _, x, y in base + want):
+                want.append((k, a, b))
+        assert P.all_spans(text, every) == (base, base + want)
+
+
+def test_many_spans_stay_fast():
+    import time
+    text = " ".join(f"Dr. Paul Jones 415-555-{i % 9000 + 1000} a{i}@c.de" for i in range(20_000))
+    every = {p: True for *_, p in P.candidates(text)}
+    start = time.perf_counter()
+    assert len(P.all_spans(text, every)[1]) == 60_000
+    assert time.perf_counter() - start < 10
