@@ -76,19 +76,24 @@ def tile(item: np.ndarray, doc: np.ndarray, min_match: int = MIN_MATCH) -> list[
     while length >= min_match:
         marked = False
         for i, j in _equal_runs(item, doc, free_item, free_doc, length):
-            if free_item[i:i + length].all() and free_doc[j:j + length].all():
-                free_item[i:i + length] = False
-                free_doc[j:j + length] = False
-                tiles.append((int(i), int(j), length))
-                marked = True
+            free_item[i:i + length] = False
+            free_doc[j:j + length] = False
+            tiles.append((i, j, length))
+            marked = True
         length = _longest(item, doc, free_item, free_doc, length if marked else length - 1)
     return tiles
 
 
 def _equal_runs(item, doc, free_item, free_doc, length):
-    """Pairs (i, j) of unmarked equal runs, in order of i, then j."""
+    """Pairs (i, j) of unmarked equal runs, in order of i, then j, found as
+    they are asked for. Runs that the caller marks meanwhile are left out:
+    each i is paired at most once if it is, and starts in the document that
+    are no longer free are passed over once for all."""
     def runs(seq, free):
-        whole = np.flatnonzero(np.convolve(free, np.ones(length, np.int64), "valid") == length) if len(seq) >= length else np.empty(0, int)
+        if len(seq) < length:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        before = np.concatenate([[0], np.cumsum(free)])
+        whole = np.flatnonzero(before[length:] - before[:-length] == length)
         return whole, window_hashes(seq, length)[whole] if len(whole) else np.empty(0, np.uint64)
 
     at_i, h_i = runs(item, free_item)
@@ -97,8 +102,17 @@ def _equal_runs(item, doc, free_item, free_doc, length):
     places = defaultdict(list)
     for j, h in zip(at_j[near].tolist(), h_j[near].tolist(), strict=True):
         places[h].append(j)
-    return [(i, j) for i, h in zip(at_i.tolist(), h_i.tolist(), strict=True) for j in places.get(h, ())
-            if np.array_equal(item[i:i + length], doc[j:j + length])]
+    first = dict.fromkeys(places, 0)
+    for i, h in zip(at_i.tolist(), h_i.tolist(), strict=True):
+        starts = places.get(h, ())
+        while starts and first[h] < len(starts) and not free_doc[starts[first[h]]:starts[first[h]] + length].all():
+            first[h] += 1
+        for n in range(first.get(h, 0), len(starts)):
+            j = starts[n]
+            if not free_item[i:i + length].all():
+                break
+            if free_doc[j:j + length].all() and np.array_equal(item[i:i + length], doc[j:j + length]):
+                yield i, j
 
 
 def _longest(item, doc, free_item, free_doc, most: int) -> int:
@@ -106,7 +120,7 @@ def _longest(item, doc, free_item, free_doc, most: int) -> int:
     low, high = 0, most
     while low < high:
         mid = (low + high + 1) // 2
-        if _equal_runs(item, doc, free_item, free_doc, mid):
+        if next(_equal_runs(item, doc, free_item, free_doc, mid), None):
             low = mid
         else:
             high = mid - 1

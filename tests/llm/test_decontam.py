@@ -19,6 +19,15 @@ def test_tiling_equals_the_definition():
             assert a[i:i + n] == b[j:j + n]
 
 
+def test_repetitive_texts_stay_fast():
+    import time
+    item, doc = np.array([1, 2] * 15, np.uint64), np.array([1, 2] * 100_000, np.uint64)
+    start = time.perf_counter()
+    assert D.tile(item, doc, 3) == [(0, 0, 30)]
+    assert sum(t[2] for t in D.tile(np.array([1, 2, 3] * 20, np.uint64), doc, 2)) == 40
+    assert time.perf_counter() - start < 5
+
+
 def corpus():
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("abcdefghijk") for _ in range(4))
