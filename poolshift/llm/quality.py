@@ -135,8 +135,9 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: i
 def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     stats = written(document_statistics(docs), "quality-stats")
-    rows = (stats.dropDuplicates(["doc_id"]).join(training_ids(labels, "quality", FOLDS, FOLD, per_class), "doc_id")
-            .orderBy("doc_id").toPandas())
+    # of an id's texts the least statistics count, whatever the order of rows
+    rows = (stats.join(training_ids(labels, "quality", FOLDS, FOLD, per_class), "doc_id")
+            .groupBy("doc_id", "label", "weight").agg(F.min("stats").alias("stats")).orderBy("doc_id").toPandas())
     x = np.array(rows["stats"].tolist(), float).reshape(len(rows), len(STATS))
     forest = fit(x, rows["label"].to_numpy(float), rows["weight"].to_numpy(float))
 

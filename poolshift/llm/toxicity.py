@@ -287,7 +287,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Sco
                                              ["doc_id", "hits", "label", "weight"])
 
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-            .mapInArrow(lean(run), "doc_id long, hits array<double>, label int, weight double").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas())
+            .mapInArrow(lean(run), "doc_id long, hits array<double>, label int, weight double")
+            # of an id's texts the least counts, whatever the order of rows
+            .groupBy("doc_id", "label", "weight").agg(F.min("hits").alias("hits")).orderBy("doc_id").toPandas())
     x = np.array(rows["hits"].tolist(), float).reshape(len(rows), len(FEATURES))
     return Scorer(lexicon, fit_weights(x, rows["label"].to_numpy(float), rows["weight"].to_numpy(float)))
 

@@ -69,3 +69,10 @@ def test_a_smaller_sample_keeps_the_class_mix(make_docs, make_labels):
     assert len(rows) == 120 and len({r["weight"] for r in rows}) == 2
     mean = [np.mean([r["score"] for r in Q.score_quality(make_docs(docs), labels, per_class=n).collect()]) for n in (60, 10_000)]
     assert abs(mean[0] - mean[1]) < 0.08 and mean[1] > 0.8
+
+
+def test_fit_does_not_depend_on_the_order_of_repeated_ids(make_docs, make_labels):
+    rows = [(i % 40, ("good words in a row. " if i % 3 else "x1 x2 !!! ") * (i % 7 + 1)) for i in range(120)]
+    labels = make_labels([(i, int(i % 3 > 0), 0) for i in range(40)])
+    one, other = (sorted(map(tuple, Q.score_quality(make_docs(r), labels).collect())) for r in (rows, rows[::-1]))
+    assert one == other
