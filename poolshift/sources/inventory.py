@@ -345,7 +345,7 @@ def _not_blank(c: str, na_values: Iterable[str]) -> Column:
 def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet",
                    na_values: tuple[str, ...] = ("",), header: bool = True,
                    multiline: bool = False, mode: str = "PERMISSIVE",
-                   where: Column | None = None) -> DataFrame:
+                   where: Column | None = None, dense: bool = False) -> DataFrame:
     """Read an inventory export by column name, all text, and attach file order.
 
     CSV columns are found by the header (``header=False`` takes them in the
@@ -359,7 +359,10 @@ def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet",
 
     ``row_ord`` is a struct ``(file, position)``: for Parquet the position is
     the row index inside the file (``_metadata.row_index``); for other formats
-    it is the scan's increasing id, which grows with the position in a file.
+    it is the scan's increasing id, which grows with the position in a file,
+    or with ``dense`` the row's number among those of its file that pass
+    ``where`` (from 0, blank lines aside), however the file is split (see
+    :func:`_numbered`; the files are read twice).
     ``where`` (site and pool tests, see :func:`scan_condition`) is applied to
     the raw columns below that id: it prunes partitions and reaches readers
     that take filters, for every format. Text equal to one of ``na_values``
@@ -385,14 +388,35 @@ def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet",
             df = _completed(df, every, na_values)
         if where is not None:
             df = df.filter(where)
-        pos = F.col("_metadata.row_index") if fmt == "parquet" else F.monotonically_increasing_id()
-        df = df.withColumn("row_ord", F.struct(F.col("_metadata.file_path").alias("file"), pos.alias("pos")))
+        if dense and fmt != "parquet":
+            df = _numbered(df)
+        else:
+            pos = F.col("_metadata.row_index") if fmt == "parquet" else F.monotonically_increasing_id()
+            df = df.withColumn("row_ord", F.struct(F.col("_metadata.file_path").alias("file"), pos.alias("pos")))
         parts.append(df.select(*[_not_blank(c, na_values).alias(c)
                                  if isinstance(df.schema[c].dataType, T.StringType) and c != CORRUPT else F.col(c)
                                  for c in df.columns]))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """A scan with ``row_ord`` = (file, row number in it), in two passes: rows
+    are counted by split, a split's rows begin after those of the splits
+    before it in its file, and a row's place in its split is its distance from
+    the split's first increasing id. Both passes plan the same splits; the
+    window runs over the splits of one file, never over rows."""
+    taken = set(df.columns)
+    file, start, at, first, before = (c if c not in taken else f"{c}__" for c in ("_file", "_start", "_id", "_first", "_before"))
+    rows = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.file_block_start").alias(start),
+                     F.monotonically_increasing_id().alias(at))
+    earlier = Window.partitionBy(file).orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
+    splits = (rows.groupBy(file, start).agg(F.min(at).alias(first), F.count(F.lit(1)).alias("_n"))
+              .select(file, start, first, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(before)))
+    pos = (F.col(before) + F.col(at) - F.col(first)).cast("bigint")
+    return (rows.join(splits, [file, start])
+            .select(*df.columns, F.struct(F.col(file).alias("file"), pos.alias("pos")).alias("row_ord")))
+
+
 def scan_condition(idc: str | Iterable[str] | None = None, pools: Iterable[tuple[str, str | None]] = (),
                    default_only: bool = False) -> Column:
     """Test on raw inventory columns for :func:`read_inventory`'s ``where``:

@@ -118,6 +118,33 @@ def test_several_headers_below_partition_folders(spark):
     assert [r["idc"] for r in read_inventory(spark, folder, fmt="csv").orderBy("row_ord").collect()] == ["7", "8"]
 
 
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_dense_positions_do_not_depend_on_the_splits(spark, fmt):
+    folder = tempfile.mkdtemp(prefix="poolshift-inv-")
+    for name, n in (("a", 3000), ("b", 1), ("c", 700)):
+        rows = [dict(ROW, psm=f"{name}{i}", idc="ST"[i % 2], package="p" * (i % 50)) for i in range(n)]
+        if fmt == "csv":
+            _csv(folder, f"{name}.csv", rows if name != "c" else [dict(reversed(r.items())) for r in rows])
+        else:
+            with open(os.path.join(folder, f"{name}.json"), "w") as f:
+                f.writelines(json.dumps(r) + "\n" for r in rows)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before, got = {k: spark.conf.get(k) for k in keys}, []
+    try:
+        for split in (1 << 27, 5000):
+            for k in keys:
+                spark.conf.set(k, str(split))
+            whole = read_inventory(spark, folder, fmt=fmt, dense=True)
+            part = read_inventory(spark, folder, fmt=fmt, dense=True, where=scan_condition("T"))
+            got.append([sorted((r["row_ord"]["file"], r["row_ord"]["pos"], r["psm"]) for r in x.collect()) for x in (whole, part)])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got[0] == got[1]
+    assert [(p, s) for _, p, s in got[0][0]] == [(i, f"{x}{i}") for x, n in (("a", 3000), ("b", 1), ("c", 700)) for i in range(n)]
+    assert [(p, s) for _, p, s in got[0][1]] == [(i, f"{x}{2 * i + 1}") for x, n in (("a", 1500), ("c", 350)) for i in range(n)]
+
+
 def formatted(spark, df):
     """The entries of the scan in the formatted plan."""
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
