@@ -96,6 +96,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+# AQE's first number of shuffle partitions; it joins small ones again.
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+# Rows that a task of a shuffle should hold at most, about 100 MB of wide rows.
+ROWS_PER_SHUFFLE_TASK = 200_000
+
+
+def shuffle_tasks(spark: SparkSession) -> int:
+    """Tasks that a shuffle of this session is dealt to."""
+    fixed = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(fixed, int(spark.conf.get(INITIAL_PARTITIONS, None) or 0))
+
+
+def size_shuffles(spark: SparkSession, rows: int) -> None:
+    """Let the session's shuffles begin with as many partitions as ``rows``
+    input rows need, so that what a task holds does not grow with the input.
+    Only ever raises the number; AQE joins partitions that turn out small."""
+    wanted = -(-rows // ROWS_PER_SHUFFLE_TASK)
+    if wanted > shuffle_tasks(spark):
+        spark.conf.set(INITIAL_PARTITIONS, str(wanted))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     scratch_root(df.sparkSession)

@@ -70,14 +70,15 @@ def inventory_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     iaas cluster and the line status the cluster name. Some measures are
     written as untidy text on purpose so that coercion has work to do.
 
-    Join order: the supplier->nation->region chain and the orders->customer
-    pair are joined first, so site and pool filters shrink those sides
-    before they meet lineitem; the small dimensions are broadcast by the
-    planner under its size threshold.
+    Join order: orders (with their customers) meet lineitem first, dealt by
+    order key once for the place in the line and for this join; suppliers are
+    broadcast by the planner under its size threshold, on their own size, and
+    the nations with their regions (a fixed few) always; parts come last, so
+    their long texts are in no shuffle of lines.
 
     ``row_ord`` is a bigint at every scale factor.
     """
-    li = read_table(spark, sf_dir, "lineitem").withColumn("row_ord", _row_ord())
+    li = read_table(spark, sf_dir, "lineitem").repartition("l_orderkey").withColumn("row_ord", _row_ord())
     part = read_table(spark, sf_dir, "part")
     supp = read_table(spark, sf_dir, "supplier")
     nation = read_table(spark, sf_dir, "nation")
@@ -85,12 +86,10 @@ def inventory_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders")
     cust = read_table(spark, sf_dir, "customer")
 
-    supp_geo = (supp.select("s_suppkey", "s_nationkey")
-                .join(nation.select("n_nationkey", "n_regionkey"),
-                      F.col("s_nationkey") == F.col("n_nationkey"))
-                .join(region.select("r_regionkey", "r_name"),
-                      F.col("n_regionkey") == F.col("r_regionkey"))
-                .select("s_suppkey", "r_name"))
+    geo = (nation.select("n_nationkey", "n_regionkey")
+           .join(F.broadcast(region.select("r_regionkey", "r_name")),
+                 F.col("n_regionkey") == F.col("r_regionkey"))
+           .select("n_nationkey", "r_name"))
     order_cust = (orders.select("o_orderkey", "o_custkey", "o_orderpriority")
                   .join(cust.select("c_custkey", "c_mktsegment"),
                         F.col("o_custkey") == F.col("c_custkey"))
@@ -99,9 +98,10 @@ def inventory_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     ln = F.col("l_linenumber")
     qty = F.col("l_quantity")
     qty_text = qty.cast("string")
-    j = (li.join(part, F.col("l_partkey") == F.col("p_partkey"))
-         .join(supp_geo, F.col("l_suppkey") == F.col("s_suppkey"))
-         .join(order_cust, F.col("l_orderkey") == F.col("o_orderkey")))
+    j = (li.join(order_cust, F.col("l_orderkey") == F.col("o_orderkey"))
+         .join(supp.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+         .join(F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"))
+         .join(part, F.col("l_partkey") == F.col("p_partkey")))
     return j.select(
         F.concat(F.lit("svc."), F.col("p_partkey").cast("string")).alias("psm"),
         F.col("c_mktsegment").alias("idc"),
@@ -203,18 +203,34 @@ def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
 
 LAYOUT = ["idc", "physical_cluster", "iaas_cluster", "row_ord"]
 
+# While an inventory is written: shuffled bytes that AQE gives a task, whose
+# rows become wide and are sorted (some 300,000 of the fixture).
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+WRITE_TASK_BYTES = 16 << 20
+
+
+def _size(text: str) -> int:
+    """Bytes of a size setting (``64MB``, ``8m``, ``1024``)."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", text.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 
 def write_inventory(df: DataFrame, path: str) -> None:
     """Write a raw inventory as Parquet partitioned by site.
 
-    ``rebalance`` by (site, physical cluster): rows of one pool go to the
-    same tasks, so a task writes files of one or two sites instead of one
-    file per site per task; AQE splits the partitions of a hot pool and
-    merges small ones (no sampling pass, unlike a range repartition). Files
-    are sorted by pool so row-group statistics skip other pools.
+    Rows are not shuffled for it: every task writes its rows as one file a
+    site, sorted by pool, so that statistics of row groups and pages skip
+    other pools.
     """
-    (df.hint("rebalance", "idc", "physical_cluster").sortWithinPartitions(*LAYOUT)
-     .write.mode("overwrite").partitionBy("idc").parquet(path))
+    spark = df.sparkSession
+    before = spark.conf.get(ADVISORY)
+    try:
+        spark.conf.set(ADVISORY, str(min(_size(before), WRITE_TASK_BYTES)))
+        (df.sortWithinPartitions(*LAYOUT)
+         .write.mode("overwrite").partitionBy("idc").parquet(path))
+    finally:
+        spark.conf.set(ADVISORY, before)
 
 
 def read_written_inventory(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -233,10 +249,11 @@ def raw_inventory(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     """
     if not materialize:
         return inventory_from_tables(spark, sf_dir)
-    from ..session import app_id, scratch_path
+    from ..session import app_id, scratch_path, size_shuffles
     key = (app_id(spark), sf_dir.rstrip('/'), _stamp(spark, sf_dir))
     found = _WRITTEN.get(key)
     if found is None:  # the write either completed or raised
+        size_shuffles(spark, read_table(spark, sf_dir, "lineitem").count())
         df = inventory_from_tables(spark, sf_dir)
         found = (scratch_path(spark, "inventory"), df.schema)
         write_inventory(df, found[0])

@@ -96,3 +96,25 @@ def test_hot_service_rows_spread_over_tasks(spark):
                  .select(F.spark_partition_id().alias("p")).distinct().count())
     assert joined.count() == 3000
     assert hot_parts > 1
+
+
+def test_derivation_deals_lines_by_order_key_once(spark):
+    from poolshift.sources.inventory import inventory_from_tables
+    p = plan(inventory_from_tables(spark, SF))
+    dealt = [s for s in p.splitlines() if s.startswith("Arguments: hashpartitioning(l_")]
+    # once for the place in the line and the join with orders (parts and suppliers of this size are broadcast)
+    assert len(dealt) == 1 and dealt[0].startswith("Arguments: hashpartitioning(l_orderkey#") and "l_linenumber" not in dealt[0]
+
+
+def test_shuffles_begin_with_the_partitions_that_the_rows_need(spark):
+    from poolshift.session import INITIAL_PARTITIONS, ROWS_PER_SHUFFLE_TASK, shuffle_tasks, size_shuffles
+    fixed = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size_shuffles(spark, fixed * ROWS_PER_SHUFFLE_TASK)
+        assert shuffle_tasks(spark) == fixed and spark.conf.get(INITIAL_PARTITIONS, None) is None
+        size_shuffles(spark, 50 * ROWS_PER_SHUFFLE_TASK + 1)
+        assert shuffle_tasks(spark) == 51
+        size_shuffles(spark, 1)  # never lowered
+        assert shuffle_tasks(spark) == 51
+    finally:
+        spark.conf.unset(INITIAL_PARTITIONS)
