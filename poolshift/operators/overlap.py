@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import NULL_PART, normal_pool, split_pool
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffle_tasks
 from .batch import listed, once, pool_parts, request_classes
 from .filters import filter_default
 
@@ -26,8 +26,7 @@ def dense_ids(values: DataFrame, column: str) -> DataFrame:
     Ranges of values are counted apart and the counts added up, so no task
     sees more than its range.
     """
-    spark = values.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = shuffle_tasks(values.sparkSession)
     ranged = cut_lineage(values.select(column).where(F.col(column).isNotNull()).distinct()
                          .repartitionByRange(tasks, column).withColumn("_range", F.spark_partition_id()))
     front = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import one_decimal, short_number
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffle_tasks
 
 # Row groups of a table written for paging: small, as a page reads whole ones.
 PAGE_GROUP_BYTES = 8 << 20
@@ -34,30 +34,34 @@ def ranked_rows(df: DataFrame, order_by: list[str], descending: bool = False,
                 tiebreak: str | None = None, rank: str = "page_rank") -> DataFrame:
     """``df`` with each row's place in the total order (from 0).
 
-    Order statistics: rows are dealt by ranges of the order, the ranges are
-    counted, and a row's place is the rows of the ranges before its own plus
-    its place inside, so no task sees more than its range. Rows that are
+    Order statistics: rows are dealt by ranges of the order and sorted in
+    them, the ranges are counted, and a row's place is the rows of the ranges
+    before its own plus its place inside, so no task sees more than its range
+    and rows are shuffled once. The result is in rank order inside each range,
+    and a range is a task's. Rows that are
     equal in the whole order are placed among each other in any way; without
     a unique ``tiebreak`` they should be few, as they share a range.
     """
     spark = df.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _total_order(order_by, descending, tiebreak)
-    ranged = cut_lineage(df.repartitionByRange(tasks, *keys).withColumn("_range", F.spark_partition_id()))
+    # the increasing id holds the range above 33 bits, the place inside below
+    sorted_ranges = df.repartitionByRange(shuffle_tasks(spark), *keys).sortWithinPartitions(*keys)
+    ranged = cut_lineage(sorted_ranges.withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_range", F.shiftright("_at", 33))
     front = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # one row for a range
     before = (ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
               .select("_range", F.coalesce(F.sum("_rows").over(front), F.lit(0)).alias("_before")))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
-    return (ranged.join(before, "_range")
-            .withColumn(rank, (F.col("_before") + place - 1).cast("bigint")).drop("_range", "_before"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (ranged.join(F.broadcast(before), "_range")
+            .withColumn(rank, (F.col("_before") + place).cast("bigint")).drop("_at", "_range", "_before"))
 
 
 def write_pages(df: DataFrame, path: str, order_by: list[str], descending: bool = False,
                 tiebreak: str | None = None, rank: str = "page_rank") -> None:
     """Write ``df`` with its ranks, in rank order inside each file, so that a
     page is found by the statistics of files, row groups and their pages."""
-    (ranked_rows(df, order_by, descending, tiebreak, rank).sortWithinPartitions(rank)
+    (ranked_rows(df, order_by, descending, tiebreak, rank)
      .write.option("parquet.block.size", PAGE_GROUP_BYTES).parquet(path))
 
 

@@ -9,10 +9,13 @@ the text of their rows, so its answer is that of ``filters.search_rows`` for
 any text. Words under three letters have no trigram and narrow nothing; if
 there is no other word, every block is read.
 
-Both tables are written by Spark: a row's trigrams meet those of the other
-rows of its block before the shuffle, so what is shuffled is at most the
-distinct (trigram, block) pairs of each task, and a bitmap has a fixed size
-whatever the number of rows that hold a trigram.
+Both tables are written by Spark. Searched values are dealt by ranges of
+blocks, once; there the distinct values of a block are taken apart, and the
+distinct trigrams of a block become bitmaps, before anything is shuffled
+again. A range lies in one run of 32,768 blocks or two, so it sends a bitmap or
+two for each of its trigrams, of a fixed size whatever the number of rows.
+Words hold no blanks, so none goes from one column to the next: columns are
+taken apart by themselves, and trigrams with a blank are left out.
 """
 
 from __future__ import annotations
@@ -50,9 +53,13 @@ def write_search_table(df: DataFrame, path: str, order_by: list[str], columns: l
         raise ValueError(f"column {RANK} is the table's own")
     spark, columns = df.sparkSession, list(columns or df.columns)
     write_pages(df, f"{path}/rows", order_by, tiebreak=tiebreak, rank=RANK)
+    values = F.array_distinct(F.array(*[search_text([c]) for c in columns]))
     blocks = (spark.read.parquet(f"{path}/rows")
-              .select(F.floor(F.col(RANK) / block_rows).alias("block"), F.explode(grams(search_text(columns))).alias("gram"))
-              .groupBy("gram", "block").agg(F.lit(1).alias("_")))
+              .select(F.floor(F.col(RANK) / block_rows).alias("block"), values.alias("values"))
+              .repartitionByRange("block")
+              .select("block", F.explode("values").alias("value")).distinct()
+              .select("block", F.explode(grams(F.col("value"))).alias("gram"))
+              .filter(~F.col("gram").contains(" ")).distinct())
     number = F.col("block") + 1  # bitmaps count from 1
     (blocks.groupBy("gram", F.bitmap_bucket_number(number).alias("bucket"))
      .agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("blocks"))

@@ -68,3 +68,27 @@ def test_runs_hold_every_block():
     assert SE._runs(blocks) == [(0, 2), (9, 10), (40, 41), (90, 90)]
     assert SE._runs(blocks, 2) == [(0, 41), (90, 90)]
     assert SE._runs([5], 1) == [(5, 5)]
+
+
+def test_index_holds_no_trigram_across_columns(spark, table):
+    df, path = table
+    held = {r["gram"] for r in spark.read.parquet(f"{path}/grams").select("gram").distinct().collect()}
+    assert held and not [g for g in held if " " in g]
+    assert {"svc", "öße", ".12"} <= held
+
+
+def test_rows_are_ranked_by_one_shuffle(spark):
+    from poolshift.operators.results import write_pages
+    df = spark.range(5_000).select(((F.col("id") * 37) % 5_000).alias("row_ord"), (F.col("id") % 3).alias("x"))
+    path = scratch_path(spark, "t-ranks")
+    write_pages(df, path, ["x"], tiebreak="row_ord")
+    got = spark.read.parquet(path).orderBy("page_rank").collect()
+    assert [r["page_rank"] for r in got] == list(range(5_000))
+    assert [(r["x"], r["row_ord"]) for r in got] == sorted((r["x"], r["row_ord"]) for r in got)
+    from poolshift.operators.results import ranked_rows
+    import contextlib
+    import io
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        ranked_rows(df, ["x"], tiebreak="row_ord").explain()
+    assert "row_number" not in out.getvalue()
