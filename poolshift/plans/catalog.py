@@ -340,6 +340,9 @@ def q_candidate_batch(spark, sf_dir):
 
 
 _EXPORTS: dict[tuple, str] = {}
+# Exports are text, many times the table's size: written compressed, in files
+# that a task reads whole.
+EXPORT_FILES = {"compression": "gzip", "maxRecordsPerFile": "500000"}
 
 
 def _export(spark, sf_dir, fmt: str, columns: list[str]) -> str:
@@ -350,7 +353,7 @@ def _export(spark, sf_dir, fmt: str, columns: list[str]) -> str:
     key = (app_id(spark), fmt, *columns, _stamp(spark, sf_dir))
     if key not in _EXPORTS:
         path = scratch_path(spark, f"inventory-{fmt}")
-        K.write_table(raw_inventory(spark, sf_dir).select(*columns), path, fmt)
+        K.write_table(raw_inventory(spark, sf_dir).select(*columns), path, fmt, options=EXPORT_FILES)
         _EXPORTS[key] = path
     return _EXPORTS[key]
 
@@ -386,7 +389,7 @@ def q_read_inventory_mixed(spark, sf_dir):
     every = [c for c in INVENTORY_COLUMNS if c != "row_ord"]
     for columns, own in ((REORDERED, line <= 2), (every, line.isin(3, 4)),
                          ([c for c in reversed(every) if c != "dept_level2"], line >= 5)):
-        K.write_table(raw.filter(own).select(*columns), path, "csv", mode="append")
+        K.write_table(raw.filter(own).select(*columns), path, "csv", mode="append", options=EXPORT_FILES)
     return normalise_inventory(read_inventory(spark, path, fmt="csv")).drop("row_ord")
 
 

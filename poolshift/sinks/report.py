@@ -30,24 +30,24 @@ def csv_ready(df: DataFrame) -> DataFrame:
     return df.select(*[one_line(c).alias(c) for c in df.columns])
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header, every field quoted and quotes doubled."""
-    (csv_ready(df).write.mode(mode)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", options: dict[str, str] | None = None) -> None:
+    """CSV with a header, every field quoted and quotes doubled; ``options``: further options of the writer."""
+    (csv_ready(df).write.mode(mode).options(**options or {})
      .option("header", "true").option("quoteAll", "true")
      .option("quote", '"').option("escape", '"')
      .csv(path))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                partition_by: list[str] | None = None) -> None:
+                partition_by: list[str] | None = None, options: dict[str, str] | None = None) -> None:
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
     if fmt == "csv":
         if partition_by:
             raise ValueError("csv report tables are written unpartitioned")
-        write_csv(df, path, mode)
+        write_csv(df, path, mode, options)
         return
-    w = df.write.mode(mode)
+    w = df.write.mode(mode).options(**options or {})
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "json":

@@ -118,3 +118,12 @@ def test_shuffles_begin_with_the_partitions_that_the_rows_need(spark):
         assert shuffle_tasks(spark) == 51
     finally:
         spark.conf.unset(INITIAL_PARTITIONS)
+
+
+def test_exports_are_compressed(spark):
+    import os
+
+    from poolshift.plans.catalog import _export
+    for fmt in ("csv", "json"):
+        names = [n for n in os.listdir(_export(spark, SF, fmt, ["psm", "idc"])) if n.startswith("part-")]
+        assert names and all(n.endswith(f".{fmt}.gz") for n in names)
