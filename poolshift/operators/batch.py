@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import NULL_PART, POOL_PATTERN, normal_pool, pool_key, split_pool, strip
-from ..session import cut_lineage
+from ..session import stored
 from .filters import filter_default
 from .skew import join_per_key
-from .migration import (SUMMARY_MEASURES, detail_columns, detail_count, order_detail, order_summary,
+from .migration import (DETAIL_COLUMNS, SUMMARY_MEASURES, detail_columns, detail_count, order_detail, order_summary,
                         summarise, zero_if_null)
 
 REQUEST_SCHEMA = T.StructType([
@@ -207,10 +207,11 @@ def request_classes(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests (``request_id, idcs, lender_key, receiver_key``) factorised.
 
     Returns the classes, in the same columns, and ``class_id, request_id`` of
-    the members. A class is named by the least id of its members.
+    the members. A class is named by the least id of its members. ``asked``
+    is read twice: the caller stores it.
     """
     question = ["lender_key", "receiver_key", "idcs"]
-    classes = cut_lineage(asked.groupBy(*question).agg(F.min("request_id").alias("class_id")))
+    classes = stored(asked.groupBy(*question).agg(F.min("request_id").alias("class_id")), "request-classes")
     members = asked.join(classes, question).select("class_id", "request_id")
     return classes.withColumnRenamed("class_id", "request_id"), members
 
@@ -282,6 +283,22 @@ def class_services(inv: DataFrame, classes: DataFrame, rank_by: str = "last",
                  F.sum("_rows").alias("_rows"), F.bool_or("_pkg_any").alias("_pkg_any"), *received))
 
 
+def service_rows(inv: DataFrame, classes: DataFrame, services: DataFrame) -> DataFrame:
+    """Inventory rows with every one of ``services`` (``request_id, psm, _rows``
+    and more) that they belong to. Rows are dealt by pool and service, and are
+    handed to the classes that ask for them only then: what is shuffled does
+    not grow with the number of classes."""
+    parts = pool_parts(classes).drop("lender_key", "receiver_key")
+    pools = ["req_physical", "req_iaas"]
+    named = [F.coalesce(F.col(c), F.lit(NULL_PART)).alias(k) for c, k in zip(("physical_cluster", "iaas_cluster"), pools)]
+    # the sites asked for in each pool, null for every site
+    asked = parts.select(*[F.col(c).alias(f"_{c}") for c in pools], F.explode_outer("idcs").alias("_site")).distinct()
+    here = [F.col(c) == F.col(f"_{c}") for c in pools] + [F.col("_site").isNull() | (F.col("_site") == F.col("idc"))]
+    rows = filter_default(inv).select("*", *named, pool_key().alias("pool_identifier")).join(asked, here, "left_semi")
+    met = join_per_key(rows, services.join(parts, "request_id"), [*pools, "psm"], "_rows", hot_by=["psm"])
+    return met.filter((F.size("idcs") == 0) | F.array_contains("idcs", F.col("idc"))).drop("_rows", "idcs", *pools)
+
+
 IN_BOTH = "psm IS NOT NULL AND _in_lender AND _in_receiver"
 
 
@@ -295,27 +312,26 @@ def migration_batch(inv: DataFrame, requests: DataFrame, rank_by: str = "last",
     their class's rows last. The package column is kept in both outputs;
     whether package is a summary key is decided per request by the same data
     rule as the single analysis.
-    ``materialize`` checkpoints the matched rows (shared by both outputs)
-    into the shared checkpoint folder. ``prefilter`` is a filter on inventory
+    ``materialize`` writes the matched rows (shared by both outputs) into
+    the shared scratch folder once. ``prefilter`` is a filter on inventory
     columns that the requests imply and the caller knows (pools and sites
     given as arguments); it only spares reading rows the join would drop.
     """
     if group != "request_id":
         requests = requests.withColumnRenamed(group, "request_id")
-    classes, members = request_classes(asked_pools(requests))
+    classes, members = request_classes(stored(asked_pools(requests), "asked-pools"))
     # One row per (class, service), read three times below (hot keys, gate,
-    # join keys) with different columns: checkpoint it once so the rows are
+    # join keys) with different columns: written once so the rows are
     # aggregated once and the lineage is cut.
-    services = cut_lineage(class_services(inv, classes, rank_by, prefilter).filter(IN_BOTH)
-                           .select("request_id", "psm", "sort_key", "_rows", "_pkg_any"))
+    services = stored(class_services(inv, classes, rank_by, prefilter).filter(IN_BOTH)
+                      .select("request_id", "psm", "sort_key", "_rows", "_pkg_any"), "class-services")
     # Package gate per class, from the per-service table: one row per
     # class (AQE splits a class that most services belong to).
-    gate = services.groupBy("request_id").agg(F.bool_or("_pkg_any").alias("_pkg"))
+    gate = stored(services.groupBy("request_id").agg(F.bool_or("_pkg_any").alias("_pkg")), "class-packages")
     services = services.join(gate, "request_id").drop("_pkg_any")
-    rows = inv if prefilter is None else inv.filter(prefilter)
-    joined = join_per_key(batch_rows(rows, pool_parts(classes)), services, ["request_id", "psm"], "_rows").drop("_rows")
+    joined = service_rows(inv if prefilter is None else inv.filter(prefilter), classes, services)
     if materialize:
-        joined = cut_lineage(joined)
+        joined = stored(joined.select("request_id", *DETAIL_COLUMNS, "row_ord", "sort_key", "_pkg"), "matched-rows")
     detail = joined.select(*detail_columns(True, True, prefix=[F.col("request_id")]),
                              "row_ord")
     summary_rows = (joined.filter(~F.col("_pkg") | F.col("package").isNotNull())

@@ -117,7 +117,42 @@ def size_shuffles(spark: SparkSession, rows: int) -> None:
         spark.conf.set(INITIAL_PARTITIONS, str(wanted))
 
 
+# Compressed bytes that AQE joins to one task of a shuffle, and file bytes of
+# one task of a scan, at most: tables of short repeating texts take some 70
+# times that much room while they are aggregated.
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+SPLIT = "spark.sql.files.maxPartitionBytes"
+TASK_BYTES = {ADVISORY: 4 << 20, SPLIT: 32 << 20}
+
+
+def size_in_bytes(text: str) -> int:
+    """Bytes of a size setting (``64MB``, ``8m``, ``1024``)."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", text.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+def bound_tasks(spark: SparkSession) -> None:
+    """Hold the session's tasks to :data:`TASK_BYTES`. By its own settings Spark
+    deals a larger input to the same number of larger tasks, whose memory grows
+    with it. Only ever lowers the settings."""
+    for name, most in TASK_BYTES.items():
+        if size_in_bytes(spark.conf.get(name)) > most:
+            spark.conf.set(name, str(most))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
+    """Reliable checkpoint into the shared folder (survives executor loss); rows keep their order."""
     scratch_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, in any order.
+
+    Against :func:`cut_lineage`: computed once, compressed, columns stay
+    prunable, and the planner knows the size, so that a small table is
+    broadcast and does not have the rows it meets dealt by a few keys.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

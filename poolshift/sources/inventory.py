@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import DEFAULT_CLUSTER, coerce_number, in_list_or_all
+from ..session import ADVISORY, size_in_bytes
 
 TEXT_COLUMNS = [
     "psm", "idc", "cluster_name", "cluster_id", "package", "physical_cluster",
@@ -205,17 +206,9 @@ LAYOUT = ["idc", "physical_cluster", "iaas_cluster", "row_ord"]
 
 # While an inventory is written: shuffled bytes that AQE gives a task, whose
 # rows become wide and are sorted (some 300,000 of the fixture).
-ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 WRITE_TASK_BYTES = 16 << 20
 
 
-def _size(text: str) -> int:
-    """Bytes of a size setting (``64MB``, ``8m``, ``1024``)."""
-    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", text.strip().lower()).groups()
-    return int(number) << 10 * " kmgtp".index(unit or " ")
-
-
-
 def write_inventory(df: DataFrame, path: str) -> None:
     """Write a raw inventory as Parquet partitioned by site.
 
@@ -226,7 +219,7 @@ def write_inventory(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
     before = spark.conf.get(ADVISORY)
     try:
-        spark.conf.set(ADVISORY, str(min(_size(before), WRITE_TASK_BYTES)))
+        spark.conf.set(ADVISORY, str(min(size_in_bytes(before), WRITE_TASK_BYTES)))
         (df.sortWithinPartitions(*LAYOUT)
          .write.mode("overwrite").partitionBy("idc").parquet(path))
     finally:
@@ -249,7 +242,7 @@ def raw_inventory(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     """
     if not materialize:
         return inventory_from_tables(spark, sf_dir)
-    from ..session import app_id, scratch_path, size_shuffles
+    from ..session import app_id, bound_tasks, scratch_path, size_shuffles
     key = (app_id(spark), sf_dir.rstrip('/'), _stamp(spark, sf_dir))
     found = _WRITTEN.get(key)
     if found is None:  # the write either completed or raised
@@ -258,6 +251,7 @@ def raw_inventory(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
         found = (scratch_path(spark, "inventory"), df.schema)
         write_inventory(df, found[0])
         _WRITTEN[key] = found
+    bound_tasks(spark)
     return read_written_inventory(spark, *found)
 
 
