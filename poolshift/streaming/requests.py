@@ -66,9 +66,8 @@ def answer_requests(spark: SparkSession, inventory: Callable[[], DataFrame], sou
             # unreadable requests name no pool; they are listed with their faults
             unread = F.size("faults") > 0
             checked = validate_requests(batch.filter(unread | _given("pool1") | _given("pool2")))
-            # the per-(request, service) table is checkpointed inside; detail
-            # and summary each re-read the (pruned) inventory table
-            answer = migration_batch(inv, checked.filter("valid").drop("errors", "valid"))
+            # the matched rows are written once, for detail and summary
+            answer = migration_batch(inv, checked.filter("valid").drop("errors", "valid"), materialize=True)
             outputs.update(requests=checked, detail=answer.detail, summary=answer.summary)
         pool_requests = batch.filter(_given("pool"))
         if "scale_down" in kinds:
