@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import (BLANKS, POOL_SEP, in_list_or_all, normal_pool, parse_pool_text,
                                pool_key, split_pool)
+from ..session import stored
 from .batch import IN_BOTH, class_services, listed, migration_batch, once, request_classes
 from .filters import filter_by_idc, filter_default, pools_predicate
 from .migration import SUMMARY_MEASURES, zero_if_null
@@ -154,6 +155,32 @@ def detail_top(detail: DataFrame, n: int = ROWS_PER_CANDIDATE) -> DataFrame:
             .filter(F.col("rank") <= n))
 
 
+def candidate_questions(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The candidates of every request that can be answered (``request_id,
+    lender_key, idcs, position, receiver_key``), and the classes of equal
+    questions among them (see ``batch.request_classes``). Bodies are read once."""
+    requests = stored(requests, "requests")
+    ok, p, i = split_pool(F.col("target_pool"))
+    target = F.concat(p, F.lit("/"), i)
+    pools = F.filter(F.transform(listed(requests, "candidate_pools"), normal_pool), lambda x: x != "")
+    cands = stored(once(requests).filter(ok)
+                   .select("request_id", target.alias("lender_key"),
+                           F.array_sort(F.array_distinct(listed(requests, "idc"))).alias("idcs"),
+                           F.posexplode(F.array_remove(F.array_distinct(pools), target)).alias("position", "receiver_key")),
+                   "candidates")
+    # numbered by request and place: the id of the question
+    sub_id = F.concat_ws("#", "request_id", F.col("position").cast("string"))
+    asked = cands.filter(split_pool(F.col("receiver_key"))[0]).select(
+        sub_id.alias("request_id"), "idcs", "lender_key", "receiver_key")
+    return cands, request_classes(asked)[0]
+
+
+def with_answers(cands: DataFrame, classes: DataFrame, answers: DataFrame) -> DataFrame:
+    """Candidates with their class's row of ``answers`` (by ``request_id``), null where it has none."""
+    known = stored(answers.join(classes, "request_id").drop("request_id"), "class-answers")
+    return cands.join(known, ["lender_key", "receiver_key", "idcs"], "left")
+
+
 def candidate_batch(inv: DataFrame, requests: DataFrame) -> DataFrame:
     """The candidate overview for every request (``request_id, idc,
     target_pool, candidate_pools``): one row per (request, candidate) with
@@ -165,27 +192,14 @@ def candidate_batch(inv: DataFrame, requests: DataFrame) -> DataFrame:
     candidate, sites) are evaluated once, and one aggregate over the profile
     of the pools gives both the matches and the candidate's totals.
     """
-    ok, p, i = split_pool(F.col("target_pool"))
-    target = F.concat(p, F.lit("/"), i)
-    pools = F.filter(F.transform(listed(requests, "candidate_pools"), normal_pool), lambda x: x != "")
-    cands = (once(requests).filter(ok)
-             .select("request_id", target.alias("lender_key"),
-                     F.array_sort(F.array_distinct(listed(requests, "idc"))).alias("idcs"),
-                     F.posexplode(F.array_remove(F.array_distinct(pools), target)).alias("position", "receiver_key")))
-    # numbered by request and place: the id of the question
-    cands = cands.withColumn("sub_id", F.concat_ws("#", "request_id", F.col("position").cast("string")))
-    asked = cands.filter(split_pool(F.col("receiver_key"))[0]).select(
-        F.col("sub_id").alias("request_id"), "idcs", "lender_key", "receiver_key")
-    classes, members = request_classes(asked)
+    cands, classes = candidate_questions(requests)
     names = ["total_instances", "total_cpu", "total_memory"]
     answers = (class_services(inv, classes).groupBy("request_id")
                .agg(F.count_if(F.expr(IN_BOTH)).alias("matching_psm_count"),
                     F.count_if(F.expr("psm IS NOT NULL AND _in_receiver")).alias("psm_count"),
                     *[F.sum(f"_sum_{c}").alias(name) for c, name in zip(SUMMARY_MEASURES, names)]))
-    given = (members.withColumnRenamed("request_id", "sub_id")
-             .join(answers.withColumnRenamed("request_id", "class_id"), "class_id"))
     matches = F.coalesce("matching_psm_count", F.lit(0)).cast("bigint")
-    return (cands.join(given, "sub_id", "left")
+    return (with_answers(cands, classes, answers)
             .select("request_id", F.col("receiver_key").alias("candidate_pool"), "position",
                     (matches > 0).alias("has_matches"), matches.alias("matching_psm_count"),
                     F.coalesce("psm_count", F.lit(0)).cast("bigint").alias("psm_count"),

@@ -12,11 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shuffle_tasks
 from .inventory import read_table
 
 # Fixed values of the derived requests: iaas clusters cycled over nations,
 # site lists cycled over nations.
 IAAS_CYCLE = ["default", "gpu", "spot"]
+# Bodies that a task reads, while there are tasks enough.
+BODIES_PER_TASK = 5_000
 SITE_CYCLE = ["BUILDING,MACHINERY", "AUTOMOBILE", "", " HOUSEHOLD , FURNITURE "]
 
 
@@ -70,6 +73,9 @@ def mixed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrays, fields of a wrong type, bodies that are cut off, empty or no
     object, bodies without an id, and ids that several bodies carry."""
     customer = read_table(spark, sf_dir, "customer")
+    # bodies are short rows that take long to read: dealt to more tasks than their bytes would get
+    tasks = min(shuffle_tasks(spark), customer.count() // BODIES_PER_TASK + 1)
+    customer = customer.select("c_custkey", "c_nationkey", "c_mktsegment").repartition(tasks, "c_custkey")
     nation = read_table(spark, sf_dir, "nation")
     region = read_table(spark, sf_dir, "region")
     name = F.replace("r_name", F.lit(" "), F.lit("-"))
