@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import NULL_PART, normal_pool, split_pool
-from ..session import cut_lineage, shuffle_tasks
-from .batch import listed, once, pool_parts, request_classes
+from ..functions.exprs import NULL_PART
+from ..session import shuffle_tasks, stored
+from .batch import pool_parts
+from .candidates import candidate_questions, with_answers
 from .filters import filter_default
 
 
@@ -27,8 +28,8 @@ def dense_ids(values: DataFrame, column: str) -> DataFrame:
     sees more than its range.
     """
     tasks = shuffle_tasks(values.sparkSession)
-    ranged = cut_lineage(values.select(column).where(F.col(column).isNotNull()).distinct()
-                         .repartitionByRange(tasks, column).withColumn("_range", F.spark_partition_id()))
+    ranged = stored(values.select(column).where(F.col(column).isNotNull()).distinct()
+                    .repartitionByRange(tasks, column).withColumn("_range", F.spark_partition_id()), "ranges")
     front = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # one row for a range
     offsets = (ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
@@ -43,8 +44,12 @@ def pool_bitmaps(inv: DataFrame, ids: DataFrame) -> DataFrame:
     named = [F.coalesce(F.col(c), F.lit(NULL_PART)).alias(k)
              for c, k in (("physical_cluster", "req_physical"), ("iaas_cluster", "req_iaas"))]
     seen = filter_default(inv).where(F.col("psm").isNotNull()).select(*named, "idc", "psm").distinct()
-    return (seen.join(ids, "psm").groupBy("req_physical", "req_iaas", "idc", F.bitmap_bucket_number("id").alias("block"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits")))
+    keys = ["req_physical", "req_iaas", "idc", "block"]
+    bits = seen.join(ids, "psm").select(*keys[:3], F.bitmap_bucket_number("id").alias("block"), F.bitmap_bit_position("id").alias("bit"))
+    # a bitmap's rows, 32,768 at most, come to one task: were every task to begin
+    # all bitmaps, as many would be shuffled as there are tasks and bitmaps
+    return (bits.repartition(shuffle_tasks(inv.sparkSession), *keys).groupBy(*keys)
+            .agg(F.bitmap_construct_agg("bit").alias("bits")))
 
 
 def class_bitmaps(bitmaps: DataFrame, classes: DataFrame) -> DataFrame:
@@ -86,18 +91,9 @@ def candidate_overlap(inv: DataFrame, requests: DataFrame) -> DataFrame:
 
     Requests and candidates are read as in ``candidates.candidate_batch``.
     """
-    ok, p, i = split_pool(F.col("target_pool"))
-    target = F.concat(p, F.lit("/"), i)
-    pools = F.filter(F.transform(listed(requests, "candidate_pools"), normal_pool), lambda x: x != "")
-    cands = (once(requests).filter(ok)
-             .select("request_id", target.alias("lender_key"), F.array_sort(F.array_distinct(listed(requests, "idc"))).alias("idcs"),
-                     F.posexplode(F.array_remove(F.array_distinct(pools), target)).alias("position", "receiver_key"))
-             .withColumn("sub_id", F.concat_ws("#", "request_id", F.col("position").cast("string"))))
-    asked = cands.filter(split_pool(F.col("receiver_key"))[0]).select(F.col("sub_id").alias("request_id"), "idcs", "lender_key", "receiver_key")
-    classes, members = request_classes(asked)
+    cands, classes = candidate_questions(requests)
     counts = class_counts(class_bitmaps(pool_bitmaps(inv, dense_ids(inv, "psm")), classes))
-    given = members.withColumnRenamed("request_id", "sub_id").join(counts.withColumnRenamed("request_id", "class_id"), "class_id")
     names = ["target_psm_count", "psm_count", "matching_psm_count"]
-    return (cands.join(given, "sub_id", "left")
+    return (with_answers(cands, classes, counts)
             .select("request_id", F.col("receiver_key").alias("candidate_pool"), "position",
                     *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in names]))
