@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import STATUS_MULTI, STATUS_SINGLE, parse_pool_text, pool_key
-from ..session import cut_lineage
+from ..session import stored
 from .filters import filter_by_idc, filter_default
 
 ATTRIBUTES = ["instance_num", "cpu_limit", "mem_limit", "dept_level1", "dept_level2",
@@ -111,55 +111,54 @@ def migratable_batch(inv: DataFrame, requests: DataFrame) -> DataFrame:
 
     The first aggregation does not depend on the requests: it runs once per
     site (and once more, from its result, across sites for requests without
-    a site). Requests then pick their target services with an equi-join on
-    ``(site, physical cluster)``, take all pools of those services with an
-    equi-join on ``(site, psm)``, and the second aggregation runs per
-    ``(request, psm)``. No join is a cross product.
+    a site). Its rows are dealt by service once; a service's pools at a site
+    (as many as there are pools, at most) become one list. Requests pick their
+    services with an equi-join on ``(site, physical cluster)`` and find
+    everything else in the list, so nothing is shuffled for each request. No
+    join is a cross product.
     """
     from ..functions.exprs import split_pool, strip
     from .batch import once
     rows = filter_default(inv).filter(F.col("psm").isNotNull())
     # site_key: the site, or null for the across-sites profile ("every site")
-    # The first aggregation feeds both profiles below and is read again with
-    # other columns (target lookup, expansion): checkpoint it once so the
+    # The first aggregation feeds both profiles below: written once so the
     # rows are aggregated once.
-    per_site = cut_lineage(pool_profile(rows, ["idc"]).withColumnRenamed("idc", "site_key"))
+    per_site = stored(pool_profile(rows, ["idc"]).withColumnRenamed("idc", "site_key"), "pool-profile").repartition("psm")
     per_all = (per_site.groupBy("psm", "physical_cluster", "iaas_cluster")
                .agg(F.min("o").alias("o"), F.sum("n").alias("n"),
                     F.min_by("first_row", "o").alias("first_row"))
                .withColumn("site_key", F.lit(None).cast("string")))
-    profile = (per_site.filter(F.col("site_key").isNotNull()).unionByName(per_all)
-               .withColumn("pool_key", pool_key()))
+    pool = F.struct("o", "n", "physical_cluster", "iaas_cluster", pool_key().alias("pool_key"), "first_row")
+    pools = F.collect_list(pool).alias("pools")
+    services = (per_site.filter(F.col("site_key").isNotNull()).groupBy("site_key", "psm").agg(pools)
+                .unionByName(per_all.groupBy("site_key", "psm").agg(pools)))
 
     ok, phys, iaas = split_pool(F.col("pool"))
-    req = once(requests).select(
+    req = stored(once(stored(requests, "requests")).select(
         "request_id", F.col("idc").alias("req_idc"), F.col("pool").alias("req_pool"),
         F.when(F.coalesce(F.col("idc"), F.lit("")) != "", F.col("idc")).alias("req_site"),
         F.when(ok, phys).otherwise(strip("pool")).alias("req_physical"),
-        F.when(ok & (iaas != ""), iaas).alias("req_iaas"))
-    # target services of each request: equi-join on (site, physical cluster)
-    prof_keys = profile.select("site_key", "psm", "physical_cluster").distinct()
-    targets = (prof_keys.join(req, prof_keys["site_key"].eqNullSafe(req["req_site"])
-                              & (prof_keys["physical_cluster"] == req["req_physical"]))
-               .select("request_id", "req_idc", "req_pool", "req_site", "req_physical",
-                       "req_iaas", "psm").distinct())
-    # all pools of those services at the request's site(s): equi-join on (site, psm)
-    expanded = profile.join(targets, profile["site_key"].eqNullSafe(targets["req_site"])
-                            & (profile["psm"] == targets["psm"])).drop(targets["psm"])
-
-    in_cluster = F.coalesce(F.col("physical_cluster") == F.col("req_physical"), F.lit(False))
-    in_pool = in_cluster & (F.col("req_iaas").isNull()
-                            | F.coalesce(F.col("iaas_cluster") == F.col("req_iaas"), F.lit(False)))
-    other = ~in_cluster
-    others_sorted = F.array_sort(F.collect_list(F.when(other, F.struct("o", "pool_key"))))
-    per_service = (expanded.groupBy("request_id", "psm")
-                   .agg(F.first("req_idc").alias("idc"), F.first("req_pool").alias("pool"),
-                        F.min(F.when(in_cluster, F.col("o"))).alias("first_seen"),
-                        F.array_distinct(F.transform(others_sorted, lambda x: x["pool_key"]))
-                        .alias("other_pools"),
-                        F.coalesce(F.sum(F.when(other, F.col("n"))), F.lit(0)).cast("bigint")
-                        .alias("other_pool_cluster_count"),
-                        F.min_by(F.col("first_row"), F.when(in_pool, F.col("o"))).alias("_main")))
+        F.when(ok & (iaas != ""), iaas).alias("req_iaas")), "asked-services")
+    # services of each request: equi-join on (site, physical cluster)
+    clusters = F.array_distinct(F.transform("pools", lambda x: x["physical_cluster"]))
+    found = services.select("*", F.explode(clusters).alias("_cluster"))
+    met = found.join(req, F.col("site_key").eqNullSafe(F.col("req_site")) & (F.col("_cluster") == F.col("req_physical")))
+
+    def inside(x):
+        return F.coalesce(x["physical_cluster"] == F.col("req_physical"), F.lit(False))
+
+    def in_pool(x):
+        return F.col("req_iaas").isNull() | F.coalesce(x["iaas_cluster"] == F.col("req_iaas"), F.lit(False))
+
+    met = met.select("*", F.filter("pools", inside).alias("_own"), F.filter("pools", lambda x: ~inside(x)).alias("_others"))
+    named = F.sort_array(F.transform("_others", lambda x: F.struct(x["o"].alias("o"), x["pool_key"].alias("pool_key"))))
+    main = F.array_min(F.transform(F.filter("_own", in_pool), lambda x: F.struct(x["o"].alias("o"), x["first_row"].alias("row"))))
+    per_service = met.select(
+        "request_id", "psm", F.col("req_idc").alias("idc"), F.col("req_pool").alias("pool"),
+        F.array_min(F.transform("_own", lambda x: x["o"])).alias("first_seen"),
+        F.array_distinct(F.transform(named, lambda x: x["pool_key"])).alias("other_pools"),
+        F.aggregate("_others", F.lit(0).cast("bigint"), lambda total, x: total + x["n"]).alias("other_pool_cluster_count"),
+        main["row"].alias("_main"))
     return per_service.select(
         "request_id", "psm",
         F.when(F.size("other_pools") > 0, F.lit(STATUS_MULTI)).otherwise(F.lit(STATUS_SINGLE))
