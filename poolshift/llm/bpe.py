@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import written
+from .text import hash_words, lean, written
 
 #: The pattern that splits texts, as the tokenizer's users write it; white space and letters are Unicode's ("(?U)").
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -68,36 +68,45 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once (indexing or flattening an expression asks for its type again each time; a variable has it)."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, use)
+
+
 def fold_merges(word: Column, ranks: Column) -> Column:
-    """Ids of one word: ranked merges folded over its bytes."""
+    """Ids of one word: ranked merges folded over its bytes, held as pieces (p), each with the rank (r) of its pair with the next."""
     def rank(piece: Column) -> Column:
         return ranks[(F.crc32(piece.cast("binary")) % BUCKETS).cast("int")][piece]
 
-    def step(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
+    def piece(p: Column, r: Column) -> Column:
+        return F.struct(p.alias("p"), r.alias("r"))
 
+    def step(state: Column, _: Column) -> Column:
         def merge(at: Column) -> Column:
             """State after joining pieces ``at`` and ``at + 1``; the ranks beside them are looked up anew."""
-            joined = F.concat(F.element_at(p, at), F.element_at(p, at + 1))
-            left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), joined)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at + 1 < F.size(p), F.array(rank(F.concat(joined, F.get(p, at + 1))))).otherwise(F.array().cast("array<int>"))
-            return F.struct(  # flatten: much cheaper here than concat of arrays
-                F.flatten(F.array(F.slice(p, 1, at - 1), F.array(joined), F.slice(p, at + 2, F.size(p)))).alias("p"),
-                F.flatten(F.array(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(p)))).alias("r"))
+            def put(joined: Column) -> Column:
+                after, before = F.get(state, at + 1)["p"], F.get(state, at - 2)["p"]
+                last = piece(joined, rank(F.concat(joined, after)))
+                return _let(F.array(  # flatten: much cheaper here than concat of arrays
+                    F.slice(state, 1, F.greatest(at - 2, F.lit(0))),
+                    F.when(at > 1, F.array(piece(before, rank(F.concat(before, joined))), last)).otherwise(F.array(last)),
+                    F.slice(state, at + 2, LONG_WORD)), F.flatten)
+
+            return F.when(at.isNull(), state).otherwise(_let(F.concat(F.get(state, at - 1)["p"], F.get(state, at)["p"]), put))
 
-        lowest = F.array_position(r, F.array_min(r)).cast("int")
-        return F.when(F.array_min(r).isNull(), state).otherwise(F.transform(F.array(lowest), merge)[0])
+        # not by array_position: each place that it finds costs an exception
+        places = F.transform(state, lambda s, i: s["r"] * LONG_WORD + i)
+        return _let(F.array_min(places) % LONG_WORD + 1, merge)
 
     def ids(chars: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(chars) - 1),
-                            lambda i: rank(F.concat(F.element_at(chars, i), F.element_at(chars, i + 1))))
-        start = F.struct(chars.alias("p"), pairs.alias("r"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(chars) - 1), start, step, lambda s: F.transform(s["p"], rank))
+        start = F.transform(chars, lambda c, i: piece(c, rank(F.concat(c, F.get(chars, i + 1)))))
+        return F.aggregate(F.sequence(F.lit(2), F.size(chars)), start, step, lambda s: F.transform(s["p"], rank))
 
-    text = F.decode(word.cast("binary"), "ISO-8859-1")
-    whole = rank(text)
-    return F.when(whole.isNotNull(), F.array(whole)).when(
-        F.octet_length(word) <= LONG_WORD, F.transform(F.array(F.split(text, "")), ids)[0])
+    def text_ids(text: Column) -> Column:
+        return _let(rank(text), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(
+            F.octet_length(word) <= LONG_WORD, _let(F.split(text, ""), ids)))
+
+    return _let(F.decode(word.cast("binary"), "ISO-8859-1"), text_ids)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -129,7 +138,22 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _blocks(batches, shared: pa.Array):
+def _by_hash(words: pa.Array, lists: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """Words and their ids in the order of the words' hashes, with the hashes: one table for all blocks, none built for each."""
+    hashes = hash_words(words)
+    order = np.argsort(hashes)
+    return words.take(pa.array(order)), hashes[order], lists.take(pa.array(order))
+
+
+def _places(words: pa.Array, shared: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each word in ``shared``, and whether it is another word than the one there."""
+    if not len(shared):
+        return np.zeros(len(words), int), np.ones(len(words), bool)
+    at = np.minimum(np.searchsorted(hashes, hash_words(words)), len(shared) - 1)
+    return at, pc.not_equal(shared.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
+
+
+def _blocks(batches, shared: pa.Array, hashes: np.ndarray):
     """Blocks of documents: their rows, words for each row, positions in ``shared`` and the block's further words, those words."""
     rows, lists, held = [], [], 0
 
@@ -137,9 +161,8 @@ def _blocks(batches, shared: pa.Array):
         words = pa.concat_arrays([x.flatten() for x in lists])
         per_row = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]).astype(np.int32)
         coded = words.dictionary_encode()
-        at = pc.index_in(coded.dictionary, value_set=shared)
-        own = at.is_null().to_numpy(zero_copy_only=False)
-        place = np.where(own, len(shared) + np.cumsum(own) - 1, at.fill_null(0).to_numpy())
+        at, own = _places(coded.dictionary, shared, hashes)
+        place = np.where(own, len(shared) + np.cumsum(own) - 1, at)
         more = coded.dictionary.filter(pa.array(own))
         kept = pa.Table.from_batches(rows).combine_chunks().to_batches()
         sink = pa.BufferOutputStream()
@@ -186,7 +209,7 @@ def shared_words(split: DataFrame, ranks: Column, size: int = SHARED) -> pa.Tabl
         if seen:
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(seen).unique()], ["word"])
 
-    counts = written(split.select("bpe_words").mapInArrow(distinct, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("blocks"))
+    counts = written(split.select("bpe_words").mapInArrow(lean(distinct), "word string").groupBy("word").agg(F.count(F.lit(1)).alias("blocks"))
                      .where(f"blocks > 1 and octet_length(word) <= {LONG_WORD}"), "bpe-words")
     least, total = 2, 0
     for r in counts.groupBy("blocks").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("blocks")).collect():
@@ -213,11 +236,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], keep: list[str], finish, sc
     merges, send = rank_map(ranks), docs.sparkSession.sparkContext.broadcast
     split = docs.select(*keep, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), F.lit(0)).alias("bpe_words"))
     known = shared_words(split, merges, shared)
-    words, lists = send(_one(known, "word", pa.string())), send(_one(known, "ids", pa.list_(pa.int32())))
+    words, hashes, lists = map(send, _by_hash(_one(known, "word", pa.string()), _one(known, "ids", pa.list_(pa.int32()))))
     sent = send(ranks)
 
     def pack(batches):
-        yield from _blocks(batches, words.value)
+        yield from _blocks(batches, words.value, hashes.value)
 
     def lay_out(batches):
         for batch in batches:
@@ -230,10 +253,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], keep: list[str], finish, sc
                 rows = pa.ipc.open_stream(batch.column(0)[i].as_py()).read_all().combine_chunks().to_batches()
                 yield from finish(rows[0], *_laid_out(starts, flat, positions, per_row))
 
-    blocks = split.mapInArrow(pack, "rows binary, per_row binary, positions binary, words array<string>")
+    blocks = split.mapInArrow(lean(pack), "rows binary, per_row binary, positions binary, words array<string>")
     coded = blocks.select("rows", "per_row", "positions", _folded(F.col("words"), merges).alias("ids"),
                           F.filter("words", lambda w: F.octet_length(w) > LONG_WORD).alias("long_words"))
-    return coded.mapInArrow(lay_out, schema)
+    return coded.mapInArrow(lean(lay_out), schema)
 
 
 def _with_long(lists: pa.Array, long_words: list[str], ranks) -> pa.Array:

@@ -3,8 +3,10 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from poolshift.llm import bpe
 
@@ -57,3 +59,22 @@ def test_empty_table(make_docs, ranks):
 
 def test_pattern_is_the_tokenizers():
     assert bpe.PATTERN == public_tokenizers.PATTERN
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(bpe, "hash_words", lambda words: np.array([len(w) for w in words.to_pylist()], np.uint64))
+    shared, hashes, lists = bpe._by_hash(pa.array(["abc", "de", "xyz"]), pa.array([[1], [2, 3], [4]], pa.list_(pa.int32())))
+    asked = pa.array(["de", "xyz", "abc", "no", "longer"])
+    at, own = bpe._places(asked, shared, hashes)
+    assert own.tolist()[3:] == [True, True] and not own[0] and 1 <= own[1:3].sum() <= 1
+    assert all(shared[int(i)] == w for i, o, w in zip(at, own, asked, strict=True) if not o)
+    assert dict(zip(shared.to_pylist(), lists.to_pylist(), strict=True)) == {"abc": [1], "de": [2, 3], "xyz": [4]}
+    assert bpe._places(asked, pa.array([], pa.string()), np.empty(0, np.uint64))[1].all()
+
+
+def test_fold_finds_no_places_by_exceptions(spark, ranks, reference):
+    """array_position ends each search by an exception: most of the fold's time was spent on them."""
+    words = ["thereinghat", "aaaaaaaab", " étéçà", "zzqzzqzz", "a", "0123456789" * 6]
+    folded = spark.createDataFrame([(words,)], "words array<string>").select(bpe._folded(F.col("words"), bpe.rank_map(ranks)).alias("ids"))
+    assert "array_position" not in folded._jdf.queryExecution().analyzed().toString()
+    assert folded.collect()[0]["ids"] == [reference.encode_ordinary(w) for w in words]
