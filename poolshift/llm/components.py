@@ -3,7 +3,8 @@
 Links are first contracted inside each partition by union-find (a partition
 of links at a time, no group is ever gathered). Then in every round each node
 finds its smallest neighbour by an aggregation with map-side minima, a join
-links all its neighbours to that one, and partitions are contracted again.
+links all its neighbours to that one, and links are dealt by their first node
+and contracted again, so that a node's links to several hubs become one.
 Rounds end when all links point from a node to the smallest of its
 component; their number grows with the logarithm of the longest chain. Each
 round is written to the shared folder, so lost executors cost one round.
@@ -53,7 +54,7 @@ def components(links: DataFrame) -> DataFrame:
     u, v = F.col("u").cast("long"), F.col("v").cast("long")
     edges = links.select(u.alias("u"), v.alias("v"), F.lit(True).alias("changed")).where("u <> v")
     edges = written(edges.repartition("u").mapInArrow(_contract, EDGE), "links")
-    while edges.where("changed").limit(1).count():
+    while not edges.where("changed").isEmpty():
         both = (edges.select(F.col("u").alias("k"), F.col("v").alias("o"))
                 .unionByName(edges.select(F.col("v").alias("k"), F.col("u").alias("o"))))
         least = both.groupBy("k").agg(F.min("o").alias("m")).select("k", F.least("k", "m").alias("m"))
@@ -61,5 +62,15 @@ def components(links: DataFrame) -> DataFrame:
             F.when(F.col("o") == F.col("m"), F.col("k")).otherwise(F.col("o")).alias("u"), F.col("m").alias("v"),
             # in finished stars the smallest neighbour of either end is the smaller end
             (F.col("m") != F.least("k", "o")).alias("changed")).where("u <> v")
-        edges = written(moved.mapInArrow(_contract, EDGE), "links")
+        edges = written(moved.repartition("u").mapInArrow(_contract, EDGE), "links")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts``, a result of ``components``, after further ``links`` (u, v): only links between components are contracted."""
+    for end in ("u", "v"):
+        links = links.join(parts.select(F.col("node").alias(end), "component"), end, "left").select(
+            *[F.coalesce("component", end).alias(end) if c == end else c for c in ("u", "v")])
+    top = components(links)
+    to = top.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return parts.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(top)

@@ -23,7 +23,9 @@ only); two texts link when 100 * intersection >= 75 * union.
    nearly all of a group. The remaining pairs of a tile that pass the length and position
    bounds and lie in different components are verified last, so no link
    between components is lost, while groups of thousands of near copies never
-   become all pairs.
+   become all pairs. Of these, a pair is left out where either set has too few
+   first shingles that any other set holds, and in the tile of a shingle
+   shortly before which both hold another: they meet in that one's tile.
 
 Sets are held as 64-bit hashes; a set's identity is a 64-bit hash of all of
 them with their number.
@@ -37,13 +39,15 @@ in ``one_of_each``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import components
+from .components import components, joined
 from .text import as_text, hash_words, having, lean, mix64, sequence_hash, ship, signed, small, split_words, unused, window_hashes, written
 
 N = 5
@@ -54,6 +58,8 @@ MEETINGS = 4
 ROUNDS = 2
 TILE = 1_000
 TRIE_SETS = 256
+#: Shingles before an entry's own by which pairs that have met already are told.
+BEFORE = 3
 
 
 def needed(a: int, b: int) -> int:
@@ -275,10 +281,22 @@ def _apart(batches, choose):
 
     ``choose(fits, component, dealt)`` gives the places of a tile of three sets
     or more from the matrix of fitting pairs; ``dealt`` is an order of the
-    tile's sets that differs from tile to tile.
+    tile's sets that differs from tile to tile. Further columns, if any, are the
+    set's number of shared first shingles and those before this entry's (its
+    own: none); pairs go that share too few or have met before.
     """
+    def kept(i, j):
+        ok = np.minimum(held[i], held[j]) >= needed(m[i], m[j]) - np.maximum(m[i] - prefix_length(m[i]), m[j] - prefix_length(m[j]))
+        i, j = i[ok], j[ok]
+        met = np.zeros(len(i), bool)
+        for x in before:
+            for y in before:
+                met |= (x[i] == y[j]) & (x[i] != token[i])
+        return i[~met], j[~met]
+
     for t in _groups(batches, 2):
         token, tile, n, sig, pos, comp = (t.column(i).to_numpy() for i in range(6))
+        held, *before = (t.column(i).to_numpy() for i in range(6, t.num_columns)) if t.num_columns > 6 else (None,)
         m = n.astype(np.int32)  # a tile's matrices are a few million values
         left = (m - pos).astype(np.int32)
         ends = _bounds([token, tile])
@@ -286,7 +304,7 @@ def _apart(batches, choose):
         mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
         two = starts[mixed & (sizes == 2)]
         two = two[_fits(m[two], m[two + 1], left[two], left[two + 1])]
-        one, other = [two], [two + 1]
+        pairs = [(two, two + 1)]
         for a, b in zip(starts[mixed & (sizes > 2)].tolist(), ends[1:][mixed & (sizes > 2)].tolist(), strict=True):
             c = comp[a:b]
             fits = np.empty((b - a, b - a), bool)
@@ -294,9 +312,12 @@ def _apart(batches, choose):
                 r = slice(a + k, min(b, a + k + 128))
                 fits[k:k + 128] = _fits(m[r, None], m[None, a:b], left[r, None], left[None, a:b]) & (comp[r, None] != c[None])
             i, j = choose(fits, c, np.argsort(mix64((sig[a:b] ^ token[a]).view(np.uint64))))
-            one.append(a + i)
-            other.append(a + j)
-        yield t, np.concatenate(one), np.concatenate(other)
+            pairs.append((a + i, a + j))
+            if held is not None:
+                pairs[-1] = kept(*pairs[-1])
+        if held is not None:
+            pairs[0] = kept(*pairs[0])
+        yield t, *(np.concatenate(x) for x in zip(*pairs, strict=True))
 
 
 def _every_pair(fits, component, dealt):
@@ -431,14 +452,16 @@ def _beside(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return rights.unionByName(lefts).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, firstly: DataFrame, order) -> DataFrame:
-    """The pairs (a, b) of set identities whose sets link, as (u, v).
+def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, firstly: DataFrame, order) -> DataFrame | None:
+    """The pairs (a, b) of set identities whose sets link, as (u, v); None if no pair is promising.
 
     ``firsts``: sig and a doc_id with that set; ``firstly``: sig, n and the first
     shingles it shares with any set. Sets are made anew from the texts of
     promising pairs only.
     """
     pairs = written(_beside(pairs, firstly).mapInArrow(lean(_promising), "a long, b long"), "shingle-pairs")
+    if pairs.isEmpty():
+        return None
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(firsts, "sig").select("doc_id").distinct()
 
     def collect(batches):
@@ -461,6 +484,8 @@ def _rows(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT) -> DataFr
     entries = written(entries, "shingle-entries")
     firsts = named.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     firstly = entries.groupBy("sig").agg(F.first("n").alias("n"), F.collect_set("token").alias("tokens"))
+    held = written(firstly.withColumn("held", F.size("tokens")), "first-shingles")
+    firstly, held = held.select("sig", "n", "tokens"), held.select("sig", "held")
     near = entries.where("hub is not null").select("sig", "hub").unionByName(
         entries.where("hub2 is not null").select("sig", F.col("hub2").alias("hub"))).select(
         F.least("hub", "sig").alias("a"), F.greatest("hub", "sig").alias("b")).distinct()
@@ -468,26 +493,31 @@ def _rows(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT) -> DataFr
     def dealt(entries, parts, task, schema):
         """What ``task`` finds in the tiles of ``entries``, given the components so far."""
         marked = (entries.join(parts.withColumnRenamed("node", "sig"), "sig", "left")
-                  .select("token", "tile", "n", "sig", "pos", F.coalesce("component", "sig").alias("component")))
+                  .select("token", "tile", "n", "sig", "pos", F.coalesce("component", "sig").alias("component"), *entries.columns[5:]))
         return marked.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "sig").mapInArrow(lean(task), schema)
 
-    def as_links(parts):
-        return parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
-
     pair = "a long, b long"
     tested = written(near, "hub-pairs")
-    parts = written(components(verified(tested, docs, firsts, firstly, order)), "hub-components")
+    links = verified(tested, docs, firsts, firstly, order)
+    none = docs.sparkSession.createDataFrame([], "u long, v long")
+    parts = written(components(none if links is None else links), "hub-components")
     # entries without a fitting partner in another component are done with
-    left = written(dealt(entries, parts, _open, "token long, tile int, n int, sig long, pos int, component long")
+    left = written(dealt(entries.drop("hub", "hub2"), parts, _open, "token long, tile int, n int, sig long, pos int, component long")
                    .drop("component"), "open-entries")
-    for n in range(ROUNDS):
-        # another order of the sets of a tile in every round
-        turned = left.withColumn("token", F.col("token").bitwiseXOR(n))
-        met = written(dealt(turned, parts, _meetings, pair).distinct().join(tested, ["a", "b"], "left_anti"), "met-pairs")
-        parts = written(components(as_links(parts).unionByName(verified(met, docs, firsts, firstly, order))), "met-components")
-        tested = tested.unionByName(met)
-    crossing = dealt(left, parts, _crossing, pair).distinct().join(tested, ["a", "b"], "left_anti")
-    more = written(verified(crossing, docs, firsts, firstly, order), "shingle-links")
+    more = None
+    if not left.isEmpty():
+        for n in range(ROUNDS):
+            # another order of the sets of a tile in every round
+            turned = left.withColumn("token", F.col("token").bitwiseXOR(n))
+            met = written(dealt(turned, parts, _meetings, pair).distinct().join(tested, ["a", "b"], "left_anti"), "met-pairs")
+            links = verified(met, docs, firsts, firstly, order)
+            if links is not None:
+                parts = written(joined(parts, links), "met-components")
+            tested = tested.unionByName(met)
+        earlier = Window.partitionBy("sig").orderBy("pos")
+        before = [F.coalesce(F.lag("token", k).over(earlier), "token").alias(f"before{k}") for k in range(1, BEFORE + 1)]
+        crossing = dealt(left.join(held, "sig").select(*left.columns, "held", *before), parts, _crossing, pair)
+        more = verified(crossing.distinct().join(tested, ["a", "b"], "left_anti"), docs, firsts, firstly, order)
     # the sets of a doc_id that has several, or an empty one too, are one document
     own = F.when(F.col("n") > 0, F.col("sig"))
     several = written(named.where("doc_id is not null").groupBy("doc_id")
@@ -495,7 +525,9 @@ def _rows(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT) -> DataFr
                       .where("u <> last or (least = 0 and u is not null)"), "several-sets")
     same = named.where("n > 0").join(several.where("u <> last").select("doc_id", "u"), "doc_id").select("u", F.col("sig").alias("v"))
     # classes as nodes; a class's smallest doc_id names its component
-    parts = components(as_links(parts).unionByName(more).unionByName(same))
+    rest = [links for links in (more, None if several.isEmpty() else same) if links is not None]
+    if rest:
+        parts = joined(parts, reduce(DataFrame.unionByName, rest))
     class_of = firsts.join(parts.withColumnRenamed("node", "sig"), "sig", "left").select(
         "sig", "doc_id", F.coalesce("component", "sig").alias("component"))
     names = class_of.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -125,3 +125,54 @@ def test_one_of_each_of_repeated_rows_and_null_ids(make_docs):
     ids = sorted((r["doc_id"] for r in kept), key=str)
     assert ids == [1, 4, 6, None, None]
     assert [r["text"] for r in kept if r["doc_id"] == 6] == ["z"] and {r["text"] for r in kept if r["doc_id"] is None} == {c, None}
+
+
+def test_sets_that_share_many_shingles_are_paired_once_and_those_that_share_too_few_never():
+    import pyarrow as pa
+    rnd = random.Random(4)
+    shared = {sig: sorted(rnd.sample(range(30), 24)) for sig in range(12)} | {sig: [5] for sig in (12, 13)}
+    rows = []
+    for sig, tokens in shared.items():
+        for pos, token in enumerate(tokens):
+            before = [tokens[pos - k] if pos >= k else token for k in (1, 2, 3)]
+            rows.append((token, 0, 100, sig, pos, sig, len(tokens), *before))
+    rows.sort()
+    names = ["token", "tile", "n", "sig", "pos", "component", "held", "before1", "before2", "before3"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+    pairs = [p for x in N._crossing([batch]) for p in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
+    first = {(a, b): min(set(shared[a]) & set(shared[b])) for a in range(12) for b in range(a + 1, 12)}
+    # bounds of position hold at the first common shingle or the pair can't link
+    fits = {p for p, t in first.items() if max(shared[p[0]].index(t), shared[p[1]].index(t)) <= 100 - N.needed(100, 100)}
+    assert set(pairs) >= fits and all(a < 12 and b < 12 for a, b in pairs)
+    met = sum(len(i) for _, i, _ in N._apart([batch], N._every_pair))
+    assert met <= 1.2 * len(fits)
+
+
+def test_further_links_join_components(spark):
+    from poolshift.llm.components import components, joined
+    rnd = random.Random(9)
+    for _ in range(2):
+        links = [(rnd.randrange(120), rnd.randrange(120)) for _ in range(90)]
+        df = spark.createDataFrame(links, "u long, v long")
+        some = components(df.limit(0).unionByName(spark.createDataFrame(links[:50], "u long, v long")))
+        got = sorted(map(tuple, joined(some, spark.createDataFrame(links[50:], "u long, v long")).collect()))
+        assert got == sorted(map(tuple, components(df).collect()))
+
+
+def test_links_of_many_hubs_become_one_a_node(spark, monkeypatch):
+    from poolshift.llm import components as C
+    held, before = [], {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    monkeypatch.setattr(C, "written", lambda df, name, f=C.written: held.append(f(df, name)) or held[-1])
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        rnd = random.Random(3)
+        hubs = sorted(rnd.sample(range(10**6), 60))
+        links = [(h, i) for i in rnd.sample(range(10**6), 1500) for h in rnd.sample(hubs, 4)]
+        got = C.components(spark.createDataFrame(links, "u long, v long"))
+        nodes = {x for pair in links for x in pair}
+        assert {tuple(r) for r in got.collect()} == {(n, min(nodes)) for n in nodes - {min(nodes)}}
+        assert 2 * held[1].count() < held[0].count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
