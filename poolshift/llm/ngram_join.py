@@ -517,7 +517,8 @@ def _rows(docs: DataFrame, tile: int = TILE, frequent: int = FREQUENT) -> DataFr
         earlier = Window.partitionBy("sig").orderBy("pos")
         before = [F.coalesce(F.lag("token", k).over(earlier), "token").alias(f"before{k}") for k in range(1, BEFORE + 1)]
         crossing = dealt(left.join(held, "sig").select(*left.columns, "held", *before), parts, _crossing, pair)
-        more = verified(crossing.distinct().join(tested, ["a", "b"], "left_anti"), docs, firsts, firstly, order)
+        crossing = written(crossing.distinct().join(tested, ["a", "b"], "left_anti"), "crossing-pairs")
+        more = verified(crossing, docs, firsts, firstly, order)
     # the sets of a doc_id that has several, or an empty one too, are one document
     own = F.when(F.col("n") > 0, F.col("sig"))
     several = written(named.where("doc_id is not null").groupBy("doc_id")
